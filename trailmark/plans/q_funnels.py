@@ -1 +1,366 @@
-"""placeholder"""
+"""Funnel and pathing analyses on the test data."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trailmark import fixed_values as FV
+from trailmark.functions import ts
+from trailmark.operators import funnels as U
+from trailmark.plans.oracle_views import pct2, ratio, with_views
+from trailmark.plans.oracle_views import ts as sts
+from trailmark.plans.registry import register
+
+DEMO_START, DEMO_END = "2024-01-01", "2024-02-01"      # '2014-01-01' .. '2014-02-01'
+LANDER_START, LANDER_END = "2024-01-03", "2024-01-28"  # '2012-06-19' .. '2012-07-28', open
+FLAGS2_START, FLAGS2_END = "2024-01-05", "2024-01-25"  # '2012-08-05' .. '2012-09-05'
+PRODUCT_START, PRODUCT_END = "2024-01-06", "2024-01-27"  # '2013-01-06' .. '2013-04-10', open
+PATH_START, PATH_END, PATH_CUT = "2024-01-03", "2024-01-27", "2024-01-15"  # 2012-10-06..2013-04-06
+
+C = F.col
+
+
+def _gsearch_nonbrand():
+    return (C("utm_source") == FV.GSEARCH) & (C("utm_campaign") == FV.NONBRAND)
+
+
+def _cd(flag: str) -> str:
+    return f"COUNT(DISTINCT CASE WHEN {flag} = 1 THEN website_session_id ELSE NULL END)"
+
+
+# ---- W19 ----------------------------------------------------------------------------------------
+
+DEMO_STEPS = [("products_page", FV.PRODUCTS), ("mrfuzzy_page", FV.MR_FUZZY),
+              ("cart_page", FV.CART)]
+DEMO_URLS = [FV.LANDER_2, FV.PRODUCTS, FV.MR_FUZZY, FV.CART]
+
+_DEMO_PV = f"""
+SELECT ws.website_session_id, wp.pageview_url, wp.created_at AS pageview_created_at,
+       CASE WHEN pageview_url = '/products' THEN 1 ELSE 0 END AS products_page,
+       CASE WHEN pageview_url = '/the-original-mr-fuzzy' THEN 1 ELSE 0 END AS mrfuzzy_page,
+       CASE WHEN pageview_url = '/cart' THEN 1 ELSE 0 END AS cart_page
+FROM website_sessions ws
+LEFT JOIN website_pageviews wp ON ws.website_session_id = wp.website_session_id
+WHERE ws.created_at BETWEEN {sts(DEMO_START)} AND {sts(DEMO_END)}
+  AND wp.pageview_url IN ('/lander-2', '/products', '/the-original-mr-fuzzy', '/cart')"""
+
+
+def _demo_where():
+    return C("created_at").between(ts(DEMO_START), ts(DEMO_END))
+
+
+@register("page_step_flags", "W19", with_views(_DEMO_PV))
+def page_step_flags(d):
+    return U.page_step_flags(d.sessions, d.pageviews, DEMO_STEPS, _demo_where(),
+                             C("pageview_url").isin(DEMO_URLS))
+
+
+# ---- W20 / W22 (all, by segment) ----------------------------------------------------------------
+
+LANDER_STEPS = [
+    ("saw_homepage", FV.HOME), ("saw_custom_lander", FV.LANDER_1),
+    ("product_made_it", FV.PRODUCTS), ("mrfuzzy_made_it", FV.MR_FUZZY),
+    ("cart_made_it", FV.CART), ("shipping_made_it", FV.SHIPPING),
+    ("billing_made_it", FV.BILLING), ("thankyou_made_it", FV.THANK_YOU),
+]
+
+_LANDER_FLAGS = ("session_level_made_it_flagged", f"""
+SELECT website_session_id,
+       MAX(homepage) AS saw_homepage, MAX(custom_lander) AS saw_custom_lander,
+       MAX(products_page) AS product_made_it, MAX(mrfuzzy_page) AS mrfuzzy_made_it,
+       MAX(cart_page) AS cart_made_it, MAX(shipping_page) AS shipping_made_it,
+       MAX(billing_page) AS billing_made_it, MAX(thankyou_page) AS thankyou_made_it
+FROM (
+  SELECT ws.website_session_id, wp.pageview_url,
+         CASE WHEN pageview_url = '/home' THEN 1 ELSE 0 END AS homepage,
+         CASE WHEN pageview_url = '/lander-1' THEN 1 ELSE 0 END AS custom_lander,
+         CASE WHEN pageview_url = '/products' THEN 1 ELSE 0 END AS products_page,
+         CASE WHEN pageview_url = '/the-original-mr-fuzzy' THEN 1 ELSE 0 END AS mrfuzzy_page,
+         CASE WHEN pageview_url = '/cart' THEN 1 ELSE 0 END AS cart_page,
+         CASE WHEN pageview_url = '/shipping' THEN 1 ELSE 0 END AS shipping_page,
+         CASE WHEN pageview_url = '/billing' THEN 1 ELSE 0 END AS billing_page,
+         CASE WHEN pageview_url = '/thank-you-for-your-order' THEN 1 ELSE 0 END AS thankyou_page
+  FROM website_sessions ws
+  LEFT JOIN website_pageviews wp ON ws.website_session_id = wp.website_session_id
+  WHERE utm_source = 'gsearch' AND utm_campaign = 'nonbrand'
+    AND ws.created_at < {sts(LANDER_END)} AND ws.created_at > {sts(LANDER_START)}
+) AS pageview_level
+GROUP BY 1""")
+
+
+def lander_flags(d):
+    where = _gsearch_nonbrand() & (C("created_at") < ts(LANDER_END)) & (
+        C("created_at") > ts(LANDER_START))
+    return U.session_made_it_flags(d.sessions, d.pageviews, LANDER_STEPS, where,
+                                   keep_sessions_without_pageviews=True)
+
+
+@register("session_made_it_flags", "W20", with_views("SELECT * FROM session_level_made_it_flagged",
+                                                     _LANDER_FLAGS))
+def session_made_it_flags(d):
+    return lander_flags(d)
+
+
+SEGMENT_RATES = ["lander_click_rt", "product_click_rt", "mrfuzzy_click_rt", "cart_click_rt",
+                 "shipping_click_rt", "billing_click_rt"]
+SEGMENT_FLAGS = ["product_made_it", "mrfuzzy_made_it", "cart_made_it", "shipping_made_it",
+                 "billing_made_it", "thankyou_made_it"]
+
+
+def _segment_sql() -> str:
+    rates = ",\n       ".join(
+        f"{pct2(_cd(f), 'COUNT(DISTINCT website_session_id)')} AS {r}"
+        for f, r in zip(SEGMENT_FLAGS, SEGMENT_RATES))
+    return with_views(f"""
+SELECT CASE WHEN saw_homepage = 1 THEN 'saw_homepage'
+            WHEN saw_custom_lander = 1 THEN 'saw_custom_lander'
+            ELSE 'oh no... check logic' END AS segment,
+       {rates}
+FROM session_level_made_it_flagged
+GROUP BY 1""", _LANDER_FLAGS)
+
+
+@register("funnel_click_rates_by_segment", "W22", _segment_sql())
+def funnel_click_rates_by_segment(d):
+    return U.funnel_click_rates(lander_flags(d), SEGMENT_FLAGS, SEGMENT_RATES, denominator="all",
+                                segment=U.landing_segment(), rounded=True, sessions_name=None)
+
+
+# ---- W21 / W23 (flags without /home) ------------------------------------------------------------
+
+FLAGS2 = [("products_made_it", FV.PRODUCTS), ("mrfuzzy_made_it", FV.MR_FUZZY),
+          ("cart_made_it", FV.CART), ("shipping_made_it", FV.SHIPPING),
+          ("thankyou_made_it", FV.THANK_YOU)]
+FLAGS2_COUNTS = ["click_to_products", "click_to_mrfuzzy", "click_to_cart", "click_to_shipping",
+                 "click_to_thankyou"]
+
+_FLAGS2 = ("session_level_flags2", f"""
+SELECT website_session_id,
+       MAX(products_ct) AS products_made_it, MAX(mrfuzzy_ct) AS mrfuzzy_made_it,
+       MAX(cart_ct) AS cart_made_it, MAX(shipping_ct) AS shipping_made_it,
+       MAX(thankyou_ct) AS thankyou_made_it
+FROM (
+  SELECT ws.website_session_id, wp.pageview_url, wp.created_at,
+         CASE WHEN pageview_url = '/products' THEN 1 ELSE 0 END AS products_ct,
+         CASE WHEN pageview_url = '/the-original-mr-fuzzy' THEN 1 ELSE 0 END AS mrfuzzy_ct,
+         CASE WHEN pageview_url = '/cart' THEN 1 ELSE 0 END AS cart_ct,
+         CASE WHEN pageview_url = '/shipping' THEN 1 ELSE 0 END AS shipping_ct,
+         CASE WHEN pageview_url = '/thank-you-for-your-order' THEN 1 ELSE 0 END AS thankyou_ct
+  FROM website_sessions ws
+  LEFT JOIN website_pageviews wp ON ws.website_session_id = wp.website_session_id
+  WHERE ws.created_at BETWEEN {sts(FLAGS2_START)} AND {sts(FLAGS2_END)}
+    AND pageview_url <> '/home'
+    AND utm_source = 'gsearch' AND utm_campaign = 'nonbrand'
+) AS page_level_views
+GROUP BY 1""")
+
+
+def flags2(d):
+    where = C("created_at").between(ts(FLAGS2_START), ts(FLAGS2_END)) & _gsearch_nonbrand()
+    return U.session_made_it_flags(d.sessions, d.pageviews, FLAGS2, where,
+                                   pageview_where=C("pageview_url") != FV.HOME)
+
+
+_COUNT_ROW = "COUNT(website_session_id) AS sessions,\n       " + ",\n       ".join(
+    f"{_cd(f)} AS {n}" for (f, _), n in zip(FLAGS2, FLAGS2_COUNTS))
+
+
+@register("funnel_counts", "W21", with_views(f"""
+SELECT {_COUNT_ROW}
+FROM session_level_flags2""", _FLAGS2))
+def funnel_counts(d):
+    return U.funnel_counts(flags2(d), [f for f, _ in FLAGS2], FLAGS2_COUNTS)
+
+
+def _report_sql() -> str:
+    prev = ["COUNT(website_session_id)"] + [_cd(f) for f, _ in FLAGS2]
+    names = ["lander_clickthrough_rate", "products_clickthrough_rate",
+             "mrfuzzy_clickthrough_rate", "cart_clickthrough_rate", "shipping_clickthrough_rate"]
+    rates = ",\n       ".join(f"{ratio(prev[i + 1], prev[i])} * 100 AS {n}"
+                              for i, n in enumerate(names))
+    return with_views(f"""
+SELECT {_COUNT_ROW}
+FROM session_level_flags2
+UNION ALL
+SELECT COUNT(website_session_id) AS sessions,
+       {rates}
+FROM session_level_flags2""", _FLAGS2)
+
+
+@register("funnel_report", "W23", _report_sql())
+def funnel_report(d):
+    return U.funnel_report(flags2(d), [f for f, _ in FLAGS2], FLAGS2_COUNTS)
+
+
+# ---- W22 (previous step, interleaved counts) ----------------------------------------------------
+
+DEMO_FLAGS = [("product_made_it", FV.PRODUCTS), ("mrfuzzy_made_it", FV.MR_FUZZY),
+              ("cart_made_it", FV.CART)]
+
+_DEMO_FLAGS = ("session_level_flags", f"""
+SELECT website_session_id, MAX(products_page) AS product_made_it,
+       MAX(mrfuzzy_page) AS mrfuzzy_made_it, MAX(cart_page) AS cart_made_it
+FROM ({_DEMO_PV}) AS pageview_level
+GROUP BY 1""")
+
+
+@register("funnel_click_rates", "W22", with_views(f"""
+SELECT COUNT(DISTINCT website_session_id) AS sessions,
+       {_cd('product_made_it')} AS clicked_to_products,
+       {ratio(_cd('product_made_it'), 'COUNT(DISTINCT website_session_id)')} * 100 AS lander_clickedthrough_rate,
+       {_cd('mrfuzzy_made_it')} AS clicked_to_mrfuzzy,
+       {ratio(_cd('mrfuzzy_made_it'), _cd('product_made_it'))} * 100 AS products_clickedthrough_rate,
+       {_cd('cart_made_it')} AS clicked_to_cart,
+       {ratio(_cd('cart_made_it'), _cd('mrfuzzy_made_it'))} * 100 AS mrfuzzy_clickedthrough_rate
+FROM session_level_flags""", _DEMO_FLAGS))
+def funnel_click_rates(d):
+    flags = U.session_made_it_flags(d.sessions, d.pageviews, DEMO_FLAGS, _demo_where(),
+                                    pageview_where=C("pageview_url").isin(DEMO_URLS))
+    return U.funnel_click_rates(
+        flags, [f for f, _ in DEMO_FLAGS],
+        ["lander_clickedthrough_rate", "products_clickedthrough_rate",
+         "mrfuzzy_clickedthrough_rate"],
+        count_names=["clicked_to_products", "clicked_to_mrfuzzy", "clicked_to_cart"])
+
+
+# ---- W24 / W25 ----------------------------------------------------------------------------------
+
+PRODUCT_ENTRIES = {FV.MR_FUZZY: FV.MRFUZZY_LABEL, FV.LOVE_BEAR: FV.LOVEBEAR_LABEL}
+PRODUCT_STEPS = [("cart_made_it", FV.CART), ("shipping_made_it", FV.SHIPPING),
+                 ("billing_made_it", FV.BILLING_2), ("thankyou_made_it", FV.THANK_YOU)]
+
+_SSPP = ("sessions_seeing_product_pages", f"""
+SELECT website_session_id, website_pageview_id, pageview_url AS product_page_seen
+FROM website_pageviews
+WHERE created_at < {sts(PRODUCT_END)} AND created_at > {sts(PRODUCT_START)}
+  AND pageview_url IN ('/the-original-mr-fuzzy', '/the-forever-love-bear')""")
+
+_PRODUCT_FLAGS = ("session_product_level_made_it_flags", """
+SELECT website_session_id,
+       CASE WHEN product_page_seen = '/the-original-mr-fuzzy' THEN 'mrfuzzy'
+            WHEN product_page_seen = '/the-forever-love-bear' THEN 'lovebear'
+            ELSE 'check logic' END AS product_seen,
+       MAX(cart_page) AS cart_made_it, MAX(shipping_page) AS shipping_made_it,
+       MAX(billing_page) AS billing_made_it, MAX(thankyou_page) AS thankyou_made_it
+FROM (
+  SELECT sspp.website_session_id, sspp.product_page_seen,
+         CASE WHEN pageview_url = '/cart' THEN 1 ELSE 0 END AS cart_page,
+         CASE WHEN pageview_url = '/shipping' THEN 1 ELSE 0 END AS shipping_page,
+         CASE WHEN pageview_url = '/billing-2' THEN 1 ELSE 0 END AS billing_page,
+         CASE WHEN pageview_url = '/thank-you-for-your-order' THEN 1 ELSE 0 END AS thankyou_page
+  FROM sessions_seeing_product_pages sspp
+  LEFT JOIN website_pageviews wp
+    ON wp.website_session_id = sspp.website_session_id
+   AND wp.website_pageview_id > sspp.website_pageview_id
+) AS pageview_level
+GROUP BY 1, 2""")
+
+
+def _product_where():
+    return (C("created_at") < ts(PRODUCT_END)) & (C("created_at") > ts(PRODUCT_START))
+
+
+def product_flags(d):
+    return U.multi_entry_flags(d.pageviews, PRODUCT_ENTRIES, PRODUCT_STEPS, _product_where())
+
+
+@register("multi_entry_flags", "W24", with_views("SELECT * FROM session_product_level_made_it_flags",
+                                                 _SSPP, _PRODUCT_FLAGS))
+def multi_entry_flags(d):
+    return product_flags(d)
+
+
+@register("multi_entry_funnel", "W24", with_views(f"""
+SELECT product_seen, COUNT(DISTINCT website_session_id) AS sessions,
+       {_cd('cart_made_it')} AS to_cart, {_cd('shipping_made_it')} AS to_shipping,
+       {_cd('billing_made_it')} AS to_billing, {_cd('thankyou_made_it')} AS to_thankyou
+FROM session_product_level_made_it_flags
+GROUP BY 1""", _SSPP, _PRODUCT_FLAGS))
+def multi_entry_funnel(d):
+    return U.multi_entry_counts(product_flags(d), [f for f, _ in PRODUCT_STEPS],
+                                ["to_cart", "to_shipping", "to_billing", "to_thankyou"])
+
+
+PRODUCT_RATES = ["product_page_click_rt", "cart_page_click_rt", "shipping_page_click_rt",
+                 "billing_page_click_rt"]
+
+
+def _product_rates_sql() -> str:
+    prev = ["COUNT(DISTINCT website_session_id)"] + [_cd(f) for f, _ in PRODUCT_STEPS]
+    rates = ",\n       ".join(f"{pct2(prev[i + 1], prev[i])} AS {n}"
+                              for i, n in enumerate(PRODUCT_RATES))
+    return with_views(f"""
+SELECT product_seen,
+       {rates}
+FROM session_product_level_made_it_flags
+GROUP BY 1""", _SSPP, _PRODUCT_FLAGS)
+
+
+@register("multi_entry_click_rates", "W24", _product_rates_sql())
+def multi_entry_click_rates(d):
+    return U.multi_entry_click_rates(product_flags(d), [f for f, _ in PRODUCT_STEPS],
+                                     PRODUCT_RATES)
+
+
+@register("funnel_step_discovery", "W25", with_views("""
+SELECT DISTINCT wp.pageview_url
+FROM sessions_seeing_product_pages sspp
+LEFT JOIN website_pageviews wp
+  ON wp.website_session_id = sspp.website_session_id
+ AND wp.website_pageview_id > sspp.website_pageview_id""", _SSPP))
+def funnel_step_discovery(d):
+    return U.funnel_step_discovery(d.pageviews, list(PRODUCT_ENTRIES), _product_where())
+
+
+# ---- W26 ----------------------------------------------------------------------------------------
+
+_PATH = [("products_pageviews", f"""
+SELECT website_session_id, website_pageview_id, created_at,
+       CASE WHEN created_at < {sts(PATH_CUT)} THEN 'A. Pre_Product_2'
+            WHEN created_at >= {sts(PATH_CUT)} THEN 'B. Post_Product_2'
+            ELSE 'check logic' END AS time_period
+FROM website_pageviews
+WHERE created_at < {sts(PATH_END)} AND created_at > {sts(PATH_START)}
+  AND pageview_url = '/products'"""), ("sessions_w_next_pageview_id", """
+SELECT pg.time_period, pg.website_session_id, MIN(wp.website_pageview_id) AS min_next_pageview_id
+FROM products_pageviews pg
+LEFT JOIN website_pageviews wp
+  ON wp.website_session_id = pg.website_session_id
+ AND wp.website_pageview_id > pg.website_pageview_id
+GROUP BY 1, 2"""), ("sessions_w_next_pageview_url", """
+SELECT snp.time_period, snp.website_session_id, wp.pageview_url AS next_pageview_url
+FROM sessions_w_next_pageview_id snp
+LEFT JOIN website_pageviews wp ON wp.website_pageview_id = snp.min_next_pageview_id""")]
+
+PATH_TARGETS = {"mrfuzzy": FV.MR_FUZZY, "lovebear": FV.LOVE_BEAR}
+
+
+def _path_where():
+    return (C("created_at") < ts(PATH_END)) & (C("created_at") > ts(PATH_START))
+
+
+@register("next_page_rows", "W26", with_views("SELECT * FROM sessions_w_next_pageview_url", *_PATH))
+def next_page_rows(d):
+    return U.next_page_rows(d.pageviews, FV.PRODUCTS, _path_where(), ts(PATH_CUT))
+
+
+def _cd_next(cond: str) -> str:
+    return f"COUNT(DISTINCT CASE WHEN {cond} THEN website_session_id ELSE NULL END)"
+
+
+_ALL = "COUNT(DISTINCT website_session_id)"
+
+
+@register("next_page_pathing", "W26", with_views(f"""
+SELECT time_period, {_ALL} AS sessions,
+       {_cd_next('next_pageview_url IS NOT NULL')} AS w_next_pg,
+       {pct2(_cd_next('next_pageview_url IS NOT NULL'), _ALL)} AS pct_w_next_pg,
+       {_cd_next("next_pageview_url = '/the-original-mr-fuzzy'")} AS to_mrfuzzy,
+       {pct2(_cd_next("next_pageview_url = '/the-original-mr-fuzzy'"), _ALL)} AS pct_to_mrfuzzy,
+       {_cd_next("next_pageview_url = '/the-forever-love-bear'")} AS to_lovebear,
+       {pct2(_cd_next("next_pageview_url = '/the-forever-love-bear'"), _ALL)} AS pct_to_lovebear
+FROM sessions_w_next_pageview_url
+GROUP BY 1""", *_PATH))
+def next_page_pathing(d):
+    return U.next_page_pathing(d.pageviews, FV.PRODUCTS, _path_where(), ts(PATH_CUT),
+                               PATH_TARGETS)
