@@ -41,6 +41,7 @@ POST_CROSS_SELL = "B.Post_Cross_Sell"
 PRE_PRODUCT_2 = "A. Pre_Product_2"
 POST_PRODUCT_2 = "B. Post_Product_2"
 PRODUCT_SENTINEL = "check logic"
+PERIOD_SENTINEL = "Check logic"
 MRFUZZY_LABEL = "mrfuzzy"
 LOVEBEAR_LABEL = "lovebear"
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions import week0
+from trailmark.functions import ratio, week0
 
 SESSION = "website_session_id"
 
@@ -35,8 +35,7 @@ def sessions_with_orders(sessions: DataFrame, orders: DataFrame) -> DataFrame:
     return joined.withColumns({
         "n_orders": F.coalesce("n_orders", F.lit(0)),
         "n_priced": F.coalesce("n_priced", F.lit(0)),
-        "items": F.coalesce("items", F.lit(0)),
-        # revenue stays NULL for sessions without orders, like SUM over no order rows
+        # items and revenue stay NULL for sessions without orders, like SUM over no order rows
     })
 
 
@@ -58,3 +57,8 @@ def period_keys(created_at: Column, grain: str, include_year: bool) -> list[Colu
 
 def apply_filter(df: DataFrame, where: Column | None) -> DataFrame:
     return df if where is None else df.where(where)
+
+
+def money_ratio(cents: Column | str, d: Column | str) -> Column:
+    """(sum of cents / d) / 100 as double, unrounded; NULL for d = 0."""
+    return ratio(cents, d) / 100
