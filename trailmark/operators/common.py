@@ -10,6 +10,8 @@ literal ``COUNT(DISTINCT ...)`` form and so checks that equivalence on every run
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,25 +20,29 @@ from trailmark.functions import ratio, week0
 SESSION = "website_session_id"
 
 
-def orders_per_session(orders: DataFrame) -> DataFrame:
-    """website_session_id, n_orders, n_priced, revenue_cents, items (one row per session)."""
-    return orders.groupBy(SESSION).agg(
+def orders_per_session(orders: DataFrame, products: Sequence[int] = ()) -> DataFrame:
+    """website_session_id, n_orders, n_priced, revenue_cents, items (one row per session), plus
+    ``n_p{k}``: orders whose primary product is k, for each k in ``products``."""
+    aggs = [
         F.count("order_id").alias("n_orders"),
         F.count("price_cents").alias("n_priced"),
         F.sum("price_cents").alias("revenue_cents"),
         F.sum("items_purchased").alias("items"),
-    )
+    ]
+    aggs += [F.count(F.when(F.col("primary_product_id") == k, 1)).alias(f"n_p{k}")
+             for k in products]
+    return orders.groupBy(SESSION).agg(*aggs)
 
 
-def sessions_with_orders(sessions: DataFrame, orders: DataFrame) -> DataFrame:
+def sessions_with_orders(sessions: DataFrame, orders: DataFrame,
+                         products: Sequence[int] = ()) -> DataFrame:
     """Sessions ⟕ per-session order facts, zero-filled: exactly one row per session."""
-    agg = orders_per_session(orders)
+    agg = orders_per_session(orders, products)
     joined = sessions.join(agg, SESSION, "left")
-    return joined.withColumns({
-        "n_orders": F.coalesce("n_orders", F.lit(0)),
-        "n_priced": F.coalesce("n_priced", F.lit(0)),
-        # items and revenue stay NULL for sessions without orders, like SUM over no order rows
-    })
+    fill = {c: F.coalesce(c, F.lit(0)) for c in ["n_orders", "n_priced"]
+            + [f"n_p{k}" for k in products]}
+    # items and revenue stay NULL for sessions without orders, like SUM over no order rows
+    return joined.withColumns(fill)
 
 
 def period_key(created_at: Column, grain: str) -> Column:
