@@ -137,8 +137,9 @@ def billing_test_flags_by_page(sessions: DataFrame, pageviews: DataFrame,
     sum(c * k).
     """
     keep = apply_filter(sessions, session_where).select(SESSION)
-    pv = _bounded(pageviews, None, min_pv_id, urls).join(keep, SESSION, "left_semi")
-    per_page = pv.groupBy(SESSION, URL).agg(F.count(F.lit(1)).alias("c"))
+    per_page = (_bounded(pageviews, None, min_pv_id, urls)
+                .groupBy(SESSION, URL).agg(F.count(F.lit(1)).alias("c"))
+                .join(keep, SESSION, "left_semi"))
     pages = per_page.groupBy(SESSION).agg(F.count(F.lit(1)).alias("k"))
     j = per_page.join(pages, SESSION)
     out = j.groupBy(F.col(URL).alias("billing_version_seen")).agg(

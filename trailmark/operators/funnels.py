@@ -7,10 +7,9 @@ would be one task):
 
 * a step is reached after an entry iff ``max(id of the step url) > min(id of the entry url)`` in
   the session: two partial aggregates joined one-to-one;
-* the next page after an entry is ``min_by(url, id)`` over ``pageviews ⋈ first-entry`` with the
-  residual ``id > entry_id``, where the entry side holds one row per (period, session). The join is
-  inner, so adaptive execution may split a skewed session partition; the one-row-per-key result
-  is then left-joined back to the entries.
+* the next page after an entry is the smallest later pageview id, found by joining on
+  (session, id bucket) so that no join key holds more than a bucket of pageviews, however large
+  the session (``next_pageview``).
 """
 
 from __future__ import annotations
@@ -188,13 +187,18 @@ def funnel_step_discovery(pageviews: DataFrame, entry_urls: Sequence[str],
                           where: Column | None = None) -> DataFrame:
     """Distinct urls viewed after an entry pageview; NULL is one of them when some entry
     pageview is the last pageview of its session (the original's left join finds no later row).
+
+    A url was viewed after some entry of a session iff its last id there exceeds the session's
+    first entry id, so only aggregates meet in the joins: (session, url) last ids and per-session
+    entry bounds, both partially aggregated.
     """
     ent = _entries(pageviews, entry_urls, where).groupBy(SESSION).agg(
         F.min(PV).alias("first_entry"), F.max(PV).alias("last_entry"))
-    later = (pageviews.join(ent, SESSION, "inner")
-             .where(F.col(PV) > F.col("first_entry"))
+    last_by_url = pageviews.groupBy(SESSION, URL).agg(F.max(PV).alias("last_id"))
+    later = (last_by_url.join(ent, SESSION, "inner")
+             .where(F.col("last_id") > F.col("first_entry"))
              .select(URL))
-    last_pv = pageviews.groupBy(SESSION).agg(F.max(PV).alias("last_pv"))
+    last_pv = last_by_url.groupBy(SESSION).agg(F.max("last_id").alias("last_pv"))
     none_after = (ent.join(last_pv, SESSION, "inner")
                   .where(F.col("last_entry") >= F.col("last_pv"))
                   .select(F.lit(None).cast("string").alias(URL)))
@@ -208,18 +212,39 @@ def period_label(c: Column, cut: Column, before: str, after: str, other: str) ->
     return F.when(c < cut, before).when(c >= cut, after).otherwise(other)
 
 
+ID_BUCKET = 1 << 20
+
+
 def next_pageview(pageviews: DataFrame, entries: DataFrame,
-                  keys: Sequence[str] = ("time_period", SESSION)) -> DataFrame:
+                  keys: Sequence[str] = ("time_period", SESSION),
+                  id_bucket: int = ID_BUCKET) -> DataFrame:
     """First pageview after the first entry of each key group: ``entries`` has ``keys`` and
-    ``entry_id``; returns ``keys`` + next_pageview_id, next_pageview_url (NULL when none)."""
+    ``entry_id``; returns ``keys`` + next_pageview_id, next_pageview_url (NULL when none).
+
+    Exact and skew-proof without a window or a per-session range join: pageview ids are unique,
+    so bucketing them (``id div id_bucket``) bounds every join key.
+    * within the entry's bucket: pageviews ⋈ entries on (session, bucket), ``id > entry_id``;
+      a key holds at most ``id_bucket`` pageviews, however large the session;
+    * in later buckets: the session's first pageview of each bucket (a partial aggregate) ⋈
+      entries on session, ``bucket > entry bucket``; a key holds one row per bucket spanned.
+    The smaller candidate wins; ``min(struct(id, url))`` carries the url along.
+    """
     first = entries.groupBy(*keys).agg(F.min("entry_id").alias("entry_id"))
-    after = (pageviews.select(SESSION, PV, URL)
-             .join(first, SESSION, "inner")
-             .where(F.col(PV) > F.col("entry_id"))
-             .groupBy(*keys)
-             .agg(F.min(PV).alias("next_pageview_id"),
-                  F.min_by(URL, PV).alias("next_pageview_url")))
-    return first.join(after, list(keys), "left").drop("entry_id")
+    fb = first.withColumn("_b", F.call_function("div", F.col("entry_id"), F.lit(id_bucket)))
+    pv = pageviews.select(SESSION, F.struct(F.col(PV).alias("id"), F.col(URL).alias("url"))
+                          .alias("pv"),
+                          F.call_function("div", F.col(PV), F.lit(id_bucket)).alias("_b"))
+    within = (pv.join(fb, [SESSION, "_b"], "inner")
+              .where(F.col("pv.id") > F.col("entry_id"))
+              .groupBy(*keys).agg(F.min("pv").alias("nxt")))
+    heads = pv.groupBy(SESSION, "_b").agg(F.min("pv").alias("pv"))
+    later = (heads.join(fb.withColumnRenamed("_b", "_eb"), SESSION, "inner")
+             .where(F.col("_b") > F.col("_eb"))
+             .groupBy(*keys).agg(F.min("pv").alias("nxt")))
+    nxt = later.unionByName(within).groupBy(*keys).agg(F.min("nxt").alias("nxt"))
+    return first.join(nxt, list(keys), "left").select(
+        *keys, F.col("nxt.id").alias("next_pageview_id"),
+        F.col("nxt.url").alias("next_pageview_url"))
 
 
 def next_page_rows(pageviews: DataFrame, entry_url: str, where: Column | None, cut: Column,

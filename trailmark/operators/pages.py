@@ -35,16 +35,12 @@ def top_pages(pageviews: DataFrame, where: Column | None = None) -> DataFrame:
 
 # ---- W11 / W12 ----------------------------------------------------------------------------------
 
-def _entry_pageviews(pageviews: DataFrame, sessions: DataFrame | None,
-                     session_where: Column | None, where: Column | None,
-                     min_pv_id: Column | int | None, strict: bool) -> DataFrame:
+def _bounded(pageviews: DataFrame, where: Column | None, min_pv_id: Column | int | None,
+             strict: bool) -> DataFrame:
     pv = apply_filter(pageviews, where)
     if min_pv_id is not None:
         bound = F.lit(min_pv_id) if isinstance(min_pv_id, int) else min_pv_id
         pv = pv.where(F.col(PV) > bound if strict else F.col(PV) >= bound)
-    if sessions is not None:
-        keep = apply_filter(sessions, session_where).select(SESSION)
-        pv = pv.join(keep, SESSION, "left_semi")
     return pv
 
 
@@ -57,13 +53,21 @@ def first_pageview_per_session(pageviews: DataFrame, sessions: DataFrame | None
     ``sessions``/``session_where`` restrict to sessions passing a filter (the original's inner
     join with filters in ``ON``); ``min_pv_id`` keeps pageviews from a launch id on (``strict``:
     after it). ``with_url`` adds the landing url (W12).
+
+    Pageviews are aggregated per session *before* the session filter is applied: the aggregate is
+    partial (a session with a third of all pageviews is collapsed inside each map task), and the
+    semi join that follows has one row per key on both sides.
     """
-    pv = _entry_pageviews(pageviews, sessions, session_where, where, min_pv_id, strict)
+    pv = _bounded(pageviews, where, min_pv_id, strict)
     keys = [F.to_date("created_at").alias("date"), F.col(SESSION)] if by_date else [F.col(SESSION)]
     aggs = [F.min(PV).alias("min_pv_id")]
     if with_url:
         aggs.append(F.min_by(URL, PV).alias("landing_page"))
-    return pv.groupBy(*keys).agg(*aggs)
+    firsts = pv.groupBy(*keys).agg(*aggs)
+    if sessions is not None:
+        keep = apply_filter(sessions, session_where).select(SESSION)
+        firsts = firsts.join(keep, SESSION, "left_semi")
+    return firsts
 
 
 def first_pageview_of_sessions(sessions: DataFrame, pageviews: DataFrame,

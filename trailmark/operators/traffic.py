@@ -40,7 +40,14 @@ def session_order_join(sessions: DataFrame, orders: DataFrame,
         "price_cents",
         "cogs_cents",
     )
-    return apply_filter(sessions.select(*SESSION_COLS), where).join(o, SESSION, "left")
+    s = apply_filter(sessions.select(*SESSION_COLS), where)
+    # left join = matched rows ∪ sessions without orders. The inner part can be split by adaptive
+    # execution on either side when one session holds very many orders; the anti part meets one
+    # pre-deduplicated id per session.
+    matched = s.join(o, SESSION, "inner")
+    with_orders = orders.select(SESSION).distinct()
+    unmatched = s.join(with_orders, SESSION, "left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
 def _bucketed(sessions: DataFrame, orders: DataFrame | None, where: Column | None, grain: str,

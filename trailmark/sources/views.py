@@ -101,18 +101,15 @@ def web_orders(events: DataFrame) -> DataFrame:
 def order_items(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """One item per (order, line number); the lowest line number of an order is its primary item.
 
-    Joined on the order key before grouping, so the grouping reuses the join's partitioning
-    (one shuffle of lineitem) and the per-order minimum is pre-aggregated map-side.
+    Lines are aggregated first (partial aggregation collapses repeated (order, line) rows, even
+    of an order holding a large share of lineitem), then joined one row per order to the order
+    date and the order's first line.
     """
-    li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    lines = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
+        F.min("l_partkey").alias("min_part"), F.min("l_extendedprice").alias("min_price"))
     first = lineitem.groupBy("l_orderkey").agg(F.min("l_linenumber").alias("first_line"))
     o = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
-    grouped = (
-        li.join(o, "l_orderkey")
-        .join(first, "l_orderkey")
-        .groupBy("l_orderkey", "l_linenumber", "o_orderdate", "first_line")
-        .agg(F.min("l_partkey").alias("min_part"), F.min("l_extendedprice").alias("min_price"))
-    )
+    grouped = lines.join(o, "l_orderkey").join(first, "l_orderkey")
     return grouped.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_item_id"),
         F.col("o_orderdate").alias("created_at"),
