@@ -276,3 +276,42 @@ def test_incremental_orders_after_last_home_session(spark):
     row = M.one(X.incremental_orders(s, None, last))
     assert row["session_since_test"] == 3
     assert row["incremental_orders"] == float("0.0261")
+
+
+def test_years_merge_unless_asked(spark):
+    s = M.sessions(spark, [
+        (1, "2023-01-05 10:00:00", "gsearch", "nonbrand", "g", "d"),
+        (2, "2024-01-09 10:00:00", "gsearch", "nonbrand", "g", "d"),
+        (3, "2024-02-01 10:00:00", "gsearch", "nonbrand", "g", "d"),
+    ])
+    o = M.orders(spark, [(100, "2023-01-05 10:05:00", 1, 1, 1, 100, 60)])
+    merged = T.period_trend(s, o).collect()
+    assert sorted((str(r.period_start), r.sessions, r.orders) for r in merged) == [
+        ("2023-01-05", 2, 1), ("2024-02-01", 1, 0)]
+    split = T.period_trend(s, o, include_year=True).collect()
+    assert len(split) == 3
+
+
+def test_month_totals_sorted_by_year_then_dropped(spark):
+    s = M.sessions(spark, [
+        (1, "2024-01-09 10:00:00", None, None, None, "d"),
+        (2, "2023-01-03 10:00:00", None, None, None, "d"),
+        (3, "2023-01-10 10:00:00", None, None, None, "d"),
+        (4, "2023-03-10 10:00:00", None, None, None, "d"),
+    ])
+    o = M.orders(spark, [(100, "2023-01-03 10:05:00", 2, 1, 1, 100, 60)])
+    rows = T.volume_with_month_total(s, o).collect()
+    assert "_year" not in rows[0].asDict()
+    # 2023 rows first (January weeks 1 and 2 tie on the sort key, then March), 2024 last;
+    # January totals span both years (the window is partitioned by month only)
+    assert {(r.month, r.wk) for r in rows[:2]} == {(1, 1), (1, 2)}
+    assert [(r.month, r.wk) for r in rows[2:]] == [(3, 10), (1, 1)]
+    assert [r.total_month_sessions for r in rows] == [3, 3, 1, 3]
+    assert rows[-1].week_start.year == 2024
+    assert [r.orders for r in rows if r.week_start.isoformat() == "2023-01-03"] == [1]
+
+
+def test_first_seen_forms_when_page_never_seen(spark):
+    pv = M.pageviews(spark, [(10, "2024-01-02 10:00:00", 1, "/home")])
+    assert P.first_seen(pv, FV.LANDER_1).count() == 0
+    assert M.one(P.first_seen_pv(pv, FV.LANDER_1)) == {"first_pv": None}

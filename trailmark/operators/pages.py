@@ -195,6 +195,11 @@ def first_seen(pageviews: DataFrame, url: str) -> DataFrame:
         F.min(PV).alias("first_pv_id"))
 
 
+def first_seen_pv(pageviews: DataFrame, url: str) -> DataFrame:
+    """W17 ungrouped form: one row with the first pageview id of ``url`` (NULL if never seen)."""
+    return pageviews.where(F.col(URL) == url).agg(F.min(PV).alias("first_pv"))
+
+
 def first_seen_id(pageviews: DataFrame, url: str) -> Column:
     """W17 as a scalar subquery Column: evaluated by Spark at run time, never collected."""
     return pageviews.where(F.col(URL) == url).agg(F.min(PV)).scalar()

@@ -249,6 +249,14 @@ def first_seen(d):
     return P.first_seen(d.pageviews, FV.LANDER_1)
 
 
+@register("first_seen_pv", "W17", with_views("""
+SELECT MIN(website_pageview_id) AS first_pv
+FROM website_pageviews
+WHERE pageview_url = '/lander-1'"""))
+def first_seen_pv(d):
+    return P.first_seen_pv(d.pageviews, FV.LANDER_1)
+
+
 @register("first_seen_rows", "W17", with_views("""
 SELECT website_session_id, pageview_url, created_at, MIN(website_pageview_id) AS min_pv_id
 FROM website_pageviews
