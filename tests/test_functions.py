@@ -69,3 +69,12 @@ def test_ts_literal_is_midnight_ntz(spark):
                                 (dt.datetime(2024, 1, 25, 0, 0, 1),)], "t timestamp_ntz")
     n = df.where(F.col("t").between(ts("2024-01-01"), ts("2024-01-25"))).count()
     assert n == 1  # the upper date bound is that day's midnight
+
+
+def test_scale_settings_for_100tb():
+    from trailmark.session import scale_settings
+
+    s = scale_settings(100 << 40, total_cores=8000)
+    parts = int(s["spark.sql.shuffle.partitions"])
+    assert parts % 8000 == 0 and parts >= (100 << 40) // (256 << 20)
+    assert s["spark.sql.adaptive.enabled"] == "true"

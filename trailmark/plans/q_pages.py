@@ -60,6 +60,28 @@ def first_pageview_per_session_by_date(d):
     return P.first_pageview_per_session(d.pageviews, d.sessions, where, by_date=True)
 
 
+@register("first_pageview_per_session_before", "W11", with_views(f"""
+SELECT website_session_id, MIN(website_pageview_id) AS min_pv_id
+FROM website_pageviews
+WHERE created_at < {sts(LANDING_END)}
+GROUP BY 1"""))
+def first_pageview_per_session_before(d):
+    return P.first_pageview_per_session(d.pageviews, where=C("created_at") < ts(LANDING_END))
+
+
+@register("first_pageview_per_session_in_window", "W11", with_views("""
+SELECT * FROM first_pageviews_demo""", ("first_pageviews_demo", f"""
+SELECT wp.website_session_id, MIN(wp.website_pageview_id) AS min_pv_id
+FROM website_pageviews wp
+INNER JOIN website_sessions ws
+   ON ws.website_session_id = wp.website_session_id
+  AND ws.created_at BETWEEN {sts(DEMO_START)} AND {sts(DEMO_END)}
+GROUP BY 1""")))
+def first_pageview_per_session_in_window(d):
+    return P.first_pageview_per_session(d.pageviews, d.sessions,
+                                        C("created_at").between(ts(DEMO_START), ts(DEMO_END)))
+
+
 @register("first_pageview_of_sessions", "W11", with_views(f"""
 SELECT websesh.website_session_id, MIN(pv.website_pageview_id) AS min_pv_id
 FROM website_sessions websesh
@@ -148,6 +170,12 @@ def demo_landing(d):
                                                                             ts(DEMO_END)))
 
 
+@register("landing_page_in_window", "W12", with_views("SELECT * FROM sessions_w_landing_page_demo",
+                                                      *_DEMO[:2]))
+def landing_page_in_window(d):
+    return demo_landing(d)
+
+
 @register("bounced_sessions", "W14", with_views("SELECT * FROM bounced_sessions_only", *_DEMO))
 def bounced_sessions(d):
     return P.bounced_sessions(demo_landing(d), d.pageviews)

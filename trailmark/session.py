@@ -51,3 +51,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def scale_settings(input_bytes: int, total_cores: int,
+                   target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Suggested settings for a cluster run over ``input_bytes`` of parquet on ``total_cores``.
+
+    * initial shuffle partitions: enough that a partition of the largest shuffle (at most the
+      input size, usually far less after partial aggregation) is ~``target_partition_bytes``,
+      rounded up to a multiple of the cores; adaptive execution coalesces small ones at run time;
+    * scan splits of 256 MB; advisory post-shuffle size 128 MB;
+    * skew: a partition 5x the median and over 256 MB is split (joins), the default rule.
+    """
+    parts = max(total_cores, -(-input_bytes // target_partition_bytes))
+    parts = -(-parts // total_cores) * total_cores
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+    }
