@@ -19,7 +19,6 @@ from trailmark.functions import avg_round1, month_name, pct_round2, week0, weekd
 from trailmark.operators.common import (
     SESSION,
     apply_filter,
-    orders_per_session,
     period_keys,
     sessions_with_orders,
 )
@@ -207,14 +206,12 @@ def hour_weekday_heatmap(sessions: DataFrame, where: Column | None = None) -> Da
     return inner.groupBy("hr").agg(*aggs)
 
 
-
 __all__ = [
     "calendar_features",
     "channel_mix_trend",
     "conversion_rate_trend",
     "hour_weekday_heatmap",
     "hourly_sessions_by_day",
-    "orders_per_session",
     "period_trend",
     "segment_pivot_trend",
     "session_order_join",
