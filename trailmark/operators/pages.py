@@ -35,13 +35,19 @@ def top_pages(pageviews: DataFrame, where: Column | None = None) -> DataFrame:
 
 # ---- W11 / W12 ----------------------------------------------------------------------------------
 
-def _bounded(pageviews: DataFrame, where: Column | None, min_pv_id: Column | int | None,
-             strict: bool) -> DataFrame:
-    pv = apply_filter(pageviews, where)
+def _row_filter(where: Column | None, min_pv_id: Column | int | None,
+                strict: bool) -> Column | None:
+    cond = where
     if min_pv_id is not None:
         bound = F.lit(min_pv_id) if isinstance(min_pv_id, int) else min_pv_id
-        pv = pv.where(F.col(PV) > bound if strict else F.col(PV) >= bound)
-    return pv
+        b = F.col(PV) > bound if strict else F.col(PV) >= bound
+        cond = b if cond is None else cond & b
+    return cond
+
+
+def _bounded(pageviews: DataFrame, where: Column | None, min_pv_id: Column | int | None,
+             strict: bool) -> DataFrame:
+    return apply_filter(pageviews, _row_filter(where, min_pv_id, strict))
 
 
 def first_pageview_per_session(pageviews: DataFrame, sessions: DataFrame | None = None,
@@ -72,10 +78,11 @@ def first_pageview_per_session(pageviews: DataFrame, sessions: DataFrame | None
 
 def first_pageview_of_sessions(sessions: DataFrame, pageviews: DataFrame,
                                session_where: Column | None = None) -> DataFrame:
-    """W11, session-preserving form: every filtered session with its first pageview id and url,
-    both NULL when the session has no pageview (sessions ⟕ pageviews, then MIN)."""
+    """W11, session-preserving form: every filtered session with its first pageview id, url and
+    page count, NULL when the session has no pageview (sessions ⟕ pageviews, then MIN)."""
     per_session = pageviews.groupBy(SESSION).agg(
-        F.min(PV).alias("min_pv_id"), F.min_by(URL, PV).alias("landing_page"))
+        F.min(PV).alias("min_pv_id"), F.min_by(URL, PV).alias("landing_page"),
+        F.count(F.lit(1)).alias("pages_viewed"))
     s = apply_filter(sessions, session_where).select(SESSION)
     return s.join(per_session, SESSION, "left")
 
@@ -83,10 +90,28 @@ def first_pageview_of_sessions(sessions: DataFrame, pageviews: DataFrame,
 def landing_page(pageviews: DataFrame, sessions: DataFrame | None = None,
                  session_where: Column | None = None, where: Column | None = None,
                  min_pv_id: Column | int | None = None, strict: bool = False,
-                 urls: Sequence[str] | None = None) -> DataFrame:
-    """(website_session_id, landing_page), optionally only landing urls in ``urls``."""
-    lp = first_pageview_per_session(pageviews, sessions, session_where, where, min_pv_id, strict,
-                                    with_url=True).select(SESSION, "landing_page")
+                 urls: Sequence[str] | None = None, with_pages: bool = False) -> DataFrame:
+    """(website_session_id, landing_page), optionally only landing urls in ``urls``.
+
+    ``with_pages`` adds ``pages_viewed``, the session's count of *all* pageviews, from the same
+    single aggregate: the landing page only looks at pageviews passing the filters
+    (``min_by(url, when(filter, id))`` skips the others) while the count takes every row. Bounce
+    analyses then need one pass over pageviews instead of two plus a join.
+    """
+    if not with_pages:
+        lp = first_pageview_per_session(pageviews, sessions, session_where, where, min_pv_id,
+                                        strict, with_url=True).select(SESSION, "landing_page")
+    else:
+        cond = _row_filter(where, min_pv_id, strict)
+        pv_id = F.col(PV) if cond is None else F.when(cond, F.col(PV))
+        lp = (pageviews.groupBy(SESSION)
+              .agg(F.min(pv_id).alias("min_pv_id"), F.min_by(URL, pv_id).alias("landing_page"),
+                   F.count(F.lit(1)).alias("pages_viewed"))
+              .where(F.col("min_pv_id").isNotNull())
+              .select(SESSION, "landing_page", "pages_viewed"))
+        if sessions is not None:
+            keep = apply_filter(sessions, session_where).select(SESSION)
+            lp = lp.join(keep, SESSION, "left_semi")
     return lp if urls is None else lp.where(F.col("landing_page").isin(list(urls)))
 
 
@@ -111,24 +136,31 @@ def pages_per_session(pageviews: DataFrame) -> DataFrame:
     return pageviews.groupBy(SESSION).agg(F.count(F.lit(1)).alias("pages_viewed"))
 
 
-def bounced_sessions(landing: DataFrame, pageviews: DataFrame) -> DataFrame:
+def _with_pages(landing: DataFrame, pageviews: DataFrame | None) -> DataFrame:
+    """Landing rows with the session's page count: taken from the landing frame when it carries
+    ``pages_viewed`` (``landing_page(..., with_pages=True)``), else joined from ``pageviews``."""
+    if "pages_viewed" in landing.columns:
+        return landing
+    return landing.join(pages_per_session(pageviews), SESSION, "left")
+
+
+def bounced_sessions(landing: DataFrame, pageviews: DataFrame | None = None) -> DataFrame:
     """Landing rows (website_session_id, landing_page) whose session has exactly 1 pageview.
 
     Pages are counted over the whole pageview table, as the original's left join does; a
     session with no pageview counts 0 and never bounces.
     """
-    return (landing.join(pages_per_session(pageviews), SESSION, "inner")
+    return (_with_pages(landing, pageviews)
             .where(F.col("pages_viewed") == 1)
             .select(SESSION, "landing_page", "pages_viewed"))
 
 
-def _with_bounce_flag(landing: DataFrame, pageviews: DataFrame) -> DataFrame:
-    pages = pages_per_session(pageviews)
-    return landing.join(pages, SESSION, "left").withColumn(
+def _with_bounce_flag(landing: DataFrame, pageviews: DataFrame | None) -> DataFrame:
+    return _with_pages(landing, pageviews).withColumn(
         "bounced", F.when(F.col("pages_viewed") == 1, 1).otherwise(0))
 
 
-def bounce_rate(landing: DataFrame, pageviews: DataFrame) -> DataFrame:
+def bounce_rate(landing: DataFrame, pageviews: DataFrame | None = None) -> DataFrame:
     """W15 overall: total sessions, bounced sessions, bounce rate (percent, unrounded)."""
     b = _with_bounce_flag(landing, pageviews)
     out = b.agg(F.count(F.lit(1)).alias("total_sessions"),
@@ -140,7 +172,8 @@ def bounce_rate(landing: DataFrame, pageviews: DataFrame) -> DataFrame:
     )
 
 
-def bounce_rate_by_landing_page(landing: DataFrame, pageviews: DataFrame) -> DataFrame:
+def bounce_rate_by_landing_page(landing: DataFrame,
+                                pageviews: DataFrame | None = None) -> DataFrame:
     """W15 per landing page, highest bounce rate first."""
     b = _with_bounce_flag(landing, pageviews)
     out = b.groupBy("landing_page").agg(

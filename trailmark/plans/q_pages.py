@@ -111,12 +111,12 @@ LEFT JOIN website_pageviews wp ON wp.website_pageview_id = ftp.min_pv_id
 WHERE wp.pageview_url IN ('/home', '/lander-1')""")
 
 
-def test_landing(d, strict: bool = False):
+def test_landing(d, strict: bool = False, with_pages: bool = False):
     """Landing pages of the landing-page test sessions (original PERF Q6 / STEP test form)."""
     return P.landing_page(
         d.pageviews, d.sessions, (C("created_at") < ts(TEST_END)) & gsearch_nonbrand(),
         min_pv_id=P.first_seen_id(d.pageviews, FV.LANDER_1), strict=strict,
-        urls=[FV.HOME, FV.LANDER_1])
+        urls=[FV.HOME, FV.LANDER_1], with_pages=with_pages)
 
 
 @register("landing_page", "W12", with_views("SELECT * FROM test_landing", _TEST_FIRST,
@@ -165,9 +165,10 @@ GROUP BY 1, 2
 HAVING COUNT(3) = 1""")]
 
 
-def demo_landing(d):
-    return P.landing_page(d.pageviews, d.sessions, C("created_at").between(ts(DEMO_START),
-                                                                            ts(DEMO_END)))
+def demo_landing(d, with_pages: bool = False):
+    return P.landing_page(d.pageviews, d.sessions,
+                          C("created_at").between(ts(DEMO_START), ts(DEMO_END)),
+                          with_pages=with_pages)
 
 
 @register("landing_page_in_window", "W12", with_views("SELECT * FROM sessions_w_landing_page_demo",
@@ -178,7 +179,7 @@ def landing_page_in_window(d):
 
 @register("bounced_sessions", "W14", with_views("SELECT * FROM bounced_sessions_only", *_DEMO))
 def bounced_sessions(d):
-    return P.bounced_sessions(demo_landing(d), d.pageviews)
+    return P.bounced_sessions(demo_landing(d, with_pages=True))
 
 
 @register("bounce_rate_by_landing_page", "W15", with_views(f"""
@@ -191,7 +192,7 @@ LEFT JOIN bounced_sessions_only b ON s.website_session_id = b.website_session_id
 GROUP BY 1
 ORDER BY 4 DESC""", *_DEMO))
 def bounce_rate_by_landing_page(d):
-    return P.bounce_rate_by_landing_page(demo_landing(d), d.pageviews)
+    return P.bounce_rate_by_landing_page(demo_landing(d, with_pages=True))
 
 
 _OVERALL = [("first_pv", f"""
@@ -217,7 +218,7 @@ FROM landing_page a LEFT JOIN bounced bs ON a.sessions = bs.sessions""", *_OVERA
 def bounce_rate(d):
     landing = P.first_pageview_of_sessions(d.sessions, d.pageviews,
                                            C("created_at") < ts(BOUNCE_END))
-    return P.bounce_rate(landing, d.pageviews)
+    return P.bounce_rate(landing)
 
 
 _TEST_FIRST_STRICT = ("first_test_pv", _TEST_FIRST[1].replace(">= (SELECT", "> (SELECT"))
@@ -237,7 +238,7 @@ LEFT JOIN (SELECT t.website_session_id, t.landing_page, COUNT(wp.website_session
   ON nts.website_session_id = ntb.website_session_id
 GROUP BY 1""", _TEST_FIRST_STRICT, _TEST_LANDING))
 def bounce_rate_landing_test(d):
-    return P.bounce_rate_by_landing_page(test_landing(d, strict=True), d.pageviews)
+    return P.bounce_rate_by_landing_page(test_landing(d, strict=True, with_pages=True))
 
 
 @register("bounce_rate_weekly", "W16", with_views(f"""
