@@ -190,18 +190,20 @@ def bounce_rate_weekly(sessions: DataFrame, pageviews: DataFrame, session_where:
     """Per week-0 of the landing date: first date, bounce rate, home and lander sessions.
 
     Landing rows are per (pageview date, session), as in the original, so a session spanning
-    midnight lands once per date. A landing (session, url) bounces when its landing rows times the
-    session's page count is exactly 1 (the original counts joined rows). Two aggregation levels,
-    (week, session) then week, replace the distinct counts.
+    midnight lands once per date. The original marks a landing (session, url) bounced when its
+    landing rows times the session's page count is exactly 1, i.e. when the session has a single
+    pageview. One aggregate per (date, session) yields the landing url and that day's page count;
+    the session's page count is rolled up from those few rows, so pageviews are read once. Two
+    aggregation levels, (week, session) then week, replace the distinct counts.
     """
-    firsts = first_pageview_per_session(pageviews, sessions, session_where, by_date=True,
-                                        with_url=True)
-    lp = firsts.where(F.col("landing_page").isin(home_url, lander_url))
-    lp_count = lp.groupBy(SESSION, "landing_page").agg(F.count(F.lit(1)).alias("k"))
-    bounced = (lp_count.join(pages_per_session(pageviews), SESSION)
-               .where(F.col("k") * F.col("pages_viewed") == 1)
-               .select(SESSION, F.lit(1).alias("bounced")))
-    rows = lp.join(bounced, SESSION, "left")
+    keep = apply_filter(sessions, session_where).select(SESSION)
+    per_day = (pageviews.groupBy(F.to_date("created_at").alias("date"), SESSION)
+               .agg(F.min_by(URL, PV).alias("landing_page"), F.count(F.lit(1)).alias("n"))
+               .join(keep, SESSION, "left_semi"))
+    pages = per_day.groupBy(SESSION).agg(F.sum("n").alias("pages_viewed"))
+    lp = per_day.where(F.col("landing_page").isin(home_url, lander_url))
+    rows = lp.join(pages, SESSION).withColumn(
+        "bounced", F.when(F.col("pages_viewed") == 1, 1).otherwise(0))
     per_week_session = rows.groupBy(week0("date").alias("_wk"), SESSION).agg(
         F.min("date").alias("date"),
         F.max(F.when(F.col("bounced") == 1, 1).otherwise(0)).alias("bounced"),
