@@ -225,26 +225,31 @@ def next_pageview(pageviews: DataFrame, entries: DataFrame,
     so bucketing them (``id div id_bucket``) bounds every join key.
     * within the entry's bucket: pageviews ⋈ entries on (session, bucket), ``id > entry_id``;
       a key holds at most ``id_bucket`` pageviews, however large the session;
-    * in later buckets: the session's first pageview of each bucket (a partial aggregate) ⋈
+    * in later buckets: the session's first pageview id of each bucket (a partial aggregate) ⋈
       entries on session, ``bucket > entry bucket``; a key holds one row per bucket spanned.
-    The smaller candidate wins; ``min(struct(id, url))`` carries the url along.
+    All aggregates carry ids only (fixed-width, hash-based); the winning id's url is fetched by
+    one more join on (session, bucket), whose pageview side is the same exchange as the
+    within-bucket join's.
     """
+    div = lambda c: F.call_function("div", c, F.lit(id_bucket))
     first = entries.groupBy(*keys).agg(F.min("entry_id").alias("entry_id"))
-    fb = first.withColumn("_b", F.call_function("div", F.col("entry_id"), F.lit(id_bucket)))
-    pv = pageviews.select(SESSION, F.struct(F.col(PV).alias("id"), F.col(URL).alias("url"))
-                          .alias("pv"),
-                          F.call_function("div", F.col(PV), F.lit(id_bucket)).alias("_b"))
+    fb = first.withColumn("_b", div(F.col("entry_id")))
+    pv = pageviews.select(SESSION, F.col(PV).alias("_id"), F.col(URL).alias("_url"),
+                          div(F.col(PV)).alias("_b"))
     within = (pv.join(fb, [SESSION, "_b"], "inner")
-              .where(F.col("pv.id") > F.col("entry_id"))
-              .groupBy(*keys).agg(F.min("pv").alias("nxt")))
-    heads = pv.groupBy(SESSION, "_b").agg(F.min("pv").alias("pv"))
+              .where(F.col("_id") > F.col("entry_id"))
+              .groupBy(*keys).agg(F.min("_id").alias("_next")))
+    heads = pv.groupBy(SESSION, "_b").agg(F.min("_id").alias("_head"))
     later = (heads.join(fb.withColumnRenamed("_b", "_eb"), SESSION, "inner")
              .where(F.col("_b") > F.col("_eb"))
-             .groupBy(*keys).agg(F.min("pv").alias("nxt")))
-    nxt = later.unionByName(within).groupBy(*keys).agg(F.min("nxt").alias("nxt"))
-    return first.join(nxt, list(keys), "left").select(
-        *keys, F.col("nxt.id").alias("next_pageview_id"),
-        F.col("nxt.url").alias("next_pageview_url"))
+             .groupBy(*keys).agg(F.min("_head").alias("_next")))
+    nxt = (later.unionByName(within).groupBy(*keys).agg(F.min("_next").alias("_next"))
+           .withColumn("_b", div(F.col("_next"))))
+    with_url = (nxt.join(pv, [SESSION, "_b"], "inner")
+                .where(F.col("_id") == F.col("_next"))
+                .select(*keys, F.col("_next").alias("next_pageview_id"),
+                        F.col("_url").alias("next_pageview_url")))
+    return first.join(with_url, list(keys), "left").drop("entry_id")
 
 
 def next_page_rows(pageviews: DataFrame, entry_url: str, where: Column | None, cut: Column,
