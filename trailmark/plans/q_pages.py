@@ -21,8 +21,51 @@ SEEN_END = "2024-01-27"                # '2012-11-27'
 
 C = F.col
 
-FIRST_LANDER_SQL = ("(SELECT MIN(website_pageview_id) FROM website_pageviews "
+FIRST_LANDER_SQL = ("(SELECT min(website_pageview_id) FROM website_pageviews "
                     "WHERE pageview_url = '/lander-1')")
+GN = "utm_source = 'gsearch' AND utm_campaign = 'nonbrand'"
+
+
+def sessions_in(cond: str) -> str:
+    """Oracle: pageview rows of sessions passing ``cond``."""
+    return f"website_session_id IN (SELECT website_session_id FROM website_sessions WHERE {cond})"
+
+
+def landing_sql(pv_cond: str = "TRUE", session_cond: str | None = None,
+                with_pages: bool = False, urls: str | None = None) -> str:
+    """Oracle: each session's first qualifying pageview (row_number over the session), with the
+    session's count of all pageviews when ``with_pages``."""
+    src = ("(SELECT *, count(*) OVER (PARTITION BY website_session_id) AS pages_viewed "
+           "FROM website_pageviews)" if with_pages else "website_pageviews")
+    where = pv_cond + (f" AND {sessions_in(session_cond)}" if session_cond else "")
+    cols = "website_session_id, pageview_url AS landing_page" + (
+        ", pages_viewed" if with_pages else "")
+    sql = (f"SELECT {cols} FROM {src} AS p WHERE {where} "
+           "QUALIFY row_number() OVER (PARTITION BY website_session_id "
+           "ORDER BY website_pageview_id) = 1")
+    return sql if urls is None else f"SELECT * FROM ({sql}) AS l WHERE landing_page IN ({urls})"
+
+
+def test_landing_sql(strict: bool = False, with_pages: bool = False) -> str:
+    op = ">" if strict else ">="
+    return landing_sql(f"website_pageview_id {op} {FIRST_LANDER_SQL}",
+                       f"created_at < {sts(TEST_END)} AND {GN}", with_pages,
+                       "'/home', '/lander-1'")
+
+
+def demo_landing_sql(with_pages: bool = False) -> str:
+    return landing_sql("TRUE", f"created_at BETWEEN {sts(DEMO_START)} AND {sts(DEMO_END)}",
+                       with_pages)
+
+
+def bounce_by_landing_sql(landing: str) -> str:
+    return f"""
+SELECT landing_page, count(*) AS total_sessions,
+       count(*) FILTER (WHERE pages_viewed = 1) AS bounced_sessions,
+       {ratio('count(*) FILTER (WHERE pages_viewed = 1)', 'count(*)')} * 100 AS bounce_rt
+FROM ({landing}) AS l
+GROUP BY landing_page
+ORDER BY bounce_rt DESC"""
 
 
 def gsearch_nonbrand():
@@ -30,87 +73,65 @@ def gsearch_nonbrand():
 
 
 @register("top_pages", "W10", with_views(f"""
-SELECT pageview_url, COUNT(DISTINCT website_pageview_id) AS pvs
+SELECT pageview_url, count(DISTINCT website_pageview_id) AS pvs
 FROM website_pageviews
 WHERE created_at < {sts(TOP_END)}
-GROUP BY 1
-ORDER BY 2 DESC"""))
+GROUP BY pageview_url
+ORDER BY pvs DESC"""))
 def top_pages(d):
     return P.top_pages(d.pageviews, C("created_at") < ts(TOP_END))
 
 
 @register("first_pageview_per_session", "W11", with_views("""
-SELECT website_session_id, MIN(website_pageview_id) AS min_pv_id
+SELECT website_session_id, min(website_pageview_id) AS min_pv_id
 FROM website_pageviews
-GROUP BY 1"""))
+GROUP BY website_session_id"""))
 def first_pageview_per_session(d):
     return P.first_pageview_per_session(d.pageviews)
 
 
 @register("first_pageview_per_session_by_date", "W11", with_views(f"""
-SELECT {to_date('wp.created_at')} AS date, wp.website_session_id, MIN(wp.website_pageview_id) AS min_pv_id
-FROM website_pageviews wp
-INNER JOIN website_sessions ws
-   ON ws.website_session_id = wp.website_session_id
-  AND ws.created_at BETWEEN {sts(WEEKLY_START)} AND {sts(WEEKLY_END)}
-  AND utm_source = 'gsearch' AND utm_campaign = 'nonbrand'
-GROUP BY 1, 2"""))
+SELECT CAST(created_at AS DATE) AS date, website_session_id,
+       min(website_pageview_id) AS min_pv_id
+FROM website_pageviews
+WHERE {sessions_in(f"created_at BETWEEN {sts(WEEKLY_START)} AND {sts(WEEKLY_END)} AND {GN}")}
+GROUP BY ALL"""))
 def first_pageview_per_session_by_date(d):
     where = C("created_at").between(ts(WEEKLY_START), ts(WEEKLY_END)) & gsearch_nonbrand()
     return P.first_pageview_per_session(d.pageviews, d.sessions, where, by_date=True)
 
 
 @register("first_pageview_per_session_before", "W11", with_views(f"""
-SELECT website_session_id, MIN(website_pageview_id) AS min_pv_id
+SELECT website_session_id, min(website_pageview_id) AS min_pv_id
 FROM website_pageviews
 WHERE created_at < {sts(LANDING_END)}
-GROUP BY 1"""))
+GROUP BY website_session_id"""))
 def first_pageview_per_session_before(d):
     return P.first_pageview_per_session(d.pageviews, where=C("created_at") < ts(LANDING_END))
 
 
-@register("first_pageview_per_session_in_window", "W11", with_views("""
-SELECT * FROM first_pageviews_demo""", ("first_pageviews_demo", f"""
-SELECT wp.website_session_id, MIN(wp.website_pageview_id) AS min_pv_id
-FROM website_pageviews wp
-INNER JOIN website_sessions ws
-   ON ws.website_session_id = wp.website_session_id
-  AND ws.created_at BETWEEN {sts(DEMO_START)} AND {sts(DEMO_END)}
-GROUP BY 1""")))
+@register("first_pageview_per_session_in_window", "W11", with_views(f"""
+SELECT website_session_id, min(website_pageview_id) AS min_pv_id
+FROM website_pageviews
+WHERE {sessions_in(f"created_at BETWEEN {sts(DEMO_START)} AND {sts(DEMO_END)}")}
+GROUP BY website_session_id"""))
 def first_pageview_per_session_in_window(d):
     return P.first_pageview_per_session(d.pageviews, d.sessions,
                                         C("created_at").between(ts(DEMO_START), ts(DEMO_END)))
 
 
 @register("first_pageview_of_sessions", "W11", with_views(f"""
-SELECT websesh.website_session_id, MIN(pv.website_pageview_id) AS min_pv_id
-FROM website_sessions websesh
-LEFT JOIN website_pageviews pv ON websesh.website_session_id = pv.website_session_id
-WHERE websesh.created_at < {sts(BOUNCE_END)}
-GROUP BY 1"""))
+SELECT s.website_session_id,
+       (SELECT min(p.website_pageview_id) FROM website_pageviews p
+         WHERE p.website_session_id = s.website_session_id) AS min_pv_id
+FROM website_sessions s
+WHERE s.created_at < {sts(BOUNCE_END)}"""))
 def first_pageview_of_sessions(d):
     return P.first_pageview_of_sessions(d.sessions, d.pageviews,
                                         C("created_at") < ts(BOUNCE_END)).select(
         "website_session_id", "min_pv_id")
 
 
-_TEST_FIRST = ("first_test_pv", f"""
-SELECT wp.website_session_id, MIN(wp.website_pageview_id) AS min_pv_id
-FROM website_pageviews wp
-INNER JOIN website_sessions ws
-   ON ws.website_session_id = wp.website_session_id
-  AND ws.created_at < {sts(TEST_END)}
-  AND wp.website_pageview_id >= {FIRST_LANDER_SQL}
-  AND utm_source = 'gsearch' AND utm_campaign = 'nonbrand'
-GROUP BY 1""")
-
-_TEST_LANDING = ("test_landing", """
-SELECT ftp.website_session_id, wp.pageview_url AS landing_page
-FROM first_test_pv ftp
-LEFT JOIN website_pageviews wp ON wp.website_pageview_id = ftp.min_pv_id
-WHERE wp.pageview_url IN ('/home', '/lander-1')""")
-
-
 def test_landing(d, strict: bool = False, with_pages: bool = False):
     """Landing pages of the landing-page test sessions (original PERF Q6 / STEP test form)."""
     return P.landing_page(
@@ -119,189 +140,129 @@ def test_landing(d, strict: bool = False, with_pages: bool = False):
         urls=[FV.HOME, FV.LANDER_1], with_pages=with_pages)
 
 
-@register("landing_page", "W12", with_views("SELECT * FROM test_landing", _TEST_FIRST,
-                                            _TEST_LANDING))
+@register("landing_page", "W12", with_views(test_landing_sql()))
 def landing_page(d):
     return test_landing(d)
 
 
 @register("landing_page_volume", "W13", with_views(f"""
-SELECT wp.pageview_url AS landing_page_url,
-       COUNT(DISTINCT f.website_session_id) AS sessions_hitting_page
-FROM (SELECT website_session_id, MIN(website_pageview_id) AS first_pv
-      FROM website_pageviews WHERE created_at < {sts(LANDING_END)} GROUP BY 1) f
-LEFT JOIN website_pageviews wp ON f.first_pv = wp.website_pageview_id
-GROUP BY 1"""))
+SELECT landing_page AS landing_page_url, count(*) AS sessions_hitting_page
+FROM ({landing_sql(f"created_at < {sts(LANDING_END)}")}) AS l
+GROUP BY landing_page"""))
 def landing_page_volume(d):
     return P.landing_page_volume(d.pageviews, C("created_at") < ts(LANDING_END))
 
 
 @register("landing_page_rows", "W13", with_views("""
-SELECT wp.website_session_id, wp.pageview_url, MIN(wp.website_pageview_id) AS min_pv_id
-FROM website_pageviews wp
-JOIN (SELECT website_session_id, MIN(website_pageview_id) AS min_pv_id
-      FROM website_pageviews GROUP BY 1) fp
-  ON fp.min_pv_id = wp.website_pageview_id
-GROUP BY 1, 2"""))
+SELECT website_session_id, pageview_url, website_pageview_id AS min_pv_id
+FROM website_pageviews
+QUALIFY website_pageview_id = min(website_pageview_id) OVER (PARTITION BY website_session_id)"""))
 def landing_page_rows(d):
     return P.landing_page_rows(d.pageviews)
 
 
-_DEMO = [("first_pageviews_demo", f"""
-SELECT wp.website_session_id, MIN(wp.website_pageview_id) AS min_pv_id
-FROM website_pageviews wp
-INNER JOIN website_sessions ws
-   ON ws.website_session_id = wp.website_session_id
-  AND ws.created_at BETWEEN {sts(DEMO_START)} AND {sts(DEMO_END)}
-GROUP BY 1"""), ("sessions_w_landing_page_demo", """
-SELECT f.website_session_id, wp.pageview_url AS landing_page
-FROM first_pageviews_demo f
-LEFT JOIN website_pageviews wp ON wp.website_pageview_id = f.min_pv_id"""),
-    ("bounced_sessions_only", """
-SELECT s.website_session_id, s.landing_page, COUNT(wp.website_pageview_id) AS pages_viewed
-FROM sessions_w_landing_page_demo s
-LEFT JOIN website_pageviews wp ON s.website_session_id = wp.website_session_id
-GROUP BY 1, 2
-HAVING COUNT(3) = 1""")]
-
-
 def demo_landing(d, with_pages: bool = False):
     return P.landing_page(d.pageviews, d.sessions,
                           C("created_at").between(ts(DEMO_START), ts(DEMO_END)),
                           with_pages=with_pages)
 
 
-@register("landing_page_in_window", "W12", with_views("SELECT * FROM sessions_w_landing_page_demo",
-                                                      *_DEMO[:2]))
+@register("landing_page_in_window", "W12", with_views(demo_landing_sql()))
 def landing_page_in_window(d):
     return demo_landing(d)
 
 
-@register("bounced_sessions", "W14", with_views("SELECT * FROM bounced_sessions_only", *_DEMO))
+@register("bounced_sessions", "W14", with_views(f"""
+SELECT * FROM ({demo_landing_sql(with_pages=True)}) AS l WHERE pages_viewed = 1"""))
 def bounced_sessions(d):
     return P.bounced_sessions(demo_landing(d, with_pages=True))
 
 
-@register("bounce_rate_by_landing_page", "W15", with_views(f"""
-SELECT s.landing_page,
-       COUNT(s.website_session_id) AS total_sessions,
-       COUNT(DISTINCT b.website_session_id) AS bounced_sessions,
-       {ratio('COUNT(DISTINCT b.website_session_id)', 'COUNT(s.website_session_id)')} * 100 AS bounce_rt
-FROM sessions_w_landing_page_demo s
-LEFT JOIN bounced_sessions_only b ON s.website_session_id = b.website_session_id
-GROUP BY 1
-ORDER BY 4 DESC""", *_DEMO))
+@register("bounce_rate_by_landing_page", "W15",
+          with_views(bounce_by_landing_sql(demo_landing_sql(with_pages=True))))
 def bounce_rate_by_landing_page(d):
     return P.bounce_rate_by_landing_page(demo_landing(d, with_pages=True))
 
 
-_OVERALL = [("first_pv", f"""
-SELECT websesh.website_session_id AS sessions, MIN(pv.website_pageview_id) AS landing_pv_id
-FROM website_sessions websesh
-LEFT JOIN website_pageviews pv ON websesh.website_session_id = pv.website_session_id
-WHERE websesh.created_at < {sts(BOUNCE_END)}
-GROUP BY 1"""), ("landing_page", """
-SELECT first_pv.sessions, pv.pageview_url AS landing_page
-FROM first_pv LEFT JOIN website_pageviews pv ON first_pv.landing_pv_id = pv.website_pageview_id"""),
-    ("bounced", """
-SELECT lp.sessions, lp.landing_page, COUNT(pv.website_session_id) AS pages_seen
-FROM landing_page lp LEFT JOIN website_pageviews pv ON lp.sessions = pv.website_session_id
-GROUP BY 1, 2
-HAVING COUNT(pv.website_session_id) = 1""")]
-
-
 @register("bounce_rate", "W15", with_views(f"""
-SELECT COUNT(a.sessions) AS total_sessions,
-       COUNT(bs.sessions) AS bounced_sessions,
-       {ratio('COUNT(bs.sessions)', 'COUNT(a.sessions)')} * 100 AS bounce_rt
-FROM landing_page a LEFT JOIN bounced bs ON a.sessions = bs.sessions""", *_OVERALL))
+SELECT count(*) AS total_sessions,
+       count(*) FILTER (WHERE c.n = 1) AS bounced_sessions,
+       {ratio('count(*) FILTER (WHERE c.n = 1)', 'count(*)')} * 100 AS bounce_rt
+FROM website_sessions s
+LEFT JOIN (SELECT website_session_id, count(*) AS n FROM website_pageviews GROUP BY 1) c
+  USING (website_session_id)
+WHERE s.created_at < {sts(BOUNCE_END)}"""))
 def bounce_rate(d):
     landing = P.first_pageview_of_sessions(d.sessions, d.pageviews,
                                            C("created_at") < ts(BOUNCE_END))
     return P.bounce_rate(landing)
 
 
-_TEST_FIRST_STRICT = ("first_test_pv", _TEST_FIRST[1].replace(">= (SELECT", "> (SELECT"))
-
-
-@register("bounce_rate_landing_test", "W15", with_views(f"""
-SELECT nts.landing_page,
-       COUNT(DISTINCT nts.website_session_id) AS total_sessions,
-       COUNT(DISTINCT ntb.website_session_id) AS bounced_sessions,
-       {ratio('COUNT(ntb.website_session_id)', 'COUNT(nts.website_session_id)')} * 100 AS bounce_rt
-FROM test_landing nts
-LEFT JOIN (SELECT t.website_session_id, t.landing_page, COUNT(wp.website_session_id) AS page_count
-           FROM test_landing t
-           LEFT JOIN website_pageviews wp ON t.website_session_id = wp.website_session_id
-           GROUP BY 1, 2
-           HAVING page_count = 1) ntb
-  ON nts.website_session_id = ntb.website_session_id
-GROUP BY 1""", _TEST_FIRST_STRICT, _TEST_LANDING))
+@register("bounce_rate_landing_test", "W15",
+          with_views(bounce_by_landing_sql(test_landing_sql(strict=True, with_pages=True))))
 def bounce_rate_landing_test(d):
     return P.bounce_rate_by_landing_page(test_landing(d, strict=True, with_pages=True))
 
 
 @register("bounce_rate_weekly", "W16", with_views(f"""
-SELECT MIN(lp.date) AS week_start_date,
-       {ratio('COUNT(DISTINCT bl.session_id)', 'COUNT(DISTINCT lp.session_id)')} * 100 AS bounce_rt,
-       COUNT(DISTINCT CASE WHEN lp.pageview_url = '/home' THEN lp.session_id ELSE NULL END) AS home_sessions,
-       COUNT(DISTINCT CASE WHEN lp.pageview_url = '/lander-1' THEN lp.session_id ELSE NULL END) AS lander_sessions
-FROM landing_pg lp
-LEFT JOIN bounced_list bl ON lp.session_id = bl.session_id
-GROUP BY {week0('lp.date')}""", ("first_pv", f"""
-SELECT {to_date('wp.created_at')} AS date, wp.website_session_id AS session_id,
-       MIN(wp.website_pageview_id) AS min_pv
-FROM website_pageviews wp
-INNER JOIN website_sessions ws
-   ON ws.website_session_id = wp.website_session_id
-  AND ws.created_at BETWEEN {sts(WEEKLY_START)} AND {sts(WEEKLY_END)}
-  AND utm_source = 'gsearch' AND utm_campaign = 'nonbrand'
-GROUP BY 1, 2"""), ("landing_pg", """
-SELECT fp.date, fp.session_id, wp.pageview_url
-FROM first_pv fp LEFT JOIN website_pageviews wp ON fp.min_pv = wp.website_pageview_id
-WHERE pageview_url IN ('/home', '/lander-1')"""), ("bounced_list", """
-SELECT lp.session_id, lp.pageview_url, COUNT(wp.website_session_id) AS pages_viewed
-FROM landing_pg lp LEFT JOIN website_pageviews wp ON lp.session_id = wp.website_session_id
-GROUP BY 1, 2
-HAVING pages_viewed = 1""")))
+SELECT min(date) AS week_start_date,
+       {ratio('count(DISTINCT sid) FILTER (WHERE session_bounced)', 'count(DISTINCT sid)')} * 100 AS bounce_rt,
+       count(DISTINCT sid) FILTER (WHERE url = '/home') AS home_sessions,
+       count(DISTINCT sid) FILTER (WHERE url = '/lander-1') AS lander_sessions
+FROM (
+  SELECT *, bool_or(k * n = 1) OVER (PARTITION BY sid) AS session_bounced
+  FROM (
+    SELECT *, count(*) OVER (PARTITION BY sid, url) AS k
+    FROM (
+      SELECT CAST(created_at AS DATE) AS date, website_session_id AS sid,
+             pageview_url AS url, n
+      FROM (SELECT *, count(*) OVER (PARTITION BY website_session_id) AS n
+            FROM website_pageviews) AS p
+      WHERE {sessions_in(f"created_at BETWEEN {sts(WEEKLY_START)} AND {sts(WEEKLY_END)} AND {GN}")}
+      QUALIFY row_number() OVER (PARTITION BY website_session_id, CAST(created_at AS DATE)
+                                 ORDER BY website_pageview_id) = 1
+    ) AS firsts
+    WHERE url IN ('/home', '/lander-1')
+  ) AS landing_rows
+) AS flagged
+GROUP BY {week0('date')}"""))
 def bounce_rate_weekly(d):
     where = C("created_at").between(ts(WEEKLY_START), ts(WEEKLY_END)) & gsearch_nonbrand()
     return P.bounce_rate_weekly(d.sessions, d.pageviews, where)
 
 
 @register("first_seen", "W17", with_views("""
-SELECT MIN(created_at) AS first_created_at, MIN(website_pageview_id) AS first_pv_id, pageview_url
+SELECT pageview_url, min(created_at) AS first_created_at,
+       min(website_pageview_id) AS first_pv_id
 FROM website_pageviews
 WHERE pageview_url = '/lander-1'
-GROUP BY 3"""))
+GROUP BY pageview_url"""))
 def first_seen(d):
     return P.first_seen(d.pageviews, FV.LANDER_1)
 
 
-@register("first_seen_pv", "W17", with_views("""
-SELECT MIN(website_pageview_id) AS first_pv
-FROM website_pageviews
-WHERE pageview_url = '/lander-1'"""))
+@register("first_seen_pv", "W17", with_views(f"""
+SELECT {FIRST_LANDER_SQL} AS first_pv"""))
 def first_seen_pv(d):
     return P.first_seen_pv(d.pageviews, FV.LANDER_1)
 
 
 @register("first_seen_rows", "W17", with_views("""
-SELECT website_session_id, pageview_url, created_at, MIN(website_pageview_id) AS min_pv_id
+SELECT website_session_id, pageview_url, created_at, min(website_pageview_id) AS min_pv_id
 FROM website_pageviews
 WHERE pageview_url = '/billing-2'
-GROUP BY 1, 2, 3
-ORDER BY 3"""))
+GROUP BY ALL
+ORDER BY created_at"""))
 def first_seen_rows(d):
     return P.first_seen_rows(d.pageviews, FV.BILLING_2)
 
 
 @register("last_seen_session", "W18", with_views(f"""
-SELECT MAX(ws.website_session_id) AS most_recent_session_id
-FROM website_sessions ws
-LEFT JOIN website_pageviews wp ON ws.website_session_id = wp.website_session_id
-WHERE utm_source = 'gsearch' AND utm_campaign = 'nonbrand'
-  AND pageview_url = '/home' AND ws.created_at < {sts(SEEN_END)}"""))
+SELECT max(website_session_id) AS most_recent_session_id
+FROM website_sessions
+WHERE {GN} AND created_at < {sts(SEEN_END)}
+  AND website_session_id IN (SELECT website_session_id FROM website_pageviews
+                             WHERE pageview_url = '/home')"""))
 def last_seen_session(d):
     where = gsearch_nonbrand() & (C("created_at") < ts(SEEN_END))
     return P.last_seen_session(d.sessions, d.pageviews, FV.HOME, where)
