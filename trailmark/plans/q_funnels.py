@@ -9,6 +9,7 @@ from trailmark.functions import ts
 from trailmark.operators import funnels as U
 from trailmark.plans.oracle_views import pct2, ratio, with_views
 from trailmark.plans.oracle_views import ts as sts
+from trailmark.plans.q_pages import GN, sessions_in
 from trailmark.plans.registry import register
 
 DEMO_START, DEMO_END = "2024-01-01", "2024-02-01"      # '2014-01-01' .. '2014-02-01'
@@ -24,8 +25,13 @@ def _gsearch_nonbrand():
     return (C("utm_source") == FV.GSEARCH) & (C("utm_campaign") == FV.NONBRAND)
 
 
-def _cd(flag: str) -> str:
-    return f"COUNT(DISTINCT CASE WHEN {flag} = 1 THEN website_session_id ELSE NULL END)"
+def _n(flag: str) -> str:
+    """Oracle: sessions (one row each) with the flag set."""
+    return f"count(*) FILTER (WHERE {flag} = 1)"
+
+
+def _flag(url: str) -> str:
+    return f"max(CAST(pageview_url = '{url}' AS INTEGER))"
 
 
 # ---- W19 ----------------------------------------------------------------------------------------
@@ -34,15 +40,15 @@ DEMO_STEPS = [("products_page", FV.PRODUCTS), ("mrfuzzy_page", FV.MR_FUZZY),
               ("cart_page", FV.CART)]
 DEMO_URLS = [FV.LANDER_2, FV.PRODUCTS, FV.MR_FUZZY, FV.CART]
 
+_DEMO_SESSIONS = f"created_at BETWEEN {sts(DEMO_START)} AND {sts(DEMO_END)}"
+_DEMO_URL_FILTER = "pageview_url IN ('/lander-2', '/products', '/the-original-mr-fuzzy', '/cart')"
 _DEMO_PV = f"""
-SELECT ws.website_session_id, wp.pageview_url, wp.created_at AS pageview_created_at,
-       CASE WHEN pageview_url = '/products' THEN 1 ELSE 0 END AS products_page,
-       CASE WHEN pageview_url = '/the-original-mr-fuzzy' THEN 1 ELSE 0 END AS mrfuzzy_page,
-       CASE WHEN pageview_url = '/cart' THEN 1 ELSE 0 END AS cart_page
-FROM website_sessions ws
-LEFT JOIN website_pageviews wp ON ws.website_session_id = wp.website_session_id
-WHERE ws.created_at BETWEEN {sts(DEMO_START)} AND {sts(DEMO_END)}
-  AND wp.pageview_url IN ('/lander-2', '/products', '/the-original-mr-fuzzy', '/cart')"""
+SELECT website_session_id, pageview_url, created_at AS pageview_created_at,
+       CAST(pageview_url = '/products' AS INTEGER) AS products_page,
+       CAST(pageview_url = '/the-original-mr-fuzzy' AS INTEGER) AS mrfuzzy_page,
+       CAST(pageview_url = '/cart' AS INTEGER) AS cart_page
+FROM website_pageviews
+WHERE {_DEMO_URL_FILTER} AND {sessions_in(_DEMO_SESSIONS)}"""
 
 
 def _demo_where():
@@ -64,28 +70,14 @@ LANDER_STEPS = [
     ("billing_made_it", FV.BILLING), ("thankyou_made_it", FV.THANK_YOU),
 ]
 
-_LANDER_FLAGS = ("session_level_made_it_flagged", f"""
-SELECT website_session_id,
-       MAX(homepage) AS saw_homepage, MAX(custom_lander) AS saw_custom_lander,
-       MAX(products_page) AS product_made_it, MAX(mrfuzzy_page) AS mrfuzzy_made_it,
-       MAX(cart_page) AS cart_made_it, MAX(shipping_page) AS shipping_made_it,
-       MAX(billing_page) AS billing_made_it, MAX(thankyou_page) AS thankyou_made_it
-FROM (
-  SELECT ws.website_session_id, wp.pageview_url,
-         CASE WHEN pageview_url = '/home' THEN 1 ELSE 0 END AS homepage,
-         CASE WHEN pageview_url = '/lander-1' THEN 1 ELSE 0 END AS custom_lander,
-         CASE WHEN pageview_url = '/products' THEN 1 ELSE 0 END AS products_page,
-         CASE WHEN pageview_url = '/the-original-mr-fuzzy' THEN 1 ELSE 0 END AS mrfuzzy_page,
-         CASE WHEN pageview_url = '/cart' THEN 1 ELSE 0 END AS cart_page,
-         CASE WHEN pageview_url = '/shipping' THEN 1 ELSE 0 END AS shipping_page,
-         CASE WHEN pageview_url = '/billing' THEN 1 ELSE 0 END AS billing_page,
-         CASE WHEN pageview_url = '/thank-you-for-your-order' THEN 1 ELSE 0 END AS thankyou_page
-  FROM website_sessions ws
-  LEFT JOIN website_pageviews wp ON ws.website_session_id = wp.website_session_id
-  WHERE utm_source = 'gsearch' AND utm_campaign = 'nonbrand'
-    AND ws.created_at < {sts(LANDER_END)} AND ws.created_at > {sts(LANDER_START)}
-) AS pageview_level
-GROUP BY 1""")
+_LANDER_FLAGS = ("lander_flags", f"""
+SELECT s.website_session_id,
+       {", ".join(f"coalesce({_flag(u)}, 0) AS {n}" for n, u in LANDER_STEPS)}
+FROM website_sessions s
+LEFT JOIN website_pageviews p USING (website_session_id)
+WHERE s.{GN.replace(" AND ", " AND s.")}
+  AND s.created_at > {sts(LANDER_START)} AND s.created_at < {sts(LANDER_END)}
+GROUP BY s.website_session_id""")
 
 
 def lander_flags(d):
@@ -95,8 +87,7 @@ def lander_flags(d):
                                    keep_sessions_without_pageviews=True)
 
 
-@register("session_made_it_flags", "W20", with_views("SELECT * FROM session_level_made_it_flagged",
-                                                     _LANDER_FLAGS))
+@register("session_made_it_flags", "W20", with_views("SELECT * FROM lander_flags", _LANDER_FLAGS))
 def session_made_it_flags(d):
     return lander_flags(d)
 
@@ -108,16 +99,15 @@ SEGMENT_FLAGS = ["product_made_it", "mrfuzzy_made_it", "cart_made_it", "shipping
 
 
 def _segment_sql() -> str:
-    rates = ",\n       ".join(
-        f"{pct2(_cd(f), 'COUNT(DISTINCT website_session_id)')} AS {r}"
-        for f, r in zip(SEGMENT_FLAGS, SEGMENT_RATES))
+    rates = ",\n       ".join(f"{pct2(_n(f), 'count(*)')} AS {r}"
+                              for f, r in zip(SEGMENT_FLAGS, SEGMENT_RATES))
     return with_views(f"""
 SELECT CASE WHEN saw_homepage = 1 THEN 'saw_homepage'
             WHEN saw_custom_lander = 1 THEN 'saw_custom_lander'
             ELSE 'oh no... check logic' END AS segment,
        {rates}
-FROM session_level_made_it_flagged
-GROUP BY 1""", _LANDER_FLAGS)
+FROM lander_flags
+GROUP BY ALL""", _LANDER_FLAGS)
 
 
 @register("funnel_click_rates_by_segment", "W22", _segment_sql())
@@ -134,25 +124,12 @@ FLAGS2 = [("products_made_it", FV.PRODUCTS), ("mrfuzzy_made_it", FV.MR_FUZZY),
 FLAGS2_COUNTS = ["click_to_products", "click_to_mrfuzzy", "click_to_cart", "click_to_shipping",
                  "click_to_thankyou"]
 
-_FLAGS2 = ("session_level_flags2", f"""
-SELECT website_session_id,
-       MAX(products_ct) AS products_made_it, MAX(mrfuzzy_ct) AS mrfuzzy_made_it,
-       MAX(cart_ct) AS cart_made_it, MAX(shipping_ct) AS shipping_made_it,
-       MAX(thankyou_ct) AS thankyou_made_it
-FROM (
-  SELECT ws.website_session_id, wp.pageview_url, wp.created_at,
-         CASE WHEN pageview_url = '/products' THEN 1 ELSE 0 END AS products_ct,
-         CASE WHEN pageview_url = '/the-original-mr-fuzzy' THEN 1 ELSE 0 END AS mrfuzzy_ct,
-         CASE WHEN pageview_url = '/cart' THEN 1 ELSE 0 END AS cart_ct,
-         CASE WHEN pageview_url = '/shipping' THEN 1 ELSE 0 END AS shipping_ct,
-         CASE WHEN pageview_url = '/thank-you-for-your-order' THEN 1 ELSE 0 END AS thankyou_ct
-  FROM website_sessions ws
-  LEFT JOIN website_pageviews wp ON ws.website_session_id = wp.website_session_id
-  WHERE ws.created_at BETWEEN {sts(FLAGS2_START)} AND {sts(FLAGS2_END)}
-    AND pageview_url <> '/home'
-    AND utm_source = 'gsearch' AND utm_campaign = 'nonbrand'
-) AS page_level_views
-GROUP BY 1""")
+_FLAGS2 = ("flags_without_home", f"""
+SELECT website_session_id, {", ".join(f"{_flag(u)} AS {n}" for n, u in FLAGS2)}
+FROM website_pageviews
+WHERE pageview_url <> '/home'
+  AND {sessions_in(f"created_at BETWEEN {sts(FLAGS2_START)} AND {sts(FLAGS2_END)} AND {GN}")}
+GROUP BY website_session_id""")
 
 
 def flags2(d):
@@ -161,30 +138,28 @@ def flags2(d):
                                    pageview_where=C("pageview_url") != FV.HOME)
 
 
-_COUNT_ROW = "COUNT(website_session_id) AS sessions,\n       " + ",\n       ".join(
-    f"{_cd(f)} AS {n}" for (f, _), n in zip(FLAGS2, FLAGS2_COUNTS))
+_COUNT_ROW = "count(*) AS sessions,\n       " + ",\n       ".join(
+    f"{_n(f)} AS {n}" for (f, _), n in zip(FLAGS2, FLAGS2_COUNTS))
 
 
 @register("funnel_counts", "W21", with_views(f"""
 SELECT {_COUNT_ROW}
-FROM session_level_flags2""", _FLAGS2))
+FROM flags_without_home""", _FLAGS2))
 def funnel_counts(d):
     return U.funnel_counts(flags2(d), [f for f, _ in FLAGS2], FLAGS2_COUNTS)
 
 
 def _report_sql() -> str:
-    prev = ["COUNT(website_session_id)"] + [_cd(f) for f, _ in FLAGS2]
-    names = ["lander_clickthrough_rate", "products_clickthrough_rate",
-             "mrfuzzy_clickthrough_rate", "cart_clickthrough_rate", "shipping_clickthrough_rate"]
-    rates = ",\n       ".join(f"{ratio(prev[i + 1], prev[i])} * 100 AS {n}"
-                              for i, n in enumerate(names))
+    names = ["sessions"] + [f"n{i + 1}" for i in range(len(FLAGS2))]
+    counts = ", ".join(["count(*) AS sessions"] + [f"{_n(f)} AS n{i + 1}"
+                                                   for i, (f, _) in enumerate(FLAGS2)])
+    as_double = ", ".join(f"CAST(n{i + 1} AS DOUBLE) AS {c}" for i, c in enumerate(FLAGS2_COUNTS))
+    rates = ", ".join(f"{ratio(names[i + 1], names[i])} * 100" for i in range(len(FLAGS2)))
     return with_views(f"""
-SELECT {_COUNT_ROW}
-FROM session_level_flags2
+SELECT sessions, {as_double} FROM step_counts
 UNION ALL
-SELECT COUNT(website_session_id) AS sessions,
-       {rates}
-FROM session_level_flags2""", _FLAGS2)
+SELECT sessions, {rates} FROM step_counts""", _FLAGS2,
+                      ("step_counts", f"SELECT {counts} FROM flags_without_home"))
 
 
 @register("funnel_report", "W23", _report_sql())
@@ -197,22 +172,22 @@ def funnel_report(d):
 DEMO_FLAGS = [("product_made_it", FV.PRODUCTS), ("mrfuzzy_made_it", FV.MR_FUZZY),
               ("cart_made_it", FV.CART)]
 
-_DEMO_FLAGS = ("session_level_flags", f"""
-SELECT website_session_id, MAX(products_page) AS product_made_it,
-       MAX(mrfuzzy_page) AS mrfuzzy_made_it, MAX(cart_page) AS cart_made_it
-FROM ({_DEMO_PV}) AS pageview_level
-GROUP BY 1""")
+_DEMO_FLAGS = ("demo_flags", f"""
+SELECT website_session_id, {", ".join(f"{_flag(u)} AS {n}" for n, u in DEMO_FLAGS)}
+FROM website_pageviews
+WHERE {_DEMO_URL_FILTER} AND {sessions_in(_DEMO_SESSIONS)}
+GROUP BY website_session_id""")
 
 
 @register("funnel_click_rates", "W22", with_views(f"""
-SELECT COUNT(DISTINCT website_session_id) AS sessions,
-       {_cd('product_made_it')} AS clicked_to_products,
-       {ratio(_cd('product_made_it'), 'COUNT(DISTINCT website_session_id)')} * 100 AS lander_clickedthrough_rate,
-       {_cd('mrfuzzy_made_it')} AS clicked_to_mrfuzzy,
-       {ratio(_cd('mrfuzzy_made_it'), _cd('product_made_it'))} * 100 AS products_clickedthrough_rate,
-       {_cd('cart_made_it')} AS clicked_to_cart,
-       {ratio(_cd('cart_made_it'), _cd('mrfuzzy_made_it'))} * 100 AS mrfuzzy_clickedthrough_rate
-FROM session_level_flags""", _DEMO_FLAGS))
+SELECT count(*) AS sessions,
+       {_n('product_made_it')} AS clicked_to_products,
+       {ratio(_n('product_made_it'), 'count(*)')} * 100 AS lander_clickedthrough_rate,
+       {_n('mrfuzzy_made_it')} AS clicked_to_mrfuzzy,
+       {ratio(_n('mrfuzzy_made_it'), _n('product_made_it'))} * 100 AS products_clickedthrough_rate,
+       {_n('cart_made_it')} AS clicked_to_cart,
+       {ratio(_n('cart_made_it'), _n('mrfuzzy_made_it'))} * 100 AS mrfuzzy_clickedthrough_rate
+FROM demo_flags""", _DEMO_FLAGS))
 def funnel_click_rates(d):
     flags = U.session_made_it_flags(d.sessions, d.pageviews, DEMO_FLAGS, _demo_where(),
                                     pageview_where=C("pageview_url").isin(DEMO_URLS))
@@ -229,31 +204,25 @@ PRODUCT_ENTRIES = {FV.MR_FUZZY: FV.MRFUZZY_LABEL, FV.LOVE_BEAR: FV.LOVEBEAR_LABE
 PRODUCT_STEPS = [("cart_made_it", FV.CART), ("shipping_made_it", FV.SHIPPING),
                  ("billing_made_it", FV.BILLING_2), ("thankyou_made_it", FV.THANK_YOU)]
 
-_SSPP = ("sessions_seeing_product_pages", f"""
-SELECT website_session_id, website_pageview_id, pageview_url AS product_page_seen
-FROM website_pageviews
-WHERE created_at < {sts(PRODUCT_END)} AND created_at > {sts(PRODUCT_START)}
-  AND pageview_url IN ('/the-original-mr-fuzzy', '/the-forever-love-bear')""")
-
-_PRODUCT_FLAGS = ("session_product_level_made_it_flags", """
-SELECT website_session_id,
-       CASE WHEN product_page_seen = '/the-original-mr-fuzzy' THEN 'mrfuzzy'
-            WHEN product_page_seen = '/the-forever-love-bear' THEN 'lovebear'
-            ELSE 'check logic' END AS product_seen,
-       MAX(cart_page) AS cart_made_it, MAX(shipping_page) AS shipping_made_it,
-       MAX(billing_page) AS billing_made_it, MAX(thankyou_page) AS thankyou_made_it
-FROM (
-  SELECT sspp.website_session_id, sspp.product_page_seen,
-         CASE WHEN pageview_url = '/cart' THEN 1 ELSE 0 END AS cart_page,
-         CASE WHEN pageview_url = '/shipping' THEN 1 ELSE 0 END AS shipping_page,
-         CASE WHEN pageview_url = '/billing-2' THEN 1 ELSE 0 END AS billing_page,
-         CASE WHEN pageview_url = '/thank-you-for-your-order' THEN 1 ELSE 0 END AS thankyou_page
-  FROM sessions_seeing_product_pages sspp
-  LEFT JOIN website_pageviews wp
-    ON wp.website_session_id = sspp.website_session_id
-   AND wp.website_pageview_id > sspp.website_pageview_id
-) AS pageview_level
-GROUP BY 1, 2""")
+_PRODUCT_ENTRY = (f"created_at < {sts(PRODUCT_END)} AND created_at > {sts(PRODUCT_START)} "
+                  "AND pageview_url IN ('/the-original-mr-fuzzy', '/the-forever-love-bear')")
+
+
+def _later(url: str) -> str:
+    return (f"CAST(EXISTS (SELECT 1 FROM website_pageviews q WHERE q.website_session_id = "
+            f"e.website_session_id AND q.website_pageview_id > e.entry_id AND "
+            f"q.pageview_url = '{url}') AS INTEGER)")
+
+
+_PRODUCT_FLAGS = ("product_flags", f"""
+SELECT e.website_session_id,
+       CASE e.entry_url WHEN '/the-original-mr-fuzzy' THEN 'mrfuzzy'
+                        WHEN '/the-forever-love-bear' THEN 'lovebear'
+                        ELSE 'check logic' END AS product_seen,
+       {", ".join(f"{_later(u)} AS {n}" for n, u in PRODUCT_STEPS)}
+FROM (SELECT website_session_id, pageview_url AS entry_url, min(website_pageview_id) AS entry_id
+      FROM website_pageviews WHERE {_PRODUCT_ENTRY}
+      GROUP BY ALL) AS e""")
 
 
 def _product_where():
@@ -264,18 +233,17 @@ def product_flags(d):
     return U.multi_entry_flags(d.pageviews, PRODUCT_ENTRIES, PRODUCT_STEPS, _product_where())
 
 
-@register("multi_entry_flags", "W24", with_views("SELECT * FROM session_product_level_made_it_flags",
-                                                 _SSPP, _PRODUCT_FLAGS))
+@register("multi_entry_flags", "W24", with_views("SELECT * FROM product_flags", _PRODUCT_FLAGS))
 def multi_entry_flags(d):
     return product_flags(d)
 
 
 @register("multi_entry_funnel", "W24", with_views(f"""
-SELECT product_seen, COUNT(DISTINCT website_session_id) AS sessions,
-       {_cd('cart_made_it')} AS to_cart, {_cd('shipping_made_it')} AS to_shipping,
-       {_cd('billing_made_it')} AS to_billing, {_cd('thankyou_made_it')} AS to_thankyou
-FROM session_product_level_made_it_flags
-GROUP BY 1""", _SSPP, _PRODUCT_FLAGS))
+SELECT product_seen, count(*) AS sessions,
+       {_n('cart_made_it')} AS to_cart, {_n('shipping_made_it')} AS to_shipping,
+       {_n('billing_made_it')} AS to_billing, {_n('thankyou_made_it')} AS to_thankyou
+FROM product_flags
+GROUP BY product_seen""", _PRODUCT_FLAGS))
 def multi_entry_funnel(d):
     return U.multi_entry_counts(product_flags(d), [f for f, _ in PRODUCT_STEPS],
                                 ["to_cart", "to_shipping", "to_billing", "to_thankyou"])
@@ -286,14 +254,14 @@ PRODUCT_RATES = ["product_page_click_rt", "cart_page_click_rt", "shipping_page_c
 
 
 def _product_rates_sql() -> str:
-    prev = ["COUNT(DISTINCT website_session_id)"] + [_cd(f) for f, _ in PRODUCT_STEPS]
+    prev = ["count(*)"] + [_n(f) for f, _ in PRODUCT_STEPS]
     rates = ",\n       ".join(f"{pct2(prev[i + 1], prev[i])} AS {n}"
                               for i, n in enumerate(PRODUCT_RATES))
     return with_views(f"""
 SELECT product_seen,
        {rates}
-FROM session_product_level_made_it_flags
-GROUP BY 1""", _SSPP, _PRODUCT_FLAGS)
+FROM product_flags
+GROUP BY product_seen""", _PRODUCT_FLAGS)
 
 
 @register("multi_entry_click_rates", "W24", _product_rates_sql())
@@ -302,35 +270,38 @@ def multi_entry_click_rates(d):
                                      PRODUCT_RATES)
 
 
-@register("funnel_step_discovery", "W25", with_views("""
-SELECT DISTINCT wp.pageview_url
-FROM sessions_seeing_product_pages sspp
-LEFT JOIN website_pageviews wp
-  ON wp.website_session_id = sspp.website_session_id
- AND wp.website_pageview_id > sspp.website_pageview_id""", _SSPP))
+@register("funnel_step_discovery", "W25", with_views(f"""
+SELECT DISTINCT p.pageview_url
+FROM website_pageviews p
+WHERE p.website_pageview_id > (SELECT min(e.website_pageview_id) FROM website_pageviews e
+                               WHERE e.website_session_id = p.website_session_id
+                                 AND {_PRODUCT_ENTRY.replace("created_at", "e.created_at").replace("pageview_url IN", "e.pageview_url IN")})
+UNION
+SELECT NULL
+WHERE EXISTS (SELECT 1 FROM website_pageviews e
+              WHERE {_PRODUCT_ENTRY.replace("created_at", "e.created_at").replace("pageview_url IN", "e.pageview_url IN")}
+                AND NOT EXISTS (SELECT 1 FROM website_pageviews q
+                                WHERE q.website_session_id = e.website_session_id
+                                  AND q.website_pageview_id > e.website_pageview_id))"""))
 def funnel_step_discovery(d):
     return U.funnel_step_discovery(d.pageviews, list(PRODUCT_ENTRIES), _product_where())
 
 
 # ---- W26 ----------------------------------------------------------------------------------------
 
-_PATH = [("products_pageviews", f"""
-SELECT website_session_id, website_pageview_id, created_at,
-       CASE WHEN created_at < {sts(PATH_CUT)} THEN 'A. Pre_Product_2'
-            WHEN created_at >= {sts(PATH_CUT)} THEN 'B. Post_Product_2'
-            ELSE 'check logic' END AS time_period
-FROM website_pageviews
-WHERE created_at < {sts(PATH_END)} AND created_at > {sts(PATH_START)}
-  AND pageview_url = '/products'"""), ("sessions_w_next_pageview_id", """
-SELECT pg.time_period, pg.website_session_id, MIN(wp.website_pageview_id) AS min_next_pageview_id
-FROM products_pageviews pg
-LEFT JOIN website_pageviews wp
-  ON wp.website_session_id = pg.website_session_id
- AND wp.website_pageview_id > pg.website_pageview_id
-GROUP BY 1, 2"""), ("sessions_w_next_pageview_url", """
-SELECT snp.time_period, snp.website_session_id, wp.pageview_url AS next_pageview_url
-FROM sessions_w_next_pageview_id snp
-LEFT JOIN website_pageviews wp ON wp.website_pageview_id = snp.min_next_pageview_id""")]
+_PATH_ROWS = ("path_rows", f"""
+SELECT time_period, website_session_id, next_url AS next_pageview_url
+FROM (SELECT website_session_id, website_pageview_id, pageview_url, created_at,
+             CASE WHEN created_at < {sts(PATH_CUT)} THEN 'A. Pre_Product_2'
+                  WHEN created_at >= {sts(PATH_CUT)} THEN 'B. Post_Product_2'
+                  ELSE 'check logic' END AS time_period,
+             lead(pageview_url) OVER (PARTITION BY website_session_id
+                                      ORDER BY website_pageview_id) AS next_url
+      FROM website_pageviews) AS p
+WHERE pageview_url = '/products'
+  AND created_at > {sts(PATH_START)} AND created_at < {sts(PATH_END)}
+QUALIFY row_number() OVER (PARTITION BY time_period, website_session_id
+                           ORDER BY website_pageview_id) = 1""")
 
 PATH_TARGETS = {"mrfuzzy": FV.MR_FUZZY, "lovebear": FV.LOVE_BEAR}
 
@@ -339,28 +310,21 @@ def _path_where():
     return (C("created_at") < ts(PATH_END)) & (C("created_at") > ts(PATH_START))
 
 
-@register("next_page_rows", "W26", with_views("SELECT * FROM sessions_w_next_pageview_url", *_PATH))
+@register("next_page_rows", "W26", with_views("SELECT * FROM path_rows", _PATH_ROWS))
 def next_page_rows(d):
     return U.next_page_rows(d.pageviews, FV.PRODUCTS, _path_where(), ts(PATH_CUT))
 
 
-def _cd_next(cond: str) -> str:
-    return f"COUNT(DISTINCT CASE WHEN {cond} THEN website_session_id ELSE NULL END)"
-
-
-_ALL = "COUNT(DISTINCT website_session_id)"
-
-
 @register("next_page_pathing", "W26", with_views(f"""
-SELECT time_period, {_ALL} AS sessions,
-       {_cd_next('next_pageview_url IS NOT NULL')} AS w_next_pg,
-       {pct2(_cd_next('next_pageview_url IS NOT NULL'), _ALL)} AS pct_w_next_pg,
-       {_cd_next("next_pageview_url = '/the-original-mr-fuzzy'")} AS to_mrfuzzy,
-       {pct2(_cd_next("next_pageview_url = '/the-original-mr-fuzzy'"), _ALL)} AS pct_to_mrfuzzy,
-       {_cd_next("next_pageview_url = '/the-forever-love-bear'")} AS to_lovebear,
-       {pct2(_cd_next("next_pageview_url = '/the-forever-love-bear'"), _ALL)} AS pct_to_lovebear
-FROM sessions_w_next_pageview_url
-GROUP BY 1""", *_PATH))
+SELECT time_period, count(*) AS sessions,
+       count(next_pageview_url) AS w_next_pg,
+       {pct2('count(next_pageview_url)', 'count(*)')} AS pct_w_next_pg,
+       count(*) FILTER (WHERE next_pageview_url = '/the-original-mr-fuzzy') AS to_mrfuzzy,
+       {pct2("count(*) FILTER (WHERE next_pageview_url = '/the-original-mr-fuzzy')", 'count(*)')} AS pct_to_mrfuzzy,
+       count(*) FILTER (WHERE next_pageview_url = '/the-forever-love-bear') AS to_lovebear,
+       {pct2("count(*) FILTER (WHERE next_pageview_url = '/the-forever-love-bear')", 'count(*)')} AS pct_to_lovebear
+FROM path_rows
+GROUP BY time_period""", _PATH_ROWS))
 def next_page_pathing(d):
     return U.next_page_pathing(d.pageviews, FV.PRODUCTS, _path_where(), ts(PATH_CUT),
                                PATH_TARGETS)
