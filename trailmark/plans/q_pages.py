@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trailmark import fixed_values as FV
 from trailmark.functions import ts
 from trailmark.operators import pages as P
-from trailmark.plans.oracle_views import ratio, to_date, week0, with_views
+from trailmark.plans.oracle_views import ratio, week0, with_views
 from trailmark.plans.oracle_views import ts as sts
 from trailmark.plans.registry import register
 
