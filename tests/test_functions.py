@@ -78,3 +78,28 @@ def test_scale_settings_for_100tb():
     parts = int(s["spark.sql.shuffle.partitions"])
     assert parts % 8000 == 0 and parts >= (100 << 40) // (256 << 20)
     assert s["spark.sql.adaptive.enabled"] == "true"
+
+
+def test_rounding_helpers_match_decimal_half_up(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    pairs = []
+
+    @settings(max_examples=300, deadline=None, database=None)
+    @given(st.integers(0, 10**9), st.integers(1, 10**7))
+    def collect(n, d):
+        pairs.append((n, d))
+
+    collect()
+    df = spark.createDataFrame(pairs, "n long, d long")
+    got = df.select("n", "d", pct_round2("n", "d").alias("p"), avg_round1("n", "d").alias("a"),
+                    cents_ratio_round2("n", "d").alias("c")).collect()
+    q2, q1 = Decimal("0.01"), Decimal("0.1")
+    for r in got:
+        n, d = Decimal(r.n), Decimal(r.d)
+        assert r.p == float((n * 100 / d).quantize(q2, rounding=ROUND_HALF_UP)), (r.n, r.d)
+        assert r.a == float((n / d).quantize(q1, rounding=ROUND_HALF_UP)), (r.n, r.d)
+        assert r.c == float((n / 100 / d).quantize(q2, rounding=ROUND_HALF_UP)), (r.n, r.d)

@@ -315,3 +315,19 @@ def test_first_seen_forms_when_page_never_seen(spark):
     pv = M.pageviews(spark, [(10, "2024-01-02 10:00:00", 1, "/home")])
     assert P.first_seen(pv, FV.LANDER_1).count() == 0
     assert M.one(P.first_seen_pv(pv, FV.LANDER_1)) == {"first_pv": None}
+
+
+def test_session_crossing_midnight_lands_once_per_date(spark):
+    s = M.sessions(spark, [(1, "2024-01-02 23:58:00", "gsearch", "nonbrand", "g", "d")])
+    pv = M.pageviews(spark, [
+        (10, "2024-01-02 23:58:00", 1, "/home"),
+        (11, "2024-01-02 23:59:30", 1, "/products"),
+        (12, "2024-01-03 00:00:10", 1, "/lander-1"),   # same session, next date
+    ])
+    rows = P.first_pageview_per_session(pv, s, by_date=True, with_url=True).collect()
+    assert sorted((str(r.date), r.min_pv_id, r.landing_page) for r in rows) == [
+        ("2024-01-02", 10, "/home"), ("2024-01-03", 12, "/lander-1")]
+    # three pageviews: neither landing row bounces; both weeks count the session once
+    weekly = P.bounce_rate_weekly(s, pv, None).collect()
+    assert sorted((r.home_sessions, r.lander_sessions, r.bounce_rt) for r in weekly) == [
+        (1, 1, 0.0)]
