@@ -254,22 +254,25 @@ def next_pageview(pageviews: DataFrame, entries: DataFrame,
 
 def next_page_rows(pageviews: DataFrame, entry_url: str, where: Column | None, cut: Column,
                    labels: tuple[str, str, str] = (FV.PRE_PRODUCT_2, FV.POST_PRODUCT_2,
-                                                   FV.PRODUCT_SENTINEL)) -> DataFrame:
+                                                   FV.PRODUCT_SENTINEL),
+                   id_bucket: int = ID_BUCKET) -> DataFrame:
     """W26 rows: (time_period, website_session_id, next_pageview_url) per period and session
     with an ``entry_url`` pageview passing ``where``."""
     ent = _entries(pageviews, [entry_url], where).select(
         period_label(F.col("created_at"), cut, *labels).alias("time_period"),
         SESSION, F.col(PV).alias("entry_id"))
-    return next_pageview(pageviews, ent).select("time_period", SESSION, "next_pageview_url")
+    return next_pageview(pageviews, ent, id_bucket=id_bucket).select(
+        "time_period", SESSION, "next_pageview_url")
 
 
 def next_page_pathing(pageviews: DataFrame, entry_url: str, where: Column | None, cut: Column,
                       targets: dict[str, str],
                       labels: tuple[str, str, str] = (FV.PRE_PRODUCT_2, FV.POST_PRODUCT_2,
-                                                      FV.PRODUCT_SENTINEL)) -> DataFrame:
+                                                      FV.PRODUCT_SENTINEL),
+                      id_bucket: int = ID_BUCKET) -> DataFrame:
     """Per period, sessions, share with any next page, and count and share per target url
     (``targets`` maps a column stem, e.g. 'mrfuzzy', to its url)."""
-    rows = next_page_rows(pageviews, entry_url, where, cut, labels)
+    rows = next_page_rows(pageviews, entry_url, where, cut, labels, id_bucket)
     nxt = F.col("next_pageview_url")
     aggs = [F.count(F.lit(1)).alias("sessions"),
             F.count(F.when(nxt.isNotNull(), 1)).alias("w_next_pg")]
