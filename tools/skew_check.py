@@ -54,6 +54,46 @@ def build(spark, n: int):
     return sessions, pageviews, orders
 
 
+def build_items(spark, n: int):
+    """Order items where order 1 holds a third of all items, some refunded (a few twice)."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(n).select((F.col("id") + 1).alias("order_item_id"))
+    order = F.when(F.col("order_item_id") % 3 == 0, F.lit(1)).otherwise(
+        F.col("order_item_id") % (n // 4) + 2)
+    items = ids.select(
+        "order_item_id",
+        (F.lit("1997-01-01").cast("timestamp_ntz")
+         + F.make_dt_interval(days=(F.col("order_item_id") % 700).cast("int"))).alias("created_at"),
+        order.alias("order_id"),
+        (F.col("order_item_id") % 4 + 1).alias("product_id"),
+        F.when(F.col("order_item_id") % 5 == 1, 1).otherwise(0).alias("is_primary_item"),
+        F.lit(1500).cast("bigint").alias("price_cents"))
+    refunds = items.where(F.col("order_item_id") % 7 == 0).select(
+        (F.col("order_item_id") * 10).alias("order_item_refund_id"), "order_item_id",
+        "created_at", F.col("price_cents").alias("refund_cents"))
+    refunds = refunds.unionByName(refunds.where(F.col("order_item_id") % 49 == 0).select(
+        (F.col("order_item_refund_id") + 1).alias("order_item_refund_id"), "order_item_id",
+        "created_at", "refund_cents"))
+    store = spark.range(1, n // 4 + 2).select(
+        F.col("id").alias("order_id"), F.lit("1997-06-01").cast("timestamp_ntz").alias("created_at"),
+        (F.col("id") % 4 + 1).alias("primary_product_id"), F.lit(2).cast("bigint")
+        .alias("items_purchased"), F.lit(3000).cast("bigint").alias("price_cents"),
+        F.lit(1800).cast("bigint").alias("cogs_cents"))
+    return items, refunds, store
+
+
+def item_analyses(items, refunds, store):
+    from trailmark.operators import products as R
+
+    return {
+        "cross-sell matrix (W38, hot order)": lambda: R.cross_sell_matrix(store, items),
+        "item refund lookup (W41, hot order)": lambda: R.item_refund_lookup(items, refunds),
+        "monthly refund rates (W42, hot order)": lambda: R.refund_rates(items, refunds),
+        "product refund pivot (W42, hot order)": lambda: R.product_refund_rates(items, refunds),
+    }
+
+
 def analyses(sessions, pageviews, orders):
     from pyspark.sql import Window
     from pyspark.sql import functions as F
@@ -152,8 +192,14 @@ def main() -> None:
         df.repartition(16).write.parquet(f"{base}/{name}")
     sessions, pageviews, orders = (spark.read.parquet(f"{base}/{x}")
                                    for x in ("sessions", "pageviews", "orders"))
+    items, refunds, store = build_items(spark, n)
+    for name, df in (("items", items), ("refunds", refunds), ("store", store)):
+        df.repartition(16).write.parquet(f"{base}/{name}")
+    items, refunds, store = (spark.read.parquet(f"{base}/{x}")
+                             for x in ("items", "refunds", "store"))
+    todo = {**analyses(sessions, pageviews, orders), **item_analyses(items, refunds, store)}
     timings = {}
-    for i, (name, build_df) in enumerate(analyses(sessions, pageviews, orders).items()):
+    for i, (name, build_df) in enumerate(todo.items()):
         spark.sparkContext.setJobGroup(f"q{i}", name)
         t0 = time.perf_counter()
         build_df().write.format("noop").mode("overwrite").save()
@@ -164,7 +210,7 @@ def main() -> None:
         "# Skew check",
         "",
         f"Generated by `tools/skew_check.py`: {n:,} synthetic pageviews of which one session holds "
-        "a third, local[8], 32 shuffle partitions, broadcasts disabled (so every join shuffles), "
+        f"a third, and {n:,} order items of which one order holds a third, local[8], 32 shuffle partitions, broadcasts disabled (so every join shuffles), "
         "AQE on. For each analysis: the largest share of a shuffle stage's records read by one "
         "task, over all its shuffle-reading stages (1/32 ≈ 3% would be perfectly even; a task "
         "holding the hot session's raw rows would read ≥ 33%).",
