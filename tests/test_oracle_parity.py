@@ -29,3 +29,15 @@ def test_entry_runs(spark):
     rows = df.collect()
     assert len(rows) >= 1
     assert df.columns[0] == "segment"
+
+
+def test_results_do_not_depend_on_the_session_time_zone(spark, small_dir):
+    keys = ["calendar_features", "hour_weekday_heatmap", "bounce_rate_weekly",
+            "volume_with_month_total", "next_page_pathing", "product_refund_rates"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        res = compare(spark, small_dir, keys, verbose=False)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert all(r.get("ok") is True and "types" not in r for r in res.values()), res
