@@ -17,3 +17,23 @@ def test_materialized_tables_give_same_reports(spark, small_dir, tmp_path):
         assert sorted(map(tuple, out[k].collect())) == expected, k
         written = spark.read.parquet(f"{tmp_path}/{k}")
         assert sorted(map(tuple, written.collect())) == expected, k
+
+
+def test_bucketed_tables_remove_session_shuffles(spark, small_dir):
+    registry._load_all()
+    data = CommerceData(spark, small_dir)
+    plain = materialize(spark, data)
+    bucketed = materialize(spark, data, buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def exchanges(d):
+            df = registry.REGISTRY["first_pageview_of_sessions"].build(d)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            return sorted(map(tuple, df.collect())), plan.count("Exchange hashpartitioning")
+
+        rows_plain, ex_plain = exchanges(plain)
+        rows_bucketed, ex_bucketed = exchanges(bucketed)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows_bucketed == rows_plain
+    assert ex_bucketed < ex_plain

@@ -22,14 +22,23 @@ from trailmark.session import checkpoint_dir
 TABLES = ("sessions", "pageviews", "orders", "store_orders", "order_items", "refunds")
 
 
+# bucketing key of each table when written bucketed: the key its joins and aggregates use
+BUCKET_KEYS = {"sessions": "website_session_id", "pageviews": "website_session_id",
+               "orders": "website_session_id", "store_orders": "order_id",
+               "order_items": "order_id", "refunds": "order_item_id"}
+
+
 @dataclass
 class StoredTables:
     """The commerce tables as written by ``materialize`` (same interface as ``CommerceData``)."""
 
     spark: SparkSession
     base: str
+    tables: dict[str, str] | None = None  # catalog names when written as bucketed tables
 
     def _read(self, name: str) -> DataFrame:
+        if self.tables:
+            return self.spark.table(self.tables[name])
         return self.spark.read.parquet(f"{self.base}/{name}")
 
     @cached_property
@@ -57,13 +66,28 @@ class StoredTables:
         return self._read("refunds")
 
 
-def materialize(spark: SparkSession, data, base: str | None = None) -> StoredTables:
+def materialize(spark: SparkSession, data, base: str | None = None,
+                buckets: int | None = None) -> StoredTables:
     """Write the six tables of ``data`` under ``base`` (default: a new folder in the session's
-    checkpoint folder) and return readers of the written files."""
-    base = base or f"{checkpoint_dir(spark).rstrip('/')}/trailmark-tables-{uuid.uuid4().hex}"
+    checkpoint folder) and return readers of the written files.
+
+    With ``buckets``, each table is written bucketed (and sorted) by its join key
+    (``BUCKET_KEYS``) as an external catalog table whose files stay under ``base``: joins and
+    aggregates on session id (or order id) between such tables then need no shuffle.
+    """
+    tag = uuid.uuid4().hex[:12]
+    base = base or f"{checkpoint_dir(spark).rstrip('/')}/trailmark-tables-{tag}"
+    names = {}
     for name in TABLES:
-        getattr(data, name).write.mode("overwrite").parquet(f"{base}/{name}")
-    return StoredTables(spark, base)
+        df = getattr(data, name)
+        if buckets:
+            key = BUCKET_KEYS[name]
+            names[name] = f"trailmark_{name}_{tag}"
+            (df.write.mode("overwrite").format("parquet").option("path", f"{base}/{name}")
+             .bucketBy(buckets, key).sortBy(key).saveAsTable(names[name]))
+        else:
+            df.write.mode("overwrite").parquet(f"{base}/{name}")
+    return StoredTables(spark, base, names or None)
 
 
 def run_reports(data, keys: Iterable[str] | None = None,
