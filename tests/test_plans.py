@@ -57,3 +57,19 @@ def test_session_segment_filter_is_pushed_below_the_session_aggregate(spark, sma
     agg_at = p.index("Aggregate [user_id")
     # the utm filter (a function of the grouping keys) sits under the session aggregate
     assert p.find("% 5", agg_at) > agg_at
+
+
+# where an aggregate must carry a string (the landing url, min_by) or the fixture's primary
+# product (a struct minimum); everywhere else aggregation stays hash-based
+SORT_AGGREGATE_ALLOWED = {
+    "landing_page", "landing_page_volume", "landing_page_rows", "landing_page_in_window",
+    "bounced_sessions", "bounce_rate_by_landing_page", "bounce_rate_landing_test",
+    "bounce_rate_weekly", "landing_test_conversion", "product_sales_by_product",
+    "cross_sell_matrix",
+}
+
+
+@pytest.mark.parametrize("key", KEYS)
+def test_sort_aggregation_only_where_documented(plans, key):
+    if key not in SORT_AGGREGATE_ALLOWED:
+        assert "SortAggregate" not in plans[key]
