@@ -6,12 +6,14 @@ columns are derived from the operator's output.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import chat_format, quality, sharding
+from trailmark.llm import chat_format, quality, sharding, token_files, word_bpe
+from trailmark.llm.staging import shared_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -50,6 +52,26 @@ def op4_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, keep=["doc_id"])
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text and their decoding, as SHA-256."""
+    return word_bpe.assembled(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), digests=True)
+
+
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents written to the shared folder, read back."""
+    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
+    return token_files.documents_of(token_files.read_token_files(spark, path))
+
+
 STREAM_PIECE = 200
 SPECIAL = "\\### Assistant: </turn> ok"
 
