@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import chat_format, quality, sharding, token_files, word_bpe
+from trailmark.llm import chat_format, near_dedup, quality, sharding, token_files, word_bpe
 from trailmark.llm.staging import shared_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents_of(token_files.read_token_files(spark, path))
 
 
+@query
+def op8_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near duplicates for every document."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 STREAM_PIECE = 200
 SPECIAL = "\\### Assistant: </turn> ok"
 
