@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import chat_format, near_dedup, quality, sharding, token_files, word_bpe
+from trailmark.llm import chat_format, near_dedup, quality, repeat_removal, sharding, token_files, word_bpe
 from trailmark.llm.staging import shared_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,20 @@ def op8_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_suffix_sort_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without 50-byte strings of earlier documents."""
+    return repeats_removed(table(spark, sf_dir, "documents"))
+
+
+def repeats_removed(docs: DataFrame) -> DataFrame:
+    out = repeat_removal.remove_repeats(docs.select("doc_id", "text"))
+    removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 STREAM_PIECE = 200
 SPECIAL = "\\### Assistant: </turn> ok"
 
