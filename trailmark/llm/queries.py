@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import chat_format, near_dedup, quality, repeat_removal, sharding, token_files, word_bpe
+from trailmark.llm import chat_format, decontamination, near_dedup, quality, repeat_removal, sharding, token_files, word_bpe
 from trailmark.llm.staging import shared_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,12 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
         F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+@query
+def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items found in them, a row per passage."""
+    return decontamination.contaminated_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 STREAM_PIECE = 200
 SPECIAL = "\\### Assistant: </turn> ok"
 

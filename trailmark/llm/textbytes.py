@@ -23,6 +23,7 @@ CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+NOT_ALPHANUMERIC = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
@@ -110,10 +111,11 @@ class Words:
     first: np.ndarray  # one more than rows; words of row i are first[i]..first[i+1]
 
 
-def words(chunk: Chunk, lower: bool = False) -> Words:
-    """Runs of bytes other than space, tab, newline, vertical tab, form feed, carriage return."""
+def words(chunk: Chunk, lower: bool = False, between: np.ndarray = SPACE) -> Words:
+    """Runs of bytes other than those ``between`` words: by default space, tab, newline, vertical
+    tab, form feed, carriage return."""
     data = LOWER[chunk.data] if lower else chunk.data
-    gap = SPACE[data]
+    gap = between[data]
     before = np.ones(len(data) + 1, dtype=bool)
     before[1:] = gap
     before[chunk.offsets] = True  # a row's first byte follows a gap
