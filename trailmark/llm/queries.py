@@ -12,7 +12,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import chat_format, decontamination, near_dedup, quality, repeat_removal, sharding, token_files, word_bpe
+from trailmark.llm import (
+    chat_format,
+    decontamination,
+    fuzzy_passages,
+    html_text,
+    near_dedup,
+    quality,
+    repeat_removal,
+    sharding,
+    token_files,
+    word_bpe,
+)
 from trailmark.llm.staging import shared_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query
+def op1_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents that an earlier document has too, with their place in both."""
+    return fuzzy_passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 39; row counts differ by one at most (law ``rows``)."""
@@ -92,6 +109,12 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
         F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+@query
+def op9_lstm_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items found in them, a row per passage."""
