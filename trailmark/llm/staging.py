@@ -27,23 +27,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, bucketed: tuple[str, int] | None = None) -> DataFrame:
     """``df`` written as parquet to a new folder of the shared folder, and read again.
 
-    Shuffle files of the write are released when it ends, so they do not add up over stages.
+    With ``bucketed`` (column, buckets) the files are bucketed, so a join on the column does not
+    shuffle them. Shuffle files of the write are released when it ends, so they do not add up over
+    stages.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/trailmark-{name}-{uuid.uuid4().hex}"
+    tag = uuid.uuid4().hex
+    path = f"{shared_folder(spark)}/trailmark-{name}-{tag}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        if bucketed:
+            column, buckets = bucketed
+            df.write.format("parquet").option("path", path).bucketBy(buckets, column).saveAsTable(f"trailmark_{name}_{tag}")
+        else:
+            df.write.parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.table(f"trailmark_{name}_{tag}") if bucketed else spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

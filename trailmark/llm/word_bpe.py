@@ -11,7 +11,9 @@ Texts are split into words at white space; no token of the tokenizer crosses it.
 
 Word lists, word numbers and ids travel as compressed arrays, a row per chunk and bucket, so what
 is shuffled is a few bytes per word and no key is hot: a word that occurs in every text is one
-entry per chunk. A task holds one chunk, or the distinct words of one bucket.
+entry per chunk. Words are numbered bucket by bucket, so the answers need no numbers with them. The
+chunks are stored bucketed by chunk number and are not shuffled again: only word lists go out and
+only ids come back. A task holds one chunk, or the distinct words of one bucket.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,11 @@ from pyspark.sql import functions as F
 from trailmark.llm.staging import shuffle_partitions, stored
 
 CHUNK_CHARS = 6 << 20
-BUCKETS = 512
-CODES, WORDS = 1, 0  # words of a chunk come before its texts
+BUCKETS = 128
+CODES, WORDS = 1, 0
 
 CHUNKS = "chunk long, kind int, bucket int, doc_ids array<long>, counts binary, codes binary, payload binary"
+ANSWERS = "chunk long, bucket int, counts binary, ids binary"
 
 # White space of the tokenizer: Python's class without the four separators U+001C to U+001F.
 GAP = re.compile("[^\\S\x1c-\x1f]+")
@@ -46,7 +48,7 @@ AS_IT_IS = re.compile("[Σİ]|<\\|")
 
 def _pack(a: np.ndarray) -> bytes:
     """Compressed unsigned 32-bit integers, byte planes apart."""
-    return zlib.compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return zlib.compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 4)
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -82,18 +84,19 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> Iterator[pa.RecordBatch]:
         ranked = [w for w, _ in Counter(words).most_common()]
-        code = dict(zip(ranked, range(len(ranked))))
-        codes = np.fromiter(map(code.__getitem__, words), np.uint32, len(words))
-        yield _batch([(number, CODES, 0, doc_ids, _pack(np.array(counts, np.uint32)), _pack(codes), None)])
-        home = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in ranked), np.int64, len(ranked)) % BUCKETS
-        order = np.argsort(home, kind="stable")
+        home = np.fromiter((zlib.crc32(w.encode()) for w in ranked), np.int64, len(ranked)) % BUCKETS
+        order = np.argsort(home, kind="stable")  # by bucket, frequent words first
         cuts = np.searchsorted(home[order], np.arange(BUCKETS + 1))
+        rank = np.empty(len(ranked), np.int64)
+        rank[order] = np.arange(len(ranked)) - cuts[home[order]]
+        place = dict(zip(ranked, range(len(ranked))))
+        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        # a word of a text is its bucket and its rank there: small numbers, which pack well
+        yield _batch([(number, CODES, 0, doc_ids, _pack(np.array(counts)), _pack(rank[at]), _pack(home[at]))])
         rows = []
-        for b in range(BUCKETS):
-            mine = order[cuts[b]:cuts[b + 1]]
-            if len(mine):
-                blob = zlib.compress("\n".join([ranked[i] for i in mine.tolist()]).encode("utf-8", "surrogatepass"), 1)
-                rows.append((number, WORDS, b, None, None, _pack(mine), blob))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            mine = [ranked[i] for i in order[cuts[b]:cuts[b + 1]].tolist()]
+            rows.append((number, WORDS, b, None, None, None, zlib.compress("\n".join(mine).encode())))
         if rows:
             yield _batch(rows)
 
@@ -154,7 +157,7 @@ def assembled(docs: DataFrame, tokenizer_path: str, digests: bool) -> DataFrame:
     shipped = spark.sparkContext.broadcast(spec)  # the vocabulary file, a few MB whatever the data
     tasks = shuffle_partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = stored(texts.mapInArrow(_split, CHUNKS), "chunks")
+    chunks = stored(texts.mapInArrow(_split, CHUNKS), "chunks", bucketed=("chunk", tasks))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(shipped.value)
@@ -162,55 +165,48 @@ def assembled(docs: DataFrame, tokenizer_path: str, digests: bool) -> DataFrame:
         now = None
         for batch in batches:
             out = []
-            for chunk, bucket, codes, blob in zip(*(batch.column(n).to_pylist() for n in ("chunk", "bucket", "codes", "payload"))):
+            for chunk, bucket, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != now:
                     now, known = bucket, {}
-                words = zlib.decompress(blob).decode("utf-8", "surrogatepass").split("\n")
+                words = zlib.decompress(blob).decode().split("\n")
                 new = [w for w in words if w not in known]
                 for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
                     known[w] = e.ids
                 ids = list(map(known.__getitem__, words))
-                flat = np.array([i for x in ids for i in x], np.uint32)
-                out.append((chunk, WORDS, bucket, None, _pack(np.array(list(map(len, ids)), np.uint32)), codes, _pack(flat)))
+                out.append((chunk, bucket, _pack(np.array(list(map(len, ids)))), _pack(np.array([i for x in ids for i in x]))))
             if out:
-                yield _batch(out)
+                types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["chunk", "bucket", "counts", "ids"])
 
-    answers = (chunks.where(F.col("kind") == WORDS).repartition(tasks, "bucket")
-               .sortWithinPartitions("bucket").mapInArrow(encode, CHUNKS))
+    answers = (chunks.where(F.col("kind") == WORDS).select("chunk", "bucket", "payload").repartition(tasks, "bucket")
+               .sortWithinPartitions("bucket").mapInArrow(encode, ANSWERS))
+    answers = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts", "ids"))).alias("answers"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = json.loads(shipped.value)
         pieces: dict[int, bytes] = {i: p.encode() for p, i in vocab["model"]["vocab"].items()}
         pieces |= {t["id"]: t["content"].encode() for t in vocab["added_tokens"]}
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("kind", "doc_ids", "counts", "codes", "payload"))):
-                kind, doc_ids, counts, codes, payload = row
-                if kind == WORDS:
-                    got.append((_unpack(codes), _unpack(counts), _unpack(payload)))
-                    continue
-                yield _chunk(pieces, got, doc_ids, _unpack(counts), _unpack(codes), digests)
-                got = []
-
-    rows = chunks.where(F.col("kind") == CODES).unionByName(answers).repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind")
+            for i in range(batch.num_rows):
+                doc_ids, counts, ranks, homes, got = (batch.column(c).slice(i, 1).to_pylist()[0] for c in range(batch.num_columns))
+                yield _chunk(pieces, got or [], doc_ids, _unpack(counts), _unpack(ranks), _unpack(homes), digests)
+
+    rows = (chunks.where(F.col("kind") == CODES).select("chunk", "doc_ids", "counts", "codes", "payload")
+            .join(answers, "chunk", "left").select("doc_ids", "counts", "codes", "payload", "answers"))
     columns = "ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string"
     return rows.mapInArrow(join, f"doc_id long, n_tokens long, {columns}")
 
 
-def _chunk(pieces, got, doc_ids, counts, codes, digests) -> pa.RecordBatch:
-    """The documents of a chunk from the ids of its words (``got``: codes, lengths, ids)."""
-    if got:
-        code = np.concatenate([g[0] for g in got])
-        sizes = np.concatenate([g[1] for g in got])
-        flat = np.concatenate([g[2] for g in got])
-        order = np.argsort(code)  # code k is the k-th word of the chunk
-        flat, sizes = _gather(flat, _offsets(sizes), order)
-        offsets = _offsets(sizes)
-        values = flat.tolist()
-        bounds = offsets.tolist()
-        text = [b" ".join([pieces[i] for i in values[a:b]]) for a, b in zip(bounds, bounds[1:])]
-    else:
-        flat, offsets, text = np.zeros(0, np.int64), np.zeros(1, np.int64), []
+def _chunk(pieces, answers, doc_ids, counts, ranks, homes, digests) -> pa.RecordBatch:
+    """The documents of a chunk from the ids of its words, bucket by bucket."""
+    sizes = [_unpack(a["counts"]) for a in answers]
+    first = np.zeros(BUCKETS, np.int64)  # number of a bucket's first word
+    first[[a["bucket"] for a in answers]] = np.cumsum([0, *map(len, sizes)])[:-1]
+    codes = first[homes] + ranks
+    flat = np.concatenate([np.zeros(0, np.int64), *(_unpack(a["ids"]) for a in answers)])
+    offsets = _offsets(np.concatenate([np.zeros(0, np.int64), *sizes]))
+    values, bounds = flat.tolist(), offsets.tolist()
+    text = [b" ".join([pieces[i] for i in values[a:b]]) for a, b in zip(bounds, bounds[1:])]
     at = _offsets(counts)
     ids, n_tokens = [], []
     decoded = []
