@@ -11,6 +11,7 @@ from trailmark.functions.calendar import (
 )
 from trailmark.functions.ratios import (
     avg_round1,
+    big,
     cents_ratio_round2,
     dollars,
     idiv,
@@ -21,6 +22,7 @@ from trailmark.functions.ratios import (
 
 __all__ = [
     "avg_round1",
+    "big",
     "cents_ratio_round2",
     "dollars",
     "idiv",

@@ -45,9 +45,15 @@ def avg_round1(s: Column | str, c: Column | str) -> Column:
     return F.when(c == 0, F.lit(None).cast("double")).otherwise(q.cast("double") / 10)
 
 
+def big(x: Column) -> Column:
+    """A whole number as decimal(38, 0): products of per-session counts and money exceed a long
+    when one session has very many rows."""
+    return x.cast("decimal(38,0)")
+
+
 def dollars(cents: Column | str) -> Column:
-    """Long cents to double dollars."""
-    return _c(cents) / 100
+    """Whole cents to double dollars."""
+    return _c(cents).cast("double") / 100
 
 
 def cents_ratio_round2(cents: Column | str, d: Column | str) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark import fixed_values as FV
-from trailmark.functions import dollars, idiv, pct_round2, ratio_pct
+from trailmark.functions import big, dollars, idiv, pct_round2, ratio_pct
 from trailmark.operators.common import (
     SESSION,
     apply_filter,
@@ -74,7 +74,12 @@ def billing_test_rows(pageviews: DataFrame, orders: DataFrame, where: Column | N
     """W29 row level: (session, billing page seen, order id) for each pageview ⟕ order row."""
     pv = _bounded(pageviews, where, min_pv_id, urls).select(
         SESSION, F.col(URL).alias("billing_version_seen"))
-    return pv.join(orders.select(SESSION, "order_id"), SESSION, "left")
+    o = orders.select(SESSION, "order_id").where(F.col(SESSION).isNotNull())
+    # matched rows and rows without an order: adaptive execution can split a hot session on either
+    # side of the inner part, and the other part meets one id per session
+    matched = pv.join(o, SESSION, "inner")
+    unmatched = pv.join(o.select(SESSION).distinct(), SESSION, "left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
 def billing_test_conversion(pageviews: DataFrame, orders: DataFrame, where: Column | None,
@@ -87,7 +92,7 @@ def billing_test_conversion(pageviews: DataFrame, orders: DataFrame, where: Colu
         F.col(URL).alias("billing_version_seen"), SESSION).distinct()
     j = seen.join(orders_per_session(orders), SESSION, "left")
     out = j.groupBy("billing_version_seen").agg(
-        F.count(F.lit(1)).alias("sessions"),
+        F.count(SESSION).alias("sessions"),
         F.coalesce(F.sum("n_orders"), F.lit(0)).cast("bigint").alias("orders"))
     return out.withColumn("billing_to_order_rt", ratio_pct("orders", "sessions"))
 
@@ -110,7 +115,7 @@ def billing_test_flags(sessions: DataFrame, pageviews: DataFrame, orders: DataFr
         pv_where = pv_where & (F.col(PV) >= bound)
     flags = session_made_it_flags(sessions, pageviews, steps, session_where, pv_where)
     j = flags.join(orders_per_session(orders).select(SESSION, "n_orders"), SESSION, "left")
-    n = F.greatest(F.coalesce(F.col("n_orders"), F.lit(0)), F.lit(1))
+    n = big(F.greatest(F.coalesce(F.col("n_orders"), F.lit(0)), F.lit(1)))
     m1 = F.when(F.col("billing1") == 1, n).otherwise(0)
     m2 = F.when(F.col("billing2") == 1, n).otherwise(0)
     agg = j.agg(
@@ -137,13 +142,16 @@ def billing_test_flags_by_page(sessions: DataFrame, pageviews: DataFrame,
     sum(c * k).
     """
     keep = apply_filter(sessions, session_where).select(SESSION)
-    per_page = (_bounded(pageviews, None, min_pv_id, urls)
-                .groupBy(SESSION, URL).agg(F.count(F.lit(1)).alias("c"))
-                .join(keep, SESSION, "left_semi"))
-    pages = per_page.groupBy(SESSION).agg(F.count(F.lit(1)).alias("k"))
-    j = per_page.join(pages, SESSION)
-    out = j.groupBy(F.col(URL).alias("billing_version_seen")).agg(
-        F.sum(F.col("c") * F.col("k")).cast("bigint").alias("sessions"))
+    counts = [F.count(F.when(F.col(URL) == u, 1)).alias(f"_c{i}") for i, u in enumerate(urls)]
+    per_session = (_bounded(pageviews, None, min_pv_id, urls).groupBy(SESSION).agg(*counts)
+                   .join(keep, SESSION, "left_semi"))
+    k = big(sum((F.when(F.col(f"_c{i}") > 0, 1).otherwise(0) for i in range(1, len(urls))),
+                F.when(F.col("_c0") > 0, 1).otherwise(0)))
+    one = per_session.agg(*[F.sum(big(F.col(f"_c{i}")) * k).alias(f"_s{i}") for i in range(len(urls))])
+    pages = F.array(*[F.struct(F.lit(u).alias("billing_version_seen"),
+                               F.col(f"_s{i}").cast("bigint").alias("sessions"))
+                      for i, u in enumerate(urls)])
+    out = one.select(F.explode(pages).alias("p")).select("p.*").where("sessions > 0")
     return out.select("billing_version_seen", "sessions", F.col("sessions").alias("orders"),
                       ratio_pct("sessions", "sessions").alias("billing_to_order_rt"))
 
@@ -166,8 +174,8 @@ def revenue_per_page_session_cents(pageviews: DataFrame, orders: DataFrame,
     j = _page_session_revenue(pageviews, orders, where, urls)
     weight = F.lit(1) if session_grain else F.col("c")
     out = j.groupBy(F.col(URL).alias("billing_version_seen")).agg(
-        F.count(F.lit(1)).alias("sessions"),
-        F.sum(weight * F.col("revenue_cents")).alias("revenue_cents"))
+        F.count(SESSION).alias("sessions"),
+        F.sum(big(weight) * big(F.col("revenue_cents"))).alias("revenue_cents"))
     rps = F.when(F.col("sessions") == 0, F.lit(None)).otherwise(
         idiv(F.col("revenue_cents") * 2 + F.col("sessions"), F.col("sessions") * 2))
     return out.select("billing_version_seen", "sessions", rps.alias("rps_cents"))

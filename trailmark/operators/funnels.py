@@ -6,7 +6,7 @@ range self-join (quadratic in pageviews per session) and avoids a per-session wi
 would be one task):
 
 * a step is reached after an entry iff ``max(id of the step url) > min(id of the entry url)`` in
-  the session: two partial aggregates joined one-to-one;
+  the session: ids from one partial aggregate;
 * the next page after an entry is the smallest later pageview id, found by joining on
   (session, id bucket) so that no join key holds more than a bucket of pageviews, however large
   the session (``next_pageview``).
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark import fixed_values as FV
@@ -73,11 +73,16 @@ def session_made_it_flags(sessions: DataFrame, pageviews: DataFrame, steps: Step
 def funnel_counts(flags: DataFrame, flag_cols: Sequence[str], count_names: Sequence[str],
                   sessions_name: str = "sessions") -> DataFrame:
     """Sessions, then sessions that reached each step (flags are session grain)."""
-    aggs = [F.count(F.lit(1)).alias(sessions_name)]
-    aggs += [F.count(F.when(F.col(f) == 1, 1)).alias(n) for f, n in zip(flag_cols, count_names)]
+    aggs = [F.count(SESSION).alias(sessions_name)]
+    aggs += [_sessions_with(f).alias(n) for f, n in zip(flag_cols, count_names)]
     return flags.agg(*aggs)
 
 
+def _sessions_with(flag: str) -> Column:
+    """Sessions with the flag; rows without a session id are no sessions."""
+    return F.count(F.when(F.col(flag) == 1, F.col(SESSION)))
+
+
 def funnel_click_rates(flags: DataFrame, flag_cols: Sequence[str], rate_names: Sequence[str],
                        denominator: str = "previous", segment: Column | None = None,
                        rounded: bool = False, count_names: Sequence[str] | None = None,
@@ -92,9 +97,8 @@ def funnel_click_rates(flags: DataFrame, flag_cols: Sequence[str], rate_names: S
     """
     if denominator not in ("previous", "all"):
         raise ValueError("denominator must be 'previous' or 'all'")
-    aggs = [F.count(F.lit(1)).alias("_n0")]
-    aggs += [F.count(F.when(F.col(f) == 1, 1)).alias(f"_n{i + 1}")
-             for i, f in enumerate(flag_cols)]
+    aggs = [F.count(SESSION).alias("_n0")]
+    aggs += [_sessions_with(f).alias(f"_n{i + 1}") for i, f in enumerate(flag_cols)]
     grouped = flags.groupBy(segment.alias("segment")) if segment is not None else flags
     agg = grouped.agg(*aggs)
     rate = pct_round2 if rounded else ratio_pct
@@ -115,9 +119,8 @@ def funnel_report(flags: DataFrame, flag_cols: Sequence[str], count_names: Seque
 
     Both rows come from one aggregate row (no second pass): the row is exploded into two.
     """
-    aggs = [F.count(F.lit(1)).alias("_n0")]
-    aggs += [F.count(F.when(F.col(f) == 1, 1)).alias(f"_n{i + 1}")
-             for i, f in enumerate(flag_cols)]
+    aggs = [F.count(SESSION).alias("_n0")]
+    aggs += [_sessions_with(f).alias(f"_n{i + 1}") for i, f in enumerate(flag_cols)]
     row = flags.agg(*aggs)
     names = [sessions_name, *count_names]
     counts = F.struct(F.col("_n0").alias(names[0]),
@@ -151,27 +154,30 @@ def multi_entry_flags(pageviews: DataFrame, entries: dict[str, str], steps: Step
     *after* that entry page (any later pageview of the session, no date filter on it).
 
     ``entries`` maps entry url -> label. Flag = max(id of step url) > min(id of the entry url).
+    One aggregate per session, of ids only, holds all of them; a session then gives a row per
+    entry page it saw. Pageviews without a session id belong to no session: they keep their entry
+    row, with no step reached.
     """
-    first_entry = _entries(pageviews, list(entries), where).groupBy(SESSION, URL).agg(
-        F.min(PV).alias("entry_id"))
+    entry = F.lit(True) if where is None else where
     step_urls = [u for _, u in steps]
-    last_step = pageviews.where(F.col(URL).isin(step_urls)).groupBy(SESSION).agg(*[
-        F.max(F.when(F.col(URL) == u, F.col(PV))).alias(f"_last{i}")
-        for i, (_, u) in enumerate(steps)])
-    j = first_entry.join(last_step, SESSION, "left")
-    label = F.lit(other_label)
-    for url, lab in reversed(list(entries.items())):
-        label = F.when(F.col(URL) == url, lab).otherwise(label)
-    flags = [F.when(F.col(f"_last{i}") > F.col("entry_id"), 1).otherwise(0).alias(name)
-             for i, (name, _) in enumerate(steps)]
-    return j.select(SESSION, label.alias("product_seen"), *flags)
+    per_session = (pageviews.where(F.col(URL).isin([*entries, *step_urls])).groupBy(SESSION).agg(
+        *[F.min(F.when((F.col(URL) == u) & entry, F.col(PV))).alias(f"_entry{i}")
+          for i, u in enumerate(entries)],
+        *[F.max(F.when(F.col(URL) == u, F.col(PV))).alias(f"_last{i}")
+          for i, u in enumerate(step_urls)]))
+    seen = F.array(*[F.struct(F.col(f"_entry{i}").alias("entry_id"), F.lit(label).alias("product_seen"))
+                     for i, label in enumerate(entries.values())])
+    rows = per_session.withColumn("_e", F.explode(seen)).where("_e.entry_id is not null")
+    flags = [F.when(F.col(SESSION).isNotNull() & (F.col(f"_last{i}") > F.col("_e.entry_id")), 1)
+             .otherwise(0).alias(name) for i, (name, _) in enumerate(steps)]
+    return rows.select(SESSION, "_e.product_seen", *flags)
 
 
 def multi_entry_counts(flags: DataFrame, flag_cols: Sequence[str],
                        count_names: Sequence[str]) -> DataFrame:
     """W24 counts: per entry page seen, sessions and sessions reaching each step."""
-    aggs = [F.count(F.lit(1)).alias("sessions")]
-    aggs += [F.count(F.when(F.col(f) == 1, 1)).alias(n) for f, n in zip(flag_cols, count_names)]
+    aggs = [F.count(SESSION).alias("sessions")]
+    aggs += [_sessions_with(f).alias(n) for f, n in zip(flag_cols, count_names)]
     return flags.groupBy("product_seen").agg(*aggs)
 
 
@@ -189,20 +195,26 @@ def funnel_step_discovery(pageviews: DataFrame, entry_urls: Sequence[str],
     pageview is the last pageview of its session (the original's left join finds no later row).
 
     A url was viewed after some entry of a session iff its last id there exceeds the session's
-    first entry id, so only aggregates meet in the joins: (session, url) last ids and per-session
-    entry bounds, both partially aggregated.
+    first entry id. One (session, url) aggregate holds last ids and entry bounds; bounds of the
+    session are windowed over its rows (one per distinct url). An entry without a session id has
+    no later row.
     """
-    ent = _entries(pageviews, entry_urls, where).groupBy(SESSION).agg(
-        F.min(PV).alias("first_entry"), F.max(PV).alias("last_entry"))
-    last_by_url = pageviews.groupBy(SESSION, URL).agg(F.max(PV).alias("last_id"))
-    later = (last_by_url.join(ent, SESSION, "inner")
-             .where(F.col("last_id") > F.col("first_entry"))
-             .select(URL))
-    last_pv = last_by_url.groupBy(SESSION).agg(F.max("last_id").alias("last_pv"))
-    none_after = (ent.join(last_pv, SESSION, "inner")
-                  .where(F.col("last_entry") >= F.col("last_pv"))
-                  .select(F.lit(None).cast("string").alias(URL)))
-    return later.unionByName(none_after).distinct()
+    entry = F.col(URL).isin(list(entry_urls))
+    if where is not None:
+        entry = entry & where
+    by_url = pageviews.groupBy(SESSION, URL).agg(
+        F.max(PV).alias("last_id"), F.min(F.when(entry, F.col(PV))).alias("_first"),
+        F.max(F.when(entry, F.col(PV))).alias("_last"))
+    of_session = Window.partitionBy(SESSION)
+    r = by_url.select(SESSION, URL, "last_id", F.min("_first").over(of_session).alias("first_entry"),
+                      F.max("_last").over(of_session).alias("last_entry"),
+                      F.max("last_id").over(of_session).alias("last_pv")).where("first_entry is not null")
+    known = F.col(SESSION).isNotNull()
+    later = F.when(known & (F.col("last_id") > F.col("first_entry")), F.struct(F.col(URL).alias(URL)))
+    none = F.when(~known | (F.col("last_entry") >= F.col("last_pv")),
+                  F.struct(F.lit(None).cast("string").alias(URL)))
+    found = r.select(F.explode(F.array_compact(F.array(later, none))).alias("u"))
+    return found.select(f"u.{URL}").distinct()
 
 
 # ---- W26 ----------------------------------------------------------------------------------------
@@ -234,8 +246,10 @@ def next_pageview(pageviews: DataFrame, entries: DataFrame,
     div = lambda c: F.call_function("div", c, F.lit(id_bucket))
     first = entries.groupBy(*keys).agg(F.min("entry_id").alias("entry_id"))
     fb = first.withColumn("_b", div(F.col("entry_id")))
-    pv = pageviews.select(SESSION, F.col(PV).alias("_id"), F.col(URL).alias("_url"),
-                          div(F.col(PV)).alias("_b"))
+    # no next page lies before the first entry of all: an exact floor that reaches the scan
+    floor = entries.agg(F.min("entry_id")).scalar()
+    pv = pageviews.where(F.col(PV) > floor).select(
+        SESSION, F.col(PV).alias("_id"), F.col(URL).alias("_url"), div(F.col(PV)).alias("_b"))
     within = (pv.join(fb, [SESSION, "_b"], "inner")
               .where(F.col("_id") > F.col("entry_id"))
               .groupBy(*keys).agg(F.min("_id").alias("_next")))
@@ -243,13 +257,17 @@ def next_pageview(pageviews: DataFrame, entries: DataFrame,
     later = (heads.join(fb.withColumnRenamed("_b", "_eb"), SESSION, "inner")
              .where(F.col("_b") > F.col("_eb"))
              .groupBy(*keys).agg(F.min("_head").alias("_next")))
-    nxt = (later.unionByName(within).groupBy(*keys).agg(F.min("_next").alias("_next"))
-           .withColumn("_b", div(F.col("_next"))))
-    with_url = (nxt.join(pv, [SESSION, "_b"], "inner")
+    # every key group, also one without a later pageview
+    groups = first.select(*keys, F.lit(None).cast("long").alias("_next"))
+    nxt = (later.unionByName(within).unionByName(groups).groupBy(*keys)
+           .agg(F.min("_next").alias("_next")).withColumn("_b", div(F.col("_next"))))
+    with_url = (nxt.where("_next is not null").join(pv, [SESSION, "_b"], "inner")
                 .where(F.col("_id") == F.col("_next"))
                 .select(*keys, F.col("_next").alias("next_pageview_id"),
                         F.col("_url").alias("next_pageview_url")))
-    return first.join(with_url, list(keys), "left").drop("entry_id")
+    without = nxt.where("_next is null").select(
+        *keys, F.col("_next").alias("next_pageview_id"), F.lit(None).cast("string").alias("next_pageview_url"))
+    return with_url.unionByName(without)
 
 
 def next_page_rows(pageviews: DataFrame, entry_url: str, where: Column | None, cut: Column,
@@ -274,9 +292,10 @@ def next_page_pathing(pageviews: DataFrame, entry_url: str, where: Column | None
     (``targets`` maps a column stem, e.g. 'mrfuzzy', to its url)."""
     rows = next_page_rows(pageviews, entry_url, where, cut, labels, id_bucket)
     nxt = F.col("next_pageview_url")
-    aggs = [F.count(F.lit(1)).alias("sessions"),
-            F.count(F.when(nxt.isNotNull(), 1)).alias("w_next_pg")]
-    aggs += [F.count(F.when(nxt == url, 1)).alias(f"to_{stem}") for stem, url in targets.items()]
+    aggs = [F.count(SESSION).alias("sessions"),
+            F.count(F.when(nxt.isNotNull(), F.col(SESSION))).alias("w_next_pg")]
+    aggs += [F.count(F.when(nxt == url, F.col(SESSION))).alias(f"to_{stem}")
+             for stem, url in targets.items()]
     agg = rows.groupBy("time_period").agg(*aggs)
     cols = ["time_period", "sessions", "w_next_pg",
             pct_round2("w_next_pg", "sessions").alias("pct_w_next_pg")]

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark import fixed_values as FV
@@ -29,7 +29,7 @@ URL = "pageview_url"
 def top_pages(pageviews: DataFrame, where: Column | None = None) -> DataFrame:
     """Distinct pageviews per url, most viewed first (pageview id is the key)."""
     return (apply_filter(pageviews, where).groupBy(URL)
-            .agg(F.count(F.lit(1)).alias("pvs"))
+            .agg(F.count(PV).alias("pvs"))
             .orderBy(F.desc("pvs")))
 
 
@@ -93,26 +93,41 @@ def landing_page(pageviews: DataFrame, sessions: DataFrame | None = None,
                  urls: Sequence[str] | None = None, with_pages: bool = False) -> DataFrame:
     """(website_session_id, landing_page), optionally only landing urls in ``urls``.
 
+    With ``urls`` the landing url is found by comparing ids, see ``_url_mins``.
+
     ``with_pages`` adds ``pages_viewed``, the session's count of *all* pageviews, from the same
     single aggregate: the landing page only looks at pageviews passing the filters
     (``min_by(url, when(filter, id))`` skips the others) while the count takes every row. Bounce
     analyses then need one pass over pageviews instead of two plus a join.
     """
-    if not with_pages:
-        lp = first_pageview_per_session(pageviews, sessions, session_where, where, min_pv_id,
-                                        strict, with_url=True).select(SESSION, "landing_page")
+    cond = _row_filter(where, min_pv_id, strict)
+    pv_id = F.col(PV) if cond is None or not with_pages else F.when(cond, F.col(PV))
+    pv = pageviews if with_pages else apply_filter(pageviews, cond)
+    aggs = [F.min(pv_id).alias("min_pv_id")]
+    if urls is None:
+        aggs.append(F.min_by(URL, pv_id).alias("landing_page"))
     else:
-        cond = _row_filter(where, min_pv_id, strict)
-        pv_id = F.col(PV) if cond is None else F.when(cond, F.col(PV))
-        lp = (pageviews.groupBy(SESSION)
-              .agg(F.min(pv_id).alias("min_pv_id"), F.min_by(URL, pv_id).alias("landing_page"),
-                   F.count(F.lit(1)).alias("pages_viewed"))
-              .where(F.col("min_pv_id").isNotNull())
-              .select(SESSION, "landing_page", "pages_viewed"))
-        if sessions is not None:
-            keep = apply_filter(sessions, session_where).select(SESSION)
-            lp = lp.join(keep, SESSION, "left_semi")
-    return lp if urls is None else lp.where(F.col("landing_page").isin(list(urls)))
+        aggs += _url_mins(urls, pv_id)
+    if with_pages:
+        aggs.append(F.count(F.lit(1)).alias("pages_viewed"))
+    lp = pv.groupBy(SESSION).agg(*aggs).where(F.col("min_pv_id").isNotNull())
+    if sessions is not None:
+        keep = apply_filter(sessions, session_where).select(SESSION)
+        lp = lp.join(keep, SESSION, "left_semi")
+    if urls is not None:
+        lp = lp.withColumn("landing_page", _landed_on(urls)).where("landing_page is not null")
+    return lp.select(SESSION, "landing_page", *(["pages_viewed"] if with_pages else []))
+
+
+def _url_mins(urls: Sequence[str], pv_id: Column) -> list[Column]:
+    """Lowest pageview id of each listed url: longs, so the aggregate stays hash-based (the url of
+    the lowest id, as a string, would sort every pageview)."""
+    return [F.min(F.when(F.col(URL) == u, pv_id)).alias(f"_u{i}") for i, u in enumerate(urls)]
+
+
+def _landed_on(urls: Sequence[str]) -> Column:
+    """The listed url whose lowest id is the session's lowest; NULL for other landing pages."""
+    return F.coalesce(*[F.when(F.col(f"_u{i}") == F.col("min_pv_id"), u) for i, u in enumerate(urls)])
 
 
 # ---- W13 ----------------------------------------------------------------------------------------
@@ -120,8 +135,23 @@ def landing_page(pageviews: DataFrame, sessions: DataFrame | None = None,
 def landing_page_volume(pageviews: DataFrame, where: Column | None = None) -> DataFrame:
     """Sessions per landing url, over pageviews passing ``where``."""
     lp = first_pageview_per_session(pageviews, where=where, with_url=True)
-    return lp.groupBy(F.col("landing_page").alias("landing_page_url")).agg(
-        F.count(F.lit(1)).alias("sessions_hitting_page"))
+    return _volume(lp)
+
+
+def _volume(landing: DataFrame) -> DataFrame:
+    # a landing row without a session id is no session: COUNT(DISTINCT id) skips it
+    return landing.groupBy(F.col("landing_page").alias("landing_page_url")).agg(
+        F.count(SESSION).alias("sessions_hitting_page"))
+
+
+def landing_page_volume_by_landing(pageviews: DataFrame, where_landing: Column) -> DataFrame:
+    """W13, second form: the first pageview is taken over the whole table, then landing rows are
+    kept by a condition on that pageview (its ``created_at`` or url). It differs from filtering
+    first wherever a session began outside the condition, or pageview ids are not in time order."""
+    first = pageviews.groupBy(SESSION).agg(
+        F.min_by(F.struct("created_at", URL), PV).alias("first"))
+    first = first.select(SESSION, "first.*").where(where_landing)
+    return _volume(first.withColumnRenamed(URL, "landing_page"))
 
 
 def landing_page_rows(pageviews: DataFrame, where: Column | None = None) -> DataFrame:
@@ -193,17 +223,19 @@ def bounce_rate_weekly(sessions: DataFrame, pageviews: DataFrame, session_where:
     midnight lands once per date. The original marks a landing (session, url) bounced when its
     landing rows times the session's page count is exactly 1, i.e. when the session has a single
     pageview. One aggregate per (date, session) yields the landing url and that day's page count;
-    the session's page count is rolled up from those few rows, so pageviews are read once. Two
-    aggregation levels, (week, session) then week, replace the distinct counts.
+    the session's page count is a windowed sum over those rows (one per day of a session), so
+    pageviews are read once. Two aggregation levels, (week, session) then week, replace the
+    distinct counts.
     """
+    urls = (home_url, lander_url)
     keep = apply_filter(sessions, session_where).select(SESSION)
     per_day = (pageviews.groupBy(F.to_date("created_at").alias("date"), SESSION)
-               .agg(F.min_by(URL, PV).alias("landing_page"), F.count(F.lit(1)).alias("n"))
+               .agg(F.min(PV).alias("min_pv_id"), *_url_mins(urls, F.col(PV)),
+                    F.count(F.lit(1)).alias("n"))
                .join(keep, SESSION, "left_semi"))
-    pages = per_day.groupBy(SESSION).agg(F.sum("n").alias("pages_viewed"))
-    lp = per_day.where(F.col("landing_page").isin(home_url, lander_url))
-    rows = lp.join(pages, SESSION).withColumn(
-        "bounced", F.when(F.col("pages_viewed") == 1, 1).otherwise(0))
+    pages = F.sum("n").over(Window.partitionBy(SESSION))
+    rows = (per_day.withColumn("bounced", F.when(pages == 1, 1).otherwise(0))
+            .withColumn("landing_page", _landed_on(urls)).where("landing_page is not null"))
     per_week_session = rows.groupBy(week0("date").alias("_wk"), SESSION).agg(
         F.min("date").alias("date"),
         F.max(F.when(F.col("bounced") == 1, 1).otherwise(0)).alias("bounced"),

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark import fixed_values as FV
-from trailmark.functions import dollars, month_name, pct_round2, ratio
+from trailmark.functions import big, dollars, month_name, pct_round2, ratio
 from trailmark.operators.common import (
     SESSION,
     apply_filter,
@@ -123,15 +123,31 @@ CART_LABELS = (FV.PRE_CROSS_SELL, FV.POST_CROSS_SELL, FV.PERIOD_SENTINEL)
 def _cart_session_facts(pageviews: DataFrame, orders: DataFrame, where: Column | None,
                         cut: Column, cart_url: str, labels: tuple[str, str, str]) -> DataFrame:
     """Per (time_period, cart session): cart views c, clicked (a pageview after the first cart
-    view of the period), and the session's order facts."""
-    carts = apply_filter(pageviews, where).where(F.col(URL) == cart_url)
-    per_period = carts.groupBy(
-        period_label(F.col("created_at"), cut, *labels).alias("time_period"), SESSION
-    ).agg(F.count(F.lit(1)).alias("c"), F.min(PV).alias("first_cart"))
-    last_pv = pageviews.groupBy(SESSION).agg(F.max(PV).alias("last_pv"))
-    j = per_period.join(last_pv, SESSION, "left").withColumn(
-        "clicked", F.when(F.col("last_pv") > F.col("first_cart"), 1).otherwise(0))
-    return j.join(orders_per_session(orders), SESSION, "left").withColumns({
+    view of the period), over all periods of the session all_c cart views and k periods clicked, and
+    the session's order facts.
+
+    One aggregate of ids and counts per session; a session then gives a row per period with a cart
+    view. Cart views without a session id keep their row, with no click and no order.
+    """
+    cart = F.col(URL) == cart_url
+    if where is not None:
+        cart = cart & where
+    period = period_label(F.col("created_at"), cut, *labels)
+    aggs = [F.max(PV).alias("last_pv")]
+    for i, label in enumerate(labels):
+        here = cart & (period == label)
+        aggs += [F.count(F.when(here, 1)).alias(f"_c{i}"), F.min(F.when(here, F.col(PV))).alias(f"_f{i}")]
+    per_session = pageviews.groupBy(SESSION).agg(*aggs)
+    index = range(len(labels))
+    clicked = [F.when(F.col(SESSION).isNotNull() & (F.col("last_pv") > F.col(f"_f{i}")), 1).otherwise(0)
+               for i in index]
+    per_session = per_session.select(
+        SESSION, sum((F.col(f"_c{i}") for i in index[1:]), F.col("_c0")).alias("all_c"),
+        sum(clicked[1:], clicked[0]).alias("k"),
+        F.explode(F.array(*[F.struct(F.lit(label).alias("time_period"), F.col(f"_c{i}").alias("c"),
+                                     clicked[i].alias("clicked")) for i, label in enumerate(labels)])).alias("p"))
+    rows = per_session.select(SESSION, "all_c", "k", "p.*").where("c > 0")
+    return rows.join(orders_per_session(orders), SESSION, "left").withColumns({
         "n_orders": F.coalesce("n_orders", F.lit(0)),
         "n_priced": F.coalesce("n_priced", F.lit(0)),
     })
@@ -140,7 +156,7 @@ def _cart_session_facts(pageviews: DataFrame, orders: DataFrame, where: Column |
 def _cart_report(rows: DataFrame, clicks: Column, placed: Column, items: Column, cents: Column,
                  priced: Column) -> DataFrame:
     g = rows.groupBy("time_period").agg(
-        F.count(F.lit(1)).alias("cart_sessions"),
+        F.count(SESSION).alias("cart_sessions"),
         F.sum(clicks).cast("bigint").alias("clickthroughs"),
         F.sum(placed).cast("bigint").alias("orders_placed"),
         F.sum(items).cast("bigint").alias("products_purchased"),
@@ -174,14 +190,11 @@ def cart_cross_sell_performance(pageviews: DataFrame, orders: DataFrame, where:
     multiplied out.
     """
     f = _cart_session_facts(pageviews, orders, where, cut, cart_url, labels)
-    per_session = Window.partitionBy(SESSION)  # at most one row per period and session
-    f = f.withColumns({"k": F.sum("clicked").over(per_session),
-                       "C": F.sum("c").over(per_session)})
-    k1 = F.greatest(F.col("k"), F.lit(1))
-    base = F.col("c") * k1 * F.col("C")
-    clicks = F.col("c") * F.col("k") * F.greatest(F.col("C") * F.col("n_orders"), F.lit(1))
-    return _cart_report(f, clicks, base * F.col("n_orders"), base * F.col("items"),
-                        base * F.col("revenue_cents"), base * F.col("n_priced"))
+    c, k, n = (big(F.col(x)) for x in ("c", "k", "n_orders"))
+    base = c * F.greatest(k, big(F.lit(1))) * big(F.col("all_c"))
+    clicks = c * k * F.greatest(big(F.col("all_c")) * n, big(F.lit(1)))
+    return _cart_report(f, clicks, base * n, base * big(F.col("items")),
+                        base * big(F.col("revenue_cents")), base * big(F.col("n_priced")))
 
 
 def cart_cross_sell_session_grain(pageviews: DataFrame, orders: DataFrame, where: Column | None,
@@ -202,7 +215,7 @@ def page_to_order_rate(pageviews: DataFrame, orders: DataFrame, where: Column |
     seen = apply_filter(pageviews, where).where(F.col(URL).isin(list(urls))).select(
         URL, SESSION).distinct()
     j = seen.join(orders_per_session(orders).select(SESSION, "n_orders"), SESSION, "left")
-    g = j.groupBy(URL).agg(F.count(F.lit(1)).alias("sessions"),
+    g = j.groupBy(URL).agg(F.count(SESSION).alias("sessions"),
                            F.coalesce(F.sum("n_orders"), F.lit(0)).cast("bigint").alias("orders"))
     return g.withColumn("viewed_product_to_order_rate", ratio("orders", "sessions"))
 
@@ -237,7 +250,7 @@ def refund_rates(items: DataFrame, refunds: DataFrame, where: Column | None = No
                           F.month(c).cast("bigint").alias("month"), "order_id").agg(
         F.sum("n_ref").alias("n_ref"))
     g = per_order.groupBy("yr", "month").agg(
-        F.count(F.lit(1)).alias("total_orders"),
+        F.count("order_id").alias("total_orders"),
         F.sum("n_ref").cast("bigint").alias("total_refunds"))
     return g.withColumn("refund_conv_rt", ratio("total_refunds", "total_orders"))
 

@@ -39,12 +39,15 @@ def session_order_join(sessions: DataFrame, orders: DataFrame,
         "price_cents",
         "cogs_cents",
     )
-    s = apply_filter(sessions.select(*SESSION_COLS), where)
+    # the session id is the key; with the same condition on both branches they share an exchange
+    known = F.col(SESSION).isNotNull()
+    o = o.where(known)
+    s = apply_filter(sessions.select(*SESSION_COLS), where).where(known)
     # left join = matched rows ∪ sessions without orders. The inner part can be split by adaptive
     # execution on either side when one session holds very many orders; the anti part meets one
     # pre-deduplicated id per session.
     matched = s.join(o, SESSION, "inner")
-    with_orders = orders.select(SESSION).distinct()
+    with_orders = o.select(SESSION).distinct()
     unmatched = s.join(with_orders, SESSION, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)
 

@@ -29,7 +29,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.sources.tables import read_table
@@ -102,14 +102,14 @@ def order_items(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """One item per (order, line number); the lowest line number of an order is its primary item.
 
     Lines are aggregated first (partial aggregation collapses repeated (order, line) rows, even
-    of an order holding a large share of lineitem), then joined one row per order to the order
-    date and the order's first line.
+    of an order holding a large share of lineitem). The order's first line is windowed over its
+    few distinct lines, and not planned at all where ``is_primary_item`` is not used.
     """
     lines = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_partkey").alias("min_part"), F.min("l_extendedprice").alias("min_price"))
-    first = lineitem.groupBy("l_orderkey").agg(F.min("l_linenumber").alias("first_line"))
+    lines = lines.withColumn("first_line", F.min("l_linenumber").over(Window.partitionBy("l_orderkey")))
     o = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
-    grouped = lines.join(o, "l_orderkey").join(first, "l_orderkey")
+    grouped = lines.join(o, "l_orderkey")
     return grouped.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_item_id"),
         F.col("o_orderdate").alias("created_at"),
@@ -143,23 +143,27 @@ def order_item_refunds(lineitem: DataFrame) -> DataFrame:
     )
 
 
+NO_PART = 1 << 40  # stands for a NULL part key, above every other
+
+
 def store_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Orders with their primary product and item count, from one per-order aggregate of lineitem.
 
     Equal to joining ``order_items`` back (primary item, item count) but with a single partially
-    aggregated pass: the primary item is the lowest line number, its product comes from that
-    line's smallest part key, so ``min(struct(line, part is null, part))`` over non-null lines
-    yields both; items are the distinct line numbers (a NULL line number would be one item too).
+    aggregated pass: the primary item is the lowest line number and its product comes from that
+    line's smallest part key, so the minimum of line and part packed into one long yields both (a
+    fixed-width buffer, so the aggregate stays hash-based). Items are the distinct line numbers
+    (a NULL line number would be one item too). Line numbers stay below 2**22, part keys below 2**40.
     """
-    line = F.col("l_linenumber")
+    line = F.col("l_linenumber").cast("long")
+    part = F.coalesce(F.col("l_partkey").cast("long"), F.lit(NO_PART))
     per_order = lineitem.groupBy("l_orderkey").agg(
-        F.min(F.when(line.isNotNull(), F.struct(
-            line.alias("line"), F.col("l_partkey").isNull().alias("no_part"),
-            F.col("l_partkey").alias("part")))).alias("first"),
+        F.min(line * (2 * NO_PART) + part).alias("first"),
         (F.count_distinct(line) + F.max(F.when(line.isNull(), 1).otherwise(0)))
         .alias("items_purchased"),
         F.count(line).alias("n_lines"),
     ).where(F.col("n_lines") > 0)  # a primary item exists; lets unused aggregates be pruned
+    first_part = F.nullif(F.col("first") % (2 * NO_PART), F.lit(NO_PART))
     o = orders.select(
         F.col("o_orderkey").alias("l_orderkey"),
         F.col("o_orderdate").alias("created_at"),
@@ -168,7 +172,7 @@ def store_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     )
     return o.join(per_order, "l_orderkey").select(
         F.col("l_orderkey").alias("order_id"), "created_at",
-        (F.col("first.part") % 4 + 1).alias("primary_product_id"),
+        (first_part % 4 + 1).alias("primary_product_id"),
         F.col("items_purchased").cast("bigint").alias("items_purchased"),
         "price_cents", "cogs_cents",
     )
