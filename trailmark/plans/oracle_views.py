@@ -1,9 +1,9 @@
 """DuckDB text of the derived tables and SQL helper snippets for the oracle queries.
 
-The oracle runs the analyses the way they were first written (``COUNT(DISTINCT ...)`` over the
-joined rows, temp tables as CTEs) on a second engine, so it checks both the Spark rewrites and the
-derivation of the commerce tables. Only the raw tables are registered there; the derived tables
-are inlined as CTEs.
+The oracle computes the analyses on a second engine from rows, without the Spark side's per-key
+aggregates: it joins first and counts distinct non-null ids over the joined rows, or uses windows,
+``FILTER`` and ``EXISTS``. Rows, periods and measures that several analyses share are helpers here.
+Only the raw tables are registered there; the derived tables are inlined as CTEs.
 """
 
 from __future__ import annotations
@@ -51,10 +51,50 @@ def with_views(sql: str, *temp: tuple[str, str]) -> str:
 
 # ---- snippets (DuckDB dialect) ------------------------------------------------------------------
 
+SESSIONS = "count(DISTINCT website_session_id)"
+ORDERS = "count(DISTINCT order_id)"
+CENTS = "sum(price_cents)"
+
+# sessions with their orders (a session without orders keeps one row with NULL order columns)
+SESSION_ORDERS = ("so", """
+SELECT s.*, o.order_id, o.created_at AS order_created_at, o.primary_product_id,
+       o.items_purchased, o.price_cents, o.cogs_cents
+FROM website_sessions s LEFT JOIN web_orders o USING (website_session_id)""")
+
+# pageviews with the orders of their session
+PAGE_ORDERS = ("page_orders", """
+SELECT p.*, o.order_id, o.price_cents
+FROM website_pageviews p LEFT JOIN web_orders o USING (website_session_id)""")
+
+# items with their refunds
+ITEM_REFUNDS = ("item_refunds", """
+SELECT i.*, r.order_item_refund_id, r.refund_cents, r.created_at AS refund_date
+FROM order_items i LEFT JOIN order_item_refunds r USING (order_item_id)""")
+
+
 def ts(value: str) -> str:
     return f"TIMESTAMP '{value}'"
 
 
+def during(start: str, end: str, x: str = "created_at") -> str:
+    return f"{x} BETWEEN {ts(start)} AND {ts(end)}"
+
+
+def period(cut: str, before: str, after: str, other: str, x: str = "created_at") -> str:
+    """Label of a time: before the cut, from it on, or unknown."""
+    return f"CASE WHEN {x} < {ts(cut)} THEN '{before}' WHEN {x} >= {ts(cut)} THEN '{after}' ELSE '{other}' END"
+
+
+def year_month(x: str = "created_at", year: str = "yr", month: str = "month") -> str:
+    return f"{big(f'year({x})')} AS {year}, {big(f'month({x})')} AS {month}"
+
+
+def money(average: str | None = None) -> str:
+    """Revenue and margin in dollars, and the average price under a name."""
+    out = "sum(price_cents) / 100 AS revenue, sum(price_cents - cogs_cents) / 100 AS margin"
+    return out + (f", avg(price_cents) / 100 AS {average}" if average else "")
+
+
 def to_date(x: str) -> str:
     return f"CAST({x} AS DATE)"
 

@@ -12,7 +12,7 @@ from trailmark.plans.oracle_views import ts as sts
 from trailmark.plans.q_pages import GN, sessions_in
 from trailmark.plans.registry import register
 
-DEMO_START, DEMO_END = "2024-01-01", "2024-02-01"      # '2014-01-01' .. '2014-02-01'
+DEMO_START, DEMO_END = "2024-01-04", "2024-01-24"      # '2014-01-01' .. '2014-02-01'
 LANDER_START, LANDER_END = "2024-01-03", "2024-01-28"  # '2012-06-19' .. '2012-07-28', open
 FLAGS2_START, FLAGS2_END = "2024-01-05", "2024-01-25"  # '2012-08-05' .. '2012-09-05'
 PRODUCT_START, PRODUCT_END = "2024-01-06", "2024-01-27"  # '2013-01-06' .. '2013-04-10', open
@@ -25,9 +25,12 @@ def _gsearch_nonbrand():
     return (C("utm_source") == FV.GSEARCH) & (C("utm_campaign") == FV.NONBRAND)
 
 
+N = "count(website_session_id)"  # a row without a session id is no session
+
+
 def _n(flag: str) -> str:
     """Oracle: sessions (one row each) with the flag set."""
-    return f"count(*) FILTER (WHERE {flag} = 1)"
+    return f"{N} FILTER (WHERE {flag} = 1)"
 
 
 def _flag(url: str) -> str:
@@ -99,7 +102,7 @@ SEGMENT_FLAGS = ["product_made_it", "mrfuzzy_made_it", "cart_made_it", "shipping
 
 
 def _segment_sql() -> str:
-    rates = ",\n       ".join(f"{pct2(_n(f), 'count(*)')} AS {r}"
+    rates = ",\n       ".join(f"{pct2(_n(f), N)} AS {r}"
                               for f, r in zip(SEGMENT_FLAGS, SEGMENT_RATES))
     return with_views(f"""
 SELECT CASE WHEN saw_homepage = 1 THEN 'saw_homepage'
@@ -180,9 +183,9 @@ GROUP BY website_session_id""")
 
 
 @register("funnel_click_rates", "W22", with_views(f"""
-SELECT count(*) AS sessions,
+SELECT {N} AS sessions,
        {_n('product_made_it')} AS clicked_to_products,
-       {ratio(_n('product_made_it'), 'count(*)')} * 100 AS lander_clickedthrough_rate,
+       {ratio(_n('product_made_it'), N)} * 100 AS lander_clickedthrough_rate,
        {_n('mrfuzzy_made_it')} AS clicked_to_mrfuzzy,
        {ratio(_n('mrfuzzy_made_it'), _n('product_made_it'))} * 100 AS products_clickedthrough_rate,
        {_n('cart_made_it')} AS clicked_to_cart,
@@ -239,7 +242,7 @@ def multi_entry_flags(d):
 
 
 @register("multi_entry_funnel", "W24", with_views(f"""
-SELECT product_seen, count(*) AS sessions,
+SELECT product_seen, {N} AS sessions,
        {_n('cart_made_it')} AS to_cart, {_n('shipping_made_it')} AS to_shipping,
        {_n('billing_made_it')} AS to_billing, {_n('thankyou_made_it')} AS to_thankyou
 FROM product_flags
@@ -254,7 +257,7 @@ PRODUCT_RATES = ["product_page_click_rt", "cart_page_click_rt", "shipping_page_c
 
 
 def _product_rates_sql() -> str:
-    prev = ["count(*)"] + [_n(f) for f, _ in PRODUCT_STEPS]
+    prev = [N] + [_n(f) for f, _ in PRODUCT_STEPS]
     rates = ",\n       ".join(f"{pct2(prev[i + 1], prev[i])} AS {n}"
                               for i, n in enumerate(PRODUCT_RATES))
     return with_views(f"""
@@ -295,8 +298,9 @@ FROM (SELECT website_session_id, website_pageview_id, pageview_url, created_at,
              CASE WHEN created_at < {sts(PATH_CUT)} THEN 'A. Pre_Product_2'
                   WHEN created_at >= {sts(PATH_CUT)} THEN 'B. Post_Product_2'
                   ELSE 'check logic' END AS time_period,
-             lead(pageview_url) OVER (PARTITION BY website_session_id
-                                      ORDER BY website_pageview_id) AS next_url
+             CASE WHEN website_session_id IS NOT NULL
+                  THEN lead(pageview_url) OVER (PARTITION BY website_session_id
+                                                ORDER BY website_pageview_id) END AS next_url
       FROM website_pageviews) AS p
 WHERE pageview_url = '/products'
   AND created_at > {sts(PATH_START)} AND created_at < {sts(PATH_END)}
@@ -316,13 +320,13 @@ def next_page_rows(d):
 
 
 @register("next_page_pathing", "W26", with_views(f"""
-SELECT time_period, count(*) AS sessions,
+SELECT time_period, {N} AS sessions,
        count(next_pageview_url) AS w_next_pg,
-       {pct2('count(next_pageview_url)', 'count(*)')} AS pct_w_next_pg,
-       count(*) FILTER (WHERE next_pageview_url = '/the-original-mr-fuzzy') AS to_mrfuzzy,
-       {pct2("count(*) FILTER (WHERE next_pageview_url = '/the-original-mr-fuzzy')", 'count(*)')} AS pct_to_mrfuzzy,
-       count(*) FILTER (WHERE next_pageview_url = '/the-forever-love-bear') AS to_lovebear,
-       {pct2("count(*) FILTER (WHERE next_pageview_url = '/the-forever-love-bear')", 'count(*)')} AS pct_to_lovebear
+       {pct2('count(next_pageview_url)', N)} AS pct_w_next_pg,
+       {N} FILTER (WHERE next_pageview_url = '/the-original-mr-fuzzy') AS to_mrfuzzy,
+       {pct2(N + " FILTER (WHERE next_pageview_url = '/the-original-mr-fuzzy')", N)} AS pct_to_mrfuzzy,
+       {N} FILTER (WHERE next_pageview_url = '/the-forever-love-bear') AS to_lovebear,
+       {pct2(N + " FILTER (WHERE next_pageview_url = '/the-forever-love-bear')", N)} AS pct_to_lovebear
 FROM path_rows
 GROUP BY time_period""", _PATH_ROWS))
 def next_page_pathing(d):

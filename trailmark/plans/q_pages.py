@@ -14,15 +14,17 @@ from trailmark.plans.registry import register
 TOP_END = "2024-01-09"                 # '2012-06-09'
 LANDING_END = "2024-01-12"             # '2012-06-12'
 BOUNCE_END = "2024-01-14"              # '2012-06-14'
-DEMO_START, DEMO_END = "2024-01-01", "2024-02-01"      # '2014-01-01' .. '2014-02-01'
+DEMO_START, DEMO_END = "2024-01-04", "2024-01-24"      # '2014-01-01' .. '2014-02-01'
 WEEKLY_START, WEEKLY_END = "2024-01-01", "2024-01-29"  # '2012-06-01' .. '2012-08-31'
 TEST_END = "2024-01-28"                # '2012-07-28'
 SEEN_END = "2024-01-27"                # '2012-11-27'
 
 C = F.col
 
+# the new landing page counts as launched on this day (the test data has it from the start)
+LANDER_LAUNCH = "2024-01-05"
 FIRST_LANDER_SQL = ("(SELECT min(website_pageview_id) FROM website_pageviews "
-                    "WHERE pageview_url = '/lander-1')")
+                    f"WHERE pageview_url = '/lander-1' AND created_at >= {sts(LANDER_LAUNCH)})")
 GN = "utm_source = 'gsearch' AND utm_campaign = 'nonbrand'"
 
 
@@ -136,7 +138,8 @@ def test_landing(d, strict: bool = False, with_pages: bool = False):
     """Landing pages of the landing-page test sessions (original PERF Q6 / STEP test form)."""
     return P.landing_page(
         d.pageviews, d.sessions, (C("created_at") < ts(TEST_END)) & gsearch_nonbrand(),
-        min_pv_id=P.first_seen_id(d.pageviews, FV.LANDER_1), strict=strict,
+        min_pv_id=P.first_seen_id(d.pageviews.where(C("created_at") >= ts(LANDER_LAUNCH)), FV.LANDER_1),
+        strict=strict,
         urls=[FV.HOME, FV.LANDER_1], with_pages=with_pages)
 
 
@@ -146,13 +149,25 @@ def landing_page(d):
 
 
 @register("landing_page_volume", "W13", with_views(f"""
-SELECT landing_page AS landing_page_url, count(*) AS sessions_hitting_page
+SELECT landing_page AS landing_page_url, count(website_session_id) AS sessions_hitting_page
 FROM ({landing_sql(f"created_at < {sts(LANDING_END)}")}) AS l
 GROUP BY landing_page"""))
 def landing_page_volume(d):
     return P.landing_page_volume(d.pageviews, C("created_at") < ts(LANDING_END))
 
 
+# the first pageview of the whole table, kept by its own date
+_BY_LANDING = f"SELECT * FROM ({landing_sql().replace('pageview_url AS', 'created_at, pageview_url AS')}) AS l WHERE created_at < {sts(LANDING_END)}"
+
+
+@register("landing_page_volume_by_landing", "W13", with_views(f"""
+SELECT landing_page AS landing_page_url, count(website_session_id) AS sessions_hitting_page
+FROM ({_BY_LANDING}) AS l
+GROUP BY landing_page"""))
+def landing_page_volume_by_landing(d):
+    return P.landing_page_volume_by_landing(d.pageviews, C("created_at") < ts(LANDING_END))
+
+
 @register("landing_page_rows", "W13", with_views("""
 SELECT website_session_id, pageview_url, website_pageview_id AS min_pv_id
 FROM website_pageviews
@@ -241,8 +256,8 @@ def first_seen(d):
     return P.first_seen(d.pageviews, FV.LANDER_1)
 
 
-@register("first_seen_pv", "W17", with_views(f"""
-SELECT {FIRST_LANDER_SQL} AS first_pv"""))
+@register("first_seen_pv", "W17", with_views("""
+SELECT min(website_pageview_id) AS first_pv FROM website_pageviews WHERE pageview_url = '/lander-1'"""))
 def first_seen_pv(d):
     return P.first_seen_pv(d.pageviews, FV.LANDER_1)
 

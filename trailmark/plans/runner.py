@@ -36,6 +36,14 @@ class StoredTables:
     base: str
     tables: dict[str, str] | None = None  # catalog names when written as bucketed tables
 
+    def drop(self) -> None:
+        """Drops the catalog tables and deletes the written files."""
+        for name in (self.tables or {}).values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
     def _read(self, name: str) -> DataFrame:
         if self.tables:
             return self.spark.table(self.tables[name])
@@ -69,7 +77,7 @@ class StoredTables:
 def materialize(spark: SparkSession, data, base: str | None = None,
                 buckets: int | None = None) -> StoredTables:
     """Write the six tables of ``data`` under ``base`` (default: a new folder in the session's
-    checkpoint folder) and return readers of the written files.
+    checkpoint folder) and return readers of the written files; their ``drop()`` deletes them again.
 
     With ``buckets``, each table is written bucketed (and sorted) by its join key
     (``BUCKET_KEYS``) as an external catalog table whose files stay under ``base``: joins and
