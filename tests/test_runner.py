@@ -1,5 +1,7 @@
 """Reports over tables materialised once in the checkpoint folder equal reports over the raw data."""
 
+import os
+
 from trailmark.plans import registry
 from trailmark.plans.runner import materialize, run_reports
 from trailmark.sources import CommerceData
@@ -37,3 +39,8 @@ def test_bucketed_tables_remove_session_shuffles(spark, small_dir):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert rows_bucketed == rows_plain
     assert ex_bucketed < ex_plain
+    names = list(bucketed.tables.values())
+    for d in (plain, bucketed):
+        d.drop()
+        assert not os.path.exists(d.base.removeprefix("file:"))
+    assert not any(spark.catalog.tableExists(n) for n in names)

@@ -71,3 +71,30 @@ def test_register_views_for_sql_users(spark, written):
     assert sql.orders == derived.orders.count()
     cents = derived.orders.agg(F.sum("price_cents")).collect()[0][0]
     assert int(sql.revenue * 100) == cents
+
+
+def test_jdbc_reader_wants_partitioning_and_all_columns(spark):
+    from trailmark.sources import commerce_tables as ct
+
+    with pytest.raises(ValueError, match="no partitioning"):
+        ct.jdbc_reader(spark, "jdbc:none", {})("orders")
+    with pytest.raises(ValueError, match="orders lacks .*cogs_usd"):
+        ct.declared_columns(spark.range(1).withColumnRenamed("id", "order_id"), "orders")
+
+
+def test_checkpoint_folder_is_local_only_without_a_cluster(monkeypatch):
+    from trailmark import session
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())

@@ -9,7 +9,6 @@ sources    typed readers for the raw tables and the derived website / store tabl
 functions  Column helpers with fixed semantics (week-0, month names, exact percentages, money)
 operators  the analyses: traffic, pages, funnels, experiments, products
 plans      query registry (parameters bound to the test data) and the DuckDB oracle SQL
-streaming  intentionally empty: the analyses are batch reports (no watermark, window or state)
 """
 
 from trailmark.session import get_spark, checkpoint_dir

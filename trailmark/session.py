@@ -43,10 +43,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only where none is configured.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage and is taken as is; a private
-    temporary folder is only created for local runs (tests) where the setting is absent.
+    temporary folder is only created for runs inside one process (tests) where the setting is
+    absent. Anywhere else its absence is an error: other machines would not see the files.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder (master is {master})")
         configured = tempfile.mkdtemp(prefix="trailmark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)

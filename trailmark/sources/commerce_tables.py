@@ -72,7 +72,7 @@ def to_cents(c: str) -> F.Column:
 
 def file_reader(spark: SparkSession, base_dir: str, fmt: str = "parquet",
                 options: Mapping[str, str] | None = None) -> Callable[[str], DataFrame]:
-    """Reader of ``{base_dir}/{table}[.{fmt}]`` with the declared schema."""
+    """Reader of ``{base_dir}/{table}`` (a folder or file of that name) with the declared schema."""
     opts = dict(options or {})
     if fmt == "csv":
         opts.setdefault("header", "true")
@@ -85,30 +85,36 @@ def file_reader(spark: SparkSession, base_dir: str, fmt: str = "parquet",
     return read
 
 
-def jdbc_reader(spark: SparkSession, url: str, properties: Mapping[str, str] | None = None,
-                partitioning: Mapping[str, tuple[str, int, int, int]] | None = None
-                ) -> Callable[[str], DataFrame]:
+def jdbc_reader(spark: SparkSession, url: str, partitioning: Mapping[str, tuple[str, int, int, int]],
+                properties: Mapping[str, str] | None = None) -> Callable[[str], DataFrame]:
     """Reader of tables from a database the user already runs (e.g. the original MySQL server).
 
-    ``partitioning`` maps a table to (column, lower, upper, partitions) so the read is split into
-    parallel range queries instead of one connection pulling the whole table.
+    ``partitioning`` maps every table that is read to (column, lower, upper, partitions), so the
+    read is split into parallel range queries; a table without it, or without a declared column, is
+    an error (one connection would pull it whole, or a column would go missing).
     """
     props = dict(properties or {})
 
     def read(table: str) -> DataFrame:
-        if partitioning and table in partitioning:
-            col, lo, hi, n = partitioning[table]
-            df = spark.read.jdbc(url, table, column=col, lowerBound=lo, upperBound=hi,
-                                 numPartitions=n, properties=props)
-        else:
-            df = spark.read.jdbc(url, table, properties=props)
-        schema = TABLE_SCHEMAS[table]
-        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields
-                           if f.name in df.columns])
+        if table not in partitioning:
+            raise ValueError(f"no partitioning given for table {table}")
+        col, lo, hi, n = partitioning[table]
+        df = spark.read.jdbc(url, table, column=col, lowerBound=lo, upperBound=hi,
+                             numPartitions=n, properties=props)
+        return declared_columns(df, table)
 
     return read
 
 
+def declared_columns(df: DataFrame, table: str) -> DataFrame:
+    """The declared columns of ``table`` in their declared types; all must be there."""
+    fields = TABLE_SCHEMAS[table].fields
+    missing = [f.name for f in fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"table {table} lacks {', '.join(missing)}")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+
+
 @dataclass
 class CommerceTables:
     """The five original tables, exposed with the interface of ``CommerceData``."""
