@@ -48,3 +48,9 @@ def test_plan_summary_drops_initial_plans_and_counts_operators():
     assert s["joins"] == {"SortMergeJoin": 1}
     assert s["aggs"] == {"HashAggregate": 2}
     assert s["scans"] == [("events", "IsNotNull(a)", "struct<a:bigint>")]
+
+
+def test_pushed_filters_of_cut_lines_are_read():
+    line = ("FileScan parquet [a] Location: X [file:/d/events.parquet], "
+            "PushedFilters: [IsNotNull(a), GreaterThan(a,5), Or(EqualTo(b,x),...")
+    assert summarize(line)["scans"][0][1].startswith("IsNotNull(a), GreaterThan(a,5)")
