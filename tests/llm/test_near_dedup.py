@@ -36,8 +36,7 @@ def test_chains_of_gradual_edits(spark):
     check(spark, rows)
 
 
-def test_a_large_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "CHAIN", 8)
+def test_a_large_group_of_near_copies(spark):
     rng = random.Random(8)
     base = sentence(rng, 100).split()
     rows = []
@@ -57,6 +56,19 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in twice) == sorted(
         2 * [(1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True), (5, 5, True)] + [(-1, 1, False), (-1, -1, True)])
     assert near_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    named = spark.createDataFrame(rows, SCHEMA).withColumn("n_shingles", near_dedup.F.lit("x"))
+    out = near_dedup.near_duplicates(named, keep=named.columns)
+    assert out.columns == [c for c in named.columns if c not in ("n_shingles", "kept")] + ["n_shingles", "component_id", "kept", "group_key"]
+    keys = {r.doc_id: r.group_key for r in out.collect()}
+    assert keys[1] == keys[2] != keys[5] and keys[3] is None and keys[4] is None
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    rng = random.Random(3)
+    a, b = sentence(rng, 60), sentence(rng, 60)
+    rows = [(5, a), (5, b), (7, a), (9, b), (11, sentence(rng, 60))]
+    got = near_dedup.near_duplicates(spark.createDataFrame([(d, t, "", "", 0, True) for d, t in rows], SCHEMA)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5), (5, 5), (7, 5), (9, 5), (11, 11)]
 
 
 def test_registers_merge_and_estimate():

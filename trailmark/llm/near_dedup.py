@@ -6,21 +6,23 @@ the exponentially spaced, truncated minimum of an exponential hash over the set,
 maximum, and two sketches share a register with a probability close to the Jaccard similarity of
 their sets (base ``b`` near 1).
 
-1. Documents with the same set form a class (one aggregation); only classes go on.
+1. Documents with the same set form a class (one aggregation), named by its least id; only
+   classes go on.
 2. Bands of ``BAND`` registers hash a class into buckets. A pair at similarity 0.75 shares at least
    one of 32 buckets with probability above 0.99999.
-3. Within a bucket no pairs are listed in full: every member meets the bucket's first member in a
-   per-band random order and the member before it, two pairs a member however large the bucket.
-   Pairs that differ too much in size, or whose joint likelihood estimate from the two sketches and
-   the known set sizes lies ``SLACK`` below the threshold, are dropped.
+3. Within a bucket no pairs are listed in full: every member meets the member that is first in a
+   random order, so a bucket gives a pair per member however large it is. Pairs that differ
+   too much in size, or whose joint likelihood estimate from the two sketches and the known set
+   sizes lies ``SLACK`` below the threshold, are dropped.
 4. The rest is verified on the full sets, recomputed from the texts.
 5. Verified links join classes into components. Buckets that still hold several components are
-   taken again with another random order, so that links between members which both differ from the
-   first one are met too, until a whole round adds no link.
+   taken again with ``PIVOTS`` other orders a round, so that links between members which both
+   differ from the first one are met too, until a whole round adds no link. No pair is checked
+   twice.
 
 Only ids, sketches and the texts of candidates are shuffled. A bucket, class or component may hold
-any share of the rows: firsts are found by partial aggregation, and chains run in salted parts of
-a bucket of bounded size.
+any share of the rows: pivots are minima found by partial aggregation, and the joins that follow
+have one row per key on one side.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm import textbytes as tb
@@ -43,7 +45,7 @@ BASE = 1.001
 RATE = 20.0
 LIMIT = (1 << 16) - 2
 SLACK = 0.17  # above four standard errors of the estimate at the threshold
-CHAIN = 512
+PIVOTS = 4
 MAX_ROUNDS = 20
 
 U64 = np.uint64
@@ -94,7 +96,7 @@ def class_key(s: np.ndarray) -> bytes:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk, sets in sets_of(batch.column(1)):
-            ids = batch.column(0).slice(chunk.lo, chunk.hi - chunk.lo)
+            ids, row = (batch.column(c).slice(chunk.lo, chunk.hi - chunk.lo) for c in (0, 2))
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
             registers: list = [None] * len(sets)
@@ -112,8 +114,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([
                 ids, pa.array(sizes, pa.int64()),
                 pa.array([class_key(s) if len(s) else None for s in sets], pa.binary()),
-                pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "cls", "registers", "bands"])
+                pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64())), row],
+                names=["doc_id", "n_shingles", "cls", "registers", "bands", "row"])
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -157,97 +159,131 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, batch.num_rows, 512):
             some = batch.slice(lo, 512)
             keep = []
-            for x, y, a, b in zip(sets(some.column("a_text")), sets(some.column("b_text")),
-                                  some.column("a").to_pylist(), some.column("b").to_pylist()):
+            for x, y in zip(sets(some.column("a_text")), sets(some.column("b_text"))):
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                # texts come by document id; where ids repeat, only the classes asked for count
-                right = len(x) and len(y) and class_key(x) == a and class_key(y) == b
-                keep.append(bool(right) and 100 * both >= THRESHOLD * (len(x) + len(y) - both))
+                keep.append(both > 0 and 100 * both >= THRESHOLD * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def bucket_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs ``(a, b)`` with a < b: per bucket, each member with the bucket's first member and with
-    the one before it, in the random order of this turn. ``members`` has band, cls and label; only
-    pairs with different labels count."""
-    m = members.withColumn("r", F.xxhash64("cls", "band", F.lit(turn)))
-    firsts = m.groupBy("band").agg(F.min(F.struct("r", "cls", "label")).alias("f"), F.count(F.lit(1)).alias("n"))
-    firsts = firsts.where("n > 1").select(F.col("band").alias("band_f"), "f", "n")
-    m = m.join(firsts, F.col("band") == F.col("band_f"))
-    star = m.select("cls", "label", F.col("f.cls").alias("other"), F.col("f.label").alias("other_label"))
-    part = F.pmod("r", F.ceil(F.col("n") / CHAIN))
-    before = Window.partitionBy("band", "part").orderBy("r", "cls")
-    chain = (m.where("n > 2").withColumn("part", part)
-             .select("cls", "label", F.lag("cls").over(before).alias("other"), F.lag("label").over(before).alias("other_label")))
-    return (star.union(chain).where("other is not null and label <> other_label")
-            .select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct())
-
-
-def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose sets reach the threshold, by estimate and then on the whole texts."""
+    """Pairs ``(a, b)``, a < b, of each bucket's members with its pivots of this turn. ``members`` has
+    band, node, n (set size) and label; pairs of one label or too different sizes are left out.
+
+    The first turn has one pivot a bucket, by one of ``PIVOTS`` random orders of all members that the
+    band picks, so a group that shares many buckets has few pivots in all; later turns have
+    ``PIVOTS``, the first in random orders of the labels, so a label of few members is met as often
+    as a large one.
+    """
+    low = (1 << 20) - 1
+    spread = F.pmod(F.xxhash64("band"), F.lit(PIVOTS))
+
+    def order(j: int) -> Column:
+        salt = F.lit(turn * PIVOTS + j)
+        of_node = F.xxhash64("node", spread, salt)
+        if not turn:
+            return of_node
+        return F.xxhash64("label", spread, salt).bitwiseAND(F.lit(~low)).bitwiseOR(of_node.bitwiseAND(F.lit(low)))
+
+    count = PIVOTS if turn else 1
+    firsts = members.groupBy("band").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"),
+        *[F.min_by(c, order(j)).alias(f"{c}_{j}") for j in range(count) for c in ("node", "n", "label")])
+    firsts = firsts.where("lo <> hi").select(F.col("band").alias("band_f"), F.array(*[
+        F.struct(F.col(f"node_{j}").alias("node"), F.col(f"n_{j}").alias("n"), F.col(f"label_{j}").alias("label"))
+        for j in range(count)]).alias("pivots"))
+    other = F.filter(F.array_distinct("pivots"), lambda p: (p["label"] != F.col("label"))
+                     & (F.least(F.col("n"), p["n"]) * 100 >= F.greatest(F.col("n"), p["n"]) * THRESHOLD))
+    met = (members.join(firsts, F.col("band") == F.col("band_f"))
+           .select("node", F.explode(other).alias("p")))
+    return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+
+
+def _likely_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that may reach the threshold by the estimate from their sketches."""
     def side(s: str) -> DataFrame:
-        return classes.select(F.col("cls").alias(s), F.col("registers").alias(f"{s}_registers"),
-                              F.col("n_shingles").alias(f"{s}_n"), F.col("doc_id").alias(f"{s}_doc"))
+        return classes.select(F.col("node").alias(s), F.col("registers").alias(f"{s}_registers"), F.col("n").alias(f"{s}_n"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "a_n", "b_n", "a_registers", "b_registers").mapInArrow(_likely, "a long, b long")
 
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * THRESHOLD)
-    likely = stored(sized.select("a", "b", "a_n", "b_n", "a_registers", "b_registers").mapInArrow(_likely, "a binary, b binary"), "likely")
-    wanted = likely.select(F.col("a").alias("cls")).union(likely.select("b")).distinct()
-    wanted = classes.select("cls", "doc_id").join(wanted, "cls")
-    texts = stored(docs.select(F.col("doc_id").alias("d"), "text").join(wanted, F.col("d") == F.col("doc_id")).select("cls", "text"), "texts")
-    a = texts.select(F.col("cls").alias("a"), F.col("text").alias("a_text"))
-    b = texts.select(F.col("cls").alias("b"), F.col("text").alias("b_text"))
-    found = likely.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(_verify, "a binary, b binary")
-    return stored(found.distinct(), "links")
 
+def _linked(likely: DataFrame, texts: DataFrame) -> DataFrame:
+    """The likely pairs whose whole sets reach the threshold."""
+    wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    held = stored(texts.join(wanted, F.col("doc_id") == F.col("node"), "left_semi"), "texts")
+    a = held.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
+    b = held.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
+    return likely.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(_verify, "a long, b long").distinct()
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text).
+
+def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns (default doc_id), ``n_shingles, component_id, kept, group_key`` for every row
+    of ``docs`` (doc_id, text).
 
     Words are runs of other characters than ASCII white space, A-Z lower-cased. A text with fewer
     than five words is one shingle; a null, empty or blank text has none and is linked with
-    nothing. ``component_id`` is the least doc_id reachable over links, ``kept`` where it is the
-    row's own. Rows with equal sets are linked, also rows that share an id (both are then kept if
-    that id is the least); rows without an id get their component like others, count for no least
-    id and are not kept unless nothing in the component has an id. Other columns are ignored.
+    nothing. A document is its id: rows that share one are one document. ``component_id`` is the
+    least id reachable over links, ``kept`` where it is the row's own. Rows without an id are
+    linked with rows of equal sets only; where none of these has an id, the component is null and
+    the rows are kept. ``group_key`` is equal for the rows of a component (null for rows without a
+    set), so one row of each can be chosen where rows repeat. Input columns named like an output
+    column are replaced by it.
     """
+    out = ["n_shingles", "component_id", "kept", "group_key"]
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in out]
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(texts.mapInArrow(_sketch, SKETCHES), "sketches")
-    # rows without an id are verified through a class member that has one
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(None).alias("none"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
+    schema = f"{SKETCHES}, row {named.schema['row'].dataType.simpleString()}"
+    rows = stored(named.mapInArrow(_sketch, schema), "sketches")
+    texts = named.select("doc_id", "text")
     classes = stored(rows.where("cls is not null").groupBy("cls").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
+        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"),
         F.first("registers").alias("registers"), F.first("bands").alias("bands")), "classes")
-    members = classes.where("doc_id is not null").select("cls", F.explode("bands").alias("band"))
-    busy = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("b"))
-    members = stored(members.join(busy, F.col("band") == F.col("b"), "left_semi"), "members")
+    members = classes.where("node is not null").select("node", "n", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    members = stored(members.join(shared.select(F.col("band").alias("b")), F.col("band") == F.col("b"), "left_semi"), "members")
 
-    links = spark.createDataFrame([], "a binary, b binary")
-    labels = None
+    labels = spark.createDataFrame([], "node long, root long")
+    checked = None
     for turn in range(MAX_ROUNDS):
-        if labels is None:
-            current = members.withColumn("label", F.col("cls"))
-        else:
-            current = members.join(labels, F.col("cls") == F.col("node"), "left").select(
-                "cls", "band", F.coalesce("root", "cls").alias("label"))
-            mixed = current.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-            current = current.join(mixed.select(F.col("band").alias("b")), F.col("band") == F.col("b"), "left_semi")
-        found = _checked(stored(bucket_pairs(current, turn), "pairs"), classes, texts)
-        if found.isEmpty():
+        known = labels.select(F.col("node").alias("x"), "root")
+        current = members.join(known, F.col("node") == F.col("x"), "left").select(
+            "band", "node", "n", F.coalesce("root", "node").alias("label")) if turn else members.withColumn("label", F.col("node"))
+        pairs = bucket_pairs(current, turn)
+        if checked is not None:
+            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        likely = stored(_likely_pairs(pairs, classes), "likely")
+        if likely.isEmpty():
+            break
+        links = stored(_linked(likely, texts), "links")
+        if links.isEmpty():
             break
-        links = links.union(found)
-        labels = components(links)
+        checked = pairs if checked is None else checked.union(pairs)
+        labels = joined(labels, links)
     else:
         raise RuntimeError(f"links were still found in round {MAX_ROUNDS}")
 
-    grouped = classes.select("cls", "doc_id")
-    if labels is not None:
-        grouped = grouped.join(labels, F.col("cls") == F.col("node"), "left").select(
-            "cls", "doc_id", F.coalesce("root", "cls").alias("root"))
-        least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id")).select(F.col("root").alias("r"), "component_id")
-        grouped = grouped.join(least, F.col("root") == F.col("r")).select(F.col("cls").alias("c"), "component_id")
-    else:
-        grouped = grouped.select(F.col("cls").alias("c"), F.col("doc_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "cls").join(grouped, F.col("cls") == F.col("c"), "left")
-    component: Column = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    known = labels.select(F.col("node").alias("x"), "root")
+    grouped = classes.select(F.col("cls").alias("c"), "node").join(known, F.col("node") == F.col("x"), "left").select(
+        "c", F.coalesce("root", "node").alias("of_class"))
+    judged = rows.select("row", "doc_id", "n_shingles", "cls").join(grouped, F.col("cls") == F.col("c"), "left")
+    component: Column = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("of_class"))
+    key = F.when(F.col("cls").isNotNull(), F.coalesce(F.col("of_class").cast("string"), F.hex("cls")))
+    return judged.select(
+        *[F.col(f"row.`{c}`") for c in keep], "n_shingles", component.alias("component_id"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"), key.alias("group_key"))
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, root) after further links: components of the roots that the links connect."""
+    to = labels.select(F.col("node").alias("x"), F.col("root").alias("to"))
+    at = links
+    for s in "ab":
+        at = at.join(to, F.col(s) == F.col("x"), "left").withColumn(s, F.coalesce("to", s)).drop("x", "to")
+    merged = components(at)
+    moved = merged.select(F.col("node").alias("m"), F.col("root").alias("r"))
+    old = labels.join(moved, F.col("root") == F.col("m"), "left").select("node", F.coalesce("r", "root").alias("root"))
+    new = merged.join(labels.select(F.col("node").alias("x")), F.col("node") == F.col("x"), "left_anti")
+    return stored(old.unionByName(new), "labels")

@@ -76,26 +76,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
     """
     links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    pointer = None  # node -> current representative, over all nodes
+    jumps: list[DataFrame] = []
     links = stored(links.where("a <> b").distinct(), "links")
-    nodes = stored(nodes, "nodes")
-    pointer = nodes.select("node", F.col("node").alias("root"))
     for _ in range(max_rounds):
         if links.isEmpty():
-            return pointer
+            pointer = nodes.select("node", F.col("node").alias("root"))
+            for jump in jumps:
+                pointer = pointer.join(jump, pointer["root"] == jump["x"], "left").select(
+                    "node", F.coalesce("to", "root").alias("root"))
+            return stored(pointer, "components")
         both = links.union(links.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(
             F.col("a").alias("x"), F.least("a", "m").alias("to"))
         # follow the pointer of the pointed-to node once: x -> to -> to'
         hop = least.select(F.col("x").alias("y"), F.col("to").alias("to2"))
-        jump = least.join(hop, least["to"] == hop["y"], "left").select(
-            "x", F.coalesce("to2", "to").alias("to"))
-        jump = stored(jump, "jump")
-        left, right = (jump.select(F.col("x").alias(f"{s}x"), F.col("to").alias(f"{s}to")) for s in "ab")
-        links = (links.join(left, links["a"] == left["ax"]).join(right, links["b"] == right["bx"])
-                 .select(F.col("ato").alias("a"), F.col("bto").alias("b")).where("a <> b").distinct())
-        links = stored(links, "links")
-        pointer = stored(
-            pointer.join(jump, pointer["root"] == jump["x"], "left")
-            .select("node", F.coalesce("to", "root").alias("root")), "pointer")
+        jumps.append(stored(least.join(hop, least["to"] == hop["y"], "left").select(
+            "x", F.coalesce("to2", "to").alias("to")), "jump"))
+        left, right = (jumps[-1].select(F.col("x").alias(f"{s}x"), F.col("to").alias(f"{s}to")) for s in "ab")
+        links = stored(links.join(left, links["a"] == left["ax"]).join(right, links["b"] == right["bx"])
+                       .select(F.col("ato").alias("a"), F.col("bto").alias("b")).where("a <> b").distinct(), "links")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
