@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm import textbytes as tb
-from trailmark.llm.staging import shuffle_partitions, stored
+from trailmark.llm.staging import buckets_for, shuffle_partitions, stored
 
 LENGTH = 50
 DIGIT = 20
@@ -114,11 +114,11 @@ def _ids(column: pa.Array) -> np.ndarray:
 def _digits(entries: Callable, buckets: int) -> Callable:
     """A task that yields digits by bucket from ``entries(batch) -> (key, sub, doc)``.
 
-    Within a batch only the earliest document of equal digits goes on; the later ones have an
-    earlier holder already and are handed on as decided.
+    Within a batch (cut to some MB of text) only the earliest document of equal digits goes on; the
+    later ones have an earlier holder already and are handed on as decided.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.slices(batches, 1):
             key, sub, doc = entries(batch)
             if not len(key):
                 continue
@@ -177,7 +177,7 @@ def _equal_groups(found: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
         for batch in batches:
-            for bucket, k, s, d, decided in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, k, s, d, decided in zip(*map(tb.values, batch.columns)):
                 if bucket != now and parts:
                     yield from decide(parts)
                     parts = []
@@ -273,7 +273,7 @@ def _spans(batch: pa.RecordBatch, id_at: int, text_at: int) -> Iterator[pa.Recor
         names=[*batch.schema.names[:-3], "removed_spans", "kept_bytes", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, buckets_per_task: int = 8) -> DataFrame:
+def remove_repeats(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` with ``removed_spans`` (array of start, end in bytes), ``kept_bytes`` and
     ``kept_text``.
 
@@ -286,8 +286,8 @@ def remove_repeats(docs: DataFrame, buckets_per_task: int = 8) -> DataFrame:
     docs = docs.drop("removed_spans", "kept_bytes", "kept_text")
     spark = docs.sparkSession
     tasks = shuffle_partitions(spark)
-    buckets = tasks * buckets_per_task
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    buckets = buckets_for(texts)
 
     def equal_groups(entries: DataFrame, fn: Callable, found: int, name: str) -> DataFrame:
         digits = entries.mapInArrow(_digits(fn, buckets), DIGITS)
@@ -312,8 +312,8 @@ def remove_repeats(docs: DataFrame, buckets_per_task: int = 8) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                yield from _spans(batch.slice(lo, 1024), id_at, text_at)
+            for part in tb.slices(iter([batch]), text_at):
+                yield from _spans(part, id_at, text_at)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return joined.mapInArrow(cut, f"{schema}, removed_spans array<struct<start: long, end: long>>, kept_bytes binary, kept_text string")

@@ -57,7 +57,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def buckets_for(texts: DataFrame, least: int = 256, bytes_each: int = 1 << 26) -> int:
+def buckets_for(texts: DataFrame, least: int = 512, bytes_each: int = 1 << 26) -> int:
     """Hash buckets for digits or seeds of all texts: by the size of the texts, so that a bucket
     fits in a task at any scale, and the same however many partitions they come in."""
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64
@@ -87,6 +88,26 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
         lo = hi
 
 
+SLICE_BYTES = 8 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to about ``size`` bytes of a text column, so that what a task makes of one
+    stays small however many long texts Spark puts into a batch."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(lengths, dtype=np.int64) // size
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if hi > lo:
+                yield batch.slice(lo, hi - lo)
+
+
+def values(column: pa.Array) -> Iterator:
+    """Python values of a column one at a time (a list of them would hold all its bytes twice)."""
+    return (x.as_py() for x in column)
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Prefix sums of the polynomial; ``range_hash`` turns them into hashes of byte ranges."""
     p, _ = powers(len(data))
