@@ -5,9 +5,9 @@ start every ``BLOCK`` words; their vectors are TF-IDF.
 
 1. Document frequencies of all words of all documents, in ``SLOTS`` hashed counters (a fixed size
    whatever the corpus; rare words that share a counter get a slightly lower weight).
-2. Every passage is weighed: the share of its squared weight in words of the benchmark bounds its
-   cosine with any benchmark item, so passages with a share under ``ENERGY`` cannot be candidates.
-   The rest, with the words around them, is written to a table.
+2. Every passage is weighed: the share of its squared weight in the words of an item bounds its
+   squared cosine with it, so passages with a share under ``ENERGY`` for every item cannot be
+   candidates. The rest, with the words around them, is written to a table.
 3. For each group of ``GROUP`` items a randomised SVD of the TF-IDF passages, benchmark and corpus:
    the range of the matrix is found by multiplying it, and its transpose, with a random matrix,
    summed over tasks; a second pass gives the Gram matrix in that range, whose eigenvectors are the
@@ -44,6 +44,7 @@ GROUP = 256
 OVERSAMPLE = 16
 COSINE = 0.35
 ENERGY = COSINE ** 2
+COMMON = 8
 LCS_SURE = 0.8
 LCS_MIN = 0.5
 ANSWER = 0.5
@@ -129,13 +130,28 @@ def items_of(rows: list) -> list[Item]:
     return out
 
 
-def passages(docs: DataFrame, terms: np.ndarray, weights: np.ndarray) -> DataFrame:
-    """Runs of passages that can be candidates: ``doc_id, at`` (first word), ``words`` (hashes)."""
+def postings(items: list[Item]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of the items; where each term's items begin and how many it has; the items."""
+    terms = np.concatenate([np.unique(i.words) for i in items])
+    owner = np.repeat(np.arange(len(items)), [len(np.unique(i.words)) for i in items])
+    order = np.lexsort((owner, terms))
+    terms, first, count = np.unique(terms[order], return_index=True, return_counts=True)
+    return terms, first, count, owner[order]
+
+
+def passages(docs: DataFrame, items: list[Item], weights: np.ndarray) -> DataFrame:
+    """Runs of words around passages that can be candidates: ``doc_id, at`` (first word), ``words``
+    (hashes), ``hits`` (the blocks of the run that these passages begin with).
+
+    The squared cosine of a passage with an item is at most the share of the passage's squared
+    weight in the item's words. Words of more than ``COMMON`` items count towards every item, so
+    the share is never underestimated; those of fewer are added up item by item.
+    """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((terms, weights))  # a block of the benchmark, SLOTS weights
+    shared = spark.sparkContext.broadcast((*postings(items), len(items), weights))  # a block of the benchmark, SLOTS weights
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, weights = shared.value
+        terms, first, count, owner, n_items, weights = shared.value
         maybe = np.zeros(1 << 16, bool)
         maybe[(terms & U64(0xFFFF)).astype(np.int64)] = True
         square = (weights.astype(np.float64)) ** 2
@@ -151,15 +167,29 @@ def passages(docs: DataFrame, terms: np.ndarray, weights: np.ndarray) -> DataFra
                 value = square[slot(w.hash)]
                 near = np.flatnonzero(maybe[(w.hash & U64(0xFFFF)).astype(np.int64)])
                 at = np.minimum(np.searchsorted(terms, w.hash[near]), len(terms) - 1)
-                term = near[terms[at] == w.hash[near]]
+                known = terms[at] == w.hash[near]
+                term, at = near[known], at[known]
                 total = int(first_block[-1])
-                inside = np.bincount(block[term], value[term], total)
-                all_ = np.bincount(block, value, total)
                 block_row = np.repeat(np.arange(len(n_blocks)), n_blocks)
                 follows = np.append(block_row[1:] == block_row[:-1], False)
-                inside[:-1] += np.where(follows[:-1], inside[1:], 0)
+                all_ = np.bincount(block, value, total)
                 all_[:-1] += np.where(follows[:-1], all_[1:], 0)
-                hit = np.flatnonzero(inside >= ENERGY * all_)
+                wide = count[at] > COMMON
+                common = np.bincount(block[term[wide]], value[term[wide]], total)
+                common[:-1] += np.where(follows[:-1], common[1:], 0)
+                hits = [np.flatnonzero(common >= ENERGY * all_)]
+                term, at = term[~wide], at[~wide]
+                if len(term):
+                    n = count[at]
+                    item = owner[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+                    b, v = np.repeat(block[term], n), np.repeat(value[term], n)
+                    also = (b > 0) & follows[b - 1]  # the passage that begins a block earlier
+                    key = np.concatenate([b, b[also] - 1]) * n_items + np.concatenate([item, item[also]])
+                    key, place = np.unique(key, return_inverse=True)
+                    share = np.bincount(place, np.concatenate([v, v[also]]))
+                    b = key // n_items
+                    hits.append(b[share + common[b] >= ENERGY * all_[b]])
+                hit = np.unique(np.concatenate(hits))
                 if not len(hit):
                     continue
                 edge = np.zeros(total + 1, np.int32)
@@ -176,9 +206,62 @@ def passages(docs: DataFrame, terms: np.ndarray, weights: np.ndarray) -> DataFra
                 b = np.minimum(w.first[r] + (hi - first_block[r]) * BLOCK, w.first[r + 1])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(chunk.lo + r)), pa.array(a - w.first[r], pa.int64()),
-                    pa.array([w.hash[x:y].tobytes() for x, y in zip(a, b)], pa.binary())], names=["doc_id", "at", "words"])
-
-    return docs.mapInArrow(find, "doc_id long, at long, words binary")
+                    pa.array([w.hash[x:y].tobytes() for x, y in zip(a, b)], pa.binary()),
+                    pa.array([hit[x:y] - k for x, y, k in zip(np.searchsorted(hit, lo), np.searchsorted(hit, hi), lo)], pa.list_(pa.int64()))],
+                    names=["doc_id", "at", "words", "hits"])
+
+    return docs.mapInArrow(find, "doc_id long, at long, words binary, hits array<long>")
+
+
+class Runs:
+    """Runs of words laid end to end, and the passages of them that count: the blocks in ``hits`` and
+    the block after each."""
+
+    def __init__(self, runs: list[bytes], hits: list[list[int]]):
+        parts = [np.frombuffer(r, U64) for r in runs]
+        sizes = np.array([len(p) for p in parts])
+        self.words = np.concatenate(parts)
+        self.start = np.cumsum(sizes) - sizes
+        blocks = -(-sizes // BLOCK)
+        self.first_block = np.cumsum(blocks) - blocks
+        run = np.repeat(np.arange(len(parts)), sizes)
+        self.block = self.first_block[run] + (np.arange(len(run)) - self.start[run]) // BLOCK
+        of_run = np.repeat(np.arange(len(parts)), blocks)
+        self.follows = np.append(of_run[1:] == of_run[:-1], False)  # a block with one after it
+        n_hits = [len(h) for h in hits]
+        self.run = np.repeat(np.arange(len(parts)), n_hits)
+        self.at_block = self.first_block[self.run] + np.concatenate(hits).astype(np.int64)
+        self.of_block = np.full(len(of_run), -1)  # the passage that begins with a block
+        self.of_block[self.at_block] = np.arange(len(self.at_block))
+        used = self.of_block >= 0
+        used[1:] |= used[:-1] & self.follows[:-1]
+        self.used = np.flatnonzero(used[self.block])  # words of the passages
+
+    @staticmethod
+    def batches(words: pa.Array, hits: pa.Array, most: int = 1 << 15) -> Iterator[tuple[int, "Runs"]]:
+        """Columns of runs in parts of about ``most`` words, with the row each begins at."""
+        held: tuple[list, list] = ([], [])
+        size = at = 0
+        for i, (w, h) in enumerate(zip(words.to_pylist(), hits.to_pylist())):
+            held[0].append(w)
+            held[1].append(h)
+            size += len(w) // 8
+            if size >= most:
+                yield at, Runs(*held)
+                held, size, at = ([], []), 0, i + 1
+        if held[0]:
+            yield at, Runs(*held)
+
+
+def summed_by(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Row sums by key, keys below ``n``."""
+    out = np.zeros((n, rows.shape[1]))
+    if len(keys):
+        order = np.argsort(keys, kind="stable")
+        k = keys[order]
+        begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        out[k[begin]] = np.add.reduceat(rows[order], begin, axis=0)
+    return out
 
 
 class Space:
@@ -196,18 +279,17 @@ class Space:
         found = np.flatnonzero(self.terms[at] == h)
         return found, at[found]
 
-    def windows(self, h: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per passage of a run of words: its vector times ``axes``, and its full norm."""
-        n = -(-len(h) // BLOCK)
-        found, t = self.term(h)
-        by_block = np.zeros((n, axes.shape[1]))
-        np.add.at(by_block, found // BLOCK, axes[t] * self.weight[t][:, None])
-        square = np.bincount(np.arange(len(h)) // BLOCK, self.weights[slot(h)].astype(np.float64) ** 2, n)
-        if n > 1:
-            by_block[:-1] += by_block[1:]
-            square[:-1] += square[1:]
-            by_block, square = by_block[:-1], square[:-1]
-        return by_block, np.sqrt(np.maximum(square, 1e-12))
+    def windows(self, runs: Runs, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of every passage its vector times ``axes`` and its full norm; and the places of the words
+        that are terms, with their terms."""
+        found, t = self.term(runs.words[runs.used])
+        found = runs.used[found]
+        n = len(runs.of_block)
+        by_block = summed_by(runs.block[found], axes[t] * self.weight[t][:, None], n)
+        square = np.bincount(runs.block, self.weights[slot(runs.words)].astype(np.float64) ** 2, n)
+        by_block[:-1] += by_block[1:] * runs.follows[:-1, None]
+        square[:-1] += square[1:] * runs.follows[:-1]
+        return by_block[runs.at_block], np.sqrt(np.maximum(square[runs.at_block], 1e-12)), found, t
 
     def item_rows(self) -> np.ndarray:
         """The items' unit TF-IDF vectors (items x terms)."""
@@ -233,24 +315,24 @@ def latent_axes(space: Space, runs: DataFrame) -> np.ndarray:
             space, axes = shared.value
             total = np.zeros((axes.shape[1] if gram else len(space.terms), axes.shape[1]))
             for batch in batches:
-                for data in batch.column(0).to_pylist():
-                    h = np.frombuffer(data, U64)
-                    y, norm = space.windows(h, axes)
+                for _, runs in Runs.batches(batch.column(0), batch.column(1)):
+                    y, norm, found, t = space.windows(runs, axes)
                     y /= norm[:, None]
                     if gram:
                         total += y.T @ y
                         continue
                     y /= norm[:, None]
-                    found, t = space.term(h)
-                    b = found // BLOCK  # a word is in the passage of its block and of the block before
-                    mine = y[np.minimum(b, len(y) - 1)] * (b < len(y))[:, None]
-                    mine[b > 0] += y[b[b > 0] - 1]
-                    np.add.at(total, t, mine * space.weight[t][:, None])
+                    # a word is in the passages that begin with its block and with the one before
+                    block = runs.block[found]
+                    before = np.append(-1, np.where(runs.follows[:-1], runs.of_block[:-1], -1))
+                    padded = np.vstack([y, np.zeros((1, y.shape[1]))])
+                    mine = padded[runs.of_block[block]] + padded[before[block]]
+                    total += summed_by(t, mine * space.weight[t][:, None], len(total))
             step = 512
             for lo in range(0, len(total), step):
                 yield pa.RecordBatch.from_pydict({"block": pa.array([lo // step], pa.int32()), "counts": [total[lo:lo + step].tobytes()]})
 
-        parts = runs.select("words").mapInArrow(run, "block int, counts binary")
+        parts = runs.select("words", "hits").mapInArrow(run, "block int, counts binary")
         got = sorted(summed(parts, np.float64).collect(), key=lambda r: r.block)  # terms x rank of one group
         flat = np.concatenate([np.frombuffer(r.counts) for r in got]) if got else np.zeros(0)
         shape = (axes.shape[1] if gram else len(space.terms), axes.shape[1])
@@ -280,40 +362,50 @@ def weighted_lcs(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
 def search(space: Space, axes: np.ndarray, runs: DataFrame) -> DataFrame:
     """Checked pairs of documents and items of the group (``HITS``), one per run and item."""
     shared = runs.sparkSession.sparkContext.broadcast((space, axes))
+    return runs.mapInArrow(lambda batches: _search(batches, *shared.value), HITS)
+
 
-    def check(item: Item, weights: np.ndarray, h: np.ndarray, at: int) -> tuple[int, int, float, float]:
+def _search(batches: Iterator[pa.RecordBatch], space: Space, axes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    weight = [tuple(space.weights[slot(x)].astype(np.float64) for x in (i.words, i.answer)) for i in space.items]
+    words = [i.words.tolist() for i in space.items]
+    latent = space.item_rows() @ axes
+
+    def check(k: int, h: np.ndarray, at: int) -> tuple[int, int, float, float]:
+        item, (w, aw) = space.items[k], weight[k]
         n = len(item.words)
         lo, hi = max(0, at - n), min(len(h), at + 2 * BLOCK + n)
-        w = weights[slot(item.words)].astype(np.float64)
         part = h[lo:hi]
-        aw = weights[slot(item.answer)].astype(np.float64)
+        held = set(part.tolist())
+        # the words present bound the subsequence: most candidates end here
+        bound = sum(x for word, x in zip(words[k], w.tolist()) if word in held) / w.sum()
+        if bound < LCS_MIN:
+            return lo, hi - lo, bound, 0.0
         return lo, hi - lo, weighted_lcs(item.words, part, w) / w.sum(), float((aw * np.isin(item.answer, part)).sum() / aw.sum())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, axes = shared.value
-        latent = space.item_rows() @ axes
-        for batch in batches:
-            out = []
-            for doc_id, start, data in zip(*(c.to_pylist() for c in batch.columns)):
-                h = np.frombuffer(data, U64)
-                vectors, norm = space.windows(h, axes)
-                cosine = (vectors / norm[:, None]) @ latent.T
-                for k in np.flatnonzero(cosine.max(axis=0) >= COSINE):
-                    best = None
-                    for at in sorted(np.flatnonzero(cosine[:, k] >= COSINE), key=lambda x: -cosine[x, k]):  # noqa: B023
-                        lo, n, lcs, answer = check(space.items[k], space.weights, h, int(at) * BLOCK)
-                        if (lcs >= LCS_SURE or (lcs >= LCS_MIN and answer >= ANSWER)) and (best is None or lcs > best[5]):
-                            best = (doc_id, space.items[k].item_id, start + lo, n, float(cosine[at, k]), lcs, answer)
-                        if best and best[5] >= 1 - 1e-9:
-                            break
-                    if best:
-                        out.append(best)
-            if out:
-                types = [pa.int64()] * 4 + [pa.float64()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
-                                                 names=["doc_id", "item_id", "start_word", "n_words", "cosine", "lcs", "answer"])
-
-    return runs.mapInArrow(run, HITS)
+    for batch in batches:
+        out = []
+        ids, starts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for first, runs in Runs.batches(batch.column(2), batch.column(3)):
+            vectors, norm, _, _ = space.windows(runs, axes)
+            cosine = (vectors / norm[:, None]) @ latent.T
+            passage, item = np.nonzero(cosine >= COSINE)
+            order = np.lexsort((-cosine[passage, item], item, runs.run[passage]))
+            best: dict[tuple[int, int], tuple] = {}
+            for w, k in zip(passage[order].tolist(), item[order].tolist()):  # best cosine of a run and item first
+                r = int(runs.run[w])
+                if (r, k) in best and best[r, k][5] >= 1 - 1e-9:
+                    continue
+                stop = int(runs.start[r + 1]) if r + 1 < len(runs.start) else len(runs.words)
+                h = runs.words[runs.start[r]:stop]
+                lo, n, lcs, answer = check(k, h, int(runs.at_block[w] - runs.first_block[r]) * BLOCK)
+                if (lcs >= LCS_SURE or (lcs >= LCS_MIN and answer >= ANSWER)) and ((r, k) not in best or lcs > best[r, k][5]):
+                    row = first + r
+                    best[r, k] = (ids[row], space.items[k].item_id, starts[row] + lo, n, float(cosine[w, k]), lcs, answer)
+            out += best.values()
+        if out:
+            types = [pa.int64()] * 4 + [pa.float64()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
+                                             names=["doc_id", "item_id", "start_word", "n_words", "cosine", "lcs", "answer"])
 
 
 def contaminated_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -338,8 +430,7 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         items = items_of(sorted(mine.collect(), key=lambda r: (r.item_id is not None, r.item_id or 0, r.text or "")))  # about SCAN_ITEMS
         if not items:
             continue
-        terms = np.unique(np.concatenate([i.words for i in items]))
-        runs = stored(passages(texts, terms, weights), "passages")
+        runs = stored(passages(texts, items, weights), "passages")
         for lo in range(0, len(items), GROUP):
             space = Space(items[lo:lo + GROUP], weights)
             hits = hits.union(search(space, latent_axes(space, runs), runs))
