@@ -110,3 +110,22 @@ def test_components(spark):
 
 def test_brute_force_sets():
     assert shingle_set("A b\x0bc d e f") == {("a", "b", "c", "d", "e"), ("b", "c", "d", "e", "f")}
+
+
+def test_links_among_documents_of_one_template(spark, monkeypatch):
+    """Pairs just above the threshold whose buckets are full of documents just under it."""
+    monkeypatch.setattr(near_dedup, "DRIVERS", 64)
+    monkeypatch.setattr(near_dedup, "PROBES", 128)
+    rng = random.Random(21)
+    base = [f"t{i}" for i in range(200)]
+
+    def slots(n, tag):  # the last words are the document's own
+        return [f"{tag}{i}" for i in range(n)]
+
+    rows = [(i, " ".join(base[:168] + slots(32, f"d{i}x"))) for i in range(300)]  # 0.72 of each other
+    for k in range(30):
+        a = slots(32, f"p{k}x")
+        b = a[:4] + slots(28, f"q{k}x")  # 0.75 of each other
+        rows += [(1000 + 2 * k, " ".join(base[:168] + a)), (1001 + 2 * k, " ".join(base[:168] + b))]
+    rng.shuffle(rows)
+    check(spark, [(d, t, None, None, None, None) for d, t in rows])

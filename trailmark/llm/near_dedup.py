@@ -10,19 +10,23 @@ their sets (base ``b`` near 1).
    classes go on.
 2. Bands of ``BAND`` registers hash a class into buckets. A pair at similarity 0.75 shares at least
    one of 32 buckets with probability above 0.99999.
-3. Within a bucket no pairs are listed in full: every member meets the member that is first in a
-   random order, so a bucket gives a pair per member however large it is. Pairs that differ
-   too much in size, or whose joint likelihood estimate from the two sketches and the known set
-   sizes lies ``SLACK`` below the threshold, are dropped.
-4. The rest is verified on the full sets, recomputed from the texts.
-5. Verified links join classes into components. Buckets that still hold several components are
-   taken again with ``PIVOTS`` other orders a round, so that links between members which both
-   differ from the first one are met too, until a whole round adds no link. No pair is checked
-   twice.
+3. A cheap first step joins what is easily joined: in ``TURNS`` rounds every member of a bucket
+   meets the members that are first in random orders, a few pairs per member however large the
+   bucket. Pairs that differ too much in size, or whose joint likelihood estimate from the two
+   sketches and the known set sizes lies ``SLACK`` below the threshold, are dropped.
+4. What remains is verified on the full sets, recomputed from the texts. Verified links join classes
+   into components.
+5. The rest is exact: in every bucket that still holds several components each pair of members of
+   two components passes the size and estimate tests and, if likely, the verification. A bucket is
+   dealt in tasks of about ``DRIVERS`` members outside its largest component by ``PROBES`` members,
+   so a bucket with one large component costs one row per member; a pair is taken in the first band
+   it shares only. Pairs are listed within a task, and a text goes to a task once.
 
 Only ids, sketches and the texts of candidates are shuffled. A bucket, class or component may hold
-any share of the rows: pivots are minima found by partial aggregation, and the joins that follow
-have one row per key on one side.
+any share of the rows: pivots are minima found by partial aggregation, the joins that follow have
+one row per key on one side, and the tasks of the rest are bounded. The work of the rest grows with
+the pairs of different components in a bucket, which is the square of a group only where its members
+share buckets without being near duplicates.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm import textbytes as tb
-from trailmark.llm.staging import components, stored
+from trailmark.llm.staging import components, shuffle_partitions, stored
 
 WORDS = 5
 THRESHOLD = 75  # per cent
@@ -46,7 +50,9 @@ RATE = 20.0
 LIMIT = (1 << 16) - 2
 SLACK = 0.17  # above four standard errors of the estimate at the threshold
 PIVOTS = 4
-MAX_ROUNDS = 20
+TURNS = 2
+DRIVERS, PROBES = 256, 1024
+PAIRS = 1 << 14  # pairs compared at a time
 
 U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(8))
@@ -216,6 +222,140 @@ def _linked(likely: DataFrame, texts: DataFrame) -> DataFrame:
     return likely.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(_verify, "a long, b long").distinct()
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    known = labels.select(F.col("node").alias("x"), "root")
+    return members.join(known, F.col("node") == F.col("x"), "left").select(
+        "band", "place", "node", "n", F.coalesce("root", "node").alias("label"))
+
+
+TASK = ["band", "i", "j"]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by ``TASK`` in tables of whole tasks, with the task number of each row."""
+    held: list[pa.RecordBatch] = []
+
+    def split(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        for c in TASK:
+            v = table.column(c).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.cumsum(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        task = split(table)
+        last = int(np.searchsorted(task, task[-1]))  # the last task may go on in the next batch
+        if last:
+            yield table.slice(0, last), task[:last]
+            held = table.slice(last).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, split(table)
+
+
+def _rest_likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a task's drivers (role 2) and probes (role 1) with different labels that may reach the
+    threshold, where the band is the first that both share."""
+    for table, task in _groups(batches):
+        node, n, label, role, place = (table.column(c).to_numpy() for c in ("node", "n", "label", "role", "place"))
+        registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(len(task), -1)
+        major = table.column("major").to_numpy()
+        driver, probe = np.flatnonzero(role & 2), np.flatnonzero(role & 1)
+        lo, hi = (np.searchsorted(task[probe], task[driver], side) for side in ("left", "right"))
+        ends = np.cumsum(hi - lo)
+        at = 0
+        while at < len(driver):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            size = hi[at:to] - lo[at:to]
+            d = np.repeat(driver[at:to], size)
+            p = probe[np.repeat(lo[at:to] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+            at = to
+            # two drivers meet twice, taken where the lesser drives
+            fits = (label[d] != label[p]) & ((label[p] == major[p]) | (node[d] < node[p]))
+            fits &= np.minimum(n[d], n[p]) * 100 >= np.maximum(n[d], n[p]) * THRESHOLD
+            d, p = d[fits], p[fits]
+            if not len(d):
+                continue
+            same = (registers[d] == registers[p]).reshape(len(d), -1, BAND).all(axis=2)
+            here = same.any(axis=1) & (same.argmax(axis=1) == place[d])
+            d, p = d[here], p[here]
+            if not len(d):
+                continue
+            keep = estimate(registers[d], registers[p], n[d].astype(float), n[p].astype(float)) >= THRESHOLD / 100 - SLACK
+            d, p = d[keep], p[keep]
+            if len(d):
+                yield pa.RecordBatch.from_arrays(
+                    [*[table.column(c).combine_chunks().take(pa.array(d)) for c in TASK], pa.array(node[d]), pa.array(node[p])], names=[*TASK, "a", "b"])
+
+
+def _rest_verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of tasks (text null) whose sets, from the texts of the same tasks, reach the threshold."""
+    for table, task in _groups(batches):
+        cuts = np.append(np.flatnonzero(np.append(True, task[1:] != task[:-1])), len(task))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            part = table.slice(lo, hi - lo)
+            is_pair = part.column("text").is_null()
+            pairs, held = part.filter(is_pair), part.filter(part.column("text").is_valid())
+            a, b = (pairs.column(c).to_numpy() for c in "ab")
+            ids = held.column("a").to_numpy()
+            sets = [s for c in held.column("text").chunks for _, some in sets_of(c) for s in some]
+            of_node: dict[int, list[np.ndarray]] = {}  # rows may share an id
+            for x, s in zip(ids.tolist(), sets):
+                of_node.setdefault(x, []).append(s)
+            linked = []
+            for x in np.unique(a).tolist():
+                others = [(y, s) for y in b[a == x].tolist() for s in of_node.get(y, ()) if len(s)]
+                if not others:
+                    continue
+                sizes = np.array([len(s) for _, s in others])
+                flat = np.concatenate([s for _, s in others])
+                for mine in of_node.get(x, ()):
+                    if len(mine):
+                        found = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                        both = np.add.reduceat(found.astype(np.int64), np.cumsum(sizes) - sizes)
+                        near = 100 * both >= THRESHOLD * (len(mine) + sizes - both)
+                        linked += [(x, others[k][0]) for k in np.flatnonzero(near)]
+            if linked:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*linked)], names=["a", "b"])
+
+
+def rest_links(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members (band, place, node, label) of one bucket and different labels: all
+    of them that pass the size and estimate tests and reach the threshold."""
+    sizes = members.groupBy("band", "label").agg(F.count("*").alias("count"))
+    mixed = sizes.groupBy("band").agg(F.sum("count").alias("n_all"), F.max(F.struct("count", "label")).alias("most")).where(
+        "n_all > most.count").select(
+        F.col("band").alias("of_band"), F.col("most.label").alias("major"),
+        F.ceil((F.col("n_all") - F.col("most.count")) / DRIVERS).cast("int").alias("rows"),
+        F.ceil(F.col("n_all") / PROBES).cast("int").alias("columns"))
+    met = members.join(mixed, F.col("band") == F.col("of_band")).withColumns({
+        "drives": F.col("label") != F.col("major"),
+        "row": F.pmod(F.xxhash64("node", F.lit(1)), F.col("rows")).cast("int"),
+        "column": F.pmod(F.xxhash64("node", F.lit(2)), F.col("columns")).cast("int")})
+    sent = F.expr("""concat(
+        transform(sequence(0, rows - 1), x -> struct(x as i, column as j, if(drives and x = row, 3, 1) as role)),
+        if(drives, transform(filter(sequence(0, columns - 1), x -> x <> column), x -> struct(row as i, x as j, 2 as role)),
+           array()))""")
+    dealt = met.select("band", "place", "node", "label", "major", F.explode(sent).alias("to"))
+    sketch = classes.where("node is not null").select(F.col("node").alias("of"), "n", "registers")
+    rows = dealt.join(sketch, F.col("node") == F.col("of")).select("band", "to.i", "to.j", "to.role", "place", "node", "n", "label", "major", "registers")
+    tasks = shuffle_partitions(members.sparkSession)
+
+    def by_task(df: DataFrame) -> DataFrame:
+        return df.repartition(tasks, *TASK).sortWithinPartitions(*TASK)
+
+    likely = stored(by_task(rows).mapInArrow(_rest_likely, "band long, i int, j int, a long, b long"), "rest")
+    wanted = likely.select(*TASK, F.col("a").alias("node")).union(likely.select(*TASK, "b")).distinct()
+    held = wanted.join(texts, F.col("node") == F.col("doc_id")).where("text is not null")
+    both = likely.withColumn("text", F.lit(None).cast("string")).union(
+        held.select(*TASK, "node", F.lit(None).cast("long"), "text"))
+    return by_task(both).mapInArrow(_rest_verified, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default doc_id), ``n_shingles, component_id, kept, group_key`` for every row
     of ``docs`` (doc_id, text).
@@ -240,30 +380,23 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
     classes = stored(rows.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"),
         F.first("registers").alias("registers"), F.first("bands").alias("bands")), "classes")
-    members = classes.where("node is not null").select("node", "n", F.explode("bands").alias("band"))
+    members = classes.where("node is not null").select("node", "n", F.posexplode("bands").alias("place", "band"))
     shared = members.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     members = stored(members.join(shared.select(F.col("band").alias("b")), F.col("band") == F.col("b"), "left_semi"), "members")
 
     labels = spark.createDataFrame([], "node long, root long")
     checked = None
-    for turn in range(MAX_ROUNDS):
-        known = labels.select(F.col("node").alias("x"), "root")
-        current = members.join(known, F.col("node") == F.col("x"), "left").select(
-            "band", "node", "n", F.coalesce("root", "node").alias("label")) if turn else members.withColumn("label", F.col("node"))
-        pairs = bucket_pairs(current, turn)
+    for turn in range(TURNS):
+        pairs = bucket_pairs(_labelled(members, labels), turn)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        likely = stored(_likely_pairs(pairs, classes), "likely")
-        if likely.isEmpty():
-            break
-        links = stored(_linked(likely, texts), "links")
-        if links.isEmpty():
-            break
+        links = stored(_linked(stored(_likely_pairs(pairs, classes), "likely"), texts), "links")
         checked = pairs if checked is None else checked.union(pairs)
         labels = joined(labels, links)
-    else:
-        raise RuntimeError(f"links were still found in round {MAX_ROUNDS}")
+    links = stored(rest_links(_labelled(members, labels), classes, texts), "links")
+    if not links.isEmpty():
+        labels = joined(labels, links)
 
     known = labels.select(F.col("node").alias("x"), "root")
     grouped = classes.select(F.col("cls").alias("c"), "node").join(known, F.col("node") == F.col("x"), "left").select(
