@@ -95,3 +95,20 @@ def test_weighted_lcs():
             return max(best(i + 1, j), best(i, j + 1), w[i] + best(i + 1, j + 1) if a[i] == b[j] else 0.0)
 
         assert abs(dc.weighted_lcs(np.array(a), np.array(b), np.array(w)) - best(0, 0)) < 1e-9
+
+
+def around(spark, rng, copies):
+    """Found (document, item) pairs: each text of ``copies`` (item, its form in a document) in fresh words."""
+    fresh = lambda n: " ".join(f"{rng.choice('bdfgklmnprst')}{rng.choice('aeiou')}{rng.randrange(4000)}" for _ in range(n))
+    docs = [(i, f"{fresh(rng.randrange(20, 90))} {text} {fresh(rng.randrange(20, 90))}", "en", "s", 0, True) for i, (_, text) in enumerate(copies)]
+    docs += [(1000 + i, fresh(150), "en", "s", 0, True) for i in range(40)]
+    items = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(copies)], ITEMS)
+    return {(r.doc_id, r.item_id) for r in dc.contaminated_passages(spark.createDataFrame(docs, SCHEMA), items).collect()}
+
+
+@pytest.mark.parametrize("sizes", [range(3, 13), (300, 400, 900)])
+def test_verbatim_items_of_any_length(spark, sizes):
+    rng = random.Random(len(sizes))
+    copies = [(t, t) for n in sizes for t in [" ".join(f"item{rng.randrange(10**7)}" for _ in range(n))] * (3 if n < 13 else 1)]
+    texts = {t: [i for i, c in enumerate(copies) if c[0] == t] for t, _ in copies}
+    assert around(spark, rng, copies) == {(d, i) for same in texts.values() for d in same for i in same}

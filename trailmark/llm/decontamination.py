@@ -7,12 +7,16 @@ start every ``BLOCK`` words; their vectors are TF-IDF.
    whatever the corpus; rare words that share a counter get a slightly lower weight).
 2. Every passage is weighed: the share of its squared weight in the words of an item bounds its
    squared cosine with it, so passages with a share under ``ENERGY`` for every item cannot be
-   candidates. The rest, with the words around them, is written to a table.
+   candidates by their cosine. The rest, with the words around them, is written to a table; so are
+   the passages and items that step 5 can accept by the words in its reach, whatever their cosine.
 3. For each group of ``GROUP`` items a randomised SVD of the TF-IDF passages, benchmark and corpus:
    the range of the matrix is found by multiplying it, and its transpose, with a random matrix,
    summed over tasks; a second pass gives the Gram matrix in that range, whose eigenvectors are the
    latent axes. The rank exceeds the number of items, so the items themselves stay distinguishable.
-4. Candidates are the pairs of passage and item with a latent cosine of ``COSINE`` or more.
+4. Candidates are the pairs of passage and item with a latent cosine of ``COSINE`` or more, and
+   those of step 2 whose words in reach weigh ``LCS_MIN`` of the item. The latter leave out nothing
+   that step 5 accepts: items much shorter or longer than a passage, and paraphrases, have a low
+   cosine.
 5. A candidate counts if the longest common subsequence of item and passage (with its
    surroundings), weighted by the words' rarity, covers ``LCS_SURE`` of the item, or ``LCS_MIN`` of
    it while the answer (the item's last sentence) is present to ``ANSWER``.
@@ -139,19 +143,67 @@ def postings(items: list[Item]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return terms, first, count, owner[order]
 
 
+def reach(n: int | np.ndarray) -> int | np.ndarray:
+    """Blocks on either side of a passage that the check of an item of ``n`` words looks at."""
+    return -(-n // BLOCK)
+
+
+def coverage(items: list[Item], weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Postings of the items' words (terms, first, count, owner), and by item the weight that the words
+    in reach must have. Words of more than ``COMMON`` items are not listed but taken as present, unless
+    they are too much of an item: then all its words are listed."""
+    terms, first, count, owner = postings(items)
+    often = terms[count > COMMON]
+    of_item = [weights[slot(i.words)].astype(np.float64) for i in items]
+    total = np.array([w.sum() for w in of_item])
+    given = np.array([w[np.isin(i.words, often)].sum() for i, w in zip(items, of_item)])
+    whole = given > LCS_MIN / 2 * total
+    listed = np.repeat(count <= COMMON, count) | whole[owner]
+    term = np.repeat(np.arange(len(terms)), count)[listed]
+    count = np.bincount(term, minlength=len(terms))
+    need = LCS_MIN * total * (1 - 1e-6) - np.where(whole, 0.0, given)
+    return terms, np.cumsum(count) - count, count, owner[listed], need, reach(np.array([len(i.words) for i in items]))
+
+
+def covered(near: np.ndarray, words: np.ndarray, value: np.ndarray, block: np.ndarray, low: np.ndarray, high: np.ndarray,
+            lists: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks and items where the words in reach of the passage, listed for the item, weigh enough. ``near``
+    are the places of words that may be terms; ``low`` and ``high`` the first and last block of a block's text."""
+    terms, first, count, owner, need, far = lists
+    at = np.minimum(np.searchsorted(terms, words[near]), len(terms) - 1)
+    known = (terms[at] == words[near]) & (count[at] > 0)
+    place, at = near[known], at[known]
+    n = count[at]
+    item = owner[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+    total = len(low)
+    key, spot = np.unique(item * total + np.repeat(block[place], n), return_inverse=True)
+    if not len(key):
+        return key, key
+    upto = np.concatenate([[0.0], np.cumsum(np.bincount(spot, np.repeat(value[place], n)))])
+    item, b = key // total, key % total
+    # the passage that begins a block earlier has its reach one block earlier
+    also = b > low[b]
+    key_, item, b = (np.concatenate([x, x[also] - y]) for x, y in ((key, 1), (item, 0), (b, 1)))
+    lo = np.searchsorted(key, item * total + np.maximum(b - far[item], low[b]), "left")
+    hi = np.searchsorted(key, item * total + np.minimum(b + 1 + far[item], high[b]), "right")
+    enough = np.unique(key_[upto[hi] - upto[lo] >= need[item] - 1e-9])
+    return enough % total, enough // total
+
+
 def passages(docs: DataFrame, items: list[Item], weights: np.ndarray) -> DataFrame:
     """Runs of words around passages that can be candidates: ``doc_id, at`` (first word), ``words``
-    (hashes), ``hits`` (the blocks of the run that these passages begin with).
+    (hashes), ``hits`` (the blocks of the run that these passages begin with), ``near`` and
+    ``near_items`` (blocks and numbers of the items that the words in reach cover enough).
 
     The squared cosine of a passage with an item is at most the share of the passage's squared
     weight in the item's words. Words of more than ``COMMON`` items count towards every item, so
     the share is never underestimated; those of fewer are added up item by item.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((*postings(items), len(items), weights))  # a block of the benchmark, SLOTS weights
+    shared = spark.sparkContext.broadcast((*postings(items), len(items), weights, coverage(items, weights)))  # a block of the benchmark, SLOTS weights
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, first, count, owner, n_items, weights = shared.value
+        terms, first, count, owner, n_items, weights, lists = shared.value
         maybe = np.zeros(1 << 16, bool)
         maybe[(terms & U64(0xFFFF)).astype(np.int64)] = True
         square = (weights.astype(np.float64)) ** 2
@@ -189,12 +241,17 @@ def passages(docs: DataFrame, items: list[Item], weights: np.ndarray) -> DataFra
                     share = np.bincount(place, np.concatenate([v, v[also]]))
                     b = key // n_items
                     hits.append(b[share + common[b] >= ENERGY * all_[b]])
+                ends = first_block[block_row + 1]
+                b, of = covered(near, w.hash, np.sqrt(value), block, first_block[block_row], ends - 1, lists)
+                hits.append(np.unique(b))
                 hit = np.unique(np.concatenate(hits))
                 if not len(hit):
                     continue
                 edge = np.zeros(total + 1, np.int32)
                 np.add.at(edge, np.maximum(hit - AROUND, first_block[block_row[hit]]), 1)
-                np.add.at(edge, np.minimum(hit + 2 + AROUND, first_block[block_row[hit] + 1]), -1)
+                np.add.at(edge, np.minimum(hit + 2 + AROUND, ends[hit]), -1)
+                np.add.at(edge, np.maximum(b - lists[-1][of], first_block[block_row[b]]), 1)
+                np.add.at(edge, np.minimum(b + 2 + lists[-1][of], ends[b]), -1)
                 marked = np.cumsum(edge[:-1]) > 0
                 begin = marked.copy()
                 begin[1:] &= ~marked[:-1] | ~follows[:-1]
@@ -202,15 +259,19 @@ def passages(docs: DataFrame, items: list[Item], weights: np.ndarray) -> DataFra
                 stop[:-1] &= ~marked[1:] | ~follows[:-1]
                 lo, hi = np.flatnonzero(begin), np.flatnonzero(stop) + 1
                 r = block_row[lo]
+                order = np.argsort(b, kind="stable")
+                b, of = b[order], of[order]
+                cuts = list(zip(np.searchsorted(b, lo), np.searchsorted(b, hi), lo))
                 a = w.first[r] + (lo - first_block[r]) * BLOCK
-                b = np.minimum(w.first[r] + (hi - first_block[r]) * BLOCK, w.first[r + 1])
+                z = np.minimum(w.first[r] + (hi - first_block[r]) * BLOCK, w.first[r + 1])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(chunk.lo + r)), pa.array(a - w.first[r], pa.int64()),
-                    pa.array([w.hash[x:y].tobytes() for x, y in zip(a, b)], pa.binary()),
-                    pa.array([hit[x:y] - k for x, y, k in zip(np.searchsorted(hit, lo), np.searchsorted(hit, hi), lo)], pa.list_(pa.int64()))],
-                    names=["doc_id", "at", "words", "hits"])
+                    pa.array([w.hash[x:y].tobytes() for x, y in zip(a, z)], pa.binary()),
+                    pa.array([hit[x:y] - k for x, y, k in zip(np.searchsorted(hit, lo), np.searchsorted(hit, hi), lo)], pa.list_(pa.int64())),
+                    pa.array([b[x:y] - k for x, y, k in cuts], pa.list_(pa.int64())), pa.array([of[x:y] for x, y, _ in cuts], pa.list_(pa.int64()))],
+                    names=["doc_id", "at", "words", "hits", "near", "near_items"])
 
-    return docs.mapInArrow(find, "doc_id long, at long, words binary, hits array<long>")
+    return docs.mapInArrow(find, "doc_id long, at long, words binary, hits array<long>, near array<long>, near_items array<long>")
 
 
 class Runs:
@@ -359,13 +420,14 @@ def weighted_lcs(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
     return float(best[-1])
 
 
-def search(space: Space, axes: np.ndarray, runs: DataFrame) -> DataFrame:
-    """Checked pairs of documents and items of the group (``HITS``), one per run and item."""
+def search(space: Space, axes: np.ndarray, runs: DataFrame, base: int = 0) -> DataFrame:
+    """Checked pairs of documents and items of the group (``HITS``), one per run and item. The group's
+    items have the numbers from ``base`` in ``near_items``."""
     shared = runs.sparkSession.sparkContext.broadcast((space, axes))
-    return runs.mapInArrow(lambda batches: _search(batches, *shared.value), HITS)
+    return runs.mapInArrow(lambda batches: _search(batches, *shared.value, base), HITS)
 
 
-def _search(batches: Iterator[pa.RecordBatch], space: Space, axes: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], space: Space, axes: np.ndarray, base: int) -> Iterator[pa.RecordBatch]:
     weight = [tuple(space.weights[slot(x)].astype(np.float64) for x in (i.words, i.answer)) for i in space.items]
     words = [i.words.tolist() for i in space.items]
     latent = space.item_rows() @ axes
@@ -373,7 +435,7 @@ def _search(batches: Iterator[pa.RecordBatch], space: Space, axes: np.ndarray) -
     def check(k: int, h: np.ndarray, at: int) -> tuple[int, int, float, float]:
         item, (w, aw) = space.items[k], weight[k]
         n = len(item.words)
-        lo, hi = max(0, at - n), min(len(h), at + 2 * BLOCK + n)
+        lo, hi = max(0, at - BLOCK * reach(n)), min(len(h), at + (2 + reach(n)) * BLOCK)
         part = h[lo:hi]
         held = set(part.tolist())
         # the words present bound the subsequence: most candidates end here
@@ -385,10 +447,16 @@ def _search(batches: Iterator[pa.RecordBatch], space: Space, axes: np.ndarray) -
     for batch in batches:
         out = []
         ids, starts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        near, near_items = batch.column(4).to_pylist(), batch.column(5).to_pylist()
         for first, runs in Runs.batches(batch.column(2), batch.column(3)):
             vectors, norm, _, _ = space.windows(runs, axes)
             cosine = (vectors / norm[:, None]) @ latent.T
-            passage, item = np.nonzero(cosine >= COSINE)
+            wanted = cosine >= COSINE
+            for r in range(len(runs.start)):
+                of = np.array(near_items[first + r], np.int64) - base
+                mine = (of >= 0) & (of < len(space.items))
+                wanted[runs.of_block[runs.first_block[r] + np.array(near[first + r], np.int64)[mine]], of[mine]] = True
+            passage, item = np.nonzero(wanted)
             order = np.lexsort((-cosine[passage, item], item, runs.run[passage]))
             best: dict[tuple[int, int], tuple] = {}
             for w, k in zip(passage[order].tolist(), item[order].tolist()):  # best cosine of a run and item first
@@ -433,5 +501,5 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         runs = stored(passages(texts, items, weights), "passages")
         for lo in range(0, len(items), GROUP):
             space = Space(items[lo:lo + GROUP], weights)
-            hits = hits.union(search(space, latent_axes(space, runs), runs))
+            hits = hits.union(search(space, latent_axes(space, runs), runs, lo))
     return hits
