@@ -112,3 +112,16 @@ def test_verbatim_items_of_any_length(spark, sizes):
     copies = [(t, t) for n in sizes for t in [" ".join(f"item{rng.randrange(10**7)}" for _ in range(n))] * (3 if n < 13 else 1)]
     texts = {t: [i for i, c in enumerate(copies) if c[0] == t] for t, _ in copies}
     assert around(spark, rng, copies) == {(d, i) for same in texts.values() for d in same for i in same}
+
+
+@pytest.mark.parametrize("share", [0.6, 0.5])
+def test_paraphrases_that_keep_half_of_the_words(spark, share):
+    rng = random.Random(int(share * 100))
+    copies = []
+    for _ in range(40):
+        w = [f"item{rng.randrange(10**7)}" for _ in range(rng.randrange(24, 44, 4))]
+        head = w[:len(w) * 3 // 4]
+        out = set(rng.sample(range(len(head)), round(len(head) * (1 - share))))
+        new = [f"para{rng.randrange(10**7)} and{rng.randrange(10**7)}" if i in out else x for i, x in enumerate(head)]
+        copies.append((" ".join(head) + ". " + " ".join(w[len(head):]) + ".", " ".join(new + w[len(head):])))
+    assert around(spark, rng, copies) == {(i, i) for i in range(len(copies))}
