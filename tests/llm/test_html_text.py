@@ -27,6 +27,16 @@ def test_blocks():
     assert read(deep) == ["core", "after"]
 
 
+def test_an_end_tag_finds_its_element_at_any_depth():
+    for many in (0, 300, 5000):
+        paths = ht.Paths()
+        texts, at, _ = ht.blocks_of("<article>main" + "<font>x" * many + "</article><footer>below</footer><p>out", paths)
+        assert len(texts) == 3 and texts[1:] == ["below", "out"]
+        assert at[1:] == [paths.child(0, "footer", ""), paths.child(0, "p", "")]
+        texts, at, _ = ht.blocks_of("<ul><li>one" + "<b>" * many + "<li>two</ul>end", paths)
+        assert texts == ["one", "two", "end"] and at[0] == at[1] and at[2] == 0
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     m = ht.Labeller()

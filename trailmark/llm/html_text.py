@@ -104,6 +104,8 @@ def blocks_of(html: str, paths: Paths) -> tuple[list[str], list[int], list[int]]
     at: list[int] = []
     links: list[int] = []
     open_: list[tuple[str, int, bool]] = []  # tag, path with it, link
+    places: dict[str, list[int]] = {}  # where a tag's open elements are in open_
+    blocks: list[int] = []  # where open block elements are in open_
     parts: list[str] = []
     linked = 0
     path = here = 0
@@ -125,7 +127,11 @@ def blocks_of(html: str, paths: Paths) -> tuple[list[str], list[int], list[int]]
         if any(t in BLOCK_TAGS for t, _, _ in open_[n:]):
             flush()
         in_link -= sum(link for _, _, link in open_[n:])
+        for t, _, _ in open_[n:]:
+            places[t].pop()
         del open_[n:]
+        while blocks and blocks[-1] >= n:
+            blocks.pop()
         path = open_[-1][1] if open_ else 0
 
     def add(text: str) -> None:
@@ -148,13 +154,10 @@ def blocks_of(html: str, paths: Paths) -> tuple[list[str], list[int], list[int]]
             continue
         tag = tag.lower()
         if m["end"]:
-            for n in range(len(open_) - 1, max(-1, len(open_) - 257), -1):
-                if open_[n][0] == tag:
-                    pop_to(n)
-                    break
-            else:
-                if tag in BLOCK_TAGS:
-                    flush()
+            if places.get(tag):
+                pop_to(places[tag][-1])
+            elif tag in BLOCK_TAGS:
+                flush()
             continue
         if tag == "br":
             if parts:
@@ -162,18 +165,18 @@ def blocks_of(html: str, paths: Paths) -> tuple[list[str], list[int], list[int]]
             continue
         if tag in BLOCK_TAGS:
             flush()
-            for n in range(len(open_) - 1, max(-1, len(open_) - 257), -1):
-                t = open_[n][0]
+            if blocks:  # the nearest is the only one that may end here
+                t = open_[blocks[-1]][0]
                 if t == "p" and tag in NOT_IN_P or t in ENDS.get(tag, ()):
-                    pop_to(n)
-                    break
-                if t in BLOCK_TAGS:
-                    break
+                    pop_to(blocks[-1])
         if tag in VOID_TAGS or m["attrs"].endswith("/"):
             continue
         link = tag == "a"
         if tag in BLOCK_TAGS or link:
             path = paths.child(path, tag, m["attrs"] if tag in BLOCK_TAGS else "")
+        if tag in BLOCK_TAGS:
+            blocks.append(len(open_))
+        places.setdefault(tag, []).append(len(open_))
         open_.append((tag, path, link))
         in_link += link
     if end < len(html):
