@@ -6,6 +6,7 @@ on tokenizers, trained models or graph iteration. Those are tested against brute
 
 from __future__ import annotations
 
+from trailmark.llm import collocations as c
 from trailmark.llm import quality as q
 
 _W = r"'[^\x20\x09-\x0D]+'"
@@ -67,4 +68,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
  FROM m JOIN ok USING (row_no)"""
 
 
-SQL: dict[str, str] = {"op4_adaptive_quality": _quality()}
+def _collocations() -> str:
+    up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {size} AS size, {' || chr(32) || '.join(f'w{j}' for j in range(1, size + 1))} AS phrase FROM at WHERE w{size} IS NOT NULL"
+        for size in range(1, c.LONGEST + 1))
+    ahead = ", ".join(f"LEAD(w, {j}) OVER piece AS w{j + 1}" for j in range(1, c.LONGEST))
+    return rf"""
+WITH docs AS (SELECT ROW_NUMBER() OVER () AS d, COALESCE(lang, 'und') AS lang, TRANSLATE(COALESCE(text, ''), '{up}', '{low}') AS t FROM documents),
+ pieces AS (SELECT d, lang, UNNEST(p) AS piece, GENERATE_SUBSCRIPTS(p, 1) AS k
+   FROM (SELECT d, lang, STRING_SPLIT_REGEX(t, '[.,;:!?
+-
+]') AS p FROM docs)),
+ words AS (SELECT d, k, lang, UNNEST(p) AS w, GENERATE_SUBSCRIPTS(p, 1) AS i
+   FROM (SELECT d, k, lang, REGEXP_EXTRACT_ALL(piece, '[^ 	]+') AS p FROM pieces)),
+ at AS (SELECT lang, w AS w1, {ahead} FROM words WINDOW piece AS (PARTITION BY d, k ORDER BY i)),
+ f AS (SELECT lang, size, phrase, COUNT(*) AS a FROM ({grams}) GROUP BY lang, size, phrase HAVING COUNT(*) >= {c.LEAST}),
+ totals AS (SELECT lang, COUNT(*) AS n FROM words GROUP BY lang),
+ several AS (SELECT lang, size, phrase, a, STRING_SPLIT(phrase, ' ') AS p FROM f WHERE size > 1),
+ cuts AS (SELECT s.lang, s.phrase, s.a, k, x.a AS l, y.a AS r, ({c.SCALE}::HUGEINT * s.a) // (x.a + y.a) AS score
+   FROM several s CROSS JOIN UNNEST([1, 2, 3]) AS cut(k)
+   JOIN f x ON x.lang = s.lang AND x.phrase = ARRAY_TO_STRING(s.p[1:k], ' ')
+   JOIN f y ON y.lang = s.lang AND y.phrase = ARRAY_TO_STRING(s.p[k + 1:], ' ') WHERE k < s.size),
+ lowest AS (SELECT * FROM cuts QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ inner_phrases AS (SELECT lang, ARRAY_TO_STRING(p[i:i + m - 1], ' ') AS phrase, MAX(a) AS longer
+   FROM several, UNNEST([2, 3]) AS t(m), UNNEST([1, 2, 3]) AS u(i) WHERE m < size AND i + m - 1 <= size GROUP BY ALL),
+ kept AS (SELECT lowest.* FROM lowest LEFT JOIN inner_phrases USING (lang, phrase)
+   WHERE longer IS NULL OR 100::HUGEINT * longer < {c.CONTAINED}::HUGEINT * a),
+ ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+ CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= {c.TOP}"""
+
+
+SQL: dict[str, str] = {"op4_adaptive_quality": _quality(), "op13_collocations": _collocations()}

@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 
 from trailmark.llm import (
     chat_format,
+    collocations,
     decontamination,
     fuzzy_passages,
     html_text,
     near_dedup,
     quality,
+    quality_scores,
     repeat_removal,
     sharding,
+    token_alignment,
     token_files,
     word_bpe,
 )
@@ -121,6 +124,26 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, links and pair counts of two tokenizers for every document."""
+    out = token_alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), digests=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
+@query
+def op12_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document."""
+    out = quality_scores.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.drop("statistics")
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 STREAM_PIECE = 200
 SPECIAL = "\\### Assistant: </turn> ok"
 
