@@ -71,7 +71,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def _collocations() -> str:
     up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     grams = " UNION ALL ".join(
-        f"SELECT lang, {size} AS size, {' || chr(32) || '.join(f'w{j}' for j in range(1, size + 1))} AS phrase FROM at WHERE w{size} IS NOT NULL"
+        f"SELECT lang, {size} AS size, {' || chr(32) || '.join(f'w{j}' for j in range(1, size + 1))} AS phrase FROM ahead WHERE w{size} IS NOT NULL"
         for size in range(1, c.LONGEST + 1))
     ahead = ", ".join(f"LEAD(w, {j}) OVER piece AS w{j + 1}" for j in range(1, c.LONGEST))
     return rf"""
@@ -82,7 +82,7 @@ WITH docs AS (SELECT ROW_NUMBER() OVER () AS d, COALESCE(lang, 'und') AS lang, T
 ]') AS p FROM docs)),
  words AS (SELECT d, k, lang, UNNEST(p) AS w, GENERATE_SUBSCRIPTS(p, 1) AS i
    FROM (SELECT d, k, lang, REGEXP_EXTRACT_ALL(piece, '[^ 	]+') AS p FROM pieces)),
- at AS (SELECT lang, w AS w1, {ahead} FROM words WINDOW piece AS (PARTITION BY d, k ORDER BY i)),
+ ahead AS (SELECT lang, w AS w1, {ahead} FROM words WINDOW piece AS (PARTITION BY d, k ORDER BY i)),
  f AS (SELECT lang, size, phrase, COUNT(*) AS a FROM ({grams}) GROUP BY lang, size, phrase HAVING COUNT(*) >= {c.LEAST}),
  totals AS (SELECT lang, COUNT(*) AS n FROM words GROUP BY lang),
  several AS (SELECT lang, size, phrase, a, STRING_SPLIT(phrase, ' ') AS p FROM f WHERE size > 1),
