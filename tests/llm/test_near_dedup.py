@@ -114,8 +114,7 @@ def test_brute_force_sets():
 
 def test_links_among_documents_of_one_template(spark, monkeypatch):
     """Pairs just above the threshold whose buckets are full of documents just under it."""
-    monkeypatch.setattr(near_dedup, "DRIVERS", 64)
-    monkeypatch.setattr(near_dedup, "PROBES", 128)
+    monkeypatch.setattr(near_dedup, "DRIVERS", 8)
     rng = random.Random(21)
     base = [f"t{i}" for i in range(200)]
 
@@ -129,3 +128,47 @@ def test_links_among_documents_of_one_template(spark, monkeypatch):
         rows += [(1000 + 2 * k, " ".join(base[:168] + a)), (1001 + 2 * k, " ".join(base[:168] + b))]
     rng.shuffle(rows)
     check(spark, [(d, t, None, None, None, None) for d, t in rows])
+
+
+def test_rest_pairs_are_all_that_can_reach_the_threshold(spark):
+    """Random sets over few shingles, every label its own: the pairs found hold all links and little else."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(12):
+        w = sentence(rng, 60).split()
+        for _ in range(9):
+            v = list(w)
+            for _ in range(rng.randrange(7)):
+                v[rng.randrange(len(v))] = f"e{rng.randrange(9)}"
+            rows.append((len(rows), " ".join(v[:rng.choice([60, 60, 55, 45])])))
+    texts = spark.createDataFrame(rows, "node long, text string")
+    pairs = {(r.a, r.b) for r in near_dedup.rest_pairs(texts.selectExpr("node", "node as label"), texts).collect()}
+    sets = [shingle_set(t) for _, t in rows]
+    links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+             if sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert links <= pairs and len(links) > 20
+    one = near_dedup.rest_pairs(texts.selectExpr("node", "cast(0 as long) as label"), texts)
+    assert one.count() == 0
+
+
+def test_members_meet_one_partner_a_turn(spark):
+    rows = [(b, n, 50, n % 3) for b in range(4) for n in range(40)]
+    members = spark.createDataFrame(rows, "band long, node long, n long, label long")
+    for turn in range(2):
+        met = near_dedup.partners(members, turn).collect()
+        assert len({r.b for r in met}) == len(met) <= 40 and all(r.a % 3 != r.b % 3 for r in met)
+
+
+def test_stored_tables_go_when_released(spark, tmp_path):
+    import os
+
+    from trailmark.llm.staging import discard, owned, stored
+
+    outer = stored(spark.range(3), "outer")
+    with owned(spark) as mine:
+        kept = stored(spark.range(5), "kept")
+        gone = stored(spark.range(7), "gone")
+        discard(gone)
+    assert not os.path.exists(gone.stored_at.replace("file:", "")) and kept.count() == 5
+    assert not mine.release(unless_read_by=kept.where("id > 1")) and kept.count() == 5
+    assert mine.release(unless_read_by=outer) and not os.path.exists(kept.stored_at.replace("file:", "")) and outer.count() == 3

@@ -10,23 +10,21 @@ their sets (base ``b`` near 1).
    classes go on.
 2. Bands of ``BAND`` registers hash a class into buckets. A pair at similarity 0.75 shares at least
    one of 32 buckets with probability above 0.99999.
-3. A cheap first step joins what is easily joined: in ``TURNS`` rounds every member of a bucket
-   meets the members that are first in random orders, a few pairs per member however large the
-   bucket. Pairs that differ too much in size, or whose joint likelihood estimate from the two
-   sketches and the known set sizes lies ``SLACK`` below the threshold, are dropped.
+3. A cheap first step joins what is easily joined: in each of ``TURNS`` rounds a member meets one
+   other of its buckets, one pair per member however large the bucket. Pairs that differ too much in
+   size, or whose joint likelihood estimate from the two sketches and the known set sizes lies
+   ``SLACK`` below the threshold, are dropped.
 4. What remains is verified on the full sets, recomputed from the texts. Verified links join classes
    into components.
-5. The rest is exact: in every bucket that still holds several components each pair of members of
-   two components passes the size and estimate tests and, if likely, the verification. A bucket is
-   dealt in tasks of about ``DRIVERS`` members outside its largest component by ``PROBES`` members,
-   so a bucket with one large component costs one row per member; a pair is taken in the first band
-   it shares only. Pairs are listed within a task, and a text goes to a task once.
-
-Only ids, sketches and the texts of candidates are shuffled. A bucket, class or component may hold
-any share of the rows: pivots are minima found by partial aggregation, the joins that follow have
-one row per key on one side, and the tasks of the rest are bounded. The work of the rest grows with
-the pairs of different components in a bucket, which is the square of a group only where its members
-share buckets without being near duplicates.
+5. The rest is exact: the members of all buckets that still hold several components go through a
+   prefix join that takes rare shingles first (``rest_pairs``). It gives every pair of different
+   components that can reach the threshold, which the estimate and the verification then judge.
+
+Only ids, sketches, the texts of bucket members and the shingles of the rest are shuffled. A bucket,
+class or component may hold any share of the rows: pivots are minima found by partial aggregation,
+the joins that follow have one row per key on one side, a pivot's pairs are dealt in bounded tasks.
+Documents that share a template have its shingles last in the order of the prefix join, so they do
+not meet there.
 """
 
 from __future__ import annotations
@@ -39,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm import textbytes as tb
-from trailmark.llm.staging import components, shuffle_partitions, stored
+from trailmark.llm.staging import among, components, discard, shuffle_partitions, stored
 
 WORDS = 5
 THRESHOLD = 75  # per cent
@@ -49,10 +47,8 @@ BASE = 1.001
 RATE = 20.0
 LIMIT = (1 << 16) - 2
 SLACK = 0.17  # above four standard errors of the estimate at the threshold
-PIVOTS = 4
 TURNS = 2
-DRIVERS, PROBES = 256, 1024
-PAIRS = 1 << 14  # pairs compared at a time
+DRIVERS = 256  # pairs of a pivot in one task
 
 U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(8))
@@ -157,78 +153,7 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        return [s for _, some in sets_of(column) for s in some]
-
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            some = batch.slice(lo, 512)
-            keep = []
-            for x, y in zip(sets(some.column("a_text")), sets(some.column("b_text"))):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= THRESHOLD * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def bucket_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of each bucket's members with its pivots of this turn. ``members`` has
-    band, node, n (set size) and label; pairs of one label or too different sizes are left out.
-
-    The first turn has one pivot a bucket, by one of ``PIVOTS`` random orders of all members that the
-    band picks, so a group that shares many buckets has few pivots in all; later turns have
-    ``PIVOTS``, the first in random orders of the labels, so a label of few members is met as often
-    as a large one.
-    """
-    low = (1 << 20) - 1
-    spread = F.pmod(F.xxhash64("band"), F.lit(PIVOTS))
-
-    def order(j: int) -> Column:
-        salt = F.lit(turn * PIVOTS + j)
-        of_node = F.xxhash64("node", spread, salt)
-        if not turn:
-            return of_node
-        return F.xxhash64("label", spread, salt).bitwiseAND(F.lit(~low)).bitwiseOR(of_node.bitwiseAND(F.lit(low)))
-
-    count = PIVOTS if turn else 1
-    firsts = members.groupBy("band").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"),
-        *[F.min_by(c, order(j)).alias(f"{c}_{j}") for j in range(count) for c in ("node", "n", "label")])
-    firsts = firsts.where("lo <> hi").select(F.col("band").alias("band_f"), F.array(*[
-        F.struct(F.col(f"node_{j}").alias("node"), F.col(f"n_{j}").alias("n"), F.col(f"label_{j}").alias("label"))
-        for j in range(count)]).alias("pivots"))
-    other = F.filter(F.array_distinct("pivots"), lambda p: (p["label"] != F.col("label"))
-                     & (F.least(F.col("n"), p["n"]) * 100 >= F.greatest(F.col("n"), p["n"]) * THRESHOLD))
-    met = (members.join(firsts, F.col("band") == F.col("band_f"))
-           .select("node", F.explode(other).alias("p")))
-    return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-
-
-def _likely_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs that may reach the threshold by the estimate from their sketches."""
-    def side(s: str) -> DataFrame:
-        return classes.select(F.col("node").alias(s), F.col("registers").alias(f"{s}_registers"), F.col("n").alias(f"{s}_n"))
-
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", "a_n", "b_n", "a_registers", "b_registers").mapInArrow(_likely, "a long, b long")
-
-
-def _linked(likely: DataFrame, texts: DataFrame) -> DataFrame:
-    """The likely pairs whose whole sets reach the threshold."""
-    wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    held = stored(texts.join(wanted, F.col("doc_id") == F.col("node"), "left_semi"), "texts")
-    a = held.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
-    b = held.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
-    return likely.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(_verify, "a long, b long").distinct()
-
-
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    known = labels.select(F.col("node").alias("x"), "root")
-    return members.join(known, F.col("node") == F.col("x"), "left").select(
-        "band", "place", "node", "n", F.coalesce("root", "node").alias("label"))
-
-
-TASK = ["band", "i", "j"]
+TASK = ["pivot", "salt"]
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -257,42 +182,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
         yield table, split(table)
 
 
-def _rest_likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a task's drivers (role 2) and probes (role 1) with different labels that may reach the
-    threshold, where the band is the first that both share."""
-    for table, task in _groups(batches):
-        node, n, label, role, place = (table.column(c).to_numpy() for c in ("node", "n", "label", "role", "place"))
-        registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(len(task), -1)
-        major = table.column("major").to_numpy()
-        driver, probe = np.flatnonzero(role & 2), np.flatnonzero(role & 1)
-        lo, hi = (np.searchsorted(task[probe], task[driver], side) for side in ("left", "right"))
-        ends = np.cumsum(hi - lo)
-        at = 0
-        while at < len(driver):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-            size = hi[at:to] - lo[at:to]
-            d = np.repeat(driver[at:to], size)
-            p = probe[np.repeat(lo[at:to] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
-            at = to
-            # two drivers meet twice, taken where the lesser drives
-            fits = (label[d] != label[p]) & ((label[p] == major[p]) | (node[d] < node[p]))
-            fits &= np.minimum(n[d], n[p]) * 100 >= np.maximum(n[d], n[p]) * THRESHOLD
-            d, p = d[fits], p[fits]
-            if not len(d):
-                continue
-            same = (registers[d] == registers[p]).reshape(len(d), -1, BAND).all(axis=2)
-            here = same.any(axis=1) & (same.argmax(axis=1) == place[d])
-            d, p = d[here], p[here]
-            if not len(d):
-                continue
-            keep = estimate(registers[d], registers[p], n[d].astype(float), n[p].astype(float)) >= THRESHOLD / 100 - SLACK
-            d, p = d[keep], p[keep]
-            if len(d):
-                yield pa.RecordBatch.from_arrays(
-                    [*[table.column(c).combine_chunks().take(pa.array(d)) for c in TASK], pa.array(node[d]), pa.array(node[p])], names=[*TASK, "a", "b"])
-
-
-def _rest_verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of tasks (text null) whose sets, from the texts of the same tasks, reach the threshold."""
     for table, task in _groups(batches):
         cuts = np.append(np.flatnonzero(np.append(True, task[1:] != task[:-1])), len(task))
@@ -323,37 +213,114 @@ def _rest_verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*linked)], names=["a", "b"])
 
 
-def rest_links(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between members (band, place, node, label) of one bucket and different labels: all
-    of them that pass the size and estimate tests and reach the threshold."""
-    sizes = members.groupBy("band", "label").agg(F.count("*").alias("count"))
-    mixed = sizes.groupBy("band").agg(F.sum("count").alias("n_all"), F.max(F.struct("count", "label")).alias("most")).where(
-        "n_all > most.count").select(
-        F.col("band").alias("of_band"), F.col("most.label").alias("major"),
-        F.ceil((F.col("n_all") - F.col("most.count")) / DRIVERS).cast("int").alias("rows"),
-        F.ceil(F.col("n_all") / PROBES).cast("int").alias("columns"))
-    met = members.join(mixed, F.col("band") == F.col("of_band")).withColumns({
-        "drives": F.col("label") != F.col("major"),
-        "row": F.pmod(F.xxhash64("node", F.lit(1)), F.col("rows")).cast("int"),
-        "column": F.pmod(F.xxhash64("node", F.lit(2)), F.col("columns")).cast("int")})
-    sent = F.expr("""concat(
-        transform(sequence(0, rows - 1), x -> struct(x as i, column as j, if(drives and x = row, 3, 1) as role)),
-        if(drives, transform(filter(sequence(0, columns - 1), x -> x <> column), x -> struct(row as i, x as j, 2 as role)),
-           array()))""")
-    dealt = met.select("band", "place", "node", "label", "major", F.explode(sent).alias("to"))
-    sketch = classes.where("node is not null").select(F.col("node").alias("of"), "n", "registers")
-    rows = dealt.join(sketch, F.col("node") == F.col("of")).select("band", "to.i", "to.j", "to.role", "place", "node", "n", "label", "major", "registers")
-    tasks = shuffle_partitions(members.sparkSession)
-
-    def by_task(df: DataFrame) -> DataFrame:
-        return df.repartition(tasks, *TASK).sortWithinPartitions(*TASK)
-
-    likely = stored(by_task(rows).mapInArrow(_rest_likely, "band long, i int, j int, a long, b long"), "rest")
-    wanted = likely.select(*TASK, F.col("a").alias("node")).union(likely.select(*TASK, "b")).distinct()
-    held = wanted.join(texts, F.col("node") == F.col("doc_id")).where("text is not null")
-    both = likely.withColumn("text", F.lit(None).cast("string")).union(
-        held.select(*TASK, "node", F.lit(None).cast("long"), "text"))
-    return by_task(both).mapInArrow(_rest_verified, "a long, b long").distinct()
+def partners(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs ``(a, b)`` of members (band, node, n, label): every member with at most one other.
+
+    The first turn takes the first member of each bucket in a random order of all members, one order
+    for all bands, so members of a group meet the same few. Later turns take, by a random order of the labels, the first two
+    labels of each bucket, so that every member meets one of another label. Of what its
+    buckets offer a member takes the first in that order; pairs of one label or of too different sizes are left out.
+    """
+    salt = F.lit(turn)
+    order = F.xxhash64("node", salt) if not turn else F.struct(F.xxhash64("label", salt), F.xxhash64("node", salt))
+    some = members.select("band", F.struct(order.alias("place"), "node", "n", "label").alias("m"))
+    first = some.groupBy("band").agg(F.min("m").alias("first"), F.min("m.label").alias("lo"), F.max("m.label").alias("hi"))
+    first = first.where("lo <> hi").select(F.col("band").alias("of"), "first")
+    met = some.join(first, F.col("band") == F.col("of"))
+    offered = met.where("m.label <> first.label").select("m", F.col("first").alias("p"))
+    if turn:
+        second = met.where("m.label <> first.label").groupBy("of").agg(F.min("m").alias("second"))
+        back = met.where("m.label = first.label").select("m", F.col("of").alias("at"))
+        offered = offered.unionByName(back.join(second, F.col("at") == F.col("of")).select("m", F.col("second").alias("p")))
+    fits = F.least("m.n", "p.n") * 100 >= F.greatest("m.n", "p.n") * THRESHOLD
+    taken = offered.where(fits).groupBy(F.col("m.node").alias("b")).agg(F.min("p").alias("p"))
+    return taken.select(F.col("p.node").alias("a"), "b")
+
+
+def _likely_pairs(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The pairs that may reach the threshold by the estimate from their sketches."""
+    def side(s: str) -> DataFrame:
+        return sketch.select(F.col("node").alias(s), F.col("registers").alias(f"{s}_registers"), F.col("n").alias(f"{s}_n"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "a_n", "b_n", "a_registers", "b_registers").mapInArrow(_likely, "a long, b long").distinct()
+
+
+def _linked(likely: DataFrame, texts: DataFrame) -> DataFrame:
+    """The likely pairs whose whole sets, from the texts (node, text), reach the threshold.
+
+    Pairs of one ``a`` are dealt in tasks of about ``DRIVERS``; a text goes to a task once.
+    """
+    tasks = shuffle_partitions(likely.sparkSession)
+    many = likely.groupBy(F.col("a").alias("pivot")).agg(F.ceil(F.count("*") / DRIVERS).cast("int").alias("salts"))
+    dealt = likely.join(many, F.col("a") == F.col("pivot")).select(
+        "pivot", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "a", "b")
+    wanted = dealt.select("pivot", "salt", F.explode(F.array("a", "b")).alias("wants")).distinct()
+    held = wanted.join(texts, F.col("wants") == F.col("node"))
+    both = dealt.withColumn("text", F.lit(None).cast("string")).union(
+        held.select("pivot", "salt", "node", F.lit(None).cast("long"), "text"))
+    return both.repartition(tasks, *TASK).sortWithinPartitions(*TASK).mapInArrow(_verify, "a long, b long").distinct()
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    known = labels.select(F.col("node").alias("x"), "root")
+    return members.join(known, F.col("node") == F.col("x"), "left").select(
+        "band", "node", "n", F.coalesce("root", "node").alias("label"))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per node and shingle; ``set`` tells sets of one node apart."""
+    for batch in batches:
+        for chunk, sets in sets_of(batch.column("text")):
+            size = np.array([len(s) for s in sets], np.int64)
+            if not size.sum():
+                continue
+            row = np.repeat(np.arange(len(sets)), size)
+            key = np.array([np.frombuffer(class_key(s), np.int64)[0] for s in sets], np.int64)
+            node, label = (batch.column(c).slice(chunk.lo, chunk.hi - chunk.lo).to_numpy() for c in ("node", "label"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (tb.signed(np.concatenate(sets)), node[row], key[row], label[row], size[row])],
+                names=["shingle", "node", "set", "label", "n"])
+
+
+def rest_pairs(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different labels among ``mixed`` (node, label) that can reach the threshold: all
+    of them, by a prefix join that takes rare shingles first.
+
+    Two sets of x <= y shingles at the threshold share ``ceil(3 (x + y) / 7)`` of them, so in any one order of all
+    shingles they share one of the first ``x - ceil(6 x / 7) + 1`` of the lesser and one of the first
+    ``y - ceil(3 y / 4) + 1`` of the greater. The order is by the number of sets that have a shingle: what a template gives
+    to all of its documents comes last, and shingles that one set has alone fill places without
+    being joined at all. Where most sets of a shingle have one label, only the others ask.
+    """
+    spark = mixed.sparkSession
+    of = mixed.select(F.col("node").alias("x"), "label")
+    each = stored(of.join(texts, F.col("x") == F.col("node")).select("node", "label", "text").mapInArrow(
+        _sets, "shingle long, node long, `set` long, label long, n long"), "shingles")
+    shared = each.groupBy("shingle").agg(F.count("*").alias("sets"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("sets > 1")
+    known = each.join(shared.withColumnRenamed("shingle", "s"), F.col("shingle") == F.col("s"))
+    places = known.groupBy("node", "set", "label", "n").agg(F.sort_array(F.collect_list(
+        F.struct("sets", "shingle", (F.col("lo") != F.col("hi")).alias("mixed")))).alias("shared"))
+    first = F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1
+    places = places.withColumn("alone", F.col("n") - F.size("shared")).where(F.col("alone") < first)
+    entry = places.select("node", "label", "n", "alone", F.posexplode(F.expr("slice(shared, 1, cast(n - ceil(n * 3 / 4) + 1 - alone as int))")).alias("at", "e"))
+    entry = entry.where("e.mixed").select(F.col("e.shingle").alias("shingle"), "node", "label", "n", (F.col("alone") + F.col("at") + 1).alias("place"))
+    entry = stored(entry, "prefixes")
+    sizes = entry.groupBy("shingle", "label").agg(F.count("*").alias("count"))
+    major = sizes.groupBy("shingle").agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    major = major.select(F.col("shingle").alias("s"), F.col("most.label").alias("major"))
+    entry = stored(entry.join(major, F.col("shingle") == F.col("s")).drop("s"), "entries")
+    asks = entry.where("label <> major").select("shingle", F.struct("n", "node").alias("x"), F.col("label").alias("x_label"), F.col("place").alias("x_place"))
+    met = entry.select(F.col("shingle").alias("s"), F.struct("n", "node").alias("y"), F.col("label").alias("y_label"),
+                       F.col("place").alias("y_place"), (F.col("label") == F.col("major")).alias("y_major"))
+    fits = F.expr("""shingle = s and x_label <> y_label and (y_major or x.node < y.node)
+        and least(x.n, y.n) * 4 >= greatest(x.n, y.n) * 3
+        and if(x < y, x_place <= x.n - ceil(x.n * 6 / 7) + 1, y_place <= y.n - ceil(y.n * 6 / 7) + 1)
+        and 7 * (1 + least(x.n - x_place, y.n - y_place)) >= 3 * (x.n + y.n)""")
+    pairs = asks.join(met, fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    out = stored(pairs.where("a <> b").distinct(), "rest")
+    discard(each, entry)
+    return out
 
 
 def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -376,25 +343,29 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
     schema = f"{SKETCHES}, row {named.schema['row'].dataType.simpleString()}"
     rows = stored(named.mapInArrow(_sketch, schema), "sketches")
-    texts = named.select("doc_id", "text")
     classes = stored(rows.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"),
         F.first("registers").alias("registers"), F.first("bands").alias("bands")), "classes")
-    members = classes.where("node is not null").select("node", "n", F.posexplode("bands").alias("place", "band"))
+    members = classes.where("node is not null").select("node", "n", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     members = stored(members.join(shared.select(F.col("band").alias("b")), F.col("band") == F.col("b"), "left_semi"), "members")
+    nodes = stored(members.select("node").distinct(), "nodes")
+    sketch = stored(classes.where("node is not null").join(nodes, "node", "left_semi").select("node", "n", "registers"), "registers")
+    texts = stored(among(named.select("doc_id", "text"), nodes).join(
+        nodes, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
 
     labels = spark.createDataFrame([], "node long, root long")
-    checked = None
     for turn in range(TURNS):
-        pairs = bucket_pairs(_labelled(members, labels), turn)
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        links = stored(_linked(stored(_likely_pairs(pairs, classes), "likely"), texts), "links")
-        checked = pairs if checked is None else checked.union(pairs)
+        pairs = stored(partners(_labelled(members, labels), turn), "pairs")
+        likely = stored(_likely_pairs(pairs, sketch), "likely")
+        links = stored(_linked(likely, texts), "links")
         labels = joined(labels, links)
-    links = stored(rest_links(_labelled(members, labels), classes, texts), "links")
+        discard(pairs, likely, links)
+    labelled = _labelled(members, labels)
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    mixed = labelled.join(mixed.select(F.col("band").alias("of")), F.col("band") == F.col("of"), "left_semi")
+    pairs = rest_pairs(mixed.select("node", "label").distinct(), texts)
+    links = stored(_linked(stored(_likely_pairs(pairs, sketch), "likely"), texts), "links")
     if not links.isEmpty():
         labels = joined(labels, links)
 

@@ -3,12 +3,19 @@
 Lineage is cut by writing a table under the folder that the cluster names in
 ``spark.checkpoint.dir``. Only where that setting is absent and Spark runs inside one machine
 (``local``) is a scratch folder made; on a cluster its absence is an error.
+
+Operators return frames that read such tables lazily, so only a caller knows when they may go.
+``owned`` collects what is stored while it is open; ``Owned.release`` deletes it once what was made
+of it is written. Within an operator ``discard`` deletes tables whose readers are all stored.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +34,55 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+class Owned:
+    """Tables stored within one ``owned`` block: path and, for bucketed ones, catalog name."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: dict[str, str | None] = {}
+
+    def release(self, unless_read_by: DataFrame | None = None) -> bool:
+        """Deletes the tables; not, and False, where the frame given still reads one of them."""
+        if unless_read_by is not None and any(
+                path.split(":", 1)[-1].lstrip("/") in f for f in unless_read_by.inputFiles() for path in self.tables):
+            return False
+        for path, name in self.tables.items():
+            _delete(self.spark, path, name)
+        self.tables.clear()
+        return True
+
+
+_owners: ContextVar[tuple[Owned, ...]] = ContextVar("owners", default=())
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[Owned]:
+    """Whatever is stored while the block is open belongs to the ``Owned`` it yields."""
+    owner = Owned(spark)
+    token = _owners.set((*_owners.get(), owner))
+    try:
+        yield owner
+    finally:
+        _owners.reset(token)
+
+
+def _delete(spark: SparkSession, path: str, name: str | None) -> None:
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes the tables behind frames that ``stored`` returned and that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "stored_at", None)
+        if path:
+            for owner in _owners.get():
+                owner.tables.pop(path, None)
+            _delete(df.sparkSession, path, None)
+
+
 def stored(df: DataFrame, name: str, bucketed: tuple[str, int] | None = None) -> DataFrame:
     """``df`` written as parquet to a new folder of the shared folder, and read again.
 
@@ -37,12 +93,15 @@ def stored(df: DataFrame, name: str, bucketed: tuple[str, int] | None = None) ->
     spark = df.sparkSession
     tag = uuid.uuid4().hex
     path = f"{shared_folder(spark)}/trailmark-{name}-{tag}"
+    entry = f"trailmark_{name}_{tag}" if bucketed else None
+    for owner in _owners.get():
+        owner.tables[path] = entry
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
         if bucketed:
             column, buckets = bucketed
-            df.write.format("parquet").option("path", path).bucketBy(buckets, column).saveAsTable(f"trailmark_{name}_{tag}")
+            df.write.format("parquet").option("path", path).bucketBy(buckets, column).saveAsTable(entry)
         else:
             df.write.parquet(path)
     finally:
@@ -50,7 +109,11 @@ def stored(df: DataFrame, name: str, bucketed: tuple[str, int] | None = None) ->
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
-    return spark.table(f"trailmark_{name}_{tag}") if bucketed else spark.read.schema(df.schema).parquet(path)
+    if bucketed:
+        return spark.table(entry)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -64,6 +127,51 @@ def buckets_for(texts: DataFrame, least: int = 512, bytes_each: int = 1 << 26) -
     return max(least, -(-total // bytes_each))
 
 
+AMONG_BITS = 27
+
+
+def among(rows: DataFrame, ids: DataFrame, max_bits: int = AMONG_BITS) -> DataFrame:
+    """``rows`` (doc_id and others) whose id may be among those of ``ids`` (one long column, stored).
+
+    The ids reach the tasks as a bitmap of hashes, at most ``2**max_bits`` bits whatever their number, so rows
+    that a join would drop are not shuffled for it. A few others pass; the join follows.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from trailmark.llm.textbytes import mix
+
+    spark = rows.sparkSession
+    bits = min(max((16 * ids.count()).bit_length(), 10), max_bits)
+    mask = np.uint64((1 << bits) - 1)
+
+    def places(column) -> np.ndarray:
+        return mix(column.to_numpy().view(np.uint64)) & mask
+
+    def set_bits(batches):
+        for batch in batches:
+            at = np.unique(places(batch.column(0).drop_null()))
+            if len(at):
+                word, begin = np.unique(at >> np.uint64(6), return_index=True)
+                held = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), begin)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(held.view(np.int64))], names=["word", "held"])
+
+    table = ids.mapInArrow(set_bits, "word long, held long").groupBy("word").agg(F.bit_or("held").alias("held")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[table.column("word").to_numpy()] = table.column("held").to_numpy().view(np.uint64)
+    shipped = spark.sparkContext.broadcast(words)
+    at = rows.columns.index("doc_id")
+
+    def keep(batches):
+        for batch in batches:
+            column = batch.column(at)
+            place = places(column.fill_null(0))
+            found = (shipped.value[(place >> np.uint64(6)).view(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+            yield batch.filter(pa.array(found & column.is_valid().to_numpy(zero_copy_only=False)))
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
     """Connected components by repeated contraction: ``(node, root)`` for every node of an edge;
     ``root`` is the least node of its component.
@@ -77,6 +185,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
     links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     jumps: list[DataFrame] = []
+    before: list[DataFrame] = []
     links = stored(links.where("a <> b").distinct(), "links")
     for _ in range(max_rounds):
         if links.isEmpty():
@@ -84,7 +193,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
             for jump in jumps:
                 pointer = pointer.join(jump, pointer["root"] == jump["x"], "left").select(
                     "node", F.coalesce("to", "root").alias("root"))
-            return stored(pointer, "components")
+            out = stored(pointer, "components")
+            discard(*jumps, *before, links)
+            return out
         both = links.union(links.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(
             F.col("a").alias("x"), F.least("a", "m").alias("to"))
@@ -92,6 +203,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
         hop = least.select(F.col("x").alias("y"), F.col("to").alias("to2"))
         jumps.append(stored(least.join(hop, least["to"] == hop["y"], "left").select(
             "x", F.coalesce("to2", "to").alias("to")), "jump"))
+        before.append(links)
         left, right = (jumps[-1].select(F.col("x").alias(f"{s}x"), F.col("to").alias(f"{s}to")) for s in "ab")
         links = stored(links.join(left, links["a"] == left["ax"]).join(right, links["b"] == right["bx"])
                        .select(F.col("ato").alias("a"), F.col("bto").alias("b")).where("a <> b").distinct(), "links")
