@@ -53,6 +53,27 @@ def test_bucketed_next_pageview_matches_brute_force(spark):
         assert got == expected, bucket
 
 
+def test_first_next_pages_match_brute_force(spark):
+    for seed in (7, 8, 9):
+        rnd = random.Random(seed)
+        rows = [(pid, rnd.choice(["2024-01-10 10:00:00", "2024-01-20 10:00:00"]), None if sid == 5 else sid, url)
+                for pid, _, sid, url in _random_pageviews(seed)]
+        cut = F.lit("2024-01-15").cast("timestamp_ntz")
+        first, by_session = {}, {}
+        for pid, at, sid, url in rows:
+            by_session.setdefault(sid, []).append((pid, url))
+            if url == "/products":
+                key = ("A" if at < "2024-01-15" else "B", sid)
+                first[key] = min(pid, first.get(key, pid))
+        want = {(p, sid): min((x for x in by_session[sid] if sid is not None and x[0] > e), default=(None, None)) for (p, sid), e in first.items()}
+        pv = M.pageviews(spark, rows)
+        for bucket in (1, 2, 5, 1 << 20):
+            found = U.first_next_pages(pv, F.col("pageview_url") == "/products", U.period_label(F.col("created_at"), cut, "A", "B", "none"),
+                                       ["A", "B", "none"], id_bucket=bucket).collect()
+            got = {(r.time_period, r.website_session_id): (r.next_pageview_id, r.next_pageview_url) for r in found}
+            assert got == want and len(found) == len(got), (seed, bucket)
+
+
 def test_next_page_rows_equals_lead_form(spark, small_dir):
     from trailmark.plans import q_funnels as Q
     from trailmark.sources import CommerceData

@@ -37,6 +37,7 @@ AT_MOST = {
     "funnel_step_discovery": (1, 3), "billing_test_flags_by_page": (4, 6),
     "cart_cross_sell_performance": (2, 3), "cross_sell_matrix": (4, 6), "item_refund_lookup": (3, 6),
     "refund_rates": (3, 8), "product_refund_rates": (3, 7), "landing_page_volume": (1, 2),
+    "next_page_rows": (1, 2), "next_page_pathing": (1, 3),
     "bounce_rate": (2, 4), "page_to_order_rate": (2, 4), "pre_post_comparison": (2, 4),
 }
 

@@ -7,14 +7,15 @@ would be one task):
 
 * a step is reached after an entry iff ``max(id of the step url) > min(id of the entry url)`` in
   the session: ids from one partial aggregate;
-* the next page after an entry is the smallest later pageview id, found by joining on
-  (session, id bucket) so that no join key holds more than a bucket of pageviews, however large
-  the session (``next_pageview``).
+* the next page after an entry is found in windows over (session, id bucket), so that no key holds
+  more than a bucket of pageviews however large the session, and then among the first pageviews of
+  the session's buckets (``first_next_pages``; ``next_pageview`` for entries from another table).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,10 +144,6 @@ def landing_segment(home_flag: str = "saw_homepage", lander_flag: str = "saw_cus
 
 # ---- W24 / W25 ----------------------------------------------------------------------------------
 
-def _entries(pageviews: DataFrame, entry_urls: Sequence[str], where: Column | None) -> DataFrame:
-    return apply_filter(pageviews, where).where(F.col(URL).isin(list(entry_urls)))
-
-
 def multi_entry_flags(pageviews: DataFrame, entries: dict[str, str], steps: Steps,
                       where: Column | None = None,
                       other_label: str = FV.PRODUCT_SENTINEL) -> DataFrame:
@@ -270,17 +267,52 @@ def next_pageview(pageviews: DataFrame, entries: DataFrame,
     return with_url.unionByName(without)
 
 
+def first_next_pages(pageviews: DataFrame, entry: Column, period: Column, labels: Sequence[str],
+                     id_bucket: int = ID_BUCKET) -> DataFrame:
+    """As ``next_pageview`` for entries that are pageviews themselves: those where ``entry`` holds, in the
+    period (one of ``labels``) that ``period`` tells. One scan and two exchanges.
+
+    * By (session, id bucket), at most ``id_bucket`` rows a key: ``lead`` gives each pageview the one after it
+      in the bucket. Only the first pageview of the bucket and the first entry of each period go on.
+    * By session, at most one row a bucket and label more: an entry that ends its bucket takes the first
+      pageview of the next bucket; the first entry of each period is the answer.
+    """
+    rows = pageviews.select(SESSION, F.col(PV).alias("_id"), F.col(URL).alias("_url"), F.when(entry, period).alias("_period"),
+                            F.call_function("div", F.col(PV), F.lit(id_bucket)).alias("_b"))
+
+    def first_entries(key: Sequence[str]) -> Column:
+        """Whether a row is the first entry of its period among the rows of ``key``."""
+        group = Window.partitionBy(*key)
+        first = [F.col("_id") == F.min(F.when(F.col("_period") == label, F.col("_id"))).over(group) for label in labels]
+        return F.coalesce(reduce(lambda a, b: a | b, [(F.col("_period") == label) & f for label, f in zip(labels, first)]), F.lit(False))
+
+    bucket = Window.partitionBy(SESSION, "_b").orderBy("_id")
+    near = rows.select(
+        "*", F.lead("_id").over(bucket).alias("_next"), F.lead("_url").over(bucket).alias("_next_url"),
+        F.lag("_id").over(bucket).isNull().alias("_head"), first_entries([SESSION, "_b"]).alias("_first"))
+    # from the last row to the first, the last head seen is the first one after a row
+    after = Window.partitionBy(SESSION).orderBy(F.desc("_id")).rowsBetween(Window.unboundedPreceding, -1)
+    far = near.where("_head or _first").select(
+        "*", F.last(F.when(F.col("_head"), F.struct("_id", "_url")), ignorenulls=True).over(after).alias("_after"),
+        first_entries([SESSION]).alias("_answer"))
+    known, here = F.col(SESSION).isNotNull(), F.col("_next").isNotNull()
+    return far.where("_first and _answer").select(
+        F.col("_period").alias("time_period"), SESSION,
+        F.when(known, F.coalesce("_next", "_after._id")).alias("next_pageview_id"),
+        F.when(known, F.when(here, F.col("_next_url")).otherwise(F.col("_after._url"))).alias("next_pageview_url"))
+
+
 def next_page_rows(pageviews: DataFrame, entry_url: str, where: Column | None, cut: Column,
                    labels: tuple[str, str, str] = (FV.PRE_PRODUCT_2, FV.POST_PRODUCT_2,
                                                    FV.PRODUCT_SENTINEL),
                    id_bucket: int = ID_BUCKET) -> DataFrame:
     """W26 rows: (time_period, website_session_id, next_pageview_url) per period and session
     with an ``entry_url`` pageview passing ``where``."""
-    ent = _entries(pageviews, [entry_url], where).select(
-        period_label(F.col("created_at"), cut, *labels).alias("time_period"),
-        SESSION, F.col(PV).alias("entry_id"))
-    return next_pageview(pageviews, ent, id_bucket=id_bucket).select(
-        "time_period", SESSION, "next_pageview_url")
+    entry = F.col(URL) == entry_url
+    if where is not None:
+        entry = entry & where
+    found = first_next_pages(pageviews, entry, period_label(F.col("created_at"), cut, *labels), labels, id_bucket)
+    return found.select("time_period", SESSION, "next_pageview_url")
 
 
 def next_page_pathing(pageviews: DataFrame, entry_url: str, where: Column | None, cut: Column,
