@@ -45,7 +45,7 @@ FAN = 256
 BLOCK = 4096
 RUN_BYTES = 4 << 20
 TEXT_BYTES = 1 << 20
-CACHE_UNITS = 1 << 18
+CACHE_UNITS = 1 << 19
 LONG_UNIT = 64
 
 RUNS = "run long, part int, heads binary, body binary, facts binary, doc_ids array<long>, groups array<string>"
@@ -130,6 +130,7 @@ class Aligner:
         plain = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         self.cuts = not any("▁" in p.lstrip("▁") for p in plain)
         self.a_length, self.b_length = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.a_text, self.b_text = ([str(i) for i in range(len(side))] for side in (self.a_bytes, self.b_bytes))
         self._clear()
 
     def _clear(self) -> None:
@@ -144,9 +145,21 @@ class Aligner:
             return [text]
         return self.CUT.split(text) if self.IRREGULAR.search(text) else text.split(" ")
 
+    def _byte_ids(self, units: list[str]) -> list[list[int]]:
+        """A ids of units, each as it stands after a space. Units without white space at their ends are
+        encoded in one text, where each begins at a cut, and told apart by their bytes."""
+        plain = [k for k, u in enumerate(units) if u and not (u[0].isspace() or u[-1].isspace())]
+        if len(plain) < len(units):
+            out = [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
+            return out
+        ids = self.a.encode(" " + " ".join(units), add_special_tokens=False).ids
+        ends = np.cumsum(self.a_length[np.array(ids, np.int64)])
+        cuts = [0, *(np.searchsorted(ends, np.cumsum([1 + len(u.encode()) for u in units])) + 1).tolist()]
+        return [ids[x:y] for x, y in zip(cuts, cuts[1:])]
+
     def _learn(self, units: list[str]) -> None:
         """Encodes units, each as it stands after a space."""
-        a = [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
+        a = self._byte_ids(units)
         b = self.b.encode(units, num_threads=1)
         good = []
         for k, u in enumerate(units):
@@ -175,13 +188,20 @@ class Aligner:
         for pool, values in zip(self.facts, (n_a, n_b, n_groups, n_links)):
             pool.add(values)
         self.good.add(np.array(good, np.int64))
-        size_a, size_b = in_a.tolist(), in_b.tolist()
+        size_a, size_b, count = in_a.tolist(), in_b.tolist(), n_groups.tolist()
+        say_a, say_b = self.a_text, self.b_text
         g = 0
-        for k in range(len(units)):
+        for ids_a, ids_b, groups in zip(a, b, count):
+            if groups == len(ids_a) == len(ids_b):
+                self.text.append(";".join([say_a[x] + "|" + say_b[y] for x, y in zip(ids_a, ids_b)]))
+                g += groups
+                continue
             said, i, j = [], 0, 0
-            for _ in range(int(n_groups[k])):
-                said.append(",".join(map(str, a[k][i:i + size_a[g]])) + "|" + ",".join(map(str, b[k][j:j + size_b[g]])))
-                i, j, g = i + size_a[g], j + size_b[g], g + 1
+            for m, n in zip(size_a[g:g + groups], size_b[g:g + groups]):
+                one = say_a[ids_a[i]] if m == 1 else ",".join([say_a[x] for x in ids_a[i:i + m]])
+                said.append(one + "|" + (say_b[ids_b[j]] if n == 1 else ",".join([say_b[y] for y in ids_b[j:j + n]])))
+                i, j = i + m, j + n
+            g += groups
             self.text.append(";".join(said))
 
     def read(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -192,9 +212,9 @@ class Aligner:
         if len(self.text) + len(new) > CACHE_UNITS:
             self._clear()
             new = set().union(*split)
-        short = [u for u in new if len(u) <= LONG_UNIT]
-        long = [u for u in new if len(u) > LONG_UNIT]
-        for some in [short[i:i + 8192] for i in range(0, len(short), 8192)] + [[u] for u in long]:
+        plain = [u for u in new if len(u) <= LONG_UNIT and not (u[0].isspace() or u[-1].isspace())]
+        odd = list(new.difference(plain))
+        for some in [plain[i:i + 8192] for i in range(0, len(plain), 8192)] + [odd[i:i + 64] for i in range(0, len(odd), 64)]:
             for u in some:
                 self.number[u] = len(self.number)
             self._learn(some)
