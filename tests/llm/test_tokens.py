@@ -71,3 +71,27 @@ def test_no_documents_no_files(spark, tmp_path):
     df = spark.createDataFrame([], SCHEMA)
     token_files.write_token_files(df, str(tmp_path / "f"), queries.tokenizer_file("byte_bpe_50k.json"))
     assert token_files.documents_of(token_files.read_token_files(spark, str(tmp_path / "f"))).count() == 0
+
+
+@pytest.mark.parametrize("block_ids,cell", [(50, 3), (1 << 20, 1 << 16)])
+def test_documents_by_number_through_select(spark, tmp_path, monkeypatch, block_ids, cell):
+    monkeypatch.setattr(token_files, "CELL", cell)
+    monkeypatch.setattr(elias_fano.EliasFano, "all", None)  # no block is decoded
+    t = hf("byte_bpe_50k.json")
+    df = spark.createDataFrame(rows(), SCHEMA).repartition(3)
+    path = str(tmp_path / "files")
+    token_files.write_token_files(df, path, queries.tokenizer_file("byte_bpe_50k.json"), block_ids=block_ids)
+    blocks = token_files.read_token_files(spark, path)
+    n = len(rows())
+    asked = spark.createDataFrame([(i,) for i in [*range(n), 5, 5, -1, n, None]], "number long")
+    got = sorted((r.number, r.doc_id, tuple(r.ids)) for r in token_files.documents_at(blocks, asked).collect() if r.doc_id is not None)
+    want = sorted(((d, tuple(t.encode(x or "", add_special_tokens=False).ids + [0])) for d, x, *_ in rows() if d is not None))
+    assert sorted(g[1:] for g in got if g[0] != 5) == sorted(w for w in want if w[0] != dict((g[0], g[1]) for g in got)[5])
+    assert [g[0] for g in got].count(5) == 3 and sorted({g[0] for g in got}) == list(range(2, n))
+
+
+def test_no_catalog_entry_stays(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    assert word_bpe.assembled(spark.createDataFrame(rows(), SCHEMA), path, digests=True).count() == len(rows())
+    assert {t.name for t in spark.catalog.listTables()} == before

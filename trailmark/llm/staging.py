@@ -35,19 +35,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Owned:
-    """Tables stored within one ``owned`` block: path and, for bucketed ones, catalog name."""
+    """Tables stored within one ``owned`` block, by path."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.tables: dict[str, str | None] = {}
+        self.tables: dict[str, None] = {}
 
     def release(self, unless_read_by: DataFrame | None = None) -> bool:
         """Deletes the tables; not, and False, where the frame given still reads one of them."""
         if unless_read_by is not None and any(
                 path.split(":", 1)[-1].lstrip("/") in f for f in unless_read_by.inputFiles() for path in self.tables):
             return False
-        for path, name in self.tables.items():
-            _delete(self.spark, path, name)
+        for path in self.tables:
+            _delete(self.spark, path)
         self.tables.clear()
         return True
 
@@ -66,9 +66,7 @@ def owned(spark: SparkSession) -> Iterator[Owned]:
         _owners.reset(token)
 
 
-def _delete(spark: SparkSession, path: str, name: str | None) -> None:
-    if name:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -80,14 +78,14 @@ def discard(*frames: DataFrame | None) -> None:
         if path:
             for owner in _owners.get():
                 owner.tables.pop(path, None)
-            _delete(df.sparkSession, path, None)
+            _delete(df.sparkSession, path)
 
 
 def stored(df: DataFrame, name: str, bucketed: tuple[str, int] | None = None) -> DataFrame:
     """``df`` written as parquet to a new folder of the shared folder, and read again.
 
     With ``bucketed`` (column, buckets) the files are bucketed, so a join on the column does not
-    shuffle them. Shuffle files of the write are released when it ends, so they do not add up over
+    shuffle them; the catalog entry that this takes is dropped again, the files stay. Shuffle files of the write are released when it ends, so they do not add up over
     stages.
     """
     spark = df.sparkSession
@@ -95,7 +93,7 @@ def stored(df: DataFrame, name: str, bucketed: tuple[str, int] | None = None) ->
     path = f"{shared_folder(spark)}/trailmark-{name}-{tag}"
     entry = f"trailmark_{name}_{tag}" if bucketed else None
     for owner in _owners.get():
-        owner.tables[path] = entry
+        owner.tables[path] = None
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -110,8 +108,10 @@ def stored(df: DataFrame, name: str, bucketed: tuple[str, int] | None = None) ->
         else:
             spark.conf.set(CLEANUP, before)
     if bucketed:
-        return spark.table(entry)
-    out = spark.read.schema(df.schema).parquet(path)
+        out = spark.table(entry)
+        spark.sql(f"DROP TABLE {entry}")  # an external table: only its entry goes
+    else:
+        out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 

@@ -4,7 +4,8 @@ A token file is a table of blocks in the order of the documents: ``part, seq`` (
 blocks), ``doc_ids`` (long, in order), ``ids`` (the token ids of the block's documents one after
 another, little-endian, 16 bits where the vocabulary allows it, else 32) and ``ends`` (Elias-Fano
 code of the documents' end offsets within the block, see ``elias_fano``). Offsets in the whole
-corpus follow from the block sizes, so no 64-bit table of documents is kept anywhere.
+corpus follow from the block sizes, so no 64-bit table of offsets is kept; the ids that name the documents
+are a column of their own, which a reader by number leaves out.
 
 Spark orders the documents (range partitions on the document id and, for documents that share an
 id, on a hash of the text, so no id can fill a partition alone) and writes the blocks; each task
@@ -30,6 +31,7 @@ from trailmark.llm.staging import shuffle_partitions
 BLOCK_IDS = 1 << 22
 CACHE_UNITS = 300_000
 END_ID = 0
+CELL = 1 << 16
 
 BLOCKS = "part int, seq int, n_docs int, n_ids long, doc_ids array<long>, ids binary, ends binary"
 
@@ -187,6 +189,53 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def documents_at(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``number, doc_id, ids`` (array of token ids, the end id last) of the documents with these ``numbers``
+    (column ``number``, from 0 in the order of the files): two selects a document, no other boundary is decoded.
+
+    Numbers meet blocks in cells of ``CELL`` documents, so no block list is broadcast or scanned. A number out of
+    range or null gives no row, a repeated one a row each time.
+    """
+    placed = _block_starts(blocks, "n_docs").join(
+        blocks.select(F.col("part").alias("bp"), F.col("seq").alias("bs"), "n_docs", "n_ids", "doc_ids", "ids", "ends"),
+        (F.col("p") == F.col("bp")) & (F.col("s") == F.col("bs"))).where("n_docs > 0")
+    width = F.lit(CELL)
+    cell = F.call_function("div", F.col("before"), width), F.call_function("div", F.col("before") + F.col("n_docs") - 1, width)
+    cells = placed.select(F.explode(F.sequence(*cell)).alias("cell"), "p", "s", "before", "n_docs")
+    asked = numbers.select(F.col("number").cast("long").alias("number")).where("number >= 0")
+    asked = asked.withColumn("of", F.call_function("div", F.col("number"), width))
+    hits = asked.join(cells, (F.col("of") == F.col("cell")) & (F.col("number") >= F.col("before")) & (F.col("number") < F.col("before") + F.col("n_docs")))
+    wanted = hits.groupBy("p", "s").agg(F.collect_list(F.col("number") - F.col("before")).alias("at"))  # at most a block's documents, as often as asked for
+    found = placed.join(wanted.select(F.col("p").alias("wp"), F.col("s").alias("ws"), "at"), (F.col("p") == F.col("wp")) & (F.col("s") == F.col("ws")))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(i, 1) for i in range(batch.num_rows)):
+                ends = elias_fano.EliasFano(row.column("ends")[0].as_py())
+                data, n_ids, before = row.column("ids")[0].as_py(), row.column("n_ids")[0].as_py(), row.column("before")[0].as_py()
+                names = row.column("doc_ids")[0].values
+                ids = np.frombuffer(data, "<u2" if len(data) == 2 * n_ids else "<u4")
+                at = row.column("at")[0].as_py()
+                spans = [(ends.select(i - 1) if i else 0, ends.select(i)) for i in at]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([before + i for i in at], pa.int64()), names.take(pa.array(at)),
+                    pa.array([ids[a:b].astype(np.int64) for a, b in spans], pa.list_(pa.int64()))], names=["number", "doc_id", "ids"])
+
+    return found.select("before", "n_ids", "doc_ids", "ids", "ends", "at").mapInArrow(read, "number long, doc_id long, ids array<long>")
+
+
+def _block_starts(blocks: DataFrame, column: str) -> DataFrame:
+    """``p, s`` (part and seq of a block) and ``before``, the sum of ``column`` over all blocks before it."""
+    sizes = blocks.select("part", "seq", F.col(column).cast("long").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per writing task
+    parts = (sizes.groupBy("part").agg(F.sum("n").alias("n"))
+             .select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_start")))
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return (sizes.withColumn("block_start", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+            .join(parts, F.col("part") == F.col("p"))
+            .select(F.col("part").alias("p"), F.col("seq").alias("s"), (F.col("part_start") + F.col("block_start")).alias("before")))
+
+
 def documents_of(blocks: DataFrame) -> DataFrame:
     """A row per document, from the files alone: ``doc_id, start, n_tokens, ids_crc32``.
 
@@ -207,13 +256,6 @@ def documents_of(blocks: DataFrame) -> DataFrame:
                     names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     rows = blocks.mapInArrow(read, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    sizes = blocks.select("part", "seq", "n_ids")
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per writing task
-    parts = (sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
-             .select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_start")))
-    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (sizes.withColumn("block_start", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
-              .join(parts, F.col("part") == F.col("p"))
-              .select(F.col("part").alias("p"), F.col("seq").alias("s"), (F.col("part_start") + F.col("block_start")).alias("before")))
+    starts = _block_starts(blocks, "n_ids")
     return rows.join(starts, (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s"))).select(
         "doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

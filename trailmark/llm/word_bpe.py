@@ -11,7 +11,7 @@ Texts are split into words at white space; no token of the tokenizer crosses it.
 
 Word lists, word numbers and ids travel as compressed arrays, a row per chunk and bucket, so what
 is shuffled is a few bytes per word and no key is hot: a word that occurs in every text is one
-entry per chunk. Words are numbered bucket by bucket, so the answers need no numbers with them. The
+entry per chunk. Buckets grow in number with the texts, so a bucket's share of the vocabulary fits in a task. Words are numbered bucket by bucket, so the answers need no numbers with them. The
 chunks are stored bucketed by chunk number and are not shuffled again: only word lists go out and
 only ids come back. A task holds one chunk, or the distinct words of one bucket.
 """
@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.staging import shuffle_partitions, stored
+from trailmark.llm.staging import buckets_for, shuffle_partitions, stored
 
 CHUNK_CHARS = 6 << 20
-BUCKETS = 128
+BUCKETS = 128  # of words, at least
 CODES, WORDS = 1, 0
 
 CHUNKS = "chunk long, kind int, bucket int, doc_ids array<long>, counts binary, codes binary, payload binary"
@@ -73,7 +73,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
         pa.array(payload, pa.binary())], names=["chunk", "kind", "bucket", "doc_ids", "counts", "codes", "payload"])
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
@@ -84,9 +84,9 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> Iterator[pa.RecordBatch]:
         ranked = [w for w, _ in Counter(words).most_common()]
-        home = np.fromiter((zlib.crc32(w.encode()) for w in ranked), np.int64, len(ranked)) % BUCKETS
+        home = np.fromiter((zlib.crc32(w.encode()) for w in ranked), np.int64, len(ranked)) % buckets
         order = np.argsort(home, kind="stable")  # by bucket, frequent words first
-        cuts = np.searchsorted(home[order], np.arange(BUCKETS + 1))
+        cuts = np.searchsorted(home[order], np.arange(buckets + 1))
         rank = np.empty(len(ranked), np.int64)
         rank[order] = np.arange(len(ranked)) - cuts[home[order]]
         place = dict(zip(ranked, range(len(ranked))))
@@ -157,7 +157,8 @@ def assembled(docs: DataFrame, tokenizer_path: str, digests: bool) -> DataFrame:
     shipped = spark.sparkContext.broadcast(spec)  # the vocabulary file, a few MB whatever the data
     tasks = shuffle_partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = stored(texts.mapInArrow(_split, CHUNKS), "chunks", bucketed=("chunk", tasks))
+    buckets = buckets_for(texts, least=BUCKETS)
+    chunks = stored(texts.mapInArrow(lambda it: _split(it, buckets), CHUNKS), "chunks", bucketed=("chunk", tasks))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(shipped.value)
@@ -189,7 +190,7 @@ def assembled(docs: DataFrame, tokenizer_path: str, digests: bool) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 doc_ids, counts, ranks, homes, got = (batch.column(c).slice(i, 1).to_pylist()[0] for c in range(batch.num_columns))
-                yield _chunk(pieces, got or [], doc_ids, _unpack(counts), _unpack(ranks), _unpack(homes), digests)
+                yield _chunk(pieces, got or [], doc_ids, _unpack(counts), _unpack(ranks), _unpack(homes), buckets, digests)
 
     rows = (chunks.where(F.col("kind") == CODES).select("chunk", "doc_ids", "counts", "codes", "payload")
             .join(answers, "chunk", "left").select("doc_ids", "counts", "codes", "payload", "answers"))
@@ -197,10 +198,10 @@ def assembled(docs: DataFrame, tokenizer_path: str, digests: bool) -> DataFrame:
     return rows.mapInArrow(join, f"doc_id long, n_tokens long, {columns}")
 
 
-def _chunk(pieces, answers, doc_ids, counts, ranks, homes, digests) -> pa.RecordBatch:
+def _chunk(pieces, answers, doc_ids, counts, ranks, homes, buckets, digests) -> pa.RecordBatch:
     """The documents of a chunk from the ids of its words, bucket by bucket."""
     sizes = [_unpack(a["counts"]) for a in answers]
-    first = np.zeros(BUCKETS, np.int64)  # number of a bucket's first word
+    first = np.zeros(buckets, np.int64)  # number of a bucket's first word
     first[[a["bucket"] for a in answers]] = np.cumsum([0, *map(len, sizes)])[:-1]
     codes = first[homes] + ranks
     flat = np.concatenate([np.zeros(0, np.int64), *(_unpack(a["ids"]) for a in answers)])
