@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import re
+import time
 from html import unescape
 
 import numpy as np
@@ -27,6 +29,65 @@ def test_blocks():
     assert read(deep) == ["core", "after"]
 
 
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(?P<raw>" + "|".join(ht.RAW_TAGS) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/><\"']*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<[!?/][^>]*>", re.S | re.I)
+
+
+def test_scanner_equals_one_expression():
+    """The tokens of random rubbish are those of a single backtracking expression."""
+    rng = random.Random(9)
+    parts = ["<", ">", "<p", "</p>", "<a href=", '"', "'", " ", "/", "x", "<!--", "-->", "<script>", "</script >", "<b>", "</", "<!", "<?", "=", "<STYLE a", "\n", "title='>'", "<textarea-x>", "é"]
+    for _ in range(4000):
+        html = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 30)))
+        want = [(m.start(), m.end(), bool(m["end"]), (m["tag"] or "").lower(), m["attrs"] or "") for m in TOKEN.finditer(html)]
+        assert list(ht.Scanner(html)) == want, html
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<p title="', "<a", "<p title='", "<!", "</", "<!-- ", "<script ", "<x \"'", "<p a=\"'>", "<div class=", "<", "<a>\"<b '", "&", "<font>", "<div class='q'>"])
+def test_a_page_of_a_megabyte_takes_seconds(piece):
+    html = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    ht.blocks_of(html, ht.Paths())
+    assert time.process_time() - began < 20
+
+
+#: Pages as people write them: none of the forms that ``layout`` puts together; main text in order.
+HAND_MADE = [
+    ("""<!DOCTYPE html><html><head><title>Weather</title><meta charset=utf-8><style>p{}</style></head><body>
+<table width=100%><tr><td bgcolor=#eee><a href=1>Start</a> | <a href=2>Maps</a> | <a href=3>Contact</a></td></tr>
+<tr><td><main><font size=4><b>Snow in the hills</b></font><p>It snowed all night above the tree line, and the pass was shut at six.<p>Drivers
+waited in the valley until the ploughs came through at noon.</main></td></tr><tr><td><small><footer>(c) 2003 The Valley Herald</footer></small></td></tr></table></body></html>""",
+     ["Snow in the hills", "It snowed all night above the tree line, and the pass was shut at six.", "Drivers waited in the valley until the ploughs came through at noon."]),
+    ("""<body><div role="banner"><a href="/">Home</a></div><nav><a href="/a">News</a><a href="/b">Sport</a></nav>
+<article itemscope itemtype='http://schema.org/Article'><header><h1>Bread without a machine</h1></header>
+<figure><img src=x alt="a loaf"><figcaption>A loaf from Tuesday.</figcaption></figure>
+<p>Mix the flour &amp; water and wait an hour before you add the salt.</p><ol><li>Fold it four times.<li>Leave it cold overnight.</ol>
+<blockquote>Good bread needs time more than work.</blockquote><aside class="advert">Buy our mixer!</aside><p>Bake it hot and let it cool.</p></article>
+<section class="comments"><h3>2 comments</h3><p>Mine came out flat and I do not know why.</p></section><footer><p>All rights reserved</p></footer></body>""",
+     ["Bread without a machine", "A loaf from Tuesday.", "Mix the flour & water and wait an hour before you add the salt.", "Fold it four times.",
+      "Leave it cold overnight.", "Good bread needs time more than work.", "Bake it hot and let it cool."]),
+    ("""<div id=wrap><div class="nav top"><ul><li><a href=/>Front</a></li><li><a href=/x>Archive</a></li></ul></div><div class="post main" id=content>
+<h2>On the ferry</h2>We left before light.<br>The water was flat and grey.<p>Nobody spoke until the coast was out of sight.</p><hr>
+<p>By noon we had seen three other boats.</p></div><div class="sidebar"><h4>Popular</h4><ul><li><a href=1>Ten lakes</a></li></ul></div>
+<div class=footer>Imprint | Terms</div></div>""",
+     ["On the ferry", "We left before light. The water was flat and grey.", "Nobody spoke until the coast was out of sight.", "By noon we had seen three other boats."]),
+]
+
+
+def test_hand_made_pages(model):
+    right = total = 0
+    for html, want in HAND_MADE:
+        all_ = read(html)
+        got = ht.extracted([html], model)[0].split("\n")
+        assert all(t in all_ for t in want)
+        right += sum((t in got) == (t in want) for t in all_)
+        total += len(all_)
+    assert right / total >= 0.85, (right, total)
+
+
 def test_an_end_tag_finds_its_element_at_any_depth():
     for many in (0, 300, 5000):
         paths = ht.Paths()

@@ -49,15 +49,94 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
         "option": ("option",)}
 NOT_IN_P = BLOCK_TAGS - {"body", "html", "head", "button", "option", "select"}
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>", re.S | re.I)
+# A tag with no other one inside it: an attempt ends at the next "<" at the latest and takes nothing back.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><"']*+)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+)>""")
+NAME = re.compile(r"""</?([a-zA-Z][^\s/><"']*+)""")
+STOP = re.compile("[>\"']")
+RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
+FIRST_WORD = re.compile(r"\w+")
 ATTRIBUTE = re.compile(r"\b(class|id|role|data-keep)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD_PART = re.compile(r"[a-z]+")
 
 
+class Scanner:
+    """Tags of a page in order, each byte of it read a bounded number of times whatever the page holds."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.next: dict[str, int] = {}  # the place last found of what is looked for from ever later places
+        self.dead: set[int] = set()  # signs from which no tag can end
+
+    def _find(self, what: str, at: int) -> int:
+        """Where ``what`` is next, from ``at`` on; -1 if nowhere. Places asked for only grow."""
+        known = self.next.get(what, -2)
+        if known == -1 or known >= at:
+            return known
+        self.next[what] = known = self.html.find(what, at)
+        return known
+
+    def _sign(self, at: int) -> int:
+        """The next ">" or quote from ``at`` on."""
+        return min((x for x in (self._find(c, at) for c in ">\"'") if x >= 0), default=-1)
+
+    def _tag_end(self, at: int) -> int:
+        """Where a tag that goes on at ``at``, outside quotes, has its ">"; -1 if it has none.
+
+        What lies behind a sign does not depend on where the tag began, so signs that led nowhere are
+        remembered and each is followed once.
+        """
+        html, seen = self.html, []
+        e = self._sign(at)
+        while e >= 0 and e not in self.dead:
+            if html[e] == ">":
+                return e
+            seen.append(e)
+            close = html.find(html[e], e + 1)
+            m = STOP.search(html, close + 1) if close >= 0 else None
+            e = m.start() if m else -1
+        self.dead.update(seen)
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        """Start, end, whether it ends an element, tag and attributes; comments, declarations and elements
+        whose content is no text have the tag ''."""
+        html, n = self.html, len(self.html)
+        at = html.find("<")
+        while 0 <= at:
+            end = at + 1
+            m = TAG.match(html, at)
+            named = m or NAME.match(html, at)
+            low = named[2 if m else 1].lower() if named else ""
+            raw = FIRST_WORD.match(low)[0] if low and html[at + 1] != "/" else ""
+            e = self._tag_end(named.end()) if named and not m and raw not in RAW_END else -1
+            if html.startswith("<!--", at):
+                close = html.find("-->", at + 4)
+                end = n if close < 0 else close + 3
+                yield at, end, False, "", ""
+            elif raw in RAW_END and self._find(">", at) >= 0:
+                close = RAW_END[raw].search(html, self._find(">", at) + 1)
+                end = close.end() if close else n
+                yield at, end, False, "", ""
+            elif m:
+                end = m.end()
+                yield at, end, bool(m[1]), low, m[3]
+            elif e >= 0:
+                end = e + 1
+                yield at, end, html[at + 1] == "/", low, html[named.end():e]
+            elif html[at + 1:at + 2] in ("!", "?", "/") and self._find(">", at) >= 0:
+                end = self._find(">", at) + 1
+                yield at, end, False, "", ""
+            at = html.find("<", end)
+
+
+# Words by which pages mark what is not their text, and what is.
+OUTSIDE = {"nav", "aside", "footer", "form", "menu", "button", "select", "option", "title", "head", ".ad", ".ads", ".advert", ".advertisement",
+           ".sponsored", ".promo", ".sidebar", ".menu", ".nav", ".navigation", ".breadcrumb", ".footer", ".cookie", ".notice", ".banner",
+           ".newsletter", ".share", ".related", ".comments", ".comment", ".subscribe", ".popup", ".copyright", ".social"}
+INSIDE = {"article", "main"}
+MARKS = frozenset(OUTSIDE | INSIDE)
+
+
 class Paths:
     """Tag paths as numbers; path n is its parent with one element more. Keeps a vector for each."""
 
@@ -75,7 +154,7 @@ class Paths:
             for name, *value in ATTRIBUTE.findall(attrs):
                 value = "".join(value).lower()
                 if name.lower() == "data-keep":
-                    keep = int(value)
+                    keep = int(value) if value in ("0", "1") else keep
                     continue
                 parts += ["." + w for w in WORD_PART.findall(value)]
             v = self.vectors[parent].copy()
@@ -87,7 +166,7 @@ class Paths:
             self.known[key] = len(self.vectors)
             self.vectors.append(v)
             self.keep.append(keep)
-            self.words.append(self.words[parent] | frozenset(parts))
+            self.words.append(self.words[parent] | (frozenset(parts) & MARKS))
         return self.known[key]
 
 
@@ -145,15 +224,13 @@ def blocks_of(html: str, paths: Paths) -> tuple[list[str], list[int], list[int]]
             linked += len(text)
 
     end = 0
-    for m in TOKEN.finditer(html):
-        if m.start() > end:
-            add(html[end:m.start()])
-        end = m.end()
-        tag = m["tag"]
-        if tag is None:
+    for start, stop, closes, tag, attrs in Scanner(html):
+        if start > end:
+            add(html[end:start])
+        end = stop
+        if not tag:
             continue
-        tag = tag.lower()
-        if m["end"]:
+        if closes:
             if places.get(tag):
                 pop_to(places[tag][-1])
             elif tag in BLOCK_TAGS:
@@ -169,11 +246,11 @@ def blocks_of(html: str, paths: Paths) -> tuple[list[str], list[int], list[int]]
                 t = open_[blocks[-1]][0]
                 if t == "p" and tag in NOT_IN_P or t in ENDS.get(tag, ()):
                     pop_to(blocks[-1])
-        if tag in VOID_TAGS or m["attrs"].endswith("/"):
+        if tag in VOID_TAGS or attrs.endswith("/"):
             continue
         link = tag == "a"
         if tag in BLOCK_TAGS or link:
-            path = paths.child(path, tag, m["attrs"] if tag in BLOCK_TAGS else "")
+            path = paths.child(path, tag, attrs if tag in BLOCK_TAGS else "")
         if tag in BLOCK_TAGS:
             blocks.append(len(open_))
         places.setdefault(tag, []).append(len(open_))
@@ -191,7 +268,7 @@ def inputs(texts: list[str], at: list[int], links: list[int], paths: Paths) -> n
     x = np.zeros((n, INPUT), np.float32)
     if not n:
         return x
-    x[:, :PATH_SLOTS] = np.array(paths.vectors)[at]
+    x[:, :PATH_SLOTS] = [paths.vectors[p] for p in at]
     column = pa.array(texts, pa.large_string())
     n_words = np.zeros(n)
     for chunk in tb.chunks(column):
@@ -339,13 +416,6 @@ class Labeller:
         return out
 
 
-# Words by which pages mark what is not their text, and what is.
-OUTSIDE = {"nav", "aside", "footer", "form", "menu", "button", "select", "option", "title", "head", ".ad", ".ads", ".advert", ".advertisement",
-           ".sponsored", ".promo", ".sidebar", ".menu", ".nav", ".navigation", ".breadcrumb", ".footer", ".cookie", ".notice", ".banner",
-           ".newsletter", ".share", ".related", ".comments", ".comment", ".subscribe", ".popup", ".copyright", ".social"}
-INSIDE = {"article", "main"}
-
-
 def own_labels(at: list[int], paths: Paths) -> np.ndarray:
     """Labels that a page gives itself; -1 throughout if it marks no main part."""
     words = [paths.words[p] for p in at]
