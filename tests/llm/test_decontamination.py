@@ -125,3 +125,36 @@ def test_paraphrases_that_keep_half_of_the_words(spark, share):
         new = [f"para{rng.randrange(10**7)} and{rng.randrange(10**7)}" if i in out else x for i, x in enumerate(head)]
         copies.append((" ".join(head) + ". " + " ".join(w[len(head):]) + ".", " ".join(new + w[len(head):])))
     assert around(spark, rng, copies) == {(i, i) for i in range(len(copies))}
+
+
+def test_paraphrases_under_half_of_the_words_rest_on_the_latent_score(spark, monkeypatch):
+    rng = random.Random(77)
+    copies, loose = [], []
+    for _ in range(30):
+        w = [f"item{rng.randrange(10**7)}" for _ in range(28)]
+        head, tail = w[:21], w[21:]
+        out = set(rng.sample(range(21), 15))
+        new = [f"para{rng.randrange(10**7)}" if i in out else x for i, x in enumerate(head)]
+        copies.append((" ".join(head) + ". " + " ".join(tail) + ".", " ".join(new + tail)))  # 13 of 28 words
+        loose.append((" ".join(head) + ". " + " ".join(tail) + ".", " ".join(head[:13] + [f"x{rng.randrange(10**7)}" for _ in range(15)])))  # no answer
+    found = around(spark, random.Random(78), copies)
+    assert found <= {(i, i) for i in range(30)} and len(found) >= 18  # the cosine of the rest is lower still
+    assert around(spark, random.Random(79), loose) == set()
+    monkeypatch.setattr(dc, "COSINE", 2.0)  # without latent candidates nothing is left of them
+    assert around(spark, random.Random(78), copies) == set()
+
+
+def test_soft_lcs():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        a, b = rng.integers(0, 5, rng.integers(1, 8)), rng.integers(0, 5, rng.integers(1, 8))
+        w, near = rng.random(len(a)), rng.random((len(a), len(b)))
+
+        def best(i, j):
+            if i == len(a) or j == len(b):
+                return 0.0
+            gain = 1.0 if a[i] == b[j] else near[i, j] if near[i, j] >= dc.NEAR else 0.0
+            return max(best(i + 1, j), best(i, j + 1), gain * w[i] + best(i + 1, j + 1) if gain else 0.0)
+
+        assert abs(dc.soft_lcs(a, b, w, near) - best(0, 0)) < 1e-9
+        assert dc.soft_lcs(a, b, w, np.zeros_like(near)) == pytest.approx(dc.weighted_lcs(a, b, w))

@@ -15,11 +15,14 @@ start every ``BLOCK`` words; their vectors are TF-IDF.
    latent axes. The rank exceeds the number of items, so the items themselves stay distinguishable.
 4. Candidates are the pairs of passage and item with a latent cosine of ``COSINE`` or more, and
    those of step 2 whose words in reach weigh ``LCS_MIN`` of the item. The latter leave out nothing
-   that step 5 accepts: items much shorter or longer than a passage, and paraphrases, have a low
+   that step 5 accepts by exact words: items much shorter or longer than a passage, and paraphrases, have a low
    cosine.
 5. A candidate counts if the longest common subsequence of item and passage (with its
    surroundings), weighted by the words' rarity, covers ``LCS_SURE`` of the item, or ``LCS_MIN`` of
-   it while the answer (the item's last sentence) is present to ``ANSWER``.
+   it while the answer (the item's last sentence) is present to ``ANSWER``. For the latter a passage that is
+   a candidate by its latent cosine and lies within ``LATENT`` of the item there may fall short of exact words:
+   ``SOFT_FLOOR`` of the weight must be exact, the rest may be words aligned with near ones,
+   each for its latent similarity. This no cover of exact words finds.
 
 The benchmark is taken in blocks of ``SCAN_ITEMS`` items, each a scan of the documents, so neither
 the driver nor a broadcast grows with it, nor with the documents. Passages are independent rows:
@@ -52,10 +55,14 @@ COMMON = 8
 LCS_SURE = 0.8
 LCS_MIN = 0.5
 ANSWER = 0.5
+NEARLY = 0.75  # of ``COSINE`` that a passage within ``LATENT`` of an item needs
+LATENT = 0.6  # similarity within the latent space of a passage that may count near words
+SOFT_FLOOR = 0.3  # of the item's weight that must be there word for word all the same
+NEAR = 0.3  # latent similarity of words that may stand for each other
 SCAN_ITEMS = 1 << 14
 
 U64 = np.uint64
-HITS = ("doc_id long, item_id long, start_word long, n_words long, cosine double, lcs double, answer double")
+HITS = "item_id long, start_word long, n_words long, cosine double, lcs double, answer double"
 
 
 def words_of(column: pa.Array) -> Iterator[tuple[tb.Chunk, tb.Words]]:
@@ -271,7 +278,7 @@ def passages(docs: DataFrame, items: list[Item], weights: np.ndarray) -> DataFra
                     pa.array([b[x:y] - k for x, y, k in cuts], pa.list_(pa.int64())), pa.array([of[x:y] for x, y, _ in cuts], pa.list_(pa.int64()))],
                     names=["doc_id", "at", "words", "hits", "near", "near_items"])
 
-    return docs.mapInArrow(find, "doc_id long, at long, words binary, hits array<long>, near array<long>, near_items array<long>")
+    return docs.mapInArrow(find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, at long, words binary, hits array<long>, near array<long>, near_items array<long>")
 
 
 class Runs:
@@ -420,19 +427,45 @@ def weighted_lcs(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
     return float(best[-1])
 
 
+def soft_lcs(a: np.ndarray, b: np.ndarray, weight: np.ndarray, near: np.ndarray) -> float:
+    """As ``weighted_lcs``, where word i of ``a`` and another word j of ``b`` also match, for the share ``near[i, j]``."""
+    best = np.zeros(len(b) + 1)
+    for word, w, close in zip(a, weight, near):
+        gain = np.where(b == word, 1.0, np.where(close >= NEAR, close, 0.0)) * w
+        best[1:] = np.maximum(best[1:], (best[:-1] + gain) * (gain > 0))
+        best = np.maximum.accumulate(best)
+    return float(best[-1])
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=-1, keepdims=True), 1e-12)
+
+
 def search(space: Space, axes: np.ndarray, runs: DataFrame, base: int = 0) -> DataFrame:
-    """Checked pairs of documents and items of the group (``HITS``), one per run and item. The group's
+    """Checked pairs of documents and items of the group (doc_id and ``HITS``), one per run and item. The group's
     items have the numbers from ``base`` in ``near_items``."""
     shared = runs.sparkSession.sparkContext.broadcast((space, axes))
-    return runs.mapInArrow(lambda batches: _search(batches, *shared.value, base), HITS)
+    return runs.mapInArrow(lambda batches: _search(batches, *shared.value, base), f"doc_id {runs.schema['doc_id'].dataType.simpleString()}, {HITS}")
 
 
 def _search(batches: Iterator[pa.RecordBatch], space: Space, axes: np.ndarray, base: int) -> Iterator[pa.RecordBatch]:
     weight = [tuple(space.weights[slot(x)].astype(np.float64) for x in (i.words, i.answer)) for i in space.items]
     words = [i.words.tolist() for i in space.items]
     latent = space.item_rows() @ axes
-
-    def check(k: int, h: np.ndarray, at: int) -> tuple[int, int, float, float]:
+    of_item, of_term = _unit(latent), _unit(axes)
+
+    def close(item: Item, part: np.ndarray, vector: np.ndarray) -> np.ndarray:
+        """Latent similarity of the item's words with those of the passage. A word that no item has stands
+        where its surroundings do, at the passage's own place."""
+        found, t = space.term(part)
+        places = np.repeat(vector[None, :], len(part), axis=0)
+        places[found] = of_term[t]
+        _, own = space.term(item.words)
+        return of_term[own] @ places.T
+
+    def check(k: int, h: np.ndarray, at: int, vector: np.ndarray) -> tuple[int, int, float, float]:
+        """Span, share of the item's weight in a common subsequence, and of its answer's. Where the passage is
+        close to the item in the latent space and has the answer, the subsequence may take near words too."""
         item, (w, aw) = space.items[k], weight[k]
         n = len(item.words)
         lo, hi = max(0, at - BLOCK * reach(n)), min(len(h), at + (2 + reach(n)) * BLOCK)
@@ -440,9 +473,13 @@ def _search(batches: Iterator[pa.RecordBatch], space: Space, axes: np.ndarray, b
         held = set(part.tolist())
         # the words present bound the subsequence: most candidates end here
         bound = sum(x for word, x in zip(words[k], w.tolist()) if word in held) / w.sum()
-        if bound < LCS_MIN:
+        soft = SOFT_FLOOR <= bound and float(of_item[k] @ vector) >= LATENT
+        if bound < LCS_MIN and not soft:
             return lo, hi - lo, bound, 0.0
-        return lo, hi - lo, weighted_lcs(item.words, part, w) / w.sum(), float((aw * np.isin(item.answer, part)).sum() / aw.sum())
+        lcs, answer = weighted_lcs(item.words, part, w) / w.sum(), float((aw * np.isin(item.answer, part)).sum() / aw.sum())
+        if soft and SOFT_FLOOR <= lcs < LCS_MIN and answer >= ANSWER:
+            lcs = min(soft_lcs(item.words, part, w, close(item, part, vector)) / w.sum(), LCS_SURE - 1e-9)
+        return lo, hi - lo, lcs, answer
 
     for batch in batches:
         out = []
@@ -451,7 +488,10 @@ def _search(batches: Iterator[pa.RecordBatch], space: Space, axes: np.ndarray, b
         for first, runs in Runs.batches(batch.column(2), batch.column(3)):
             vectors, norm, _, _ = space.windows(runs, axes)
             cosine = (vectors / norm[:, None]) @ latent.T
+            places = _unit(vectors)
             wanted = cosine >= COSINE
+            # the projection lowers a cosine; within the latent space the passage may still be close to the item
+            wanted |= (cosine >= NEARLY * COSINE) & (places @ of_item.T >= LATENT)
             for r in range(len(runs.start)):
                 of = np.array(near_items[first + r], np.int64) - base
                 mine = (of >= 0) & (of < len(space.items))
@@ -465,29 +505,30 @@ def _search(batches: Iterator[pa.RecordBatch], space: Space, axes: np.ndarray, b
                     continue
                 stop = int(runs.start[r + 1]) if r + 1 < len(runs.start) else len(runs.words)
                 h = runs.words[runs.start[r]:stop]
-                lo, n, lcs, answer = check(k, h, int(runs.at_block[w] - runs.first_block[r]) * BLOCK)
+                lo, n, lcs, answer = check(k, h, int(runs.at_block[w] - runs.first_block[r]) * BLOCK, places[w])
                 if (lcs >= LCS_SURE or (lcs >= LCS_MIN and answer >= ANSWER)) and ((r, k) not in best or lcs > best[r, k][5]):
                     row = first + r
                     best[r, k] = (ids[row], space.items[k].item_id, starts[row] + lo, n, float(cosine[w, k]), lcs, answer)
             out += best.values()
         if out:
-            types = [pa.int64()] * 4 + [pa.float64()] * 3
+            types = [batch.column(0).type] + [pa.int64()] * 3 + [pa.float64()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
                                              names=["doc_id", "item_id", "start_word", "n_words", "cosine", "lcs", "answer"])
 
 
-def contaminated_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Where documents (doc_id, text) hold items of ``benchmark`` (item_id, text): ``HITS`` rows.
+def contaminated_passages(docs: DataFrame, benchmark: DataFrame, id_type: str = "long") -> DataFrame:
+    """Where documents (doc_id, text) hold items of ``benchmark`` (item_id, text): ``doc_id`` (as
+    ``id_type``) and ``HITS``.
 
     A document with an item in several places has a row for each. Texts are taken whole; null or
     empty ones have no passages; a null id is carried along; with an empty benchmark or no
     documents the result is empty. Other columns are ignored.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), F.col("text").cast("string").alias("text"))
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     n_items = asked.count()
-    hits = spark.createDataFrame([], HITS)
+    hits = spark.createDataFrame([], f"doc_id {id_type}, {HITS}")
     if not n_items:
         return hits
     n_docs, frequency = document_frequencies(texts)
