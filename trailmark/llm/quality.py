@@ -25,16 +25,18 @@ MAX_REPEAT_PERCENT = 30
 STEP = 5
 TOP = 10_000
 MIN_DOCS = 50
-FENCE = 3
+FENCE = 8
 
 # measure -> (least distance of the upper fence from the third quartile, the same below the first
-# quartile or None where only high values are bad); same units as the measure
+# quartile or None where only high values are bad); same units as the measure. The distance is that of
+# the sketch, ``FENCE`` quartile ranges, wherever this is more: for the last two measures these are a few bins, the
+# first three are 0 in most documents of most groups, so their quartiles do not spread
 MARGINS: dict[str, tuple[int, int | None]] = {
-    "symbol_rate": (150, None),     # symbols per 1000 words
-    "dup_line_rate": (350, None),   # duplicate lines per 1000 lines with a word
-    "repeat_rate": (300, None),     # words in repeated windows per 1000 words
-    "upper_rate": (250, None),      # upper-case letters per 1000 characters in words
-    "word_length": (200, 150),      # characters per 100 words
+    "symbol_rate": (10 * STEP, None),    # symbols per 1000 words
+    "dup_line_rate": (70 * STEP, None),  # duplicate lines per 1000 lines with a word
+    "repeat_rate": (57 * STEP, None),    # words in repeated windows per 1000 words
+    "upper_rate": (7 * STEP, None),      # upper-case letters per 1000 characters in words
+    "word_length": (10 * STEP, 10 * STEP),  # characters per 100 words
 }
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 OUT = [*BASE, "base_failed", *MARGINS, "threshold_level", "kept"]
@@ -136,18 +138,26 @@ def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
     return q.groupBy(*by).agg(*aggs)
 
 
-def quality_rules(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, keep: list[str] | None = None, twice: bool = False) -> DataFrame:
     """``keep`` columns of every document (default all), the counts, the measures, ``kept``.
 
     Needs columns text, lang and source; null language or source is a group like any other. Input
-    columns named like an output column are replaced by it. Order, repeated rows and extra columns
-    do not matter; an empty table gives an empty table. The rows are stored once in the shared
-    folder, because both the sketches and the filter read them.
+    columns named like an output column are replaced by it; any other name may occur. Order, repeated rows and extra columns
+    do not matter; an empty table gives an empty table. Both the sketches and the filter need the
+    measures: the rows are stored once in the shared folder, or with ``twice`` measured again for
+    the filter, which saves a copy of the texts where they are kept.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in OUT]
-    carried = [*keep, *[c for c in ("lang", "source") if c not in keep]]
-    rows = stored(measured(features(docs, carried)), "quality")
-    sketch = sketches(rows)
+    # the input's columns travel in one struct, so none can clash with a helper's name
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)
+    docs = docs.select(row.alias("row"), "lang", "source", "text")
+    carried = ["row", "lang", "source"]
+    if twice:
+        sketch = stored(sketches(measured(features(docs, ["lang", "source"]))), "quality-sketches")
+        rows = measured(features(docs, carried))
+    else:
+        rows = stored(measured(features(docs, carried)), "quality")
+        sketch = sketches(rows)
     own = fences(sketch, ["lang", "source"])
     of_lang = fences(sketch, ["lang"])
     of_all = fences(sketch, [])
@@ -168,6 +178,8 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
                 .otherwise(F.col(f"__a_{name}")).alias(f"__{name}"))
 
     limits = limits.select("__o_lang", "__o_source", level.alias("threshold_level"), *[pick(n) for n in names])
+    if twice:
+        limits = stored(limits, "quality-limits")  # of known size, so Spark can broadcast it instead of shuffling texts
     inside = F.lit(True)
     for m, (_, down) in MARGINS.items():
         inside = inside & (F.col(m) <= F.col(f"__{m}_hi"))
@@ -176,5 +188,5 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     judged = rows.join(limits, F.col("lang").eqNullSafe(F.col("__o_lang"))
                        & F.col("source").eqNullSafe(F.col("__o_source")), "left")
     return judged.select(
-        *[F.col(f"`{c}`") for c in keep], *BASE, "base_failed", *MARGINS, "threshold_level",
+        *[F.col(f"row.`{c}`") for c in keep], *BASE, "base_failed", *MARGINS, "threshold_level",
         (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))
