@@ -10,18 +10,23 @@ depends on the string alone, so equal strings have equal anchors at the same pla
 strings by (anchor, what is around it) brings equal ones together, with one entry per anchor
 (about one in 16 bytes) instead of one per byte.
 
-* First digit: the ``DIGIT`` bytes of the anchor. Groups within one document leave.
-* Second digit: the anchor's surroundings, up to ``LENGTH - DIGIT`` bytes before it and to ``LENGTH``
-  bytes from its start, which hold every string of this anchor. Where they are equal all strings
-  are: every document but the first of such a group has all of them earlier. Its first document
-  stands for the group from here on, if its first-digit group holds other surroundings.
-* Last digit: the whole strings of those that stand for their groups. Equal groups are exactly the
-  repeated strings.
-
-Each pass is one exchange of 64-bit digits with document ids, by ranges of the digit; equal digits
+* First digit: the ``DIGIT`` bytes of the anchor. Second digit: the anchor's surroundings, up to
+  ``LENGTH - DIGIT`` bytes before it and to ``LENGTH`` bytes from its start, which hold every string
+  of this anchor. Where both are equal all strings are: every document but the first of such a
+  group has all of them earlier. Groups are dealt by both digits, so an anchor that half of all
+  documents have in different surroundings is spread like any other.
+* An anchor stays open if it has several surroundings and more than one document. That is counted per anchor from
+  one entry for each part of the first pass; open anchors reach the tasks as a bitmap of at most
+  ``2**OPEN_BITS`` bits, where a false positive only lets an anchor go on that need not.
+* Last digit: the whole strings of open anchors. Equal groups are exactly the repeated strings.
+
+Digits are 64-bit hashes of bytes, and a decision rests on two of them (128 bits), in the first pass
+anchor and surroundings, in the last two hashes of the string from different tables. Each pass is one
+exchange of digits with document ids in hash buckets sized by the texts; equal digits
 are merged to the earliest document per Arrow batch before it, so a string in every document is one
 entry per batch and its other copies are decided in place. Texts are not sorted or compared; they
-join the decisions by document at the end.
+join the decisions by row at the end. A row is its id where ids are unique; otherwise a hash of id and
+text, so rows that share an id do not gather each other's decisions.
 """
 
 from __future__ import annotations
@@ -30,28 +35,34 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm import textbytes as tb
-from trailmark.llm.staging import buckets_for, shuffle_partitions, stored
+from trailmark.llm.staging import shuffle_partitions, stored
 
 LENGTH = 50
 DIGIT = 20
 REACH = LENGTH - DIGIT  # bytes of surroundings on either side of an anchor
+OPEN_BITS = 27
+BUCKET_BYTES = 1 << 26  # of text for each hash bucket
 U64 = np.uint64
 NO_ID = np.iinfo(np.int64).min  # stands for a null id, before every other
 
-WHOLE, OPEN, STRING = 0, 1, 2  # all strings of an anchor repeat; to be sorted further; a string repeats
-DIGITS = "bucket int, keys binary, subs binary, docs binary, decided binary"
-MARKS = "doc long, kind int, mark long"
+WHOLE, STRING, COUNT = 0, 1, 2  # all strings of an anchor repeat; a string repeats; surroundings of anchors, counted
+DIGITS = "bucket int, keys binary, subs binary, docs binary, rows binary, decided binary"
+MARKS = "row long, kind int, mark long, keys binary"
+COUNTED = np.dtype([("key", "<u8"), ("lo", "<i8"), ("hi", "<i8"), ("n", "u1")])
+
+_table = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
 class Anchors:
     """Anchors of a chunk of texts: position, first and last string start, row, both digits."""
 
     def __init__(self, chunk: tb.Chunk):
-        data = chunk.data
+        self.data = data = chunk.data
         n = len(data)
         self.prefix = prefix = tb.prefix_hash(data)
         starts_in = np.maximum(chunk.lengths - LENGTH + 1, 0)
@@ -89,11 +100,17 @@ class Anchors:
         self.sub = tb.mix(around + (self.at - left).astype(U64) * U64(0x9E3779B97F4A7C15)
                           + (right - self.at).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
 
-    def strings(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the anchors ``some``: start, row and hash of every string."""
+    def strings(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the anchors ``some``: start, row and both hashes of every string."""
         sizes = self.last[some] - self.first[some] + 1
         start = np.repeat(self.first[some], sizes) + _within(sizes)
-        return start, np.repeat(self.row[some], sizes), tb.mix(tb.range_hash(self.prefix, start, start + LENGTH))
+        if not len(start):
+            return start, start, np.zeros(0, U64), np.zeros(0, U64)
+        p, _ = tb.powers(len(self.data))
+        other = np.zeros(len(self.data) + 1, U64)
+        np.cumsum(_table[self.data] * p[:len(self.data)], dtype=U64, out=other[1:])
+        return (start, np.repeat(self.row[some], sizes), tb.mix(tb.range_hash(self.prefix, start, start + LENGTH)),
+                tb.mix(tb.range_hash(other, start, start + LENGTH)))
 
 
 def _within(sizes: np.ndarray) -> np.ndarray:
@@ -102,105 +119,160 @@ def _within(sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def mark(doc: np.ndarray, key: np.ndarray, sub: np.ndarray | int = 0) -> np.ndarray:
-    """64 bits that stand for a decision: document and digits."""
-    return tb.mix(key + tb.mix(np.asarray(sub, U64) + doc.view(U64) * U64(0x9E3779B97F4A7C15)))
+def mark(row: np.ndarray, key: np.ndarray, sub: np.ndarray) -> np.ndarray:
+    """64 bits that stand for a decision among those of a row: row and digits."""
+    return tb.mix(key + tb.mix(sub + row.view(U64) * U64(0x9E3779B97F4A7C15)))
 
 
 def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(int(NO_ID)).to_numpy().astype(np.int64)
 
 
-def _digits(entries: Callable, buckets: int) -> Callable:
-    """A task that yields digits by bucket from ``entries(batch) -> (key, sub, doc)``.
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+
+
+def _sorted(key: np.ndarray, sub: np.ndarray, doc: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Entries in order of digits and document, without repeated ones; where a group begins; its least document."""
+    order = np.lexsort((row, doc, sub, key)) if row is not doc else np.lexsort((doc, sub, key))
+    key, sub, doc, row = key[order], sub[order], doc[order], row[order]
+    begins = np.ones(len(key), bool)
+    begins[1:] = (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])
+    once = begins.copy()
+    once[1:] |= row[1:] != row[:-1]
+    key, sub, doc, row, begins = key[once], sub[once], doc[once], row[once], begins[once]
+    least = doc[np.maximum.accumulate(np.where(begins, np.arange(len(doc)), 0))]
+    return key, sub, doc, row, begins, least
+
+
+def _digits(entries: Callable, buckets: int, unique: bool) -> Callable:
+    """A task that yields digits by bucket from ``entries(batch) -> (key, sub, doc, row)``.
 
     Within a batch (cut to some MB of text) only the earliest document of equal digits goes on; the
     later ones have an earlier holder already and are handed on as decided.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tb.slices(batches, 1):
-            key, sub, doc = entries(batch)
+        for batch in tb.slices(batches, 2):
+            key, sub, doc, row = entries(batch)
             if not len(key):
                 continue
-            order = np.lexsort((doc, sub, key))
-            key, sub, doc = key[order], sub[order], doc[order]
-            group = np.ones(len(key), bool)
-            group[1:] = (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])
-            same = ~group
-            same[1:] &= doc[1:] == doc[:-1]
-            least = doc[np.maximum.accumulate(np.where(group, np.arange(len(doc)), 0))]
-            later = (doc > least) & ~same
-            decided = np.stack([doc[later], mark(doc[later], key[later], sub[later]).view(np.int64)])
-            home = (key[group] >> U64(32)).astype(np.int64) * buckets >> 32
-            cuts = np.searchsorted(home, np.arange(buckets + 1))  # sorted by key, so by bucket
-            k, s, d = key[group], sub[group], doc[group]
+            key, sub, doc, row, begins, least = _sorted(key, sub, doc, doc if unique else row)
+            later = doc > least
+            decided = np.stack([row[later], mark(row[later], key[later], sub[later]).view(np.int64)])
+            # rows of one least document all go on, since an earlier one may be elsewhere; nothing is before NO_ID
+            on = begins | (~later & (doc != NO_ID))
+            key, sub, doc, row = key[on], sub[on], doc[on], row[on]
+            home = _bucket(tb.mix(key + sub * U64(0x9E3779B97F4A7C15)), buckets)
+            order = np.argsort(home, kind="stable")
+            cuts = np.searchsorted(home[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cuts))
             share = np.linspace(0, decided.shape[1], len(full) + 1).astype(int)
-            rows = [(int(b), k[cuts[b]:cuts[b + 1]].tobytes(), s[cuts[b]:cuts[b + 1]].tobytes(), d[cuts[b]:cuts[b + 1]].tobytes(),
-                     decided[:, share[i]:share[i + 1]].tobytes()) for i, b in enumerate(full)]
+            columns = [c[order] for c in (key, sub, doc, row)]
+            rows = [(int(b), *[c[cuts[b]:cuts[b + 1]].tobytes() for c in columns[:3]],
+                     None if unique else columns[3][cuts[b]:cuts[b + 1]].tobytes(), decided[:, share[i]:share[i + 1]].tobytes()) for i, b in enumerate(full)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))],
-                names=["bucket", "keys", "subs", "docs", "decided"])
+                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))],
+                names=["bucket", "keys", "subs", "docs", "rows", "decided"])
 
     return run
 
 
-def _marks(doc: np.ndarray, kind: int, marks: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(np.full(len(doc), kind), pa.int32()),
-                                       pa.array(marks.view(np.int64), pa.int64())], names=["doc", "kind", "mark"])
+def _marks(row: np.ndarray, kind: int, marks: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(np.full(len(row), kind), pa.int32()),
+                                       pa.array(marks.view(np.int64), pa.int64()), pa.nulls(len(row), pa.binary())], names=["row", "kind", "mark", "keys"])
+
+
+def _counts(counted: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows of kind ``COUNT``: the bucket of some keys (as mark) and their counts."""
+    home = _bucket(counted["key"], buckets)  # in order of the key
+    cuts = np.searchsorted(home, np.arange(buckets + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    return pa.RecordBatch.from_arrays([
+        pa.nulls(len(full), pa.int64()), pa.array(np.full(len(full), COUNT), pa.int32()), pa.array(full, pa.int64()),
+        pa.array([counted[cuts[b]:cuts[b + 1]].tobytes() for b in full.tolist()], pa.binary())], names=["row", "kind", "mark", "keys"])
 
 
-def _equal_groups(found: int) -> Callable:
-    """A task that reads the digits of whole buckets and yields the decisions as marks."""
-    def decide(parts: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        key, sub, doc = (np.frombuffer(b"".join(p), t) for p, t in zip(zip(*parts), (U64, U64, np.int64)))
-        order = np.lexsort((doc, sub, key))
-        key, sub, doc = key[order], sub[order], doc[order]
-        first_key = np.ones(len(key), bool)
-        first_key[1:] = key[1:] != key[:-1]
-        group = first_key.copy()
-        group[1:] |= sub[1:] != sub[:-1]
-        at = np.arange(len(key))
-        least = doc[np.maximum.accumulate(np.where(group, at, 0))]
+def _equal_groups(found: int, buckets: int) -> Callable:
+    """A task that reads the digits of whole buckets and yields the decisions as marks, after the first
+    pass also the number of surroundings and the least and greatest document of its anchors."""
+    def decide(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        key, sub, doc = (np.frombuffer(b"".join(p[k] for p in parts), t) for k, t in enumerate((U64, U64, np.int64)))
+        row = doc if parts[0][3] is None else np.frombuffer(b"".join(p[3] for p in parts), np.int64)
+        key, sub, doc, row, begins, least = _sorted(key, sub, doc, row)
         later = doc > least
         if later.any():
-            yield _marks(doc[later], found, mark(doc[later], key[later], sub[later]))
-        # groups of one first digit: open if there are several, of more than one document
-        which = np.cumsum(first_key) - 1
-        begin = np.flatnonzero(first_key)
-        several = np.add.reduceat(group.astype(np.int64), begin) > 1
-        many = np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)
-        stand = group & (several & many)[which]
-        if found == WHOLE and stand.any():
-            yield _marks(doc[stand], OPEN, mark(doc[stand], key[stand], sub[stand]))
+            yield _marks(row[later], found, mark(row[later], key[later], sub[later]))
+        if found == WHOLE:
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            out = np.zeros(len(starts), COUNTED)
+            out["key"] = key[starts]
+            out["lo"], out["hi"] = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
+            out["n"] = np.minimum(np.add.reduceat(begins.astype(np.int64), starts), 2)
+            yield _counts(out, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
         for batch in batches:
-            for bucket, k, s, d, decided in zip(*map(tb.values, batch.columns)):
+            for bucket, k, s, d, r, decided in zip(*map(tb.values, batch.columns)):
                 if bucket != now and parts:
                     yield from decide(parts)
                     parts = []
                 now = bucket
-                parts.append((k, s, d))
+                parts.append((k, s, d, r))
                 if decided:
-                    doc, marks = np.frombuffer(decided, np.int64).reshape(2, -1)
-                    yield _marks(doc, found, marks)
+                    row, marks = np.frombuffer(decided, np.int64).reshape(2, -1)
+                    yield _marks(row, found, marks)
         if parts:
             yield from decide(parts)
 
     return run
 
 
-def _anchor_entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = _ids(batch.column(0))
-    keys, subs, docs = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-    for chunk in tb.chunks(batch.column(1)):
+def _open_words(bits: int) -> Callable:
+    """A task that adds up the counts of whole buckets; yields the open anchors as bits of 64-bit words."""
+    def bits_of(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        counted = np.frombuffer(b"".join(parts), COUNTED)
+        counted = counted[np.argsort(counted["key"], kind="stable")]
+        starts = np.flatnonzero(np.concatenate([[True], counted["key"][1:] != counted["key"][:-1]]))
+        several = np.add.reduceat(counted["n"].astype(np.int64), starts) > 1
+        many = np.minimum.reduceat(counted["lo"], starts) < np.maximum.reduceat(counted["hi"], starts)
+        at = np.unique(counted["key"][starts[several & many]] & U64((1 << bits) - 1))
+        if len(at):
+            word, begin = np.unique(at >> U64(6), return_index=True)
+            held = np.bitwise_or.reduceat(U64(1) << (at & U64(63)), begin)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(held.view(np.int64))], names=["word", "held"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            for bucket, keys in zip(*map(tb.values, batch.columns)):
+                if bucket != now and parts:
+                    yield from bits_of(parts)
+                    parts = []
+                now = bucket
+                parts.append(keys)
+        if parts:
+            yield from bits_of(parts)
+
+    return run
+
+
+def _is_open(words: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = key & U64(64 * len(words) - 1)
+    return (words[(at >> U64(6)).view(np.int64)] >> (at & U64(63)) & U64(1)).astype(bool)
+
+
+def _anchor_entries(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Entries of a batch of (doc, row, text)."""
+    docs, rows = (_ids(batch.column(c)) for c in (0, 1))
+    keys, subs, at = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for chunk in tb.chunks(batch.column(2)):
         a = Anchors(chunk)
         keys.append(a.key)
         subs.append(a.sub)
-        docs.append(ids[chunk.lo + a.row])
-    return np.concatenate(keys), np.concatenate(subs), np.concatenate(docs)
+        at.append(chunk.lo + a.row)
+    where = np.concatenate(at)
+    return np.concatenate(keys), np.concatenate(subs), docs[where], rows[where]
 
 
 def _members(marks: np.ndarray, known: pa.Array) -> np.ndarray:
@@ -211,38 +283,40 @@ def _members(marks: np.ndarray, known: pa.Array) -> np.ndarray:
     return pool[np.minimum(np.searchsorted(pool, marks), len(pool) - 1)] == marks
 
 
-def _string_entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = _ids(batch.column(0))
-    keys, docs = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-    for chunk in tb.chunks(batch.column(1)):
-        a = Anchors(chunk)
-        open_ = _members(mark(ids[chunk.lo + a.row], a.key, a.sub), batch.column(2).slice(chunk.lo, chunk.hi - chunk.lo))
-        _, row, h = a.strings(np.flatnonzero(open_))
-        keys.append(h)
-        docs.append(ids[chunk.lo + row])
-    key = np.concatenate(keys)
-    return key, np.zeros(len(key), U64), np.concatenate(docs)
-
-
-def _spans(batch: pa.RecordBatch, id_at: int, text_at: int) -> Iterator[pa.RecordBatch]:
-    """The batch without its last three columns (lists of marks), and what remains of each text."""
-    ids = _ids(batch.column(id_at))
-    whole, open_, string = (batch.column(batch.num_columns - 3 + i) for i in range(3))
+def _string_entries(shipped: Broadcast) -> Callable:
+    def entries(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        docs, rows = (_ids(batch.column(c)) for c in (0, 1))
+        keys, subs, at = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        for chunk in tb.chunks(batch.column(2)):
+            a = Anchors(chunk)
+            _, row, h, other = a.strings(np.flatnonzero(_is_open(shipped.value, a.key)))
+            keys.append(h)
+            subs.append(other)
+            at.append(chunk.lo + row)
+        where = np.concatenate(at)
+        return np.concatenate(keys), np.concatenate(subs), docs[where], rows[where]
+
+    return entries
+
+
+def _spans(batch: pa.RecordBatch, opened: np.ndarray) -> pa.RecordBatch:
+    """What remains of each text of a batch of (row, text, carried, whole, string)."""
+    rows = _ids(batch.column(0))
     spans, kept, text = [], [], []
-    for chunk in tb.chunks(batch.column(text_at)):
+    for chunk in tb.chunks(batch.column(1)):
         n = chunk.hi - chunk.lo
-        part = [c.slice(chunk.lo, n) for c in (whole, open_, string)]
+        whole, string = (batch.column(c).slice(chunk.lo, n) for c in (3, 4))
         gone = np.zeros(len(chunk.data) + 1, np.int32)
-        if any(len(p.flatten()) for p in part):
+        if len(whole.flatten()) or len(string.flatten()):
             a = Anchors(chunk)
-            marks = mark(ids[chunk.lo + a.row], a.key, a.sub)
-            hit = np.flatnonzero(_members(marks, part[0]))
+            hit = np.flatnonzero(_members(mark(rows[chunk.lo + a.row], a.key, a.sub), whole))
             np.add.at(gone, a.first[hit], 1)
             np.add.at(gone, a.last[hit] + LENGTH, -1)
-            start, row, h = a.strings(np.flatnonzero(_members(marks, part[1])))
-            start = start[_members(mark(ids[chunk.lo + row], h), part[2])]
-            np.add.at(gone, start, 1)
-            np.add.at(gone, start + LENGTH, -1)
+            if len(string.flatten()):
+                start, row, h, other = a.strings(np.flatnonzero(_is_open(opened, a.key)))
+                start = start[_members(mark(rows[chunk.lo + row], h, other), string)]
+                np.add.at(gone, start, 1)
+                np.add.at(gone, start + LENGTH, -1)
         covered = np.cumsum(gone[:-1]) > 0
         inner = np.zeros(len(covered) + 1, bool)  # bytes that continue a character
         inner[:-1] = (chunk.data & 0xC0) == 0x80
@@ -266,11 +340,10 @@ def _spans(batch: pa.RecordBatch, id_at: int, text_at: int) -> Iterator[pa.Recor
                     y -= 1
                     whole_characters[y] = False
             text.append(chunk.data[a:b][~whole_characters].tobytes().decode())
-    columns = [batch.column(i) for i in range(batch.num_columns - 3)]
-    yield pa.RecordBatch.from_arrays(
-        [*columns, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+    return pa.RecordBatch.from_arrays(
+        [batch.column(2), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
          pa.array(kept, pa.binary()), pa.array(text, pa.string())],
-        names=[*batch.schema.names[:-3], "removed_spans", "kept_bytes", "kept_text"])
+        names=["carried", "removed_spans", "kept_bytes", "kept_text"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -280,40 +353,46 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A byte is removed if a string of 50 bytes over it also starts in a document with a smaller
     doc_id. ``kept_text`` keeps a character of which only some bytes are covered. Strings never
     cross documents; a null text is empty and stays so; a null id counts as smaller than any other;
-    rows that share an id are not compared with each other. Other columns are carried along, except
-    that columns named like the three results are replaced.
+    rows that share an id are not compared with each other. Other columns are carried along under any
+    name, except that columns named like the three results are replaced.
     """
     docs = docs.drop("removed_spans", "kept_bytes", "kept_text")
+    names = docs.columns
     spark = docs.sparkSession
     tasks = shuffle_partitions(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = buckets_for(texts)
-
-    def equal_groups(entries: DataFrame, fn: Callable, found: int, name: str) -> DataFrame:
-        digits = entries.mapInArrow(_digits(fn, buckets), DIGITS)
-        marks = digits.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_equal_groups(found), MARKS)
+    doc, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)).cast("long")), F.col("text").cast("string")
+    unique = docs.groupBy(doc.alias("doc")).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    row = doc if unique else F.xxhash64(doc, text)
+    texts = docs.select(doc.alias("doc"), row.alias("row"), text.alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(512, -(-size // BUCKET_BYTES))
+
+    def decided(entries: Callable, found: int, name: str) -> DataFrame:
+        digits = texts.mapInArrow(_digits(entries, buckets, unique), DIGITS)
+        marks = digits.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_equal_groups(found, buckets), MARKS)
         return stored(marks, name)
 
-    first = equal_groups(texts, _anchor_entries, WHOLE, "anchors")
-    open_ = first.where(F.col("kind") == OPEN).groupBy("doc").agg(F.collect_set("mark").alias("marks"))
-    key = F.coalesce("doc_id", F.lit(int(NO_ID)).cast("long"))
-    to_sort = texts.join(open_, key == F.col("doc")).select("doc_id", "text", "marks")
-    last = equal_groups(to_sort, _string_entries, STRING, "strings")
-
-    def of(kind: int):
-        return F.collect_set(F.when(F.col("kind") == kind, F.col("mark"))).alias(f"__{kind}")
-
-    marks = first.unionByName(last).groupBy(F.col("doc").alias("__doc")).agg(of(WHOLE), of(OPEN), of(STRING))
+    first = decided(_anchor_entries, WHOLE, "anchors")
+    bits = min(max(int(size).bit_length() - 1, 10), OPEN_BITS)
+    counts = first.where(F.col("kind") == COUNT).select("mark", "keys").repartition(tasks, "mark").sortWithinPartitions("mark")
+    table = counts.mapInArrow(_open_words(bits), "word long, held long").groupBy("word").agg(F.bit_or("held").alias("held")).toArrow()
+    opened = np.zeros(1 << (bits - 6), U64)
+    opened[table.column("word").to_numpy()] = table.column("held").to_numpy().view(U64)
+    shipped = spark.sparkContext.broadcast(opened)  # at most 2**OPEN_BITS bits
+    last = decided(_string_entries(shipped), STRING, "strings")
+
+    marks = first.where(F.col("kind") == WHOLE).unionByName(last).groupBy("row").agg(
+        *[F.collect_set(F.when(F.col("kind") == k, F.col("mark"))).alias(name) for k, name in ((WHOLE, "whole"), (STRING, "string"))])
+    marks = marks.withColumnRenamed("row", "of")
+    packed = docs.select(row.alias("row"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("carried"))
     none = F.array().cast("array<long>")
-    names = docs.columns
-    joined = docs.join(marks, F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)).cast("long")) == F.col("__doc"), "left").select(
-        *[F.col(f"`{c}`") for c in names], *[F.coalesce(f"__{k}", none).alias(f"__{k}") for k in (WHOLE, OPEN, STRING)])
-    id_at, text_at = names.index("doc_id"), names.index("text")
+    joined = packed.join(marks, F.col("row") == F.col("of"), "left").select(
+        "row", "text", "carried", F.coalesce("whole", none).alias("whole"), F.coalesce("string", none).alias("string"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tb.slices(iter([batch]), text_at):
-                yield from _spans(part, id_at, text_at)
+        for batch in tb.slices(batches, 1):
+            yield _spans(batch, shipped.value)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(cut, f"{schema}, removed_spans array<struct<start: long, end: long>>, kept_bytes binary, kept_text string")
+    kind = packed.schema["carried"].dataType.simpleString()
+    out = joined.mapInArrow(cut, f"carried {kind}, removed_spans array<struct<start: long, end: long>>, kept_bytes binary, kept_text string")
+    return out.select("carried.*", "removed_spans", "kept_bytes", "kept_text")
