@@ -77,5 +77,40 @@ def test_stages_stand_odd_tables(spark, sf_dir):
         assert cp.STAGES[-1][1](spark, table, sf_dir).count() == table.count()
 
 
+def test_contaminated_rows_go_whatever_their_id(spark, sf_dir):
+    item = cp.table(spark, sf_dir, "benchmark").first().text
+    rows = [(None, f"so {item} it is", "a"), (2, f"and {item} again", "b"), (2, "a clean text under the same id", "c"), (None, "clean", "d"), (7, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string").withColumn("key", cp.F.lit(1)).withColumn("hit", cp.F.lit(2)).withColumn("row", cp.F.lit(3))
+    out = cp.decontaminated(spark, docs, sf_dir)
+    assert out.columns == docs.columns and sorted(r["__id"] for r in out.collect()) == ["c", "d", "e"]
+
+
+HELPERS = ["__t", "__w", "__h", "__l", "__upper", "__lines", "__doc", "__0", "__1", "__2", "__id", "row", "key", "hit", "marks", "doc", "bucket", "x", "cls", "band", "label", "node"]
+
+
+def test_helper_names_do_not_clash(spark, sf_dir):
+    docs = cp.table(spark, sf_dir, "documents").limit(30).withColumns({c: cp.F.lit("x") for c in HELPERS})
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.where("label = 'x'").count() == out.count() <= 30
+
+
+def test_tables_of_a_stage_go_when_the_next_one_starts(spark, sf_dir):
+    import os
+
+    from trailmark.llm.staging import stored
+
+    cp.release()
+    docs = cp.quality_rules(spark, cp.table(spark, sf_dir, "documents"), sf_dir)
+    mine = [p.replace("file:", "") for p in cp._held["quality_rules"][0].tables]
+    assert mine and all(map(os.path.exists, mine))
+    lazy = cp.near_duplicates(spark, docs, sf_dir)  # still reads them
+    assert all(map(os.path.exists, mine))
+    written = stored(docs, "written")
+    cp.near_duplicates(spark, written, sf_dir)
+    assert lazy is not None and not any(map(os.path.exists, mine)) and written.count() > 0
+    cp.release()
+
+
 def test_names():
     assert len(cp.STAGES) == 5 and len({n for n, _ in cp.STAGES}) == 5
