@@ -9,23 +9,26 @@ least count if its first and its last words (all but one of them) do.
    phrases that are not proposed but whose two parts are. Every single word belongs to it.
 3. Frequent phrases of the border that were not proposed are failures: longer phrases over them were
    not counted. Expansion passes count the phrases whose parts are known to be frequent and were
-   not both proposed, until a pass finds nothing that a longer phrase could be built on. No pass is
-   left out on account of the sample, so the result is that of counting everything.
+   not both proposed, until a pass finds nothing that a longer phrase could be built on. Phrases of the greatest
+   length over the last failures are counted by the last pass below, which takes all whose parts are
+   frequent. No pass is left out on account of the sample, so the result is that of counting everything.
 
 The sets of proposed and of frequent phrases reach the tasks as bitmaps of at most ``2**MAX_BITS``
 bits, whatever the corpus; a false positive costs counting one phrase more and changes nothing.
-Passes count 64-bit hashes, equal ones merged within a task, in hash buckets sized by the texts;
+Passes count 48-bit hashes, equal ones merged within a task, in hash buckets sized by the texts;
 a collision can only raise such a count, so it screens without loss. A last pass counts what is left as strings, and from
 there on all is joins on strings: counts, cuts, scores and containment are exact.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,8 +47,10 @@ MAX_BITS = 27
 HELD = 1 << 21  # distinct phrases that a task holds before it hands them on
 BUCKET_BYTES = 1 << 24  # of text for each hash bucket
 SALTS = 64
+STRING_BYTES = 6 << 20  # of text whose phrases are merged as strings at a time
 
 U64 = np.uint64
+KEY_BITS = 48
 ENTRIES = "bucket int, keys binary, counts binary, sizes binary"
 COUNTED = "key long, size int, n long"
 PHRASES = "lang string, phrase string, size int, n long"
@@ -84,7 +89,17 @@ class Phrases:
         self._sum = self._sum[:n] + w[k:k + n] * _AT[k]
         self.size = k + 1
         self.inside = self.piece[k:k + n] == self.piece[:n]
-        return tb.mix(self._sum + self.salt[:n] * U64(2 * k + 3))
+        return tb.mix(self._sum + self.salt[:n] * U64(2 * k + 3)) >> U64(64 - KEY_BITS)
+
+    def again(self) -> Phrases:
+        """The same words, to grow phrases from other hashes."""
+        out = copy.copy(self)
+        out._sum, out.size = np.zeros(len(self.words.hash), U64), 0
+        return out
+
+    def forget(self) -> None:
+        """Keeps what ``texts`` needs."""
+        self._sum = self.salt = self.piece = self.row = self.inside = None
 
     def second_hashes(self) -> np.ndarray:
         """Further 64 bits for every word, from other multipliers."""
@@ -99,10 +114,25 @@ class Phrases:
         far = (at >> 8).astype(U64) * U64(0x9E3779B97F4A7C15)
         return tb.mix(np.add.reduceat((_BYTE[some] + far) * _PLACE[at & 255], begin) + length.astype(U64))
 
-    def text(self, first: int, size: int) -> str:
-        w = self.words
-        return " ".join(tb.LOWER[self.chunk.data[a:b]].tobytes().decode() for a, b in
-                        zip(w.start[first:first + size].tolist(), w.end[first:first + size].tolist()))
+    def texts(self, first: np.ndarray, size: int) -> pa.Array:
+        """The phrases of ``size`` words at the words ``first``, one space between words."""
+        if not len(first):
+            return pa.array([], pa.string())
+        w, data = self.words, tb.LOWER[self.chunk.data]
+        wide = np.concatenate([w.start[1:] - w.end[:-1], [0]]) > 1
+        odd = np.zeros(len(first), bool)
+        for j in range(size - 1):
+            odd |= wide[first + j]
+        start, length = w.start[first], w.end[first + size - 1] - w.start[first]
+        ends = np.cumsum(length)
+        some = data[np.arange(int(ends[-1])) + np.repeat(start - (ends - length), length)]
+        some[some == 0x09] = 0x20  # no word holds a tab
+        out = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(some))
+        if odd.any():  # more than one byte between two words
+            fixed = [b" ".join(data[w.start[i + j]:w.end[i + j]].tobytes() for j in range(size)).decode()
+                     for i in first[odd].tolist()]
+            out = pc.replace_with_mask(out, pa.array(odd), pa.array(fixed, pa.string()))
+        return out
 
 
 def language_salts(column: pa.Array) -> np.ndarray:
@@ -136,6 +166,30 @@ def bitmap_of(counted: DataFrame, bits: int, into: Bitmap | None = None) -> Bitm
     return Bitmap(bits, words)
 
 
+def _steps(keys: np.ndarray) -> bytes:
+    """Keys in order as differences, each in the fewest bytes that hold all of them."""
+    steps = np.diff(keys, prepend=U64(0))
+    width = max(1, -(-int(steps.max()).bit_length() // 8))
+    if width > 4 and len(keys) > 1:  # the first key alone may be wide
+        rest = max(1, -(-int(steps[1:].max()).bit_length() // 8))
+        if rest < width:
+            return bytes([rest]) + keys[0].tobytes() + _low_bytes(steps[1:], rest)
+    return bytes([width]) + bytes(8) + _low_bytes(steps, width)
+
+
+def _low_bytes(values: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _from_steps(data: bytes, n: int) -> np.ndarray:
+    width, first = data[0], np.frombuffer(data, "<u8", 1, 1)
+    low = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    steps = np.zeros((len(low), 8), np.uint8)
+    steps[:, :width] = low
+    steps = steps.view("<u8").ravel()
+    return np.cumsum(steps if len(steps) == n else np.concatenate([first, steps]), dtype=U64)
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Equal keys of (keys, counts, sizes) merged; in order of the key."""
     key, n, size = (np.concatenate(c) for c in zip(*parts))
@@ -150,11 +204,11 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.
 def _entries(pick: Callable, sizes: range, buckets: int) -> Callable:
     """A task that counts phrases of ``sizes``; ``pick(size, keys, keys of all parts)`` says which."""
     def handed(key: np.ndarray, n: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-        home = ((key >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)  # sorted by key, so by bucket
+        home = ((key >> U64(KEY_BITS - 32)) * U64(buckets) >> U64(32)).astype(np.int64)  # sorted by key, so by bucket
         cuts = np.searchsorted(home, np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cuts))
         n = n.astype("<u8" if len(n) and n.max() >> 32 else "<u4")
-        rows = [(int(b), key[cuts[b]:cuts[b + 1]].tobytes(), n[cuts[b]:cuts[b + 1]].tobytes(), size[cuts[b]:cuts[b + 1]].tobytes()) for b in full]
+        rows = [(int(b), _steps(key[cuts[b]:cuts[b + 1]]), n[cuts[b]:cuts[b + 1]].tobytes(), size[cuts[b]:cuts[b + 1]].tobytes()) for b in full]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 3))],
                                           names=["bucket", "keys", "counts", "sizes"])
 
@@ -204,8 +258,9 @@ def _summed(least: int) -> Callable:
                     yield from total(parts)
                     parts = []
                 now = bucket
-                n = np.frombuffer(counts, "<u8" if len(counts) == len(keys) else "<u4").astype(np.int64)
-                parts.append((np.frombuffer(keys, U64), n, np.frombuffer(sizes, np.uint8)))
+                size = np.frombuffer(sizes, np.uint8)
+                n = np.frombuffer(counts, f"<u{len(counts) // len(size)}").astype(np.int64)
+                parts.append((_from_steps(keys, len(size)), n, size))
         if parts:
             yield from total(parts)
 
@@ -248,10 +303,10 @@ class Miner:
         found = self.counted(self.texts, lambda size, parts: _both(s.value, parts), range(1, LONGEST + 1), least, "full")
         out, before, known = found, None, None
         while True:
+            # over the longest but one only phrases of the greatest length are built, which ``as_strings`` counts
+            failures = found.where(F.col("size") < LONGEST - 1)
             if before is None:
-                failures = found.where(F.col("size") < LONGEST).mapInArrow(_unproposed(s), "key long")
-            else:
-                failures = found.where(F.col("size") < LONGEST)
+                failures = failures.mapInArrow(_unproposed(s), "key long")
             if failures.isEmpty():
                 return out
             before, known = known, bitmap_of(found.where(F.col("size") < LONGEST), self.bits, known)
@@ -272,46 +327,59 @@ class Miner:
         shipped = self.ship(bitmap_of(frequent, self.bits))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in tb.slices(batches, 1):
-                langs = batch.column(0).to_pylist()
+            for batch in tb.slices(batches, 1, STRING_BYTES):
+                langs, which = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
                 salts = language_salts(batch.column(0))
-                words: dict[str, int] = {}
-                found: dict[tuple[int, int], list] = {}
+                words = np.zeros(len(langs), np.int64)
+                held: list[list] = [[] for _ in range(LONGEST)]  # by size: key, second hash, language, chunk, word
+                chunks: list[Phrases] = []
                 for chunk in tb.chunks(batch.column(1)):
                     p = Phrases(chunk, salts[chunk.lo:chunk.hi])
-                    q = Phrases(chunk, salts[chunk.lo:chunk.hi])
-                    second = q.second_hashes()
-                    for row, n in enumerate(np.diff(p.words.first).tolist()):
-                        words[langs[chunk.lo + row]] = words.get(langs[chunk.lo + row], 0) + n
-                    held = np.zeros(0, bool)
+                    q, second = p.again(), p.second_hashes()
+                    lang = which[chunk.lo:chunk.hi]
+                    words += np.bincount(lang, weights=np.diff(p.words.first), minlength=len(langs)).astype(np.int64)
+                    fits = None
                     for k in range(1, LONGEST + 1):
                         keys, others = p.grow(), q.grow(second)
-                        fits = p.inside & shipped.value.holds(keys)
-                        if k > 1:
-                            fits &= held[:-1] & held[1:] if len(held) else False
-                        held = fits
+                        before, fits = fits, p.inside.copy()
+                        if k < LONGEST:
+                            fits &= shipped.value.holds(keys)
+                        if before is not None:
+                            fits &= before[:-1] & before[1:] if len(before) else False
                         at = np.flatnonzero(fits)
-                        if not len(at):
-                            continue
-                        order = at[np.lexsort((others[at], keys[at]))]
-                        a, b = keys[order], others[order]
-                        begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-                        sizes = np.diff(np.append(begin, len(order)))
-                        for i, x, y, n in zip(order[begin].tolist(), a[begin].tolist(), b[begin].tolist(), sizes.tolist()):
-                            if (x, y) in found:
-                                found[x, y][3] += n
-                            else:
-                                found[x, y] = [langs[chunk.lo + int(p.row[i])], p.text(i, k), k, n]
-                rows = [*found.values(), *([lang, None, 0, n] for lang, n in words.items())]
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.int64()))],
-                        names=["lang", "phrase", "size", "n"])
+                        key, other, first, n = _same(keys[at], others[at], at)
+                        held[k - 1].append((key, other, lang[p.row[first]], np.full(len(first), len(chunks)), first, n))
+                    p.forget()
+                    chunks.append(p)
+                for k, parts in enumerate(held, 1):
+                    key, other, lang, chunk, first, n = (np.concatenate(c) for c in zip(*parts))
+                    key, other, some, n = _same(key, other, np.arange(len(key)), n)
+                    for c, p in enumerate(chunks):
+                        here = some[chunk[some] == c]
+                        if len(here):
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(langs[lang[here]], pa.string()), p.texts(first[here], k), pa.array(np.full(len(here), k, np.int32)),
+                                 pa.array(n[chunk[some] == c])], names=["lang", "phrase", "size", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(langs, pa.string()), pa.nulls(len(langs), pa.string()), pa.array(np.zeros(len(langs), np.int32)), pa.array(words)],
+                    names=["lang", "phrase", "size", "n"])
 
         rows = self.texts.mapInArrow(run, PHRASES)
         return stored(rows.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")), "phrases")
 
 
+def _same(key: np.ndarray, other: np.ndarray, at: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Rows equal in both hashes as one: hashes, the place of one of them, and their number."""
+    order = np.argsort(key, kind="stable")
+    a, b = key[order], other[order]
+    if len(a) and ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort((other, key))
+        a, b = key[order], other[order]
+    begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    total = np.diff(np.append(begin, len(a))) if n is None else np.add.reduceat(n[order], begin) if len(a) else n
+    return a[begin], b[begin], at[order[begin]], total
+
+
 def _both(bitmap: Bitmap, parts: np.ndarray | None) -> np.ndarray:
     """Whether the first and the last part of each phrase one word longer are held."""
     held = bitmap.holds(parts)
