@@ -105,6 +105,18 @@ def test_quality_sketches_merge(docs):
     assert sorted(map(str, quality.quantiles(whole, by).collect())) == sorted(map(str, quality.quantiles(halves, by).collect()))
 
 
+def test_filters_do_not_move_below_the_measures(docs):
+    """A filter that Spark moves below the measures takes the words of a text anew for every window of it."""
+    f = quality.measured(quality.features(docs, ["lang", "source"]))
+    kept = quality.quality_rules(docs, twice=True).where("kept")
+    for df in (quality.sketches(f), kept):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if " Filter " in f" {x.strip(' :+-')}" and "split(" in x]
+        assert plan.count("xxhash64(") == 1
+    stored = quality.quality_rules(docs).where("kept")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, stored.collect()))
+
+
 def test_quality_rejects_junk_and_keeps_prose(spark):
     import random
 

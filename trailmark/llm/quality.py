@@ -106,11 +106,12 @@ def measured(f: DataFrame) -> DataFrame:
 def sketches(rows: DataFrame) -> DataFrame:
     """One quantile sketch per (lang, source, measure), as rows ``(..., bin, n)``."""
     measures = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MARGINS])
-    return (rows.where(~F.col("base_failed"))
-            .select("lang", "source", F.explode(measures).alias("m"))
+    # counted instead of filtered: Spark would move a filter below the measures and take them, and the words
+    # anew for every window, to decide it
+    return (rows.select("lang", "source", "base_failed", F.explode(measures).alias("m"))
             .groupBy("lang", "source", F.col("m.measure").alias("measure"),
                      F.floor(F.least(F.col("m.v"), F.lit(TOP)) / STEP).cast("long").alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n")))
+            .agg(F.count_if(~F.col("base_failed")).alias("n")).where("n > 0"))
 
 
 def quantiles(sketch: DataFrame, by: list[str], percents: tuple[int, ...] = (25, 75)) -> DataFrame:
@@ -189,4 +190,5 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None, twice: bool =
                        & F.col("source").eqNullSafe(F.col("__o_source")), "left")
     return judged.select(
         *[F.col(f"row.`{c}`") for c in keep], *BASE, "base_failed", *MARGINS, "threshold_level",
-        (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))
+        # one value of an array, not a conjunction: a filter on half of it would move below the measures as well
+        F.forall(F.array(~F.col("base_failed"), F.coalesce(inside, F.lit(False))), lambda x: x).alias("kept"))
