@@ -151,6 +151,35 @@ def test_rest_pairs_are_all_that_can_reach_the_threshold(spark):
     assert one.count() == 0
 
 
+def test_near_copies_of_one_text_are_not_all_paired(spark, monkeypatch):
+    """Near copies of one text that are joined by way of it: pairs grow with the rows, not their square."""
+    rng = random.Random(31)
+    base = [f"t{i}" for i in range(150)]
+    rows = []
+    for d in range(500):
+        w = list(base)
+        for at in rng.sample(range(150), rng.randrange(7) if d else 0):
+            w[at] = f"own{d}x{at}"
+        rows.append((d, " ".join(w), None, None, None, None))
+    counts, judge = [], near_dedup._likely_pairs
+
+    def counted(pairs, sketch):
+        counts.append(pairs.count())
+        return judge(pairs, sketch)
+
+    monkeypatch.setattr(near_dedup, "_likely_pairs", counted)
+    check(spark, rows)
+    assert sum(counts) <= 8 * len(rows)
+
+
+def test_core_pairs_offer_the_least_changed(spark):
+    rows = [(s, node, node % 3, 50, node % 7, 5) for s in (1, 2) for node in range(40)]
+    entry = spark.createDataFrame(rows, "shingle long, node long, label long, n long, alone long, place long")
+    met = {(r.a, r.b) for r in near_dedup.core_pairs(entry).collect()}
+    assert met == {(0, b) for b in range(40) if b % 3} | {(7, b) for b in range(40) if not b % 3}
+    assert near_dedup.core_pairs(entry.where("label = 1")).isEmpty()
+
+
 def test_members_meet_one_partner_a_turn(spark):
     rows = [(b, n, 50, n % 3) for b in range(4) for n in range(40)]
     members = spark.createDataFrame(rows, "band long, node long, n long, label long")

@@ -16,9 +16,12 @@ their sets (base ``b`` near 1).
    ``SLACK`` below the threshold, are dropped.
 4. What remains is verified on the full sets, recomputed from the texts. Verified links join classes
    into components.
-5. The rest is exact: the members of all buckets that still hold several components go through a
-   prefix join that takes rare shingles first (``rest_pairs``). It gives every pair of different
-   components that can reach the threshold, which the estimate and the verification then judge.
+5. Members of all buckets that still hold several components are laid out by their rare shingles
+   (``prefixes``). Each meets at most ``CORES`` others, those of its shingles that have least of their own
+   (``core_pairs``): in a group of near copies these are near the text that all are copies of, so one
+   such round joins what two random members would mostly miss.
+6. The rest is exact: a prefix join over the same shingles (``prefix_pairs``) gives every pair of
+   different components that can reach the threshold, which the estimate and the verification then judge.
 
 Only ids, sketches, the texts of bucket members and the shingles of the rest are shuffled. A bucket,
 class or component may hold any share of the rows: pivots are minima found by partial aggregation,
@@ -48,6 +51,7 @@ RATE = 20.0
 LIMIT = (1 << 16) - 2
 SLACK = 0.17  # above four standard errors of the estimate at the threshold
 TURNS = 2
+CORES = 3  # partners of a member by its rare shingles
 DRIVERS = 256  # pairs of a pivot in one task
 
 U64 = np.uint64
@@ -268,6 +272,11 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
         "band", "node", "n", F.coalesce("root", "node").alias("label"))
 
 
+def _relabelled(entry: DataFrame, labels: DataFrame) -> DataFrame:
+    known = labels.select(F.col("node").alias("x"), "root")
+    return entry.join(known, F.col("node") == F.col("x"), "left").withColumn("label", F.coalesce("root", "label")).select(*entry.columns)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per node and shingle; ``set`` tells sets of one node apart."""
     for batch in batches:
@@ -283,17 +292,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["shingle", "node", "set", "label", "n"])
 
 
-def rest_pairs(mixed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different labels among ``mixed`` (node, label) that can reach the threshold: all
-    of them, by a prefix join that takes rare shingles first.
+def prefixes(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """The shingles (shingle, node, label, n, alone, place) of ``mixed`` (node, label) by which pairs of
+    different labels that can reach the threshold are found, rare ones first; ``alone`` of the n are in no
+    other set.
 
     Two sets of x <= y shingles at the threshold share ``ceil(3 (x + y) / 7)`` of them, so in any one order of all
     shingles they share one of the first ``x - ceil(6 x / 7) + 1`` of the lesser and one of the first
     ``y - ceil(3 y / 4) + 1`` of the greater. The order is by the number of sets that have a shingle: what a template gives
     to all of its documents comes last, and shingles that one set has alone fill places without
-    being joined at all. Where most sets of a shingle have one label, only the others ask.
+    being joined at all.
     """
-    spark = mixed.sparkSession
     of = mixed.select(F.col("node").alias("x"), "label")
     each = stored(of.join(texts, F.col("x") == F.col("node")).select("node", "label", "text").mapInArrow(
         _sets, "shingle long, node long, `set` long, label long, n long"), "shingles")
@@ -304,8 +313,34 @@ def rest_pairs(mixed: DataFrame, texts: DataFrame) -> DataFrame:
     first = F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1
     places = places.withColumn("alone", F.col("n") - F.size("shared")).where(F.col("alone") < first)
     entry = places.select("node", "label", "n", "alone", F.posexplode(F.expr("slice(shared, 1, cast(n - ceil(n * 3 / 4) + 1 - alone as int))")).alias("at", "e"))
-    entry = entry.where("e.mixed").select(F.col("e.shingle").alias("shingle"), "node", "label", "n", (F.col("alone") + F.col("at") + 1).alias("place"))
-    entry = stored(entry, "prefixes")
+    entry = stored(entry.where("e.mixed").select(
+        F.col("e.shingle").alias("shingle"), "node", "label", "n", "alone", (F.col("alone") + F.col("at") + 1).alias("place")), "prefixes")
+    discard(each)
+    return entry
+
+
+def core_pairs(entry: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``prefixes``: every member with at most ``CORES`` others.
+
+    A shingle offers its members the one that has the least share of shingles alone, and those of its label the next
+    one of another label. Of what its shingles offer a member takes the first in that order; pairs of too different sizes are left out.
+    """
+    some = entry.select("shingle", F.struct((F.col("alone") / F.col("n")).alias("share"), "node", "n", "label").alias("m"))
+    first = some.groupBy("shingle").agg(F.min("m").alias("first"), F.min("m.label").alias("lo"), F.max("m.label").alias("hi"))
+    first = first.where("lo <> hi").select(F.col("shingle").alias("of"), "first")
+    met = some.join(first, F.col("shingle") == F.col("of"))
+    second = met.where("m.label <> first.label").groupBy("of").agg(F.min("m").alias("second"))
+    back = met.where("m.label = first.label").select("m", F.col("of").alias("at"))
+    offered = met.where("m.label <> first.label").select("m", F.col("first").alias("p")).unionByName(
+        back.join(second, F.col("at") == F.col("of")).select("m", F.col("second").alias("p")))
+    fits = F.least("m.n", "p.n") * 100 >= F.greatest("m.n", "p.n") * THRESHOLD
+    taken = offered.where(fits).groupBy(F.col("m.node").alias("b")).agg(F.slice(F.sort_array(F.collect_set("p")), 1, CORES).alias("taken"))
+    return taken.select(F.explode("taken.node").alias("a"), "b").where("a <> b").distinct()
+
+
+def prefix_pairs(entry: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different labels of ``prefixes`` that can reach the threshold. Where most sets
+    of a shingle have one label, only the others ask."""
     sizes = entry.groupBy("shingle", "label").agg(F.count("*").alias("count"))
     major = sizes.groupBy("shingle").agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
     major = major.select(F.col("shingle").alias("s"), F.col("most.label").alias("major"))
@@ -319,7 +354,16 @@ def rest_pairs(mixed: DataFrame, texts: DataFrame) -> DataFrame:
         and 7 * (1 + least(x.n - x_place, y.n - y_place)) >= 3 * (x.n + y.n)""")
     pairs = asks.join(met, fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     out = stored(pairs.where("a <> b").distinct(), "rest")
-    discard(each, entry)
+    discard(entry)
+    return out
+
+
+def rest_pairs(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different labels among ``mixed`` (node, label) that can reach the threshold: all
+    of them, by a prefix join that takes rare shingles first."""
+    entry = prefixes(mixed, texts)
+    out = prefix_pairs(entry)
+    discard(entry)
     return out
 
 
@@ -364,7 +408,13 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
     labelled = _labelled(members, labels)
     mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     mixed = labelled.join(mixed.select(F.col("band").alias("of")), F.col("band") == F.col("of"), "left_semi")
-    pairs = rest_pairs(mixed.select("node", "label").distinct(), texts)
+    laid = entry = prefixes(mixed.select("node", "label").distinct(), texts)
+    links = stored(_linked(stored(_likely_pairs(core_pairs(entry), sketch), "likely"), texts), "links")
+    if not links.isEmpty():
+        labels = joined(labels, links)
+        entry = _relabelled(entry, labels)
+    pairs = prefix_pairs(entry)
+    discard(laid)
     links = stored(_linked(stored(_likely_pairs(pairs, sketch), "likely"), texts), "links")
     if not links.isEmpty():
         labels = joined(labels, links)
