@@ -158,3 +158,28 @@ def test_soft_lcs():
 
         assert abs(dc.soft_lcs(a, b, w, near) - best(0, 0)) < 1e-9
         assert dc.soft_lcs(a, b, w, np.zeros_like(near)) == pytest.approx(dc.weighted_lcs(a, b, w))
+
+
+def test_cover_of_items_by_looked_up_words():
+    """Words are looked up once; blocks whose surroundings hold half of an item are those of a plain count."""
+    rng = random.Random(4)
+    names = [f"w{i}" for i in range(60)]
+    rows = [type("Row", (), {"item_id": k, "text": " ".join(rng.sample(names, 12))}) for k in range(9)]
+    items, weights = dc.items_of(rows), np.ones(dc.SLOTS, np.float32)
+    text = " ".join(rng.choice(names + [f"other{i}" for i in range(90)]) for _ in range(600))
+    (_, w), = dc.words_of(dc.pa.array([text]))
+    lists = dc.coverage(items, weights)
+    at = np.minimum(np.searchsorted(lists[0], w.hash), len(lists[0]) - 1)
+    place = np.flatnonzero(lists[0][at] == w.hash)
+    block = np.arange(600) // dc.BLOCK
+    low, high = np.zeros(block[-1] + 1, int), np.full(block[-1] + 1, block[-1])
+    b, of = dc.covered(place, at[place], np.ones(600), block, low, high, lists)
+    want = set()
+    for k, item in enumerate(items):
+        for x in range(block[-1] + 1):
+            far = dc.reach(len(item.words))
+            part = w.hash[max(x - far, 0) * dc.BLOCK:(x + 2 + far) * dc.BLOCK]
+            own = np.isin(w.hash[x * dc.BLOCK:(x + 2) * dc.BLOCK], item.words).any()
+            if own and np.isin(part, item.words).sum() >= dc.LCS_MIN * len(item.words):
+                want.add((x, k))
+    assert set(zip(b.tolist(), of.tolist())) == want and 5 < len(want) < 9 * len(low)

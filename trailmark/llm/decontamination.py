@@ -82,8 +82,9 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         for batch in batches:
             n += batch.num_rows
             for _, w in words_of(batch.column(0)):
-                row = np.searchsorted(w.first, np.arange(len(w.hash)), side="right") - 1
-                total += np.bincount(np.unique(row * SLOTS + slot(w.hash)) % SLOTS, minlength=SLOTS)
+                row = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+                key = np.sort(row * SLOTS + slot(w.hash))
+                total += np.bincount(key[np.append(True, key[1:] != key[:-1])[:len(key)]] % SLOTS, minlength=SLOTS)
         if n:
             blocks = total.reshape(-1, SLOT_BLOCK)
             yield pa.RecordBatch.from_arrays([
@@ -172,14 +173,13 @@ def coverage(items: list[Item], weights: np.ndarray) -> tuple[np.ndarray, ...]:
     return terms, np.cumsum(count) - count, count, owner[listed], need, reach(np.array([len(i.words) for i in items]))
 
 
-def covered(near: np.ndarray, words: np.ndarray, value: np.ndarray, block: np.ndarray, low: np.ndarray, high: np.ndarray,
+def covered(place: np.ndarray, at: np.ndarray, value: np.ndarray, block: np.ndarray, low: np.ndarray, high: np.ndarray,
             lists: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks and items where the words in reach of the passage, listed for the item, weigh enough. ``near``
-    are the places of words that may be terms; ``low`` and ``high`` the first and last block of a block's text."""
-    terms, first, count, owner, need, far = lists
-    at = np.minimum(np.searchsorted(terms, words[near]), len(terms) - 1)
-    known = (terms[at] == words[near]) & (count[at] > 0)
-    place, at = near[known], at[known]
+    """Blocks and items where the words in reach of the passage, listed for the item, weigh enough. ``place`` and ``at``
+    are the places of words that are terms, and their terms; ``low`` and ``high`` the first and last block of a block's text."""
+    _, first, count, owner, need, far = lists
+    known = count[at] > 0
+    place, at = place[known], at[known]
     n = count[at]
     item = owner[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
     total = len(low)
@@ -228,6 +228,7 @@ def passages(docs: DataFrame, items: list[Item], weights: np.ndarray) -> DataFra
                 at = np.minimum(np.searchsorted(terms, w.hash[near]), len(terms) - 1)
                 known = terms[at] == w.hash[near]
                 term, at = near[known], at[known]
+                place, found = term, at  # those of all terms
                 total = int(first_block[-1])
                 block_row = np.repeat(np.arange(len(n_blocks)), n_blocks)
                 follows = np.append(block_row[1:] == block_row[:-1], False)
@@ -244,12 +245,12 @@ def passages(docs: DataFrame, items: list[Item], weights: np.ndarray) -> DataFra
                     b, v = np.repeat(block[term], n), np.repeat(value[term], n)
                     also = (b > 0) & follows[b - 1]  # the passage that begins a block earlier
                     key = np.concatenate([b, b[also] - 1]) * n_items + np.concatenate([item, item[also]])
-                    key, place = np.unique(key, return_inverse=True)
-                    share = np.bincount(place, np.concatenate([v, v[also]]))
+                    key, spot = np.unique(key, return_inverse=True)
+                    share = np.bincount(spot, np.concatenate([v, v[also]]))
                     b = key // n_items
                     hits.append(b[share + common[b] >= ENERGY * all_[b]])
                 ends = first_block[block_row + 1]
-                b, of = covered(near, w.hash, np.sqrt(value), block, first_block[block_row], ends - 1, lists)
+                b, of = covered(place, found, np.sqrt(value), block, first_block[block_row], ends - 1, lists)
                 hits.append(np.unique(b))
                 hit = np.unique(np.concatenate(hits))
                 if not len(hit):
@@ -325,10 +326,12 @@ def summed_by(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Row sums by key, keys below ``n``."""
     out = np.zeros((n, rows.shape[1]))
     if len(keys):
-        order = np.argsort(keys, kind="stable")
-        k = keys[order]
+        k = keys
+        if (keys[1:] < keys[:-1]).any():
+            order = np.argsort(keys, kind="stable")
+            k, rows = keys[order], rows[order]
         begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        out[k[begin]] = np.add.reduceat(rows[order], begin, axis=0)
+        out[k[begin]] = np.add.reduceat(rows, begin, axis=0)
     return out
 
 
@@ -353,7 +356,7 @@ class Space:
         found, t = self.term(runs.words[runs.used])
         found = runs.used[found]
         n = len(runs.of_block)
-        by_block = summed_by(runs.block[found], axes[t] * self.weight[t][:, None], n)
+        by_block = summed_by(runs.block[found], (axes * self.weight[:, None])[t], n)
         square = np.bincount(runs.block, self.weights[slot(runs.words)].astype(np.float64) ** 2, n)
         by_block[:-1] += by_block[1:] * runs.follows[:-1, None]
         square[:-1] += square[1:] * runs.follows[:-1]
@@ -394,8 +397,9 @@ def latent_axes(space: Space, runs: DataFrame) -> np.ndarray:
                     block = runs.block[found]
                     before = np.append(-1, np.where(runs.follows[:-1], runs.of_block[:-1], -1))
                     padded = np.vstack([y, np.zeros((1, y.shape[1]))])
-                    mine = padded[runs.of_block[block]] + padded[before[block]]
-                    total += summed_by(t, mine * space.weight[t][:, None], len(total))
+                    mine = padded[runs.of_block[block]]
+                    mine += padded[before[block]]
+                    total += summed_by(t, mine, len(total)) * space.weight[:, None]
             step = 512
             for lo in range(0, len(total), step):
                 yield pa.RecordBatch.from_pydict({"block": pa.array([lo // step], pa.int32()), "counts": [total[lo:lo + step].tobytes()]})
@@ -450,7 +454,8 @@ def search(space: Space, axes: np.ndarray, runs: DataFrame, base: int = 0) -> Da
 
 def _search(batches: Iterator[pa.RecordBatch], space: Space, axes: np.ndarray, base: int) -> Iterator[pa.RecordBatch]:
     weight = [tuple(space.weights[slot(x)].astype(np.float64) for x in (i.words, i.answer)) for i in space.items]
-    words = [i.words.tolist() for i in space.items]
+    words = [list(zip(i.words.tolist(), w.tolist())) for i, (w, _) in zip(space.items, weight)]
+    whole = [w.sum() for w, _ in weight]
     latent = space.item_rows() @ axes
     of_item, of_term = _unit(latent), _unit(axes)
 
@@ -463,16 +468,19 @@ def _search(batches: Iterator[pa.RecordBatch], space: Space, axes: np.ndarray, b
         _, own = space.term(item.words)
         return of_term[own] @ places.T
 
-    def check(k: int, h: np.ndarray, at: int, vector: np.ndarray) -> tuple[int, int, float, float]:
-        """Span, share of the item's weight in a common subsequence, and of its answer's. Where the passage is
+    def check(k: int, h: np.ndarray, at: int, vector: np.ndarray, sets: dict[tuple[int, int], set]) -> tuple[int, int, float, float]:
+        """Span, share of the item's weight in a common subsequence, and of its answer's; ``sets`` keeps the words
+        of the run's spans. Where the passage is
         close to the item in the latent space and has the answer, the subsequence may take near words too."""
         item, (w, aw) = space.items[k], weight[k]
         n = len(item.words)
         lo, hi = max(0, at - BLOCK * reach(n)), min(len(h), at + (2 + reach(n)) * BLOCK)
         part = h[lo:hi]
-        held = set(part.tolist())
+        held = sets.get((lo, hi))
+        if held is None:
+            held = sets[lo, hi] = set(part.tolist())
         # the words present bound the subsequence: most candidates end here
-        bound = sum(x for word, x in zip(words[k], w.tolist()) if word in held) / w.sum()
+        bound = sum([x for word, x in words[k] if word in held]) / whole[k]
         soft = SOFT_FLOOR <= bound and float(of_item[k] @ vector) >= LATENT
         if bound < LCS_MIN and not soft:
             return lo, hi - lo, bound, 0.0
@@ -499,13 +507,16 @@ def _search(batches: Iterator[pa.RecordBatch], space: Space, axes: np.ndarray, b
             passage, item = np.nonzero(wanted)
             order = np.lexsort((-cosine[passage, item], item, runs.run[passage]))
             best: dict[tuple[int, int], tuple] = {}
+            of_run, sets = -1, {}
             for w, k in zip(passage[order].tolist(), item[order].tolist()):  # best cosine of a run and item first
                 r = int(runs.run[w])
                 if (r, k) in best and best[r, k][5] >= 1 - 1e-9:
                     continue
                 stop = int(runs.start[r + 1]) if r + 1 < len(runs.start) else len(runs.words)
                 h = runs.words[runs.start[r]:stop]
-                lo, n, lcs, answer = check(k, h, int(runs.at_block[w] - runs.first_block[r]) * BLOCK, places[w])
+                if r != of_run:
+                    of_run, sets = r, {}
+                lo, n, lcs, answer = check(k, h, int(runs.at_block[w] - runs.first_block[r]) * BLOCK, places[w], sets)
                 if (lcs >= LCS_SURE or (lcs >= LCS_MIN and answer >= ANSWER)) and ((r, k) not in best or lcs > best[r, k][5]):
                     row = first + r
                     best[r, k] = (ids[row], space.items[k].item_id, starts[row] + lo, n, float(cosine[w, k]), lcs, answer)
