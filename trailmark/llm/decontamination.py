@@ -449,10 +449,10 @@ def search(space: Space, axes: np.ndarray, runs: DataFrame, base: int = 0) -> Da
     """Checked pairs of documents and items of the group (doc_id and ``HITS``), one per run and item. The group's
     items have the numbers from ``base`` in ``near_items``."""
     shared = runs.sparkSession.sparkContext.broadcast((space, axes))
-    return runs.mapInArrow(lambda batches: _search(batches, *shared.value, base), f"doc_id {runs.schema['doc_id'].dataType.simpleString()}, {HITS}")
+    return runs.mapInArrow(lambda batches: _search(batches, *shared.value, base, COSINE), f"doc_id {runs.schema['doc_id'].dataType.simpleString()}, {HITS}")
 
 
-def _search(batches: Iterator[pa.RecordBatch], space: Space, axes: np.ndarray, base: int) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], space: Space, axes: np.ndarray, base: int, least: float) -> Iterator[pa.RecordBatch]:
     weight = [tuple(space.weights[slot(x)].astype(np.float64) for x in (i.words, i.answer)) for i in space.items]
     words = [list(zip(i.words.tolist(), w.tolist())) for i, (w, _) in zip(space.items, weight)]
     whole = [w.sum() for w, _ in weight]
@@ -497,9 +497,9 @@ def _search(batches: Iterator[pa.RecordBatch], space: Space, axes: np.ndarray, b
             vectors, norm, _, _ = space.windows(runs, axes)
             cosine = (vectors / norm[:, None]) @ latent.T
             places = _unit(vectors)
-            wanted = cosine >= COSINE
+            wanted = cosine >= least
             # the projection lowers a cosine; within the latent space the passage may still be close to the item
-            wanted |= (cosine >= NEARLY * COSINE) & (places @ of_item.T >= LATENT)
+            wanted |= (cosine >= NEARLY * least) & (places @ of_item.T >= LATENT)
             for r in range(len(runs.start)):
                 of = np.array(near_items[first + r], np.int64) - base
                 mine = (of >= 0) & (of < len(space.items))
