@@ -201,3 +201,39 @@ def test_stored_tables_go_when_released(spark, tmp_path):
     assert not os.path.exists(gone.stored_at.replace("file:", "")) and kept.count() == 5
     assert not mine.release(unless_read_by=kept.where("id > 1")) and kept.count() == 5
     assert mine.release(unless_read_by=outer) and not os.path.exists(kept.stored_at.replace("file:", "")) and outer.count() == 3
+
+
+def test_components_write_few_files(spark):
+    """A small graph is not written to a file for each shuffle partition; results are as with one file each."""
+    from pathlib import Path
+
+    keys = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        out = components(spark.createDataFrame([(i, i + 1) for i in range(0, 900, 2)] + [(0, 2), (2, 4)], "a long, b long"))
+        files = list(Path(out.stored_at.removeprefix("file:")).glob("part-*"))
+        assert 0 < len(files) <= spark.sparkContext.defaultParallelism
+        roots = {r.node: r.root for r in out.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert roots == {v: 0 if v < 6 else v - v % 2 for v in range(900)}
+
+
+def test_stored_sends_small_arrow_batches(spark):
+    """While a table is written, a Python worker gets some MB of documents at a time, and the session's setting comes back."""
+    import pyarrow as pa
+
+    from trailmark.llm.staging import stored
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    n = [r.n for r in stored(spark.range(0, 9000, 1, 1).mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert sum(n) == 9000 and max(n) <= 2048
+    assert spark.conf.get(key) == before

@@ -95,3 +95,13 @@ def test_many_rows_under_one_id(spark):
     kept = {(d, t): k for d, t, k in got}
     assert len(got) == len(rows) and kept[9, base[0]] == "" and kept[9, base[25]] == "" and kept[9, base[5]] == ""
     assert kept[9, base[7]] == base[7] and all(kept[None, t] == t for t in base[20:]) and kept[4, base[5] + " end"] == base[5] + " end"
+
+
+def test_texts_travel_once(spark):
+    """The task that cuts gets each text in the carried row only; it had a copy of its own beside it."""
+    rows = [(1, "x" * 60, "a"), (2, "y" + "x" * 60, "b")]
+    out = repeat_removal.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, other string"))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    given = next(line for line in plan[plan.index("MapInArrow"):].split("\n")[1:] if "Project" in line)
+    assert "carried" in given and "text#" not in given
+    assert {(r.doc_id, r.other, r.kept_text) for r in out.collect()} == {(1, "a", "x" * 60), (2, "b", "y")}

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm import textbytes as tb
-from trailmark.llm.staging import among, components, discard, shuffle_partitions, stored
+from trailmark.llm.staging import among, components, discard, files_for, shuffle_partitions, stored
 
 WORDS = 5
 THRESHOLD = 75  # per cent
@@ -440,4 +440,4 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     moved = merged.select(F.col("node").alias("m"), F.col("root").alias("r"))
     old = labels.join(moved, F.col("root") == F.col("m"), "left").select("node", F.coalesce("r", "root").alias("root"))
     new = merged.join(labels.select(F.col("node").alias("x")), F.col("node") == F.col("x"), "left_anti")
-    return stored(old.unionByName(new), "labels")
+    return stored(old.unionByName(new), "labels", files=files_for(links.sparkSession, labels.count() + 2 * links.count()))

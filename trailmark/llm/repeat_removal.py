@@ -41,6 +41,7 @@ DIGIT = 20
 REACH = LENGTH - DIGIT  # bytes of surroundings on either side of an anchor
 U64 = np.uint64
 NO_ID = np.iinfo(np.int64).min  # stands for a null id, before every other
+CHUNK = 1 << 18  # bytes of text at a time: what their anchors take is many times as much
 
 WHOLE, OPEN, STRING = 0, 1, 2  # all strings of an anchor repeat; to be sorted further; a string repeats
 DIGITS = "bucket int, keys binary, subs binary, docs binary, decided binary"
@@ -195,7 +196,7 @@ def _equal_groups(found: int) -> Callable:
 def _anchor_entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = _ids(batch.column(0))
     keys, subs, docs = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-    for chunk in tb.chunks(batch.column(1)):
+    for chunk in tb.chunks(batch.column(1), CHUNK):
         a = Anchors(chunk)
         keys.append(a.key)
         subs.append(a.sub)
@@ -214,7 +215,7 @@ def _members(marks: np.ndarray, known: pa.Array) -> np.ndarray:
 def _string_entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = _ids(batch.column(0))
     keys, docs = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-    for chunk in tb.chunks(batch.column(1)):
+    for chunk in tb.chunks(batch.column(1), CHUNK):
         a = Anchors(chunk)
         open_ = _members(mark(ids[chunk.lo + a.row], a.key, a.sub), batch.column(2).slice(chunk.lo, chunk.hi - chunk.lo))
         _, row, h = a.strings(np.flatnonzero(open_))
@@ -224,12 +225,12 @@ def _string_entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.n
     return key, np.zeros(len(key), U64), np.concatenate(docs)
 
 
-def _spans(batch: pa.RecordBatch, id_at: int, text_at: int) -> Iterator[pa.RecordBatch]:
-    """The batch without its last three columns (lists of marks), and what remains of each text."""
-    ids = _ids(batch.column(id_at))
-    whole, open_, string = (batch.column(batch.num_columns - 3 + i) for i in range(3))
+def _spans(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows carried (first column), and what remains of each text by its lists of marks."""
+    carried, number, text_of, whole, open_, string = batch.columns
+    ids = _ids(number)
     spans, kept, text = [], [], []
-    for chunk in tb.chunks(batch.column(text_at)):
+    for chunk in tb.chunks(text_of, CHUNK):
         n = chunk.hi - chunk.lo
         part = [c.slice(chunk.lo, n) for c in (whole, open_, string)]
         gone = np.zeros(len(chunk.data) + 1, np.int32)
@@ -266,11 +267,10 @@ def _spans(batch: pa.RecordBatch, id_at: int, text_at: int) -> Iterator[pa.Recor
                     y -= 1
                     whole_characters[y] = False
             text.append(chunk.data[a:b][~whole_characters].tobytes().decode())
-    columns = [batch.column(i) for i in range(batch.num_columns - 3)]
     yield pa.RecordBatch.from_arrays(
-        [*columns, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        [carried, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
          pa.array(kept, pa.binary()), pa.array(text, pa.string())],
-        names=[*batch.schema.names[:-3], "removed_spans", "kept_bytes", "kept_text"])
+        names=["carried", "removed_spans", "kept_bytes", "kept_text"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -284,8 +284,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     name, except that columns named like the three results are replaced.
     """
     docs = docs.drop("removed_spans", "kept_bytes", "kept_text")
-    # the input's columns travel in one struct, so none can clash with a helper's name
-    docs = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried"))
+    names = docs.columns
+    id_at, text_at = (names.index(c) if c in names else [x.lower() for x in names].index(c) for c in ("doc_id", "text"))
     spark = docs.sparkSession
     tasks = shuffle_partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -307,16 +307,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     marks = first.unionByName(last).groupBy(F.col("doc").alias("__doc")).agg(of(WHOLE), of(OPEN), of(STRING))
     none = F.array().cast("array<long>")
-    names = docs.columns
-    joined = docs.join(marks, F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)).cast("long")) == F.col("__doc"), "left").select(
-        *[F.col(f"`{c}`") for c in names], *[F.coalesce(f"__{k}", none).alias(f"__{k}") for k in (WHOLE, OPEN, STRING)])
-    id_at, text_at = names.index("doc_id"), names.index("text")
+    # the input's columns travel in one struct, so none can clash with a helper's name, and each text only once
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("carried"))
+    joined = rows.join(marks, F.coalesce(F.col("carried.doc_id").cast("long"), F.lit(int(NO_ID)).cast("long")) == F.col("__doc"), "left").select(
+        "carried", *[F.coalesce(f"__{k}", none).alias(f"__{k}") for k in (WHOLE, OPEN, STRING)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tb.slices(iter([batch]), text_at):
-                yield from _spans(part, id_at, text_at)
+            carried, *lists = batch.columns
+            read = pa.RecordBatch.from_arrays([carried, carried.field(id_at), carried.field(text_at), *lists], names=["carried", "doc_id", "text", *batch.schema.names[1:]])
+            for part in tb.slices(iter([read]), 2):
+                yield from _spans(part)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = joined.mapInArrow(cut, f"{schema}, removed_spans array<struct<start: long, end: long>>, kept_bytes binary, kept_text string")
-    return out.select("carried.*", "removed_spans", "kept_bytes", "kept_text")
+    schema = f"carried {rows.schema['carried'].dataType.simpleString()}, removed_spans array<struct<start: long, end: long>>, kept_bytes binary, kept_text string"
+    return joined.mapInArrow(cut, schema).select("carried.*", "removed_spans", "kept_bytes", "kept_text")
