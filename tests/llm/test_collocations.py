@@ -88,3 +88,23 @@ def test_scores_beyond_64_bits(spark):
     rows = [("en", "a b", 2, 9 * 10**18), ("en", "a", 1, 9 * 10**18), ("en", "b", 1, 9 * 10**18), ("en", None, 0, 5)]
     (r,) = c.scored(spark.createDataFrame(rows, c.PHRASES), 30).collect()
     assert r["score"] == 1_000_000 and r["a"] == 9 * 10**18
+
+
+def test_counting_tasks_hold_little():
+    """A task that counts phrases, all of them different, holds a bounded number of them and loses none."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 10**9, 10_000).tolist())) for _ in range(120)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en"] * 10), pa.array(texts[i:i + 10])], names=["lang", "text"]) for i in range(0, 120, 10)]
+    run = c._entries(lambda size, before: np.ones(len(before) - 1, bool), range(1, 5), 64)
+    tracemalloc.start()
+    try:
+        n = sum(len(sizes) for batch in run(iter(batches)) for sizes in batch.column("sizes").to_pylist())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n > 4_500_000 and peak < 200 << 20

@@ -44,8 +44,8 @@ TOP = 2000
 SAMPLE = 0.25
 SAMPLE_LEAST = 3  # of 7.5 expected for a phrase at the least count
 MAX_BITS = 27
-HELD = 1 << 21  # distinct phrases that a task holds before it hands them on
-BUCKET_BYTES = 1 << 24  # of text for each hash bucket
+HELD = 1 << 19  # distinct phrases that a task holds before it hands them on; it takes some 150 bytes for each
+BUCKET_BYTES = 1 << 22  # of text for each hash bucket
 SALTS = 64
 STRING_BYTES = 6 << 20  # of text whose phrases are merged as strings at a time
 
