@@ -237,3 +237,38 @@ def test_stored_sends_small_arrow_batches(spark):
     n = [r.n for r in stored(spark.range(0, 9000, 1, 1).mapInArrow(sizes, "n long"), "sizes").collect()]
     assert sum(n) == 9000 and max(n) <= 2048
     assert spark.conf.get(key) == before
+
+
+def test_tables_of_few_rows_are_written_by_few_tasks(spark, monkeypatch):
+    """The tables of a small corpus do not get a file for each shuffle partition; results are as with one file each."""
+    from pathlib import Path
+
+    files: dict[str, int] = {}
+    store = near_dedup.stored
+
+    def counted(df, name, **options):
+        out = store(df, name, **options)
+        files[name] = max(files.get(name, 0), len(list(Path(out.stored_at.removeprefix("file:")).glob("part-*"))))
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    keys = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        check(spark, documents(4, 120))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    few = {"classes", "members", "nodes", "pairs", "likely", "links", "labels", "shingles", "prefixes", "entries"}
+    assert few <= set(files)
+    assert max(files[name] for name in few) <= spark.sparkContext.defaultParallelism
+
+
+def test_an_id_with_several_texts_gives_a_pair_once(spark):
+    """Sketches of rows that share an id offer the pairs of that id several times; the estimate names each once."""
+    r = near_dedup.registers_of(np.arange(1, 60, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.array([0]))[0].tobytes()
+    sketch = spark.createDataFrame([(1, 59, r)] * 3 + [(2, 59, r)] * 2 + [(3, 59, r)], "node long, n long, registers binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long").repartition(1)
+    assert sorted(tuple(x) for x in near_dedup._likely_pairs(pairs, sketch).distinct().collect()) == [(1, 2), (1, 3)]

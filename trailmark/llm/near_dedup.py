@@ -53,6 +53,8 @@ SLACK = 0.17  # above four standard errors of the estimate at the threshold
 TURNS = 2
 CORES = 3  # partners of a member by its rare shingles
 DRIVERS = 256  # pairs of a pivot in one task
+SLOTS = 8  # rows of an id table that a class, a member or a pair counts as, where files are sized
+WIDE = 64  # the same where rows are texts or their shingles
 
 U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(8))
@@ -154,7 +156,8 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("a_registers", "b_registers"))
         na, nb = (batch.column(c).to_numpy().astype(float) for c in ("a_n", "b_n"))
         keep = estimate(a, b, na, nb) >= THRESHOLD / 100 - SLACK
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+        found = np.unique(np.stack([batch.column(c).to_numpy()[keep] for c in "ab"], axis=1), axis=0)  # sketches of one id repeat its pairs
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in (0, 1)], names=["a", "b"])
 
 
 TASK = ["pivot", "salt"]
@@ -242,16 +245,17 @@ def partners(members: DataFrame, turn: int) -> DataFrame:
 
 
 def _likely_pairs(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """The pairs that may reach the threshold by the estimate from their sketches."""
+    """The stored ``pairs`` that may reach the threshold by the estimate from their sketches; stored."""
     def side(s: str) -> DataFrame:
         return sketch.select(F.col("node").alias(s), F.col("registers").alias(f"{s}_registers"), F.col("n").alias(f"{s}_n"))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", "a_n", "b_n", "a_registers", "b_registers").mapInArrow(_likely, "a long, b long").distinct()
+    both = both.select("a", "b", "a_n", "b_n", "a_registers", "b_registers").coalesce(files_for(pairs.sparkSession, SLOTS * pairs.count()))
+    return stored(both.mapInArrow(_likely, "a long, b long"), "likely")
 
 
 def _linked(likely: DataFrame, texts: DataFrame) -> DataFrame:
-    """The likely pairs whose whole sets, from the texts (node, text), reach the threshold.
+    """The likely pairs whose whole sets, from the texts (node, text), reach the threshold; stored.
 
     Pairs of one ``a`` are dealt in tasks of about ``DRIVERS``; a text goes to a task once.
     """
@@ -263,7 +267,8 @@ def _linked(likely: DataFrame, texts: DataFrame) -> DataFrame:
     held = wanted.join(texts, F.col("wants") == F.col("node"))
     both = dealt.withColumn("text", F.lit(None).cast("string")).union(
         held.select("pivot", "salt", "node", F.lit(None).cast("long"), "text"))
-    return both.repartition(tasks, *TASK).sortWithinPartitions(*TASK).mapInArrow(_verify, "a long, b long").distinct()
+    found = both.repartition(tasks, *TASK).sortWithinPartitions(*TASK).mapInArrow(_verify, "a long, b long").distinct()
+    return stored(found, "links", files=files_for(likely.sparkSession, SLOTS * likely.count()))
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -292,7 +297,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["shingle", "node", "set", "label", "n"])
 
 
-def prefixes(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+def prefixes(mixed: DataFrame, texts: DataFrame, files: int | None = None) -> DataFrame:
     """The shingles (shingle, node, label, n, alone, place) of ``mixed`` (node, label) by which pairs of
     different labels that can reach the threshold are found, rare ones first; ``alone`` of the n are in no
     other set.
@@ -301,11 +306,12 @@ def prefixes(mixed: DataFrame, texts: DataFrame) -> DataFrame:
     shingles they share one of the first ``x - ceil(6 x / 7) + 1`` of the lesser and one of the first
     ``y - ceil(3 y / 4) + 1`` of the greater. The order is by the number of sets that have a shingle: what a template gives
     to all of its documents comes last, and shingles that one set has alone fill places without
-    being joined at all.
+    being joined at all. Tables have at most ``files`` files.
     """
     of = mixed.select(F.col("node").alias("x"), "label")
-    each = stored(of.join(texts, F.col("x") == F.col("node")).select("node", "label", "text").mapInArrow(
-        _sets, "shingle long, node long, `set` long, label long, n long"), "shingles")
+    told = of.join(texts, F.col("x") == F.col("node")).select("node", "label", "text")
+    told = told if files is None else told.coalesce(files)
+    each = stored(told.mapInArrow(_sets, "shingle long, node long, `set` long, label long, n long"), "shingles")
     shared = each.groupBy("shingle").agg(F.count("*").alias("sets"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("sets > 1")
     known = each.join(shared.withColumnRenamed("shingle", "s"), F.col("shingle") == F.col("s"))
     places = known.groupBy("node", "set", "label", "n").agg(F.sort_array(F.collect_list(
@@ -314,7 +320,7 @@ def prefixes(mixed: DataFrame, texts: DataFrame) -> DataFrame:
     places = places.withColumn("alone", F.col("n") - F.size("shared")).where(F.col("alone") < first)
     entry = places.select("node", "label", "n", "alone", F.posexplode(F.expr("slice(shared, 1, cast(n - ceil(n * 3 / 4) + 1 - alone as int))")).alias("at", "e"))
     entry = stored(entry.where("e.mixed").select(
-        F.col("e.shingle").alias("shingle"), "node", "label", "n", "alone", (F.col("alone") + F.col("at") + 1).alias("place")), "prefixes")
+        F.col("e.shingle").alias("shingle"), "node", "label", "n", "alone", (F.col("alone") + F.col("at") + 1).alias("place")), "prefixes", files=files)
     discard(each)
     return entry
 
@@ -338,13 +344,13 @@ def core_pairs(entry: DataFrame) -> DataFrame:
     return taken.select(F.explode("taken.node").alias("a"), "b").where("a <> b").distinct()
 
 
-def prefix_pairs(entry: DataFrame) -> DataFrame:
+def prefix_pairs(entry: DataFrame, files: int | None = None) -> DataFrame:
     """All pairs (a, b) of different labels of ``prefixes`` that can reach the threshold. Where most sets
-    of a shingle have one label, only the others ask."""
+    of a shingle have one label, only the others ask. What is laid out for it has at most ``files`` files."""
     sizes = entry.groupBy("shingle", "label").agg(F.count("*").alias("count"))
     major = sizes.groupBy("shingle").agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
     major = major.select(F.col("shingle").alias("s"), F.col("most.label").alias("major"))
-    entry = stored(entry.join(major, F.col("shingle") == F.col("s")).drop("s"), "entries")
+    entry = stored(entry.join(major, F.col("shingle") == F.col("s")).drop("s"), "entries", files=files)
     asks = entry.where("label <> major").select("shingle", F.struct("n", "node").alias("x"), F.col("label").alias("x_label"), F.col("place").alias("x_place"))
     met = entry.select(F.col("shingle").alias("s"), F.struct("n", "node").alias("y"), F.col("label").alias("y_label"),
                        F.col("place").alias("y_place"), (F.col("label") == F.col("major")).alias("y_major"))
@@ -387,35 +393,40 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
     schema = f"{SKETCHES}, row {named.schema['row'].dataType.simpleString()}"
     rows = stored(named.mapInArrow(_sketch, schema), "sketches")
+    # an exchange has as many tasks as there are shuffle partitions; tables of few rows are written by fewer
     classes = stored(rows.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"),
-        F.first("registers").alias("registers"), F.first("bands").alias("bands")), "classes")
+        F.first("registers").alias("registers"), F.first("bands").alias("bands")), "classes", files=files_for(spark, 2 * SLOTS * rows.count()))
     members = classes.where("node is not null").select("node", "n", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    members = stored(members.join(shared.select(F.col("band").alias("b")), F.col("band") == F.col("b"), "left_semi"), "members")
-    nodes = stored(members.select("node").distinct(), "nodes")
+    members = stored(members.join(shared.select(F.col("band").alias("b")), F.col("band") == F.col("b"), "left_semi"), "members",
+                     files=files_for(spark, REGISTERS // BAND * classes.count()))
+    nodes = stored(members.select("node").distinct(), "nodes", files=files_for(spark, members.count()))
+    count = nodes.count()
+    narrow, wide = files_for(spark, SLOTS * count), files_for(spark, WIDE * count)
     sketch = stored(classes.where("node is not null").join(nodes, "node", "left_semi").select("node", "n", "registers"), "registers")
     texts = stored(among(named.select("doc_id", "text"), nodes).join(
         nodes, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
 
-    labels = spark.createDataFrame([], "node long, root long")
+    labels = nodes.select("node", F.col("node").alias("root")).where(F.lit(False))
     for turn in range(TURNS):
-        pairs = stored(partners(_labelled(members, labels), turn), "pairs")
-        likely = stored(_likely_pairs(pairs, sketch), "likely")
-        links = stored(_linked(likely, texts), "links")
+        pairs = stored(partners(_labelled(members, labels), turn), "pairs", files=narrow)
+        likely = _likely_pairs(pairs, sketch)
+        links = _linked(likely, texts)
         labels = joined(labels, links)
         discard(pairs, likely, links)
     labelled = _labelled(members, labels)
     mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     mixed = labelled.join(mixed.select(F.col("band").alias("of")), F.col("band") == F.col("of"), "left_semi")
-    laid = entry = prefixes(mixed.select("node", "label").distinct(), texts)
-    links = stored(_linked(stored(_likely_pairs(core_pairs(entry), sketch), "likely"), texts), "links")
+    laid = entry = prefixes(mixed.select("node", "label").distinct(), texts, wide)
+    pairs = stored(core_pairs(entry), "pairs", files=narrow)
+    links = _linked(_likely_pairs(pairs, sketch), texts)
     if not links.isEmpty():
         labels = joined(labels, links)
         entry = _relabelled(entry, labels)
-    pairs = prefix_pairs(entry)
+    pairs = prefix_pairs(entry, wide)
     discard(laid)
-    links = stored(_linked(stored(_likely_pairs(pairs, sketch), "likely"), texts), "links")
+    links = _linked(_likely_pairs(pairs, sketch), texts)
     if not links.isEmpty():
         labels = joined(labels, links)
 
@@ -432,12 +443,13 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, root) after further links: components of the roots that the links connect."""
+    spark, count = links.sparkSession, links.count()
     to = labels.select(F.col("node").alias("x"), F.col("root").alias("to"))
     at = links
     for s in "ab":
         at = at.join(to, F.col(s) == F.col("x"), "left").withColumn(s, F.coalesce("to", s)).drop("x", "to")
-    merged = components(at)
+    merged = components(at, files=files_for(spark, count))
     moved = merged.select(F.col("node").alias("m"), F.col("root").alias("r"))
     old = labels.join(moved, F.col("root") == F.col("m"), "left").select("node", F.coalesce("r", "root").alias("root"))
     new = merged.join(labels.select(F.col("node").alias("x")), F.col("node") == F.col("x"), "left_anti")
-    return stored(old.unionByName(new), "labels", files=files_for(links.sparkSession, labels.count() + 2 * links.count()))
+    return stored(old.unionByName(new), "labels", files=files_for(spark, labels.count() + 2 * count))
